@@ -19,4 +19,5 @@ def blank_to_null(c) -> Column:
 
 
 def clip(c: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
+    """`c` limited to [lo, hi]; NULL stays NULL, which bare greatest/least would not keep."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(lo)), F.lit(hi)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom import constants as K
@@ -40,29 +40,36 @@ def facts(text: Column) -> Column:
     return F.array_union(_names(low), _numbers(low))
 
 
-def ungrounded(fragment: Column, source: Column) -> Column:
-    """Facts of the fragment that the source lacks, sorted. Numbers must match exactly, digits or spelled out; names may
-    be part of a longer word or differ in separators."""
-    frag, src = comparable(fragment), comparable(source)
-    words = F.regexp_extract_all(src, F.lit("([a-zа-яё]+)"), F.lit(1))
-    spelled = [(w, d) for d, forms in K.NUMBER_WORDS.items() for w in forms.split()]
-    to_digit = F.create_map(*[F.lit(x) for pair in spelled for x in pair])
-    spoken = F.filter(words, lambda w: F.map_contains_key(to_digit, w))
-    known = F.array_union(_numbers(src), F.transform(spoken, lambda w: F.element_at(to_digit, w)))
-    bad_numbers = F.array_except(_numbers(frag), known)
-    flat = squashed(src)
-    bad_names = F.filter(_names(frag), lambda n: ~F.contains(src, n) & ~F.contains(flat, squashed(n)))
-    return F.sort_array(F.array_union(bad_names, bad_numbers))
-
-
-def reject_reason(fragment: Column, source: Column) -> Column:
-    """Why a fragment must not be published; NULL when it may."""
-    bad = ungrounded(fragment, source)
-    return F.when(F.regexp_like(fragment, F.lit(K.FOREIGN_SCRIPTS)), K.FOREIGN_SCRIPT_REASON).when(
-        F.size(bad) > 0, F.array_join(bad, ", ")
+def with_ungrounded(df: DataFrame, fragment: str, source: str, out: str) -> DataFrame:
+    """`df` plus `out`: facts of column `fragment` that column `source` lacks, sorted. Numbers must match exactly, digits
+    or spelled out; names may be part of a longer word or differ in separators. The shared parts are columns of their
+    own, so that each is computed once per row."""
+    spelled = {w: digit for digit, forms in K.NUMBER_WORDS.items() for w in forms.split()}
+    to_digit = F.create_map(*[F.lit(x) for pair in spelled.items() for x in pair])
+    words = F.regexp_extract_all("_src", F.lit("([a-zа-яё]+)"), F.lit(1))
+    spoken = F.transform(F.array_intersect(words, lit_strings(spelled)), lambda w: F.element_at(to_digit, w))
+    src, flat = F.col("_src"), F.col("_flat")
+    return (
+        df.withColumn("_frag", comparable(F.col(fragment)))
+        .withColumn("_src", comparable(F.col(source)))
+        .withColumn("_flat", squashed(src))
+        .withColumn("_bad_numbers", F.array_except(_numbers(F.col("_frag")), F.array_union(_numbers(src), spoken)))
+        .withColumn(
+            "_bad_names",
+            F.filter(_names(F.col("_frag")), lambda n: ~F.contains(src, n) & ~F.contains(flat, squashed(n))),
+        )
+        .withColumn(out, F.sort_array(F.array_union("_bad_names", "_bad_numbers")))
+        .drop("_frag", "_src", "_flat", "_bad_numbers", "_bad_names")
     )
 
 
+def with_reject_reason(df: DataFrame, fragment: str, source: str, out: str) -> DataFrame:
+    """`df` plus `out`: why a fragment must not be published; NULL when it may."""
+    foreign = F.regexp_like(fragment, F.lit(K.FOREIGN_SCRIPTS))
+    why = F.when(foreign, K.FOREIGN_SCRIPT_REASON).when(F.size("_bad") > 0, F.array_join("_bad", ", "))
+    return with_ungrounded(df, fragment, source, "_bad").withColumn(out, why).drop("_bad")
+
+
 def card_of(answer: Column) -> Column:
     """struct(line, points) from model JSON; points may come as a list or as one text with line breaks."""
     from storyloom.functions import blank_to_null

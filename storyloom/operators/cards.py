@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions.grounding import card_of, reject_reason
+from storyloom.functions.grounding import card_of, with_reject_reason
 from storyloom.functions.text import card_mode
 
 
@@ -23,7 +23,7 @@ def fragments(cards: DataFrame) -> DataFrame:
 def grounded(cards: DataFrame) -> DataFrame:
     """(id, mode, line, points, dropped): unsupported or foreign-script fragments removed one by one. A card that loses
     its headline is bare. A card has at most four fragments, so its groups are tiny."""
-    f = fragments(cards).withColumn("why", reject_reason(F.col("fragment"), F.col("source")))
+    f = with_reject_reason(fragments(cards), "fragment", "source", "why").drop("source")
     note = F.concat(F.col("kind"), F.lit(": "), F.col("why"))
 
     def ordered(cond, value):

@@ -35,13 +35,31 @@ def _plus_minutes(ts: Column, minutes: Column) -> Column:
     return ts + F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"))
 
 
-def items(
-    spark: SparkSession, sf_dir: str, labels: bool = False, clusters: bool = False, vectors: bool = False,
-    stored_scores: bool = True,
-) -> DataFrame:
+def items(spark: SparkSession, sf_dir: str, labels: bool = False, clusters: bool = False, vectors: bool = False) -> DataFrame:
     """One row per document, shaped as a feed item. `clusters` adds `cluster_id` (exact copies share one), `labels`
     adds `llm_relevance`, `vectors` adds `vec`."""
-    d = table(spark, sf_dir, "documents")
+    df = item_columns(table(spark, sf_dir, "documents"))
+    if labels:
+        lab = table(spark, sf_dir, "labels").select(
+            F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("llm_relevance")
+        )
+        df = df.join(lab, "id", "left")
+    if clusters:
+        # clusters of exact copies; every 41st item has not been clustered yet
+        c = df.groupBy("text_digest").agg(F.min("id").alias("first_id"))
+        df = (
+            df.join(c, "text_digest")
+            .withColumn("cluster_id", F.when(F.col("id") % 41 != 0, F.col("first_id")))
+            .drop("first_id")
+        )
+    if vectors:
+        v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+        df = df.join(v, "id", "left")
+    return df
+
+
+def item_columns(d: DataFrame) -> DataFrame:
+    """The item projection of `documents`, for batch and streaming reads alike."""
     digest = F.md5("text")
     base = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     slot = _plus_minutes(base, _mod(720) * 60)
@@ -106,24 +124,7 @@ def items(
         "star_posted_at": F.when(_mod(33) == 0, _plus_minutes(fetched, F.lit(30))),
         "scored_profile_version": _mod(3),
     }
-    df = d.select(*[c.alias(n) for n, c in cols.items()])
-    if labels:
-        lab = table(spark, sf_dir, "labels").select(
-            F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("llm_relevance")
-        )
-        df = df.join(lab, "id", "left")
-    if clusters:
-        # clusters of exact copies; every 41st item has not been clustered yet
-        c = df.groupBy("text_digest").agg(F.min("id").alias("first_id"))
-        df = (
-            df.join(c, "text_digest")
-            .withColumn("cluster_id", F.when(F.col("id") % 41 != 0, F.col("first_id")))
-            .drop("first_id")
-        )
-    if vectors:
-        v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-        df = df.join(v, "id", "left")
-    return df
+    return d.select(*[c.alias(n) for n, c in cols.items()])
 
 
 SIGNALS = {"click": "up", "purchase": "save", "error": "down", "signup": "mute_topic", "view": "open"}
@@ -131,7 +132,11 @@ SIGNALS = {"click": "up", "purchase": "save", "error": "down", "signup": "mute_t
 
 def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append-only log of clicks: (event_id, ts, user_id, item_id, signal, topic)."""
-    e = table(spark, sf_dir, "events")
+    return click_columns(table(spark, sf_dir, "events"))
+
+
+def click_columns(e: DataFrame) -> DataFrame:
+    """The reaction projection of `events`, for batch and streaming reads alike."""
     k = F.get_json_object("props", "$.k").cast("long")
     signal = F.element_at(F.create_map(*[F.lit(x) for kv in SIGNALS.items() for x in kv]), F.col("event_type"))
     return e.select(
