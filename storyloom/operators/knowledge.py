@@ -40,14 +40,13 @@ def mentions(extracted: DataFrame) -> DataFrame:
     """(kind, slug, name, note, source_ref, date, seq) from `extracted(source_ref, date, seq, concepts, entities)`, where
     concepts and entities are array<struct<name, note>>: at most five of each, blank names dropped, and one mention per
     page and source (the first)."""
-    parts = []
-    for kind in ("concepts", "entities"):
-        parts.append(
-            F.transform(
-                F.slice(kind, 1, 5),
-                lambda c, i, kind=kind: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), c["name"].alias("name"), c["note"].alias("note")),
-            )
-        )
+    def entries(kind: str) -> Column:
+        def entry(e: Column, i: Column) -> Column:
+            return F.struct(F.lit(kind).alias("kind"), i.alias("pos"), e["name"].alias("name"), e["note"].alias("note"))
+
+        return F.transform(F.slice(kind, 1, 5), entry)
+
+    parts = [entries("concepts"), entries("entities")]
     rows = extracted.select("source_ref", "date", "seq", F.inline(F.concat(*parts)))
     named = rows.withColumn("name", blank_to_null(F.col("name"))).filter("name is not null")
     named = named.withColumn("slug", slugify(F.col("name"))).withColumn("note", F.trim(F.coalesce("note", F.lit(""))))

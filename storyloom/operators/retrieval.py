@@ -91,9 +91,13 @@ def fused_order() -> list[Column]:
 
 
 def candidate_pool(sem: DataFrame, lex: DataFrame, limit: int = 2 * K.POOL) -> DataFrame:
-    """(query_id, id, pos): semantic then lexical hits, each item once in order of first appearance."""
+    """(query_id, id, pos, sem_rank, lex_rank): semantic then lexical hits, each item once in order of first appearance."""
     both = as_list(sem, 0).unionByName(as_list(lex, 1))
-    first = both.groupBy("query_id", "id").agg(F.min(F.struct("list_no", "rank")).alias("first_seen"))
+    first = both.groupBy("query_id", "id").agg(
+        F.min(F.struct("list_no", "rank")).alias("first_seen"),
+        F.max(F.when(F.col("list_no") == 0, F.col("rank"))).alias("sem_rank"),
+        F.max(F.when(F.col("list_no") == 1, F.col("rank"))).alias("lex_rank"),
+    )
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy("first_seen"))
     return first.withColumn("pos", pos).filter(F.col("pos") <= limit).drop("first_seen")
 
@@ -105,35 +109,39 @@ def hybrid(
     """(query_id, rank, id, rrf, ...): lexical and semantic lists, plus a freshness list and a repository list where the
     query asks for them, fused; then filters, one row per cluster, best `limit` per query.
 
-    Hit lists hold at most 80 rows per list and query, so everything after them grows with the query table only."""
+    Hit lists hold at most 80 rows per list and query, so everything after them grows with the query table only. The
+    ranks in the four lists are columns of the candidate row, which makes fusion a projection."""
     sem, lex = semantic(queries, vectors, min_cos=min_cos), lexical(queries, items)
-    pool = candidate_pool(sem, lex)
     ok = items.filter(VISIBLE).filter(kind_filter(kind))
     if hours > 0:
         ok = ok.filter(since_hours(as_of, hours))
     if saved is not None:
         ok = ok.join(saved.select(F.col("item_id").alias("id")), "id", "left_semi")
     facts = ok.select("id", "title", "url", "feed_name", "vertical", "personal_score", "sort_ts", "cluster_id")
-    meta = pool.join(facts, "id")
     intents = queries.select(
-        "query_id", wants_fresh(F.col("query")).alias("fresh"), wants_projects(F.col("query")).alias("project")
-    )
-    by_query = Window.partitionBy("query_id")
-    flagged = meta.join(intents, "query_id")
-    fresh = flagged.filter("fresh").select(
-        "query_id", "id", (F.row_number().over(by_query.orderBy(F.desc("sort_ts"), "pos")) - 1).alias("rank")
+        "query_id", wants_fresh(F.col("query")).alias("wants_fresh"), wants_projects(F.col("query")).alias("wants_project")
     )
+    meta = candidate_pool(sem, lex).join(facts, "id").join(intents, "query_id")
     is_repo = F.coalesce(F.col("feed_name").startswith("gh_"), F.lit(False)) | F.coalesce(
         F.contains("url", F.lit("github.com")), F.lit(False)
     )
-    project = flagged.filter("project").filter(is_repo).select(
-        "query_id", "id", (F.row_number().over(by_query.orderBy("pos")) - 1).alias("rank")
+    newest = Window.partitionBy("query_id").orderBy(F.desc("sort_ts"), "pos")
+    repos = Window.partitionBy("query_id", "_repo").orderBy("pos")
+    meta = meta.withColumn("_repo", is_repo)
+    meta = meta.withColumn("fresh_rank", F.when(F.col("wants_fresh"), F.row_number().over(newest) - 1)).withColumn(
+        "project_rank", F.when(F.col("wants_project") & F.col("_repo"), F.row_number().over(repos) - 1)
     )
-    lists = as_list(sem, 0).unionByName(as_list(lex, 1)).unionByName(as_list(fresh, 2)).unionByName(as_list(project, 3))
-    hits = fuse(lists).join(meta.drop("pos"), ["query_id", "id"])
+    ranks = ["sem_rank", "lex_rank", "fresh_rank", "project_rank"]
+    rrf = sum((F.coalesce(1.0 / (K.RRF_K + F.col(r)), F.lit(0.0)) for r in ranks), F.lit(0.0))
+    first = F.coalesce(*[F.when(F.col(r).isNotNull(), F.struct(F.lit(n).alias("list_no"), F.col(r).alias("rank"))) for n, r in enumerate(ranks)])
+    hits = meta.withColumn("rrf", rrf).withColumn("first_seen", first)
     one = collapse(hits, fused_order(), by=("query_id",))
-    ranked = one.withColumn("rank", F.row_number().over(by_query.orderBy(*fused_order())))
-    return ranked.filter(F.col("rank") <= limit).withColumn("age_s", seconds_between(F.col("sort_ts"), as_of)).drop("first_seen")
+    ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*fused_order())))
+    return (
+        ranked.filter(F.col("rank") <= limit)
+        .withColumn("age_s", seconds_between(F.col("sort_ts"), as_of))
+        .drop("first_seen", "pos", "_repo", "wants_fresh", "wants_project", *ranks)
+    )
 
 
 def reranked(results: DataFrame, orders: DataFrame, pool: int = 30) -> DataFrame:

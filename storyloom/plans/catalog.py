@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from storyloom.plans import catalog_items, catalog_search, catalog_sources, catalog_text, registry  # noqa: F401
+from storyloom.session import tune
 
 
 def _prepared(fn: Callable) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return fn(spark, sf_dir)
+        return fn(tune(spark), sf_dir)
 
     return run
 

@@ -1 +1,378 @@
+"""Registered queries: sources, sinks, upsert and streams. Input files are written by Spark from the given tables to the
+shared folder and read back through the source under test."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from storyloom import constants as K
+from storyloom.functions import text as X
+from storyloom.functions.urls import normalize_url
+from storyloom.operators import feeds as R
+from storyloom.operators import monitor, reactions
+from storyloom.plans import stages
+from storyloom.plans import tables as T
+from storyloom.plans.catalog_items import WATCH, _marks
+from storyloom.plans.catalog_text import _derived
+from storyloom.plans.registry import AS_OF, query
+from storyloom.session import scratch_path
+from storyloom.sources import exports, feeds, messages, tail
+from storyloom.sources import tables as S
+from storyloom.streaming import flow, limiter
+
+c = F.col
+
+
+def _ntz(col: str):
+    return c(col).cast("timestamp_ntz").alias(col)
+
+
+# --- feed files ------------------------------------------------------------------------------------------------------
+
+_FLAT = "nullif(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '')"
+
+
+@query(
+    "a1_rss_scan",
+    f"""SELECT id::VARCHAR AS source_id, url, coalesce({_FLAT.format(x='title')}, '{K.UNTITLED}') AS title, md5({_FLAT.format(x='text')}) AS text_digest, published_at FROM items""",
+)
+def a1(spark, d):
+    path = scratch_path(spark, "rss")
+    exports.write_rss(T.items(spark, d), path)
+    rows = feeds.read_rss(spark, path)
+    return rows.select("source_id", "url", "title", F.md5("text").alias("text_digest"), _ntz("published_at"))
+
+
+_FEED_STATE = """SELECT feed_name, CASE WHEN starts_with(feed_name, 'tw_') THEN NULL WHEN starts_with(feed_name, 'gh_') THEN NULL ELSE TIMESTAMP '2024-01-20 00:00:00' END AS cur,
+  (len(feed_name) % 5 + 1) * 345600 AS interval_s FROM items GROUP BY feed_name"""
+
+
+@query(
+    "a2_incremental_cutoff",
+    f"""SELECT i.id FROM items i JOIN ({_FEED_STATE}) f USING (feed_name)
+        WHERE published_at IS NULL OR published_at > greatest(cur, {AS_OF} - to_seconds(greatest(interval_s * 1.5, 86400)))""",
+)
+def a2(spark, d):
+    i = T.items(spark, d).withColumn("published_at", c("published_at").cast("timestamp"))
+    cursor = F.when(c("feed_name").startswith("tw_"), "not a date").when(c("feed_name").startswith("gh_"), None).otherwise("2024-01-20T00:00:00")
+    state = i.groupBy("feed_name").agg(F.count("*").alias("_n")).select(
+        "feed_name", cursor.alias("cursor"), ((F.length("feed_name") % 5 + 1) * 345600).alias("interval_s")
+    )
+    return feeds.since_cutoff(i, state, F.lit(T.AS_OF_TEXT).cast("timestamp")).select("id")
+
+
+def _api_entries(spark, d):
+    i = T.items(spark, d)
+    entry = F.struct(
+        c("id"), c("url"), F.concat(F.lit("<b>"), "title", F.lit("</b>")).alias("title"), c("text").alias("content"),
+        F.lit("").alias("author"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"),
+        F.struct(c("feed_name").alias("title"), F.struct(F.upper("lang").alias("title")).alias("category")).alias("feed"),
+    )
+    raw = i.select(F.to_json(F.struct(F.array(entry).alias("entries"))).alias("value"))
+    path = scratch_path(spark, "api")
+    raw.write.text(path)
+    return feeds.api_entries(spark.read.schema(feeds.ENTRIES_SCHEMA).json(path))
+
+
+@query(
+    "a3_api_items",
+    f"""SELECT id::VARCHAR AS source_id, {_FLAT.format(x='title')} AS title, md5({_FLAT.format(x='text')}) AS text_digest, feed_name AS author, feed_name, lang AS category, published_at
+        FROM items WHERE lang IN ('en', 'fr')""",
+)
+def a3(spark, d):
+    rows = feeds.api_items(_api_entries(spark, d), ("en", "fr"))
+    return rows.select("source_id", "title", F.md5("text").alias("text_digest"), "author", "feed_name", "category", _ntz("published_at"))
+
+
+@query("a3_api_cursor", "SELECT max(id) AS cursor FROM items")
+def a3_cursor(spark, d):
+    return feeds.api_cursor(_api_entries(spark, d))
+
+
+# --- messages ----------------------------------------------------------------------------------------------------------
+
+
+def _message_lines(spark, d) -> str:
+    """A folder of message lines made from the conversations; every seventh turn is broken."""
+    t = T.table(spark, d, "conversations")
+    msg = F.to_json(
+        F.struct(
+            F.concat_ws(":", "conv_id", "turn").alias("source_id"), c("text"), c("role").alias("author"),
+            F.when(c("turn") % 3 == 0, "news_ai").when(c("turn") % 3 == 1, "news_tech").otherwise("other").alias("category"),
+            F.lit("2024-01-05T10:00:00Z").alias("published_at"),
+        )
+    )
+    broken = (c("conv_id") * 3 + c("turn")) % 7 == 6
+    line = F.when(broken & (c("turn") % 2 == 0), F.concat(F.lit("{oops "), "role")).when(broken, F.lit('{"text": "no id"}')).otherwise(msg)
+    path = scratch_path(spark, "outbox")
+    t.select(line.alias("value")).write.text(path)
+    return path
+
+
+_MSG_SQL = """SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS source_id, role AS feed_name, md5(text) AS text_digest,
+  CASE turn % 3 WHEN 0 THEN 'ai' WHEN 1 THEN 'tech' ELSE 'other' END AS category FROM conversations WHERE (conv_id * 3 + turn) % 7 <> 6"""
+
+
+@query("a4_line_tail", _MSG_SQL)
+def a4(spark, d):
+    tail.register(spark)
+    lines = spark.readStream.format("line_tail").option("path", _message_lines(spark, d)).load()
+    out = scratch_path(spark, "tailed")
+    flow.run_to_table(lines, out, flow.checkpoint_for(spark, "tail"))
+    rows = messages.items(messages.parsed(spark.read.schema(tail.SCHEMA).parquet(out)))
+    return rows.select("source_id", "feed_name", F.md5("text").alias("text_digest"), "category")
+
+
+@query("a5_messages", _MSG_SQL)
+def a5(spark, d):
+    rows = messages.items(messages.parsed(spark.read.text(_message_lines(spark, d))))
+    return rows.select("source_id", "feed_name", F.md5("text").alias("text_digest"), "category")
+
+
+@query(
+    "a6_listing_links",
+    """SELECT topic, slug, min({'list_no': list_no, 'pos': pos}).list_no AS list_no FROM (
+         SELECT source AS topic, doc_id % 2 AS list_no, unnest([lang || '/Repo-' || (doc_id % 50)::VARCHAR, source || '/tool.' || (doc_id % 20)::VARCHAR]) AS slug, unnest([1, 2]) AS pos FROM documents)
+       GROUP BY topic, slug""",
+)
+def a6(spark, d):
+    t = T.table(spark, d, "documents")
+    one = F.concat("lang", F.lit("/Repo-"), (c("doc_id") % 50).cast("string"))
+    two = F.concat("source", F.lit("/tool."), (c("doc_id") % 20).cast("string"))
+    link = lambda x: F.concat(F.lit('<h3><a href="/'), x, F.lit('" class="b" data-view-component="true">x</a></h3>'))
+    html = F.concat(link(F.lit("Topics/python")), link(one), link(two), link(one), F.lit('<a href="/plain/link">y</a>'))
+    pages = t.select(c("source").alias("topic"), (c("doc_id") % 2).cast("int").alias("list_no"), html.alias("html"))
+    links = feeds.checked_not_empty(pages, feeds.listing_links(pages))
+    return links.select("topic", "slug", c("first_at.list_no").cast("long").alias("list_no"))
+
+
+# --- upsert and state -----------------------------------------------------------------------------------------------------
+
+
+def _target_and_batch(spark, d):
+    """Even items are stored; the batch brings every third item twice, the later arrival with a changed title."""
+    i = T.items(spark, d).withColumn("media", F.array().cast("array<string>"))
+    source = ["source_type", "source_id", "url", "title", "text", "media", "author", "feed_name", "raw_score", "category", "published_at"]
+    target = i.filter("id % 2 = 0").select(*source, "id", "score", "fetched_at", "attempts").withColumn("url_normalized", normalize_url(c("url")))
+    base = i.filter("id % 3 = 0").select(*source, c("id").alias("arrival"))
+    later = base.withColumn("title", F.concat(F.lit("New "), F.coalesce("title", F.lit("")))).withColumn("arrival", c("arrival") + 1_000_000_000)
+    return target, base.unionByName(later)
+
+
+_UPSERT_SQL = f"""
+  SELECT source_type, source_id, CASE WHEN id % 3 = 0 THEN 'New ' || coalesce(title, '') ELSE title END AS title,
+    CASE WHEN id % 2 = 0 THEN score END AS score, CASE WHEN id % 2 = 0 THEN fetched_at ELSE {AS_OF} END AS fetched_at,
+    CASE WHEN id % 2 = 0 THEN attempts ELSE 0 END AS attempts, id % 2 <> 0 AS was_new FROM items WHERE id % 2 = 0 OR id % 3 = 0"""
+
+
+@query("a7_upsert", f"SELECT source_type, source_id, title, round(score, 6) AS score, fetched_at, attempts, was_new FROM ({_UPSERT_SQL})")
+def a7(spark, d):
+    target, batch = _target_and_batch(spark, d)
+    out = S.upsert(target, batch, T.as_of())
+    return out.select("source_type", "source_id", "title", F.round("score", 6).alias("score"), "fetched_at", "attempts", "was_new")
+
+
+@query(
+    "a8_cursor_state",
+    """SELECT source_name, max(last_run_at) AS last_run_at, max_by(cursor, last_run_at) AS cursor, max_by(last_error, last_run_at) AS last_error FROM (
+         SELECT event_type || (user_id % 50)::VARCHAR AS source_name, ts AS last_run_at, event_id::VARCHAR AS cursor, CASE WHEN value > 15 THEN 'timeout' ELSE '' END AS last_error FROM events) GROUP BY source_name""",
+)
+def a8(spark, d):
+    e = T.table(spark, d, "events")
+    runs = e.select(
+        F.concat("event_type", (c("user_id") % 50).cast("string")).alias("source_name"), c("ts").alias("last_run_at"),
+        c("event_id").cast("string").alias("cursor"), F.when(c("value") > 15, "timeout").alias("last_error"),
+    )
+    return S.latest_cursors(runs)
+
+
+@query("a9_stage_handoff", _MSG_SQL)
+def a9(spark, d):
+    """Messages ingested from a stream; the hand-off holds first arrivals only."""
+    tail.register(spark)
+    lines = spark.readStream.format("line_tail").option("path", _message_lines(spark, d)).load()
+    store = flow.ingest_messages(lines, scratch_path(spark, "store"), scratch_path(spark, "bad"), flow.checkpoint_for(spark, "ingest"))
+    return store.new_items().select("source_id", "feed_name", F.md5("text").alias("text_digest"), "category")
+
+
+@query("a10_retention", f"SELECT event_id FROM events WHERE ts > {AS_OF} - INTERVAL 14 DAY")
+def a10(spark, d):
+    return S.retained(T.table(spark, d, "events"), T.as_of()).select("event_id")
+
+
+# --- exports -----------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "a11_rss_rows",
+    f"""SELECT coalesce(nullif(title, ''), '{K.UNTITLED}') AS title, nullif(url, '') AS link, md5(text) AS digest, id::VARCHAR AS guid,
+          strftime(published_at, '%a, %d %b %Y %H:%M:%S +0000') AS "pubDate" FROM visible""",
+)
+def a11(spark, d):
+    rows = exports.rss_rows(T.items(spark, d).filter(R.VISIBLE))
+    return rows.select("title", "link", F.md5("description").alias("digest"), "guid", "pubDate")
+
+
+@query(
+    "a12_json_feed_items",
+    """SELECT id, json_merge_patch('{}', json_object('id', id::VARCHAR, 'url', url, 'title', title, 'date_published', strftime(published_at, '%Y-%m-%dT%H:%M:%S+00:00'), 'tags', tags))::VARCHAR AS entry FROM visible""",
+)
+def a12(spark, d):
+    page = T.items(spark, d).filter(R.VISIBLE).withColumn("text", F.lit(None).cast("string"))
+    page = page.withColumn("rank", F.lit(0)).withColumn("next_cursor", F.lit(None).cast("string"))
+    return exports.json_items(page).select("id", "entry")
+
+
+@query("a12_json_feed_page")
+def a12_page(spark, d):
+    page = R.feed(T.items(spark, d, clusters=True), R.FeedRequest(limit=20))
+    return exports.json_feed(page, "Stories", "https://feeds.example.com")
+
+
+# --- streams ------------------------------------------------------------------------------------------------------------------
+
+
+def _stream(spark, d, name):
+    schema = T.table(spark, d, name).schema
+    return flow.file_stream(spark, d, schema, glob=f"{name}.parquet")
+
+
+def _finished(spark, stream, label, mode="append"):
+    out = scratch_path(spark, label)
+    flow.run_to_table(stream, out, flow.checkpoint_for(spark, label), mode)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("a13_live_feed", "SELECT id, source_type, title, url, category, published_at FROM visible WHERE category IS NULL OR category = 'en'")
+def a13(spark, d):
+    return _finished(spark, flow.processed_feed(T.item_columns(_stream(spark, d, "documents")), "en"), "live")
+
+
+@query(
+    "a14_flow_events",
+    """SELECT 'ingested' AS kind, id, source_type, NULL AS title, NULL AS vertical, NULL AS tags FROM items
+       UNION ALL SELECT 'processed', id, NULL, title, vertical, array_to_string(tags[1:3], ',') FROM visible""",
+)
+def a14(spark, d):
+    items = T.item_columns(_stream(spark, d, "documents"))
+    rows = _finished(spark, flow.flow_events(items, items.filter(R.VISIBLE)), "flow")
+    return rows.withColumn("tags", F.array_join("tags", ","))
+
+
+def _enriched(spark, d):
+    items = T.item_columns(_stream(spark, d, "documents")).select(
+        "id", "source_type", "feed_name", "url", "title", "text", "tags", "vertical", "skip_reason", "summary", "watch_topics"
+    )
+    steps = [
+        stages.summary_stage(), stages.title_stage(), stages.watch_stage(WATCH), stages.url_stage(),
+        stages.model_stage("tagger", 4, ["feed_name"], lambda b: ['{"vertical":"it"}' if f.startswith("gh_") else None for f in b["feed_name"]], "answer"),
+    ]
+    out = flow.enrich(items, steps, scratch_path(spark, "enriched"), flow.checkpoint_for(spark, "enrich"))
+    return out.read()
+
+
+@query(
+    "j1_enrichment",
+    f"""SELECT id, title, url_normalized, topics AS watch_topics, md5(coalesce(summary, CASE WHEN starts_with(feed_name, 'tw_') OR (len(trim(text, ' ' || chr(10) || chr(9))) < 280 AND coalesce(own_title, '') <> '')
+            THEN trim(text, ' ' || chr(10) || chr(9)) END)) AS summary_digest, CASE WHEN skip_reason IS NULL AND starts_with(feed_name, 'gh_') THEN '{{"vertical":"it"}}' END AS answer
+        FROM (SELECT i.*, i.title AS own_title, CASE WHEN trim(coalesce(i.title, '')) <> '' THEN i.title ELSE coalesce({_derived("i.text")}, '{K.TITLE_FALLBACK_PREFIX}' || feed_name) END AS title,
+            CASE WHEN url LIKE 'https://www.Feeds%' THEN 'https://feeds.example.com/item/' || text_digest || '?a=1&b=2' ELSE url END AS url_normalized FROM (SELECT * EXCLUDE (title), title FROM items) i) x
+        JOIN (SELECT id AS tid, array_to_string(list_filter([CASE WHEN regexp_matches(h, '(^|[^\\p{{L}}\\p{{N}}_])inging') OR contains(h, 'oned the') THEN 'Ing' END,
+            CASE WHEN regexp_matches(h, '(^|[^\\p{{L}}\\p{{N}}_])éau') OR contains(h, 'eau/x') THEN 'Éau' END,
+            CASE WHEN contains(h, 'of the') OR contains(h, 'de la') THEN 'Of the' END,
+            CASE WHEN regexp_matches(h, '(^|[^\\p{{L}}\\p{{N}}_])ent') THEN 'Ent' END], lambda t: t IS NOT NULL), ',') AS topics
+          FROM (SELECT id, lower(substring(coalesce(title, '') || ' ' || text, 1, 4000)) AS h FROM items)) w ON w.tid = x.id""",
+)
+def j1(spark, d):
+    return _enriched(spark, d).select("id", "title", "url_normalized", F.array_join("watch_topics", ",").alias("watch_topics"), F.md5("summary").alias("summary_digest"), "answer")
+
+
+@query("j2_dedup_ingest", "SELECT DISTINCT source_type, source_id FROM items WHERE published_at IS NOT NULL")
+def j2(spark, d):
+    items = T.item_columns(_stream(spark, d, "documents")).filter("published_at is not null")
+    twice = items.select("source_type", "source_id", c("published_at").cast("timestamp").alias("ts")).unionByName(
+        items.select("source_type", "source_id", (c("published_at").cast("timestamp") + F.expr("INTERVAL 1 MINUTE")).alias("ts"))
+    )
+    return _finished(spark, flow.deduplicated(twice, "ts"), "deduplicated").select("source_type", "source_id")
+
+
+@query(
+    "j3_quarantine",
+    """SELECT CASE WHEN turn % 2 = 0 THEN '{oops ' || role ELSE '{"text": "no id"}' END AS value, count(*) AS n FROM conversations WHERE (conv_id * 3 + turn) % 7 = 6 GROUP BY 1""",
+)
+def j3(spark, d):
+    tail.register(spark)
+    lines = spark.readStream.format("line_tail").option("path", _message_lines(spark, d)).load()
+    bad = messages.malformed(messages.parsed(lines))
+    return _finished(spark, bad, "quarantine").groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("j4_streaming_learner", "SELECT vertical, tag, round(weight, 6) AS weight, n_pos, n_neg FROM tag_aff")
+def j4(spark, d):
+    clicks = T.click_columns(_stream(spark, d, "events"))
+    learner = flow.learn(clicks, T.items(spark, d), scratch_path(spark, "learner"), flow.checkpoint_for(spark, "learner"))
+    return learner.affinity().withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    "j5_streaming_clusters",
+    """SELECT id, min(id) OVER (PARTITION BY CASE WHEN url IS NULL THEN id::VARCHAR WHEN url LIKE 'https://github%' THEN url ELSE text_digest END) AS cluster_id FROM items""",
+)
+def j5(spark, d):
+    items = T.item_columns(_stream(spark, d, "documents")).select("id", normalize_url(c("url")).alias("url_normalized"))
+    out = flow.assign_clusters(items, scratch_path(spark, "clusters"), flow.checkpoint_for(spark, "clusters"))
+    return out.read().select("id", "cluster_id")
+
+
+@query("j6_rate_limited")
+def j6(spark, d):
+    """Every click is a wish to push to its user; at most eight an hour go out."""
+    clicks = T.feedback_events(spark, d).select((c("user_id") % 20).alias("user_id"), "ts", c("event_id").alias("id"))
+    return limiter.limited(clicks, cap=3)
+
+
+@query(
+    "j8_stall_alerts",
+    f"""WITH hours AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', {AS_OF}, INTERVAL 1 HOUR)) AS hour),
+        f AS (SELECT date_trunc('hour', fetched_at) AS hour, count(*) AS n FROM items GROUP BY 1),
+        p AS (SELECT date_trunc('hour', processed_at) AS hour, count(*) AS n FROM items WHERE processed_at IS NOT NULL GROUP BY 1),
+        t AS (SELECT hours.hour, coalesce(f.n, 0) AS fetched, coalesce(p.n, 0) AS processed FROM hours LEFT JOIN f USING (hour) LEFT JOIN p USING (hour)),
+        s AS (SELECT *, sum(processed) OVER (ORDER BY hour ROWS 1 PRECEDING) AS done, sum(fetched - processed) OVER (ORDER BY hour) AS pending FROM t),
+        e AS (SELECT *, sum((done > 0)::INTEGER) OVER (ORDER BY hour) AS episode FROM s)
+        SELECT hour, done::BIGINT AS done, pending::BIGINT AS pending FROM (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY hour) AS r FROM e WHERE done = 0 AND pending >= 2) WHERE r = 1""",
+)
+def j8(spark, d):
+    return monitor.stall_alerts(T.items(spark, d), T.as_of(), "2024-01-01 00:00:00", min_pending=2)
+
+
+@query(
+    "j11_daily_tag_windows",
+    """WITH v AS (SELECT published_at, unnest(tags) AS tag, personal_score FROM visible WHERE published_at IS NOT NULL)
+       SELECT date_trunc('day', published_at)::TIMESTAMP AS day, tag, count(*) AS n, round(avg(personal_score), 6) AS avg_score FROM v
+       WHERE date_trunc('day', published_at) + INTERVAL 1 DAY <= (SELECT max(published_at) FROM v) - INTERVAL 2 DAY GROUP BY 1, 2""",
+)
+def j11(spark, d):
+    items = T.item_columns(_stream(spark, d, "documents")).filter(R.VISIBLE).filter("published_at is not null")
+    rows = items.select(c("published_at").cast("timestamp").alias("published_at"), "tags", "personal_score")
+    done = _finished(spark, flow.daily_tag_counts(rows), "windows")
+    return done.select(_ntz("day"), "tag", "n", F.round("avg_score", 6).alias("avg_score"))
+
+
+@query(
+    "d9_wiki_replay",
+    "SELECT i.id FROM items i WHERE i.id IN (SELECT item_id FROM marks WHERE signal IN ('up', 'save')) AND (coalesce(title, '') <> '' OR coalesce(text, '') <> '')",
+)
+def wiki_replay(spark, d):
+    liked = reactions.per_item(_marks(spark, d)).select(c("item_id").alias("id"))
+    has_text = (F.coalesce("title", F.lit("")) != "") | (F.coalesce("text", F.lit("")) != "")
+    return T.items(spark, d).filter(has_text).join(liked, "id", "left_semi").select("id")
+
+
+@query(
+    "k4_batch_inference",
+    "SELECT id, len(text) AS answer FROM items WHERE title IS NULL AND processed_at IS NOT NULL",
+)
+def k4(spark, d):
+    """A stand-in model that measures its input, called once per Arrow batch for the items that need it."""
+    todo = T.items(spark, d).filter("title is null and processed_at is not null").select("id", "text")
+    return stages.infer(todo, ["text"], lambda b: [len(t) for t in b["text"]], "answer", "long").select("id", "answer")

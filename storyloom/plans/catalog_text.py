@@ -209,7 +209,20 @@ def b15(spark, d):
     )
 
 
-@query("b16_page_text")
+def _without_sql(html: str) -> str:
+    out = f"regexp_replace({html}, '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in ("script", "style", "noscript", "nav", "footer", "header", "aside", "form", "svg"):
+        out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
+    return out
+
+
+@query(
+    "b16_page_text",
+    f"""SELECT page_id, CASE WHEN coalesce(len(article), 0) < 400 AND coalesce(len(body), 0) > coalesce(len(article), 0) THEN body ELSE article END AS body
+        FROM (SELECT page_id, {_clean("regexp_extract(h, '(?is)<article[^>]*>(.*?)</article', 1)")} AS article,
+            {_clean("regexp_replace(regexp_replace(h, '(?is)^.*?<body[^>]*>', ' '), '(?is)</body.*$', ' ')")} AS body
+          FROM (SELECT page_id, {_without_sql('html')} AS h FROM pages))""",
+)
 def b16(spark, d):
     return T.table(spark, d, "pages").select("page_id", P.page_text(c("html")).alias("body"))
 

@@ -11,6 +11,12 @@ SQL: dict = {}
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
+
+
+def _quoted(words) -> str:
+    return ", ".join("'" + w + "'" for w in words)
+
+
 # SQL twins of storyloom.plans.tables, in dependency order; a statement pulls in those it names
 VIEWS = {
     "doc_base": """
@@ -152,7 +158,62 @@ VIEWS = {
           WHEN len(list_filter(watch_topics, lambda x: x <> 'Природные явления')) > 0 THEN least(1.0::DOUBLE, plain + 0.15) ELSE plain END AS ps
         FROM (SELECT *, 0.5 * coalesce(llm_relevance, 0) + 0.2 * least(1.0, n_liked / 20::DOUBLE) * taste_cos
                 + 0.15 * tag_aff + 0.1 * source_aff + 0.05 * fresh AS plain FROM scored_parts)""",
-    "requests": "SELECT b.item_id AS query_id, b.text AS query, e.embedding::DOUBLE[] AS query_vec FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id",
+    "requests": """
+        SELECT b.item_id AS query_id, e.embedding::DOUBLE[] AS query_vec,
+          CASE b.item_id % 4 WHEN 0 THEN 'latest ' || b.text WHEN 1 THEN b.text || ' github tools' ELSE b.text END AS query
+        FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id""",
+    "request_words": """
+        SELECT query_id, list_transform(regexp_extract_all(query, '[0-9a-zA-Zа-яёА-ЯЁ]{2,}'), lambda w: lower(w)) AS words FROM requests""",
+    "request_terms": f"""
+        SELECT DISTINCT query_id, unnest(list_filter(words, lambda w: w NOT IN ({_quoted(K.STOP_WORDS)}) AND w NOT IN ({_quoted(K.FRESH_WORDS)}))) AS term
+        FROM request_words""",
+    "doc_words": "SELECT id, regexp_extract_all(lower(concat_ws(' ', title, text)), '[\\p{L}\\p{N}]+') AS words FROM visible",
+    "postings": "SELECT id, length, term, count(*) AS tf FROM (SELECT id, len(words) AS length, unnest(words) AS term FROM doc_words) WHERE term IN (SELECT term FROM request_terms) GROUP BY id, length, term",
+    "idf": """
+        SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, avg_length
+        FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), (SELECT count(*) AS n, avg(len(words)) AS avg_length FROM doc_words)""",
+    "lex_hits": """
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) - 1 AS rank FROM (
+          SELECT t.query_id, p.id, sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / avg_length))) AS bm25
+          FROM request_terms t JOIN postings p ON p.term = t.term JOIN idf i ON i.term = t.term GROUP BY 1, 2)) WHERE rank < 80""",
+    "sem_hits": """
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id) - 1 AS rank FROM (
+          SELECT r.query_id, v.id, list_cosine_similarity(r.query_vec, v.vec) AS cos FROM requests r, vecs v WHERE r.query_vec IS NOT NULL)
+          WHERE cos >= 0.2) WHERE rank < 80""",
+    "hit_pool": """
+        SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY f) AS pos FROM (
+          SELECT query_id, id, min((list_no, rank)) AS f FROM (
+            SELECT query_id, id, rank, 0 AS list_no FROM sem_hits UNION ALL SELECT query_id, id, rank, 1 FROM lex_hits) GROUP BY 1, 2)""",
+    "hit_facts": f"""
+        SELECT p.query_id, p.pos, v.*, list_has_any(w.words, [{_quoted(K.FRESH_WORDS)}]) AS wants_fresh, list_has_any(w.words, [{_quoted(K.PROJECT_WORDS)}]) AS wants_project
+        FROM hit_pool p JOIN visible v ON v.id = p.id JOIN request_words w ON w.query_id = p.query_id""",
+    "hit_lists": """
+        SELECT query_id, id, rank, 0 AS list_no FROM sem_hits UNION ALL SELECT query_id, id, rank, 1 FROM lex_hits
+        UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY sort_ts DESC, pos) - 1, 2 FROM hit_facts WHERE wants_fresh
+        UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1, 3 FROM hit_facts
+          WHERE wants_project AND (starts_with(feed_name, 'gh_') OR coalesce(contains(url, 'github.com'), false))""",
+    "fused_hits": "SELECT query_id, id, sum(1 / (60 + rank)::DOUBLE) AS rrf, min((list_no, rank)) AS first_seen FROM hit_lists GROUP BY 1, 2",
+    "hybrid_hits": """
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, first_seen) AS rank FROM (
+          SELECT h.query_id, h.id, h.rrf, h.first_seen, row_number() OVER (PARTITION BY h.query_id, f.cluster_id IS NULL, coalesce(f.cluster_id, f.id)
+            ORDER BY round(h.rrf, 12) DESC, h.first_seen) AS c
+          FROM fused_hits h JOIN hit_facts f ON f.query_id = h.query_id AND f.id = h.id) WHERE c = 1) WHERE rank <= 40""",
+    "mention_sources": """
+        SELECT id AS seq, tags, feed_name, lang, strftime(processed_at, '%Y-%m-%d') AS date, trim(coalesce(title, '')) AS note,
+          'sources/' || id::VARCHAR || '-' || coalesce(nullif(trim(substring(trim(regexp_replace(lower(trim(coalesce(nullif(title, ''), 'source'))), '[^0-9a-zA-Zа-яёА-ЯЁ]+', '-', 'g'), '-'), 1, 60), '-'), ''), 'untitled') AS source_ref
+        FROM visible""",
+    "mention_rows": """
+        SELECT kind, slug, source_ref, arg_min(name, pos) AS name, any_value(date) AS date, any_value(seq) AS seq, arg_min(note, pos) AS note, min(pos) AS pos FROM (
+          SELECT *, coalesce(nullif(trim(substring(trim(regexp_replace(lower(trim(name)), '[^0-9a-zA-Zа-яёА-ЯЁ]+', '-', 'g'), '-'), 1, 60), '-'), ''), 'untitled') AS slug FROM (
+            SELECT 'concepts' AS kind, unnest(tags[1:5]) AS name, unnest(range(0, len(tags[1:5]))) AS pos, source_ref, date, seq, note FROM mention_sources
+            UNION ALL SELECT 'entities', unnest([feed_name, lang]), unnest([0, 1]), source_ref, date, seq, note FROM mention_sources))
+        GROUP BY kind, slug, source_ref""",
+    "wiki_pages": """
+        SELECT kind, slug, arg_min(name, (date, seq, pos)) AS title, arg_min(note, (date, seq, pos)) AS note, count(*) AS mentions FROM mention_rows GROUP BY kind, slug""",
+    "wiki_bodies": """
+        SELECT p.kind, p.slug, '# ' || p.title || chr(10) || chr(10) || p.note || chr(10) || chr(10) || '## Упоминания' || chr(10) ||
+          string_agg('- [' || m.date || '] ' || m.note || ' — [[' || m.source_ref || ']]', chr(10)) AS body
+        FROM wiki_pages p JOIN mention_rows m ON m.kind = p.kind AND m.slug = p.slug GROUP BY p.kind, p.slug, p.title, p.note""",
 }
 
 

@@ -154,8 +154,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search requests: the benchmark texts, each with the vector of the same number."""
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    """Search requests: the benchmark texts, each with the vector of the same number; some ask for fresh items or for
+    projects."""
+    n = F.col("item_id") % 4
+    text = F.when(n == 0, F.concat(F.lit("latest "), "text")).when(n == 1, F.concat("text", F.lit(" github tools"))).otherwise(F.col("text"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"))
     v = vectors(spark, sf_dir).select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
     return q.join(v, "query_id", "left")
 

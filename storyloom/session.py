@@ -15,7 +15,6 @@ def build_session(app: str = "storyloom", master: str | None = None, **conf) ->
     if master:
         b = b.master(master)
     settings = {
-        "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -23,7 +22,19 @@ def build_session(app: str = "storyloom", master: str | None = None, **conf) ->
     }
     for k, v in settings.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return tune(b.getOrCreate())
+
+
+# The 4.1 union keeps its children's partitioning and fails to plan when a child is a join of two shuffles of different
+# sizes; results do not depend on it.
+RUNTIME_SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.unionOutputPartitioning": "false"}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Settings the jobs rely on that can be set on a running session."""
+    for k, v in RUNTIME_SETTINGS.items():
+        spark.conf.set(k, v)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
