@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions.grounding import card_of, with_reject_reason
+from storyloom.functions.grounding import SOURCE_COLUMNS, card_of, with_reject_reason, with_source_facts
 from storyloom.functions.text import card_mode
+from storyloom.session import spread
 
 
 def fragments(cards: DataFrame) -> DataFrame:
-    """(id, kind, pos, fragment, source) of `cards(id, line, points, source)`: the headline and each point."""
+    """`cards(id, line, points, ...)` as one row per headline and point: (id, kind, pos, fragment, ...)."""
     parts = F.concat(
         F.array(F.struct(F.lit("line").alias("kind"), F.lit(0).alias("pos"), F.col("line").alias("fragment"))),
         F.transform("points", lambda p, i: F.struct(F.lit("point").alias("kind"), (i + 1).alias("pos"), p.alias("fragment"))),
     )
-    return cards.select("id", "source", F.explode(parts).alias("f")).select(
-        "id", "f.kind", "f.pos", "f.fragment", "source"
-    ).filter("fragment is not null")
+    rest = [c for c in cards.columns if c not in ("line", "points")]
+    return cards.select(*rest, F.inline(parts)).filter("fragment is not null")
 
 
 def grounded(cards: DataFrame) -> DataFrame:
     """(id, mode, line, points, dropped): unsupported or foreign-script fragments removed one by one. A card that loses
     its headline is bare. A card has at most four fragments, so its groups are tiny."""
-    f = with_reject_reason(fragments(cards), "fragment", "source", "why").drop("source")
+    known = with_source_facts(spread(cards), "source").withColumn("mode", card_mode(F.col("source"))).drop("source")
+    f = with_reject_reason(fragments(known), "fragment", "why").drop(*SOURCE_COLUMNS)
     note = F.concat(F.col("kind"), F.lit(": "), F.col("why"))
 
     def ordered(cond, value):

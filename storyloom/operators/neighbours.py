@@ -245,7 +245,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, min_cos: float, exclu
         )
         cut_q = q.select(
             F.col("query_id").alias("id"), F.col("query_vec").alias("vec"),
-            F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).cast("long").alias("vb"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long"))).alias("vb"),
             F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("qb"), F.lit(1).alias("side"),
         )
 

@@ -10,6 +10,7 @@ from storyloom.functions import lit_strings
 from storyloom.functions.text import seconds_between, strip_html, tokens
 from storyloom.operators import neighbours as N
 from storyloom.operators.feeds import VISIBLE, collapse, kind_filter, since_hours
+from storyloom.session import materialize, spread
 
 BM25_K1, BM25_B = 1.2, 0.75
 
@@ -38,20 +39,23 @@ def wants_projects(query: Column) -> Column:
 def lexical(queries: DataFrame, items: DataFrame, k: int = K.POOL) -> DataFrame:
     """(query_id, id, bm25, rank): visible items that hold any query term in title or text, best k per query.
 
-    Rows are text tokens restricted to terms that some query asks for. They are counted per item and term once, on
-    item-partitioned data, and stay so partitioned through the join with the query terms and the sum per query; the
-    best k per query are cut on the map side. BM25 stands in for cover-density ranking."""
+    Rows are text tokens restricted to terms that some query asks for, counted per item and term on the map side and
+    kept as a table in the shared folder, from which document frequencies, corpus size and scores are read. The best k
+    per query are cut on the map side. BM25 stands in for cover-density ranking."""
     terms = queries.select("query_id", F.explode(search_terms(F.col("query"))).alias("term"))
-    wanted = terms.select("term").distinct()
-    docs = items.filter(VISIBLE).select("id", tokens(F.concat_ws(" ", "title", "text")).alias("words"))
-    postings = (
-        docs.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
+    # texts are tokenized once; every item also leaves one row with an empty term, which carries its length
+    wanted = terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    words = tokens(F.concat_ws(" ", "title", "text"))
+    docs = spread(items.filter(VISIBLE).select("id", "title", "text")).select("id", words.alias("words"))
+    postings = materialize(
+        docs.select("id", F.size("words").alias("length"), F.explode(F.array_append("words", F.lit(""))).alias("term"))
         .join(wanted, "term", "left_semi")
         .groupBy("id", "term")
-        .agg(F.count("*").alias("tf"), F.max("length").alias("length"))
+        .agg(F.count("*").alias("tf"), F.max("length").alias("length")),
+        "postings",
     )
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = docs.agg(F.struct(F.count("*").alias("n"), F.avg(F.size("words")).alias("avg_length"))).scalar()
+    corpus = postings.filter("term = ''").agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("avg_length"))).scalar()
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # per query term its inverse document frequency: one row per (query, term) of the query table
     weighted = (

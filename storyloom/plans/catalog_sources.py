@@ -273,10 +273,10 @@ def _enriched(spark, d):
 
 @query(
     "j1_enrichment",
-    f"""SELECT id, title, url_normalized, topics AS watch_topics, md5(coalesce(summary, CASE WHEN starts_with(feed_name, 'tw_') OR (len(trim(text, ' ' || chr(10) || chr(9))) < 280 AND coalesce(own_title, '') <> '')
+    f"""SELECT id, title, url_normalized, topics AS watch_topics, md5(coalesce(summary, CASE WHEN starts_with(feed_name, 'tw_') OR (len(trim(text, ' ' || chr(10) || chr(9))) < 280 AND coalesce(title, '') <> '')
             THEN trim(text, ' ' || chr(10) || chr(9)) END)) AS summary_digest, CASE WHEN skip_reason IS NULL AND starts_with(feed_name, 'gh_') THEN '{{"vertical":"it"}}' END AS answer
-        FROM (SELECT i.*, i.title AS own_title, CASE WHEN trim(coalesce(i.title, '')) <> '' THEN i.title ELSE coalesce({_derived("i.text")}, '{K.TITLE_FALLBACK_PREFIX}' || feed_name) END AS title,
-            CASE WHEN url LIKE 'https://www.Feeds%' THEN 'https://feeds.example.com/item/' || text_digest || '?a=1&b=2' ELSE url END AS url_normalized FROM (SELECT * EXCLUDE (title), title FROM items) i) x
+        FROM (SELECT i.* EXCLUDE (title), i.title AS own_title, CASE WHEN trim(coalesce(i.title, '')) <> '' THEN i.title ELSE coalesce({_derived("i.text")}, '{K.TITLE_FALLBACK_PREFIX}' || feed_name) END AS title,
+            CASE WHEN url LIKE 'https://www.Feeds%' THEN 'https://feeds.example.com/item/' || text_digest || '?a=1&b=2' ELSE url END AS url_normalized FROM items i) x
         JOIN (SELECT id AS tid, array_to_string(list_filter([CASE WHEN regexp_matches(h, '(^|[^\\p{{L}}\\p{{N}}_])inging') OR contains(h, 'oned the') THEN 'Ing' END,
             CASE WHEN regexp_matches(h, '(^|[^\\p{{L}}\\p{{N}}_])éau') OR contains(h, 'eau/x') THEN 'Éau' END,
             CASE WHEN contains(h, 'of the') OR contains(h, 'de la') THEN 'Of the' END,

@@ -12,6 +12,7 @@ from storyloom.functions import urls as U
 from storyloom.operators import cards
 from storyloom.plans import tables as T
 from storyloom.plans.registry import AS_OF, query
+from storyloom.session import spread
 
 c = F.col
 
@@ -416,7 +417,7 @@ def _claims(spark, d):
     claim = F.concat(F.substring_index("text", "\n", 1), F.lit(" Release "), (c("id") % 90).cast("string"), F.lit(" of Tool-"), c("id").cast("string"))
     claims = t.select("id", claim.alias("claim"), "text")
     other = t.select((c("id") - 1).alias("id"), c("text").alias("next_text"))
-    return claims.join(other, "id", "left")
+    return spread(claims.join(other, "id", "left"))
 
 
 _FACTS_SQL = f"""

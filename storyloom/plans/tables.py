@@ -23,18 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _mod(n: int) -> Column:
-    return F.col("doc_id") % n
-
-
-def _tag(n: int) -> Column:
-    return F.concat(F.lit("t"), _mod(n).cast("string"))
-
-
-def _plus_minutes(ts: Column, minutes: Column) -> Column:
-    return ts + F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"))
-
-
 def items(spark: SparkSession, sf_dir: str, labels: bool = False, clusters: bool = False, vectors: bool = False) -> DataFrame:
     """One row per document, shaped as a feed item. `clusters` adds `cluster_id` (exact copies share one), `labels`
     adds `llm_relevance`, `vectors` adds `vec`."""
@@ -58,73 +46,60 @@ def items(spark: SparkSession, sf_dir: str, labels: bool = False, clusters: bool
     return df
 
 
+_SLOT = "timestampadd(HOUR, cast(doc_id % 720 as int), TIMESTAMP_NTZ '2024-01-01 00:00:00')"
+_FETCHED = f"timestampadd(MINUTE, 10, {_SLOT})"
+
+
+def _after_fetch(minutes: str) -> str:
+    return f"timestampadd(MINUTE, cast({minutes} as int), {_FETCHED})"
+
+
+# one SQL expression per column keeps plan building cheap
+ITEM_COLUMNS = {
+    "id": "doc_id",
+    "source_type": "CASE WHEN doc_id % 11 = 0 THEN 'telegram' WHEN doc_id % 31 = 5 THEN 'manual' ELSE 'rss' END",
+    "source_id": "cast(doc_id as string)",
+    "feed_name": """CASE doc_id % 10 WHEN 3 THEN 'tw_' || source WHEN 6 THEN 'gh_stars_' || source WHEN 9 THEN 'gh_' || source
+        WHEN 8 THEN '@' || source ELSE source END""",
+    "author": "cast(NULL as string)",
+    "url": """CASE WHEN doc_id % 37 = 0 THEN NULL
+        WHEN doc_id % 10 IN (6, 9) THEN 'https://github.com/' || source || '/repo-' || doc_id || '.git'
+        ELSE 'https://www.Feeds.example.com/item/' || md5(text) || '/?utm_source=' || source || '&b=2&a=1#top' END""",
+    "title": "CASE WHEN doc_id % 5 <> 0 THEN substring(substring_index(text, '\\n', 1), 1, 60) END",
+    "text": "text",
+    "text_digest": "md5(text)",
+    "lang": "lang",
+    "category": "CASE WHEN doc_id % 3 <> 0 THEN lang END",
+    "raw_score": "(doc_id % 7) / 7.0D",
+    "insight_score": "CASE WHEN doc_id % 13 <> 0 THEN (doc_id % 9) / 9.0D END",
+    "published_at": f"CASE WHEN doc_id % 17 <> 0 THEN {_SLOT} END",
+    "fetched_at": _FETCHED,
+    "processed_at": f"CASE WHEN doc_id % 23 <> 0 THEN {_after_fetch('doc_id % 50')} END",
+    "sort_ts": f"CASE WHEN doc_id % 17 <> 0 THEN {_SLOT} ELSE {_FETCHED} END",
+    "vertical": "CASE doc_id % 4 WHEN 0 THEN 'business' WHEN 1 THEN 'it' WHEN 2 THEN 'medical' END",
+    "skip_reason": f"""CASE WHEN doc_id % 58 = 0 THEN '{K.MUTE_PREFIX}t3'
+        WHEN doc_id % 29 = 0 THEN 'низкая близость к профилям: 0.21 (ближе всего it)' END""",
+    "personal_score": "CASE WHEN doc_id % 4 <> 3 AND doc_id % 19 <> 0 THEN ((doc_id * 37) % 101) / 101.0D END",
+    "score": "((doc_id * 53) % 97) / 97.0D",
+    "tags": """CASE WHEN doc_id % 13 = doc_id % 5 THEN array(source, lang, 't' || doc_id % 13)
+        ELSE array(source, lang, 't' || doc_id % 13, 't' || doc_id % 5) END""",
+    "watch_topics": """CASE doc_id % 8 WHEN 1 THEN array('Claude') WHEN 5 THEN array('Iran', 'Природные явления')
+        ELSE cast(array() as array<string>) END""",
+    "summary": "CASE WHEN doc_id % 6 <> 0 THEN substring(text, 1, 120) END",
+    "embedding_model": "CASE WHEN doc_id % 16 = 0 THEN NULL WHEN doc_id % 15 = 0 THEN 'old' ELSE 'm1' END",
+    "embedding_version": "CASE WHEN doc_id % 14 = 0 THEN NULL WHEN doc_id % 9 = 0 THEN 0 ELSE 1 END",
+    "attempts": "CASE WHEN doc_id % 23 = 0 THEN (doc_id div 23) % 26 ELSE 0L END",
+    "retry_after": f"CASE WHEN doc_id % 2 = 0 THEN {_after_fetch('30')} END",
+    "pushed_at": f"CASE WHEN doc_id % 12 = 0 THEN {_after_fetch('20')} END",
+    "channel_posted_at": f"CASE WHEN doc_id % 18 = 0 THEN {_after_fetch('25')} END",
+    "star_posted_at": f"CASE WHEN doc_id % 33 = 0 THEN {_after_fetch('30')} END",
+    "scored_profile_version": "doc_id % 3",
+}
+
+
 def item_columns(d: DataFrame) -> DataFrame:
     """The item projection of `documents`, for batch and streaming reads alike."""
-    digest = F.md5("text")
-    base = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    slot = _plus_minutes(base, _mod(720) * 60)
-    fetched = _plus_minutes(slot, F.lit(10))
-    processed = F.when(_mod(23) != 0, _plus_minutes(fetched, _mod(50)))
-    feed = (
-        F.when(_mod(10) == 3, F.concat(F.lit("tw_"), "source"))
-        .when(_mod(10) == 6, F.concat(F.lit("gh_stars_"), "source"))
-        .when(_mod(10) == 9, F.concat(F.lit("gh_"), "source"))
-        .when(_mod(10) == 8, F.concat(F.lit("@"), "source"))
-        .otherwise(F.col("source"))
-    )
-    vertical = (
-        F.when(_mod(4) == 0, "business").when(_mod(4) == 1, "it").when(_mod(4) == 2, "medical")
-    )
-    cols = {
-        "id": F.col("doc_id"),
-        "source_type": F.when(_mod(11) == 0, "telegram").when(_mod(31) == 5, "manual").otherwise("rss"),
-        "source_id": F.col("doc_id").cast("string"),
-        "feed_name": feed,
-        "author": F.lit(None).cast("string"),
-        "url": F.when(_mod(37) == 0, None)
-        .when(
-            _mod(10).isin(6, 9),
-            F.concat(F.lit("https://github.com/"), "source", F.lit("/repo-"), F.col("doc_id").cast("string"), F.lit(".git")),
-        )
-        .otherwise(
-            F.concat(F.lit("https://www.Feeds.example.com/item/"), digest, F.lit("/?utm_source="), "source", F.lit("&b=2&a=1#top"))
-        ),
-        "title": F.when(_mod(5) != 0, F.substring(F.substring_index("text", "\n", 1), 1, 60)),
-        "text": F.col("text"),
-        "text_digest": digest,
-        "lang": F.col("lang"),
-        "category": F.when(_mod(3) != 0, F.col("lang")),
-        "raw_score": _mod(7) / 7.0,
-        "insight_score": F.when(_mod(13) != 0, _mod(9) / 9.0),
-        "published_at": F.when(_mod(17) != 0, slot),
-        "fetched_at": fetched,
-        "processed_at": processed,
-        "sort_ts": F.when(_mod(17) != 0, slot).otherwise(fetched),
-        "vertical": vertical,
-        "skip_reason": F.when(_mod(58) == 0, F.concat(F.lit(K.MUTE_PREFIX), F.lit("t3"))).when(
-            _mod(29) == 0, "низкая близость к профилям: 0.21 (ближе всего it)"
-        ),
-        "personal_score": F.when(
-            (_mod(4) != 3) & (_mod(19) != 0), ((F.col("doc_id") * 37) % 101) / 101.0
-        ),
-        "score": ((F.col("doc_id") * 53) % 97) / 97.0,
-        "tags": F.when(
-            _mod(13) == _mod(5), F.array("source", "lang", _tag(13))
-        ).otherwise(F.array("source", "lang", _tag(13), _tag(5))),
-        "watch_topics": F.when(_mod(8) == 1, F.array(F.lit("Claude")))
-        .when(_mod(8) == 5, F.array(F.lit("Iran"), F.lit("Природные явления")))
-        .otherwise(F.array().cast("array<string>")),
-        "summary": F.when(_mod(6) != 0, F.substring("text", 1, 120)),
-        "embedding_model": F.when(_mod(16) == 0, None).when(_mod(15) == 0, "old").otherwise("m1"),
-        "embedding_version": F.when(_mod(14) == 0, None).when(_mod(9) == 0, 0).otherwise(1),
-        "attempts": F.when(_mod(23) == 0, (F.col("doc_id") / 23).cast("long") % 26).otherwise(0),
-        "retry_after": F.when(_mod(2) == 0, _plus_minutes(fetched, F.lit(30))),
-        "pushed_at": F.when(_mod(12) == 0, _plus_minutes(fetched, F.lit(20))),
-        "channel_posted_at": F.when(_mod(18) == 0, _plus_minutes(fetched, F.lit(25))),
-        "star_posted_at": F.when(_mod(33) == 0, _plus_minutes(fetched, F.lit(30))),
-        "scored_profile_version": _mod(3),
-    }
-    return d.select(*[c.alias(n) for n, c in cols.items()])
+    return d.selectExpr(*[f"{e} AS {n}" for n, e in ITEM_COLUMNS.items()])
 
 
 SIGNALS = {"click": "up", "purchase": "save", "error": "down", "signup": "mute_topic", "view": "open"}

@@ -59,3 +59,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores when its input has fewer splits than that (a small or badly split file), for steps with much
+    work per row. A large table has more splits than cores and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    # a file may have fewer row groups than splits, so a margin is kept
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
