@@ -53,7 +53,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low2 = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low2, "u")
@@ -77,7 +77,7 @@ def merge_clusters(assigned: DataFrame, neighbours: DataFrame) -> DataFrame:
 
     `assigned(id, cluster_id)` comes from the URL step, `neighbours(id, neighbour_id)` from the vector step. Links are
     drawn between clusters, not items, so copies of one story do not multiply the edges."""
-    side = assigned.select("id", "cluster_id")
+    side = materialize(assigned.select("id", "cluster_id"), "assigned")  # read three times below
     links = (
         neighbours.select("id", "neighbour_id")
         .join(side, "id")

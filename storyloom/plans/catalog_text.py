@@ -225,7 +225,7 @@ def _without_sql(html: str) -> str:
           FROM (SELECT page_id, {_without_sql('html')} AS h FROM pages))""",
 )
 def b16(spark, d):
-    return T.table(spark, d, "pages").select("page_id", P.page_text(c("html")).alias("body"))
+    return spread(T.table(spark, d, "pages")).select("page_id", P.page_text(c("html")).alias("body"))
 
 
 def _tagged_pages(spark, d):
