@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import simhash, toxicity
+from storyloom.llm import decontaminate, packing, pii, simhash, toxicity
 from storyloom.llm.common import table
 from storyloom.session import materialize
 
@@ -25,16 +25,45 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id; of repeated rows of that id, the first by content."""
+    """One document of each group of near copies: the one with the smallest id; of repeated rows of that id, the first by content.
+    Rows without an id cannot stand for a group or be named by one; they stay."""
     docs = docs.select(*COLUMNS)
-    groups = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    once = docs.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")).select("doc_id", "row.*")
-    return once.join(groups, "doc_id")
+    named = docs.filter("doc_id is not null")
+    first = simhash.near_duplicates(named).filter("doc_id = component_id").select("doc_id").distinct()
+    once = named.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")).select("doc_id", "row.*")
+    return once.join(first, "doc_id").unionByName(docs.filter("doc_id is null"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no copy, whole or edited, of a benchmark item. Every row of a leaking id goes."""
+    docs = docs.select(*COLUMNS)
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).select("doc_id").distinct()
+    return docs.join(leaks, docs.doc_id.eqNullSafe(leaks.doc_id), "left_anti")
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with personal data replaced by its kind; n_chars is that of the new text. A null text stays null."""
+    docs = docs.select(*COLUMNS)
+    spans = pii.personal_data(docs).filter("size(base) + size(added) > 0").select(
+        F.col("doc_id").alias("id"), "text_key", F.concat("base", "added").alias("spans")).distinct()
+    joined = docs.join(spans, docs.doc_id.eqNullSafe(spans.id) & (F.xxhash64("text") == spans.text_key), "left")
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(pii.masked(F.col("text"), F.col("spans")))
+    return joined.select("doc_id", text.alias("text"), "lang", "source", "n_chars").withColumn(
+        "n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document: its place in the packed sequences and the checksum of its ids."""
+    packed = packing.pack(docs, packing.vocabulary(), payload="crc32")
+    return packed.select("doc_id", "start", "length", F.col("payload").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 STAGES = [
     ("toxicity", drop_toxic),
     ("near_duplicates", one_of_each_group),
+    ("decontamination", drop_leaks),
+    ("personal_data", mask_personal_data),
+    ("packing", pack_sequences),
 ]
 
 ORACLE_SQL = None  # a fitted field, a trie join, alignments and packing are not expressible; tests hold the stages against brute force
