@@ -29,7 +29,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows without an id cannot stand for a group or be named by one; they stay."""
     docs = docs.select(*COLUMNS)
     named = docs.filter("doc_id is not null")
-    first = simhash.near_duplicates(named).filter("doc_id = component_id").select("doc_id").distinct()
+    first = simhash.near_copies(named).filter("doc_id = component_id").select("doc_id").distinct()
     once = named.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")).select("doc_id", "row.*")
     return once.join(first, "doc_id").unionByName(docs.filter("doc_id is null"))
 

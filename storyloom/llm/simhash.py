@@ -103,12 +103,12 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def choices(budget: int, count: int, block: int) -> list[list[tuple[int, int]]]:
+def choices(budget: int, count: int, block: int, bits: int = BITS) -> list[list[tuple[int, int]]]:
     """Orders of the bands, as (lowest bit, width), with the bands that must agree first: one order per choice of them. There is
     one band more than the budget, or as many more as make the agreeing bits enough to cut `count` into subtrees of a block."""
     for extra in range(1, 5):
         n = budget + extra
-        edges = [round(k * BITS / n) for k in range(n + 1)]
+        edges = [round(k * bits / n) for k in range(n + 1)]
         parts = [(a, b - a) for a, b in zip(edges, edges[1:])]
         if count <= block << min(sum(w for _, w in c) for c in combinations(parts, extra)):
             break
@@ -119,16 +119,16 @@ def _lead(order: list[tuple[int, int]], budget: int) -> list[tuple[int, int]]:
     return order[: len(order) - budget]
 
 
-def reordered(fp: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+def reordered(fp: np.ndarray, order: list[tuple[int, int]], bits: int = BITS) -> np.ndarray:
     """The fingerprints with their bands in the given order, the first on top."""
-    out, at = np.zeros(len(fp), dtype=np.uint64), BITS
+    out, at = np.zeros(len(fp), dtype=np.uint64), bits
     for low, width in order:
         at -= width
         out |= ((fp >> np.uint64(low)) & np.uint64((1 << width) - 1)) << np.uint64(at)
     return out
 
 
-def trie_links(left: np.ndarray, right: np.ndarray | None, budget: int, equal: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(left: np.ndarray, right: np.ndarray | None, budget: int, equal: int = 0, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of fingerprints that differ in at most `budget` bits, between two sorted arrays or within one; the
     first `equal` bits must agree.
 
@@ -140,14 +140,14 @@ def trie_links(left: np.ndarray, right: np.ndarray | None, budget: int, equal: i
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     pairs = np.array([[0, len(left), 0, len(right), 0]], dtype=np.int64)
     found_i, found_j = [], []
-    for depth in range(BITS):
+    for depth in range(bits):
         area = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])
         small = (area <= LEAF) & (depth >= equal)
         _compare(left, right, pairs[small], budget, found_i, found_j)
         pairs = pairs[~small]
         if not len(pairs):
             break
-        bit = np.uint64(BITS - 1 - depth)
+        bit = np.uint64(bits - 1 - depth)
         mid_l, mid_r = _middles(left, pairs[:, 0], pairs[:, 1], bit), _middles(right, pairs[:, 2], pairs[:, 3], bit)
         lo_l, hi_l = np.stack([pairs[:, 0], mid_l]), np.stack([mid_l, pairs[:, 1]])
         lo_r, hi_r = np.stack([pairs[:, 2], mid_r]), np.stack([mid_r, pairs[:, 3]])
@@ -204,57 +204,106 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(x, root(x)) for x in parent if root(x) != x]
 
 
-def _join_blocks(orders: list, budget: int):
+def _join_blocks(orders: list, budget: int, bits: int, checks: list[str], allowed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        order, x, y = orders[key[0]], key[2], key[3]
+        order, x, y = orders[key[1]], key[3], key[4]
         equal = sum(w for _, w in _lead(order, budget))
-        fp, block = rows["fp"].to_numpy().view(np.uint64), rows["block"].to_numpy()
-        moved = reordered(fp, order)
+        moved = reordered(rows["fp"].to_numpy().view(np.uint64), order, bits)
         sort = np.argsort(moved)
-        fp, moved, block = fp[sort].view(np.int64), moved[sort], block[sort]
-        if x == y:
-            i, j = trie_links(moved, None, budget, equal)
-            links = forest(fp[i], fp[j])
-        else:
-            i, j = trie_links(moved[block == x], moved[block == y], budget, equal)
-            links = forest(fp[block == x][i], fp[block == y][j])
-        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+        moved, ids, block = moved[sort], rows["id"].to_numpy()[sort], rows["block"].to_numpy()[sort]
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        i, j = trie_links(moved[left], None if x == y else moved[right], budget, equal, bits)
+        i, j = left[i], right[j]
+        if checks:
+            wide = [rows[c].to_numpy().view(np.uint64)[sort] for c in checks]
+            near = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in wide) <= allowed
+            i, j = i[near], j[near]
+        return pd.DataFrame(forest(ids[i], ids[j]), columns=["u", "v"], dtype="int64")
 
     return run
 
 
-def hamming_links(prints: DataFrame, budget: int, count: int, block: int = BLOCK) -> DataFrame:
-    """(u, v): links that connect all distinct fingerprints of `prints(fp)`, `count` rows, that differ in at most `budget` bits."""
-    orders = choices(budget, count, block)
+def hamming_links(prints: DataFrame, columns: list[str], budget: int, count: int, bits: int = BITS, checks: tuple = (), allowed: int = 0,
+                  block: int = BLOCK) -> DataFrame:
+    """(u, v): links between ids that connect all rows of `prints(id, ...)`, `count` of them, that differ in at most `budget` of the
+    `bits` low bits of one of `columns`, and over all `checks` together in at most `allowed` bits."""
+    orders = choices(budget, count, block, bits)
     wanted = max(0, (2 * count // block).bit_length())
     keys = []
-    for k, order in enumerate(orders):
-        value, width = F.lit(0).cast("long"), 0
-        for low, w in _lead(order, budget):
-            value = F.shiftleft(value, w).bitwiseOR(F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << w) - 1)))
-            width += w
-        keys.append(F.struct(F.lit(k).alias("choice"), F.shiftright(value, max(0, width - wanted)).alias("top")))
-    keyed = prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.choice", "k.top")
-    sizes = keyed.groupBy("choice", "top").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("n"))
-    mine = keyed.join(sizes, ["choice", "top"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("n")))
-    # a fingerprint of block b goes to every pair of blocks that b is in; a single block needs itself only
-    pairs = mine.select("choice", "top", "fp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other")).select(
-        "choice", "top", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "fp", "block")
-    return pairs.groupBy("choice", "top", "x", "y").applyInPandas(_join_blocks(orders, budget), "u long, v long").distinct()
+    for c in columns:
+        for k, order in enumerate(orders):
+            value, width = F.lit(0).cast("long"), 0
+            for low, w in _lead(order, budget):
+                value = F.shiftleft(value, w).bitwiseOR(F.shiftrightunsigned(c, low).bitwiseAND(F.lit((1 << w) - 1)))
+                width += w
+            keys.append(F.struct(F.lit(c).alias("print"), F.lit(k).alias("choice"), F.shiftright(value, max(0, width - wanted)).alias("top"), F.col(c).alias("fp")))
+    group = ["print", "choice", "top"]
+    keyed = prints.select("id", *checks, F.explode(F.array(*keys)).alias("k")).select("id", *checks, "k.*")
+    sizes = keyed.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("n"))
+    mine = keyed.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")))
+    # a row of block b goes to every pair of blocks that b is in; a single block needs itself only
+    pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select(
+        *group, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "fp", "block", *checks)
+    run = _join_blocks(orders, budget, bits, list(checks), allowed)
+    return pairs.groupBy(*group, "x", "y").applyInPandas(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, budget: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id reachable by links, itself included. The defaults, five words and four of
-    64 bits, stand for a similarity of about 0.8 or more."""
+    """(doc_id, fp, component_id): documents whose 64-bit fingerprints link; the smallest doc_id reachable, itself included."""
     prints = materialize(fingerprints(with_text(docs), size), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    comp = connected_components(hamming_links(distinct.select("fp"), budget, distinct.count()))
-    whole = distinct.join(comp.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    links = hamming_links(distinct.select(F.col("fp").alias("id"), "fp"), ["fp"], budget, distinct.count())
+    whole = distinct.join(connected_components(links).withColumnRenamed("id", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     smallest = whole.groupBy("component").agg(F.min("first").alias("component_id"))
     roots = whole.join(smallest, "component").select("fp", "component_id")
     return prints.join(roots, "fp").select("doc_id", "fp", "component_id")
 
 
+def _distinct(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each slice: similarity is one of sets, so repeated lines weigh once."""
+    parts = [np.unique(hashes[a:b]) for a, b in zip(offsets, offsets[1:])]
+    return np.concatenate([*parts, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+
+FAMILIES, CHECKS = 6, 3  # 64-bit fingerprints of a text; those that confirm a link
+HALF, HALF_BUDGET = 32, 3
+
+
+def allowed_bits(similarity: float, bits: int) -> int:
+    """How many of `bits` bits two sets of equal size with this Jaccard similarity may differ in, two deviations above the mean."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + 2 * np.sqrt(bits * p * (1 - p)))
+
+
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) by similarity: about 15 % of the bits of two texts with a Jaccard similarity of 0.8 differ, too many
+    for one trie with a small budget. So a text gets six fingerprints of 64 bits, and texts meet where any of the twelve halves differs in
+    at most three bits (97 % of the pairs at 0.8, more above); a link is confirmed by all bits of three fingerprints together."""
+    words = [f"w{k}" for k in range(FAMILIES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, offsets = _distinct(*shingle_hashes(batch.column("text"), size))
+            prints = []
+            for k in range(FAMILIES):
+                x = h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                prints.append(pa.array(fold_bits(x ^ (x >> np.uint64(31)), offsets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *prints], names=["doc_id", *words])
+
+    schema = "doc_id long, " + ", ".join(f"{w} long" for w in words)
+    prints = materialize(with_text(docs).select("doc_id", "text").mapInArrow(run, schema), "simhash")
+    classes = materialize(prints.groupBy(*words).agg(F.min("doc_id").alias("id")).filter("id is not null"), "prints")
+    halves = [F.shiftrightunsigned(w, low).bitwiseAND(F.lit((1 << HALF) - 1)).alias(f"{w}_{low}") for w in words for low in (0, HALF)]
+    columns = [f"{w}_{low}" for w in words for low in (0, HALF)]
+    links = hamming_links(classes.select("id", *halves, *words[:CHECKS]), columns, HALF_BUDGET, classes.count(), HALF,
+                          tuple(words[:CHECKS]), allowed_bits(similarity, BITS * CHECKS))
+    comp = connected_components(links)
+    roots = classes.join(comp, "id", "left").select(*words, F.coalesce("component", "id").alias("component_id"))
+    return prints.join(roots, words).select("doc_id", "component_id")
+
+
 @query("op6_simhash")
 def op6_simhash(spark, sf_dir):
     out = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), size=4, budget=4)
