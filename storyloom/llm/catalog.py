@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from storyloom.llm import decontaminate, packing, pii, simhash, toxicity  # noqa: F401
+from storyloom.llm import chat, decontaminate, embeddings, neural_lm, packing, pii, quality, simhash, toxicity, urls  # noqa: F401
 from storyloom.llm import registry
 
 
