@@ -153,7 +153,22 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK) -
     return joined.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_component", "vec_id").alias("component_id"))
 
 
-@query("op1_near_vectors")
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(id, other) AS (SELECT a, b FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
+  least(e.vec_id, coalesce((SELECT min(other) FROM reach r WHERE r.id = e.vec_id), e.vec_id)) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce((SELECT min(other) FROM reach r WHERE r.id = e.vec_id), e.vec_id)) AS kept
+FROM embeddings e"""
+
+
+@query("op1_near_vectors", SQL)
 def op1_near_vectors(spark, sf_dir):
     found = near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), cosine=0.95)
     return found.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -1,7 +1,8 @@
 """Packing token sequences by minimum bin slack.
 
 Every document becomes the ids of its whole text and an end id. Whole windows are cut off the front and are sequences of their
-own; what remains is shorter than a window. Only the number of remainders of each length is needed to plan: the table of counts
+own; what remains is shorter than a window, and is cut again at half a window, since pieces of more than half a window leave gaps
+that nothing may fit. Only the number of remainders of each length is needed to plan: the table of counts
 has at most `window - 1` entries, however many documents there are. For the longest length that is left, a subset-sum dynamic
 program over reachable totals, held as the bits of one integer and bounded by the counts, finds the multiset of lengths that
 fills the rest of the window closest to capacity; the multiset is read back from the bit sets and used as often as the counts
@@ -121,10 +122,12 @@ def cut(docs: DataFrame, path: str, window: int, payload: str) -> DataFrame:
             n = np.diff(bounds) + 1  # with the end id
             ids = np.insert(ids, bounds[1:], END_ID)
             base = np.cumsum(n) - n
-            pieces = -(-n // window)
+            full, rest, half = n // window, n % window, window // 2
+            pieces = full + (rest > 0) + (rest > half)
             doc = np.repeat(np.arange(len(n)), pieces)
-            start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
-            length = np.minimum(window, n[doc] - start)
+            k = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = np.minimum(k, full[doc]) * window + np.where(k > full[doc], half, 0)
+            length = np.where(k < full[doc], window, np.where(k == full[doc], np.where(rest[doc] > half, half, rest[doc]), rest[doc] - half))
             at = base[doc] + start
             if payload == "ids":
                 carried = pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids.astype(np.int32)))

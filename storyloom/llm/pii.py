@@ -41,7 +41,7 @@ CANDIDATES = {
     "phone": r"(?<![^\s])\(?[0-9][0-9().-]*+(?:\x20[0-9(][0-9().-]*+)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){3,7}+[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
 }
-BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
 def _digits(s: Column) -> Column:
