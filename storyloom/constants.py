@@ -22,6 +22,7 @@ REFINE_EVERY = 10
 MAX_PUSH_PER_HOUR = 8
 QUIET_HOURS = "0-8"
 STAR_VERTICAL = "it"
+DEFAULT_INTERVAL_SECONDS = 300
 INGEST_AGE_FACTOR = 1.5
 INGEST_MIN_WINDOW_HOURS = 24.0
 RRF_K = 60

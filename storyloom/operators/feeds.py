@@ -92,7 +92,7 @@ def collapse(df: DataFrame, order: list[Column], by: tuple = ()) -> DataFrame:
 
 
 def encode_cursor(ts: Column, id_: Column) -> Column:
-    raw = F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("|"), id_.cast("string"))
+    raw = F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("|"), id_.cast("string"))
     return F.translate(F.base64(raw.cast("binary")), "+/", "-_")
 
 

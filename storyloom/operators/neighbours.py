@@ -25,7 +25,7 @@ from storyloom.session import materialize
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 128
 RING_RADIANS = math.radians(6)
-MAX_SHIPPED_QUERIES = 4096
+QUERY_BLOCK = 4096
 
 
 def _matrix(col) -> np.ndarray:
@@ -206,9 +206,8 @@ def neighbours(vectors: DataFrame, min_cos: float, k: int = 5, block_rows: int =
 def search(queries: DataFrame, vectors: DataFrame, k: int, min_cos: float, exclude_self: bool = False) -> DataFrame:
     """(query_id, id, cos, rank): top k of `vectors(id, vec)` for each of `queries(query_id, query_vec)`, rank from 0.
 
-    Up to MAX_SHIPPED_QUERIES queries travel to the tasks as one matrix and the vectors are read once without a
-    shuffle; each batch keeps its best k per query. More queries than that are cut into blocks which meet blocks of
-    vectors in bounded groups."""
+    Queries travel to the tasks in blocks of about QUERY_BLOCK, each as one matrix of bounded size; for each block the
+    vectors are read once without a shuffle, and each batch keeps its best k per query."""
     q = queries.filter(F.col("query_vec").isNotNull()).select(
         F.col("query_id").cast("long").alias("query_id"), F.col("query_vec").cast("array<float>").alias("query_vec")
     )
@@ -222,39 +221,20 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, min_cos: float, exclu
         r, c = _best(cos, ids, k, min_cos)
         return pa.table({"query_id": q_ids[r], "id": ids[c], "cos": cos[r, c]})
 
-    probe = q.limit(MAX_SHIPPED_QUERIES + 1).collect()
-    if len(probe) <= MAX_SHIPPED_QUERIES:
-        if not probe:
-            found = queries.sparkSession.createDataFrame([], schema)
-        else:
-            q_ids = np.array([r.query_id for r in probe], dtype=np.int64)
-            q_unit = _unit(np.array([r.query_vec for r in probe], dtype=np.float64))
-
-            def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    if b.num_rows:
-                        yield from top(q_ids, q_unit, b.column("id").to_numpy(), _matrix(b.column("vec"))).to_batches()
-
-            found = v.mapInArrow(scan, schema)
-    else:
-        q_blocks = math.ceil(q.count() / MAX_SHIPPED_QUERIES)
-        v_blocks = max(1, math.ceil(v.count() / BLOCK_ROWS))
-        cut_v = v.select(
-            "id", "vec", F.pmod(F.xxhash64("id"), F.lit(v_blocks)).alias("vb"),
-            F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), F.lit(0).alias("side"),
-        )
-        cut_q = q.select(
-            F.col("query_id").alias("id"), F.col("query_vec").alias("vec"),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long"))).alias("vb"),
-            F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("qb"), F.lit(1).alias("side"),
-        )
-
-        def meet(t: pa.Table) -> pa.Table:
-            side = t.column("side").to_numpy()
-            ids, m = t.column("id").to_numpy(), _matrix(t.column("vec"))
-            is_q = side == 1
-            return top(ids[is_q], _unit(m[is_q]), ids[~is_q], m[~is_q])
-
-        found = cut_v.unionByName(cut_q).groupBy("vb", "qb").applyInArrow(meet, schema)
+    blocks = math.ceil(q.count() / QUERY_BLOCK)
+    found = queries.sparkSession.createDataFrame([], schema)
+    for block in range(blocks):
+        rows = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+        if not rows:
+            continue
+        q_ids = np.array([r.query_id for r in rows], dtype=np.int64)
+        q_unit = _unit(np.array([r.query_vec for r in rows], dtype=np.float64))
+
+        def scan(batches: Iterator[pa.RecordBatch], q_ids=q_ids, q_unit=q_unit) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield from top(q_ids, q_unit, b.column("id").to_numpy(), _matrix(b.column("vec"))).to_batches()
+
+        found = found.unionByName(v.mapInArrow(scan, schema))
     best = Window.partitionBy("query_id").orderBy(F.desc("cos"), "id")
     return found.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom import constants as K
@@ -63,16 +63,23 @@ def with_source_component(items: DataFrame, affinity: DataFrame) -> DataFrame:
 
 def with_taste_component(items: DataFrame, taste: DataFrame) -> DataFrame:
     """Cosine of the item and its area's taste vector; 0 without a vector or without likes."""
-    t = taste.select("vertical", "n_liked", F.col("vec").alias("taste_vec"))
-    usable = (F.coalesce("n_liked", F.lit(0)) > 0) & F.col("vec").isNotNull()
+    mine = F.try_element_at(F.col("_taste"), F.col("vertical"))
+    usable = (F.coalesce(mine["n_liked"], F.lit(0)) > 0) & F.col("vec").isNotNull()
     return (
-        items.join(t, "vertical", "left")
-        .withColumn("taste_cos", F.when(usable, S.cosine(F.col("vec"), F.col("taste_vec"))).otherwise(0.0))
-        .withColumn("n_liked", F.coalesce("n_liked", F.lit(0)))
-        .drop("taste_vec")
+        items.withColumn("_taste", by_area(taste, "n_liked", "vec"))
+        .withColumn("taste_cos", F.when(usable, S.cosine(F.col("vec"), mine["vec"])).otherwise(0.0))
+        .withColumn("n_liked", F.coalesce(mine["n_liked"], F.lit(0)))
+        .drop("_taste")
     )
 
 
+def by_area(table: DataFrame, *columns: str) -> Column:
+    """The rows of a table with one row per topic area as one map, in a scalar subquery: the few areas are looked up in
+    place, and items are not shuffled on a key of so few values."""
+    entry = F.struct("vertical", F.struct(*columns).alias("row"))
+    return table.filter(F.col("vertical").isNotNull()).groupBy().agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
+
+
 def muted_by(items: DataFrame, muted: DataFrame) -> DataFrame:
     """(id, muted_tag): the first of the item's tags, in item order, that its area mutes."""
     tags = items.filter(F.col("vertical").isNotNull()).select("id", "vertical", F.posexplode("tags").alias("pos", "tag"))
@@ -188,6 +195,13 @@ def with_cluster_sent(items: DataFrame, field: str) -> DataFrame:
     return joined.withColumn("cluster_sent", F.coalesce(other, F.lit(False))).drop("_key", "n_sent", "sent_id")
 
 
+def first_of_story(items: DataFrame, at: str = "processed_at") -> DataFrame:
+    """Items are looked at as they are processed and marked when sent, so of the eligible members of one cluster only the
+    first goes out. The leading row per cluster is kept on the map side."""
+    w = Window.partitionBy(F.col("cluster_id").isNull(), F.coalesce("cluster_id", "id")).orderBy(F.col(at).asc_nulls_last(), "id")
+    return items.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
 def push_candidates(
     items: DataFrame, scope=(), threshold: float = K.PUSH_THRESHOLD, tweet_threshold: float = K.TWEET_PUSH_THRESHOLD,
     quiet: str = K.QUIET_HOURS, at: str = "processed_at",
@@ -200,7 +214,7 @@ def push_candidates(
     )
     if scope:
         ok = ok & F.coalesce("vertical", F.lit("")).isin(*scope)
-    return with_cluster_sent(items, "pushed_at").filter(ok & ~F.col("cluster_sent"))
+    return first_of_story(with_cluster_sent(items, "pushed_at").filter(ok & ~F.col("cluster_sent")), at)
 
 
 def channel_candidates(items: DataFrame, scope=(), min_score: float = K.CHANNEL_MIN_SCORE) -> DataFrame:
@@ -210,7 +224,7 @@ def channel_candidates(items: DataFrame, scope=(), min_score: float = K.CHANNEL_
     )
     if scope:
         ok = ok & F.coalesce("vertical", F.lit("")).isin(*scope)
-    return with_cluster_sent(items, "channel_posted_at").filter(ok & ~F.col("cluster_sent"))
+    return first_of_story(with_cluster_sent(items, "channel_posted_at").filter(ok & ~F.col("cluster_sent")))
 
 
 def star_candidates(actions: DataFrame, items: DataFrame, vertical: str = K.STAR_VERTICAL) -> DataFrame:
@@ -223,6 +237,7 @@ def star_candidates(actions: DataFrame, items: DataFrame, vertical: str = K.STAR
 
 def to_judge(items: DataFrame, active: DataFrame) -> DataFrame:
     """Items a relevance judge must look at: in an area with a profile, and not yet scored against its version."""
-    v = active.select("vertical", F.col("version").alias("active_version"))
+    version = F.try_element_at(F.col("_active"), F.col("vertical"))["version"]
+    known = items.withColumn("_active", by_area(active, "version")).withColumn("active_version", version).drop("_active")
     stale = F.col("llm_relevance").isNull() | ~F.col("scored_profile_version").eqNullSafe(F.col("active_version"))
-    return items.join(v, "vertical").filter(stale)
+    return known.filter(F.col("active_version").isNotNull() & stale)

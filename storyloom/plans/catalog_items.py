@@ -97,6 +97,8 @@ def c5(spark, d):
     return scoring.apply_mutes(T.items(spark, d), _muted(spark, d)).select("id", "skip_reason")
 
 
+# a story goes out once: the first of its eligible members to be processed marks it as sent
+_FIRST_SQL = "QUALIFY row_number() OVER (PARTITION BY cluster_id IS NULL, coalesce(cluster_id, id) ORDER BY processed_at NULLS LAST, id) = 1"
 _SENT_SQL = "EXISTS (SELECT 1 FROM items o WHERE o.cluster_id = i.cluster_id AND o.id <> i.id AND o.{f} IS NOT NULL)"
 
 
@@ -104,7 +106,7 @@ _SENT_SQL = "EXISTS (SELECT 1 FROM items o WHERE o.cluster_id = i.cluster_id AND
     "c6_push_candidates",
     f"""SELECT id FROM items i WHERE personal_score IS NOT NULL AND pushed_at IS NULL AND vertical IN ('it', 'medical')
         AND personal_score >= CASE WHEN starts_with(feed_name, 'tw_') THEN 0.50 ELSE 0.55 END AND processed_at IS NOT NULL
-        AND NOT (hour(processed_at) >= 22 OR hour(processed_at) < 7) AND NOT {_SENT_SQL.format(f='pushed_at')}""",
+        AND NOT (hour(processed_at) >= 22 OR hour(processed_at) < 7) AND NOT {_SENT_SQL.format(f='pushed_at')} {_FIRST_SQL}""",
 )
 def c6(spark, d):
     return scoring.push_candidates(T.items(spark, d, clusters=True), ("it", "medical"), quiet="22-7").select("id")
@@ -113,7 +115,7 @@ def c6(spark, d):
 @query(
     "c7_channel_candidates",
     f"""SELECT id FROM items i WHERE personal_score >= 0.60 AND channel_posted_at IS NULL AND source_type <> 'manual'
-        AND NOT {_SENT_SQL.format(f='channel_posted_at')}""",
+        AND NOT {_SENT_SQL.format(f='channel_posted_at')} {_FIRST_SQL}""",
 )
 def c7(spark, d):
     return scoring.channel_candidates(T.items(spark, d, clusters=True)).select("id")
@@ -724,7 +726,7 @@ _CURSOR_TS, _CURSOR_ID = "2024-01-10T05:00:00", 220
 
 @query(
     "g2_keyset_page",
-    f"""SELECT id, rank, CASE WHEN rank = 50 AND more THEN replace(replace(to_base64(encode(strftime(sort_ts, '%Y-%m-%dT%H:%M:%S') || '|' || id::VARCHAR)), '+', '-'), '/', '_') END AS next_cursor
+    f"""SELECT id, rank, CASE WHEN rank = 50 AND more THEN replace(replace(to_base64(encode(strftime(sort_ts, '%Y-%m-%dT%H:%M:%S.%f') || '|' || id::VARCHAR)), '+', '-'), '/', '_') END AS next_cursor
         FROM (SELECT *, row_number() OVER (ORDER BY sort_ts DESC, id DESC) AS rank, lead(id) OVER (ORDER BY sort_ts DESC, id DESC) IS NOT NULL AS more
           FROM (SELECT *, {_COLLAPSE.format(by='', order='sort_ts DESC, id DESC')} AS first FROM visible
             WHERE sort_ts < TIMESTAMP '{_CURSOR_TS}' OR (sort_ts = TIMESTAMP '{_CURSOR_TS}' AND id < {_CURSOR_ID})) WHERE first) WHERE rank <= 50""",

@@ -44,21 +44,36 @@ def a1(spark, d):
 
 
 _FEED_STATE = """SELECT feed_name, CASE WHEN starts_with(feed_name, 'tw_') THEN NULL WHEN starts_with(feed_name, 'gh_') THEN NULL ELSE TIMESTAMP '2024-01-20 00:00:00' END AS cur,
-  (len(feed_name) % 5 + 1) * 345600 AS interval_s FROM items GROUP BY feed_name"""
+  (len(feed_name) % 5 + 1) * 345600 AS interval_s FROM items WHERE NOT starts_with(feed_name, '@') GROUP BY feed_name"""
 
 
 @query(
     "a2_incremental_cutoff",
-    f"""SELECT i.id FROM items i JOIN ({_FEED_STATE}) f USING (feed_name)
-        WHERE published_at IS NULL OR published_at > greatest(cur, {AS_OF} - to_seconds(greatest(interval_s * 1.5, 86400)))""",
+    f"""SELECT i.id FROM items i LEFT JOIN ({_FEED_STATE}) f USING (feed_name)
+        WHERE published_at IS NULL OR published_at > greatest(cur, {AS_OF} - to_seconds(greatest(coalesce(interval_s, {K.DEFAULT_INTERVAL_SECONDS}) * 1.5, 86400)))""",
 )
 def a2(spark, d):
+    i, state, now = _polled(spark, d)
+    return feeds.since_cutoff(i, state, now).select("id")
+
+
+@query(
+    "a2_new_cursors",
+    f"""SELECT feed_name, greatest(max(greatest(cur, {AS_OF} - to_seconds(greatest(coalesce(interval_s, {K.DEFAULT_INTERVAL_SECONDS}) * 1.5, 86400)))), max(published_at)) AS new_cursor
+        FROM items i LEFT JOIN ({_FEED_STATE}) f USING (feed_name) GROUP BY feed_name""",
+)
+def a2_cursors(spark, d):
+    return feeds.new_cursors(*_polled(spark, d)).select("feed_name", _ntz("new_cursor"))
+
+
+def _polled(spark, d):
+    """Entries, the state of the feeds polled before (feeds of messages are new), and the time of the poll."""
     i = T.items(spark, d).withColumn("published_at", c("published_at").cast("timestamp"))
     cursor = F.when(c("feed_name").startswith("tw_"), "not a date").when(c("feed_name").startswith("gh_"), None).otherwise("2024-01-20T00:00:00")
-    state = i.groupBy("feed_name").agg(F.count("*").alias("_n")).select(
+    state = i.filter(~c("feed_name").startswith("@")).groupBy("feed_name").agg(F.count("*").alias("_n")).select(
         "feed_name", cursor.alias("cursor"), ((F.length("feed_name") % 5 + 1) * 345600).alias("interval_s")
     )
-    return feeds.since_cutoff(i, state, F.lit(T.AS_OF_TEXT).cast("timestamp")).select("id")
+    return i, state, F.lit(T.AS_OF_TEXT).cast("timestamp")
 
 
 def _api_entries(spark, d):
@@ -215,10 +230,10 @@ def a11(spark, d):
 
 @query(
     "a12_json_feed_items",
-    """SELECT id, json_merge_patch('{}', json_object('id', id::VARCHAR, 'url', url, 'title', title, 'date_published', strftime(published_at, '%Y-%m-%dT%H:%M:%S+00:00'), 'tags', tags))::VARCHAR AS entry FROM visible""",
+    """SELECT id, json_merge_patch('{}', json_object('id', id::VARCHAR, 'url', url, 'title', title, 'content_text', text, 'date_published', strftime(published_at, '%Y-%m-%dT%H:%M:%S+00:00'), 'tags', tags))::VARCHAR AS entry FROM visible""",
 )
 def a12(spark, d):
-    page = T.items(spark, d).filter(R.VISIBLE).withColumn("text", F.lit(None).cast("string"))
+    page = T.items(spark, d).filter(R.VISIBLE)
     page = page.withColumn("rank", F.lit(0)).withColumn("next_cursor", F.lit(None).cast("string"))
     return exports.json_items(page).select("id", "entry")
 
@@ -287,11 +302,12 @@ def j1(spark, d):
     return _enriched(spark, d).select("id", "title", "url_normalized", F.array_join("watch_topics", ",").alias("watch_topics"), F.md5("summary").alias("summary_digest"), "answer")
 
 
-@query("j2_dedup_ingest", "SELECT DISTINCT source_type, source_id FROM items WHERE published_at IS NOT NULL")
+@query("j2_dedup_ingest", "SELECT DISTINCT source_type, source_id FROM items")
 def j2(spark, d):
-    items = T.item_columns(_stream(spark, d, "documents")).filter("published_at is not null")
-    twice = items.select("source_type", "source_id", c("published_at").cast("timestamp").alias("ts")).unionByName(
-        items.select("source_type", "source_id", (c("published_at").cast("timestamp") + F.expr("INTERVAL 1 MINUTE")).alias("ts"))
+    """Every item arrives twice; the time of an undated one is that of its arrival."""
+    items = T.item_columns(_stream(spark, d, "documents"))
+    twice = items.select("source_type", "source_id", c("sort_ts").cast("timestamp").alias("ts")).unionByName(
+        items.select("source_type", "source_id", (c("sort_ts").cast("timestamp") + F.expr("INTERVAL 1 MINUTE")).alias("ts"))
     )
     return _finished(spark, flow.deduplicated(twice, "ts"), "deduplicated").select("source_type", "source_id")
 
@@ -324,11 +340,18 @@ def j5(spark, d):
     return out.read().select("id", "cluster_id")
 
 
-@query("j6_rate_limited")
+@query(
+    "j6_rate_limited",
+    f"""WITH RECURSIVE c AS (SELECT user_id, ts, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM clicks),
+        w AS (SELECT user_id, ts, id, n, true AS sent, [ts] AS past FROM c WHERE n = 1
+          UNION ALL SELECT user_id, ts, id, n, ok, CASE WHEN ok THEN list_append(past, ts) ELSE past END FROM (
+            SELECT c.user_id, c.ts, c.id, c.n, w.past, len(w.past) < {K.MAX_PUSH_PER_HOUR} OR w.past[-{K.MAX_PUSH_PER_HOUR}] < c.ts - INTERVAL 1 HOUR AS ok
+            FROM w JOIN c ON c.user_id = w.user_id AND c.n = w.n + 1))
+        SELECT user_id, ts, id FROM w WHERE sent""",
+)
 def j6(spark, d):
     """Every click is a wish to push to its user; at most eight an hour go out."""
-    clicks = T.feedback_events(spark, d).select((c("user_id") % 20).alias("user_id"), "ts", c("event_id").alias("id"))
-    return limiter.limited(clicks, cap=3)
+    return limiter.limited(T.feedback_events(spark, d).select("user_id", "ts", c("event_id").alias("id")))
 
 
 @query(
@@ -347,14 +370,13 @@ def j8(spark, d):
 
 @query(
     "j11_daily_tag_windows",
-    """WITH v AS (SELECT published_at, unnest(tags) AS tag, personal_score FROM visible WHERE published_at IS NOT NULL)
-       SELECT date_trunc('day', published_at)::TIMESTAMP AS day, tag, count(*) AS n, round(avg(personal_score), 6) AS avg_score FROM v
-       WHERE date_trunc('day', published_at) + INTERVAL 1 DAY <= (SELECT max(published_at) FROM v) - INTERVAL 2 DAY GROUP BY 1, 2""",
+    """SELECT date_trunc('day', sort_ts)::TIMESTAMP AS day, tag, count(*) AS n, round(avg(personal_score), 6) AS avg_score
+       FROM (SELECT sort_ts, unnest(tags) AS tag, personal_score FROM visible) GROUP BY 1, 2""",
 )
 def j11(spark, d):
-    items = T.item_columns(_stream(spark, d, "documents")).filter(R.VISIBLE).filter("published_at is not null")
-    rows = items.select(c("published_at").cast("timestamp").alias("published_at"), "tags", "personal_score")
-    done = _finished(spark, flow.daily_tag_counts(rows), "windows")
+    items = T.item_columns(_stream(spark, d, "documents")).filter(R.VISIBLE)
+    rows = items.select(c("sort_ts").cast("timestamp").alias("sort_ts"), "tags", "personal_score")
+    done = flow.latest_windows(flow.daily_tag_counts(rows), scratch_path(spark, "windows"), flow.checkpoint_for(spark, "windows"), ["day", "tag"])
     return done.select(_ntz("day"), "tag", "n", F.round("avg_score", 6).alias("avg_score"))
 
 

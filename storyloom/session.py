@@ -38,12 +38,15 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach. A cluster names it in `spark.checkpoint.dir`; only where that is unset, as
-    in local tests, a temporary folder is made and remembered in the session."""
+    """The folder every executor can reach. A cluster names it in `spark.checkpoint.dir`; only where that is unset and
+    the master is local, as in tests, a temporary folder is made and remembered in the session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("storyloom.scratch.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="storyloom-")
         spark.conf.set("storyloom.scratch.dir", root)
     return root.rstrip("/")
@@ -62,8 +65,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores when its input has fewer splits than that (a small or badly split file), for steps with much
-    work per row. A large table has more splits than cores and is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    # a file may have fewer row groups than splits, so a margin is kept
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    """`df` over as many partitions as the setting `storyloom.spread.partitions` says, for steps with much work per row over
+    tables in one small file, which Spark reads as one split. Unset, as for tables that have splits enough, `df` is left as
+    it is."""
+    n = df.sparkSession.conf.get("storyloom.spread.partitions", None)
+    return df.repartition(int(n)) if n else df

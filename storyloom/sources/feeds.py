@@ -93,11 +93,24 @@ def cutoff(cursor: Column, interval_s: Column, now: Column, factor: float = K.IN
     return F.greatest(cursor.try_cast("timestamp"), horizon)
 
 
+def with_cutoff(entries: DataFrame, feeds: DataFrame, now: Column) -> DataFrame:
+    """Entries with their feed's `cutoff`. `feeds(feed_name, cursor, interval_s)` has one row per known feed; a feed met
+    for the first time, or an entry without a feed, has no cursor and the default interval."""
+    limits = feeds.select("feed_name", "cursor", "interval_s")
+    joined = entries.join(limits, "feed_name", "left")
+    interval = F.coalesce("interval_s", F.lit(K.DEFAULT_INTERVAL_SECONDS))
+    return joined.withColumn("cutoff", cutoff(F.col("cursor"), interval, now)).drop("cursor", "interval_s")
+
+
 def since_cutoff(entries: DataFrame, feeds: DataFrame, now: Column, ts: str = "published_at") -> DataFrame:
-    """Entries newer than their feed's cutoff; undated entries pass. `feeds(feed_name, cursor, interval_s)` has one row
-    per feed; adds `new_cursor`, the newest time seen per feed so far."""
-    limits = feeds.select("feed_name", cutoff(F.col("cursor"), F.col("interval_s"), now).alias("cutoff"))
-    return entries.join(limits, "feed_name").filter(F.col(ts).isNull() | (F.col(ts) > F.col("cutoff")))
+    """Entries newer than their feed's cutoff; undated entries pass."""
+    return with_cutoff(entries, feeds, now).filter(F.col(ts).isNull() | (F.col(ts) > F.col("cutoff")))
+
+
+def new_cursors(entries: DataFrame, feeds: DataFrame, now: Column, ts: str = "published_at") -> DataFrame:
+    """(feed_name, new_cursor) after a poll: the newest time taken from each feed of `entries`, its cutoff if none was."""
+    seen = with_cutoff(entries, feeds, now).groupBy("feed_name").agg(F.greatest(F.max("cutoff"), F.max(ts)).alias("new_cursor"))
+    return seen.filter(F.col("feed_name").isNotNull())
 
 
 ENTRIES_SCHEMA = (

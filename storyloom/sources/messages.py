@@ -28,9 +28,9 @@ def category_of(c: Column) -> Column:
     return F.coalesce(F.element_at(known, c), c)
 
 
-def items(messages: DataFrame) -> DataFrame:
-    """Items of the well-formed messages; the channel is the feed."""
-    m = messages.filter("ok").select("m.*")
+def items(messages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Items of the well-formed messages; the channel is the feed. `keep` names columns of the lines to carry along."""
+    m = messages.filter("ok").select("m.*", *keep)
     return m.select(
         F.lit("telegram").alias("source_type"), "source_id", "url", "title",
         F.nullif("text", F.lit("")).alias("text"),
@@ -38,6 +38,7 @@ def items(messages: DataFrame) -> DataFrame:
         "author", F.col("author").alias("feed_name"), F.lit(None).cast("double").alias("raw_score"),
         category_of(F.col("category")).alias("category"),
         F.col("published_at").try_cast("timestamp").alias("published_at"),
+        *keep,
     )
 
 

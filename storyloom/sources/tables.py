@@ -17,7 +17,7 @@ KEY = ["source_type", "source_id"]
 OVERWRITTEN = [
     "url", "url_normalized", "title", "text", "media", "author", "feed_name", "raw_score", "category", "published_at",
 ]
-MAX_LENGTHS = {"source_type": 32, "author": 255, "feed_name": 64, "category": 64}
+MAX_LENGTHS = {"source_type": 32, "source_id": 255, "author": 255, "feed_name": 64, "category": 64}
 
 
 def prepared(batch: DataFrame) -> DataFrame:

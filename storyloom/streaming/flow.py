@@ -98,7 +98,7 @@ class ItemStore:
 ARRIVALS = (
     "source_type string, source_id string, url string, url_normalized string, title string, text string, "
     "media array<string>, author string, feed_name string, raw_score double, category string, published_at timestamp, "
-    "arrival long, was_new boolean"
+    "arrival struct<modified:long,path:string,offset:long>, was_new boolean"
 )
 
 
@@ -115,7 +115,7 @@ def ingest_messages(lines: DataFrame, store_path: str, bad_path: str, checkpoint
     def each(batch: DataFrame, batch_id: int) -> None:
         m = messages.parsed(batch)
         bad.write(messages.malformed(m), batch_id)
-        rows = tables.prepared(messages.items(m.filter("ok"))).withColumn("arrival", F.monotonically_increasing_id())
+        rows = tables.prepared(messages.items(m, ("modified", "path", "offset"))).withColumn("arrival", F.struct("modified", "path", "offset"))
         store.append(rows.withColumn("was_new", F.lit(None).cast("boolean")), batch_id)
 
     available_now(lines, each, checkpoint)
@@ -232,7 +232,7 @@ def learn(stream: DataFrame, items: DataFrame, path: str, checkpoint: str) -> Le
 # --- windows ------------------------------------------------------------------------------------------------------
 
 
-def daily_tag_counts(stream: DataFrame, ts: str = "published_at", late: str = "2 days") -> DataFrame:
+def daily_tag_counts(stream: DataFrame, ts: str = "sort_ts", late: str = "2 days") -> DataFrame:
     """Tumbling daily counts and mean score per tag; the trend base of a day is made of earlier windows."""
     return (
         stream.withWatermark(ts, late)
@@ -243,6 +243,16 @@ def daily_tag_counts(stream: DataFrame, ts: str = "published_at", late: str = "2
     )
 
 
+def latest_windows(counts: DataFrame, path: str, checkpoint: str, key: list[str]) -> DataFrame:
+    """The current state of every window, those still open included: a batch appends the windows it changed, and the
+    last version of each is read."""
+    store = BatchTable(counts.sparkSession, path, counts.schema)
+    query = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store.write).start()
+    query.awaitTermination()
+    newest = Window.partitionBy(*key).orderBy(F.desc("batch"))
+    return store.read().withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn", "batch")
+
+
 def hourly_counts(stream: DataFrame, ts: str, key: Column, late: str = "1 hour") -> DataFrame:
     """Tumbling hourly counts per key: what the silence and stall detectors look at."""
     return (

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from storyloom.operators import dedup, feeds, neighbours, ordered, profiles, reactions, retrieval, scoring
 from storyloom.plans import tables as T
+from storyloom.sources import feeds as ingest
 from storyloom.sources import tables as S
 
 T0 = datetime(2024, 1, 1)
@@ -54,12 +55,47 @@ def test_neighbours_match_brute_force(spark, block_rows, floor):
             assert [j for j, _ in got[i]] == [j for j, _ in want[i]]
 
 
+def test_pages_lose_nothing_within_a_second(spark):
+    rows = [(k, f"2024-01-01 00:00:00.{k:06d}", f"2024-01-01 00:00:00.{k:06d}") for k in range(1, 7)]
+    df = spark.createDataFrame(rows, "id long, sort_ts string, processed_at string").select(
+        "id", F.col("sort_ts").cast("timestamp_ntz").alias("sort_ts"), F.col("processed_at").cast("timestamp_ntz").alias("processed_at"),
+        F.lit(None).cast("string").alias("skip_reason"), F.lit(None).cast("long").alias("cluster_id"))
+    seen, cursor = [], None
+    for _ in range(4):
+        page = feeds.feed(df, feeds.FeedRequest(limit=2, cursor=cursor)).orderBy("rank").collect()
+        seen += [r.id for r in page]
+        cursor = page[-1].next_cursor if page else None
+        if not cursor:
+            break
+    assert seen == [6, 5, 4, 3, 2, 1]
+
+
+def test_feeds_without_state_take_the_default_window(spark):
+    now = F.lit("2024-01-10 00:00:00").cast("timestamp")
+    at = lambda s: F.col(s).cast("timestamp").alias(s)
+    entries = spark.createDataFrame(
+        [(1, "known", "2024-01-09 10:00:00"), (2, "new", "2024-01-09 10:00:00"), (3, "new", "2024-01-07 10:00:00"), (4, "new", None), (5, None, "2024-01-09 10:00:00"), (6, "known", "2024-01-09 13:00:00")],
+        "id long, feed_name string, published_at string").select("id", "feed_name", at("published_at"))
+    state = spark.createDataFrame([("known", "2024-01-09T12:00:00", 300)], "feed_name string, cursor string, interval_s long")
+    assert sorted(r.id for r in ingest.since_cutoff(entries, state, now).collect()) == [2, 4, 5, 6]
+    got = {r.feed_name: str(r.new_cursor) for r in ingest.new_cursors(entries, state, now).collect()}
+    assert got == {"known": "2024-01-09 13:00:00", "new": "2024-01-09 10:00:00"}
+
+
+def test_one_story_goes_out_once(spark):
+    rows = [(1, 7, 0.9, "2024-01-01 10:05:00"), (2, 7, 0.8, "2024-01-01 10:00:00"), (3, None, 0.9, "2024-01-01 10:00:00"), (4, None, 0.9, "2024-01-01 11:00:00"), (5, 8, 0.1, "2024-01-01 09:00:00"), (6, 8, 0.9, "2024-01-01 12:00:00")]
+    df = spark.createDataFrame(rows, "id long, cluster_id long, personal_score double, processed_at string").select(
+        "id", "cluster_id", "personal_score", F.col("processed_at").cast("timestamp_ntz").alias("processed_at"), F.lit("f").alias("feed_name"), F.lit("it").alias("vertical"),
+        F.lit("rss").alias("source_type"), F.lit(None).cast("timestamp_ntz").alias("pushed_at"), F.lit(None).cast("timestamp_ntz").alias("channel_posted_at"))
+    assert sorted(r.id for r in scoring.push_candidates(df).collect()) == [2, 3, 4, 6] == sorted(r.id for r in scoring.channel_candidates(df).collect())
+
+
 def test_search_paths_agree(spark, monkeypatch):
     vecs = vector_fixture()
     v = spark.createDataFrame(list(vecs.items()), "id long, vec array<float>")
     q = v.filter("id < 30").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
     shipped = neighbours.search(q, v, 7, 0.1, exclude_self=True).orderBy("query_id", "rank").collect()
-    monkeypatch.setattr(neighbours, "MAX_SHIPPED_QUERIES", 10)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 10)
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 32)
     cut = neighbours.search(q, v, 7, 0.1, exclude_self=True).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.id, round(r.cos, 6), r["rank"]) for r in shipped] == [(r.query_id, r.id, round(r.cos, 6), r["rank"]) for r in cut]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -55,6 +56,28 @@ def test_line_tail_offsets(tmp_path):
     assert [r[2] for p in reader.partitions(second, reader.latestOffset()) for r in reader.read(p)] == ["fresh"]
 
 
+def test_line_tail_takes_uris_and_refuses_missing_folders(spark, tmp_path):
+    f = tmp_path / "a.jsonl"
+    f.write_bytes(b"one\ntwo\n")
+    for root in (f"file://{tmp_path}", f"file:{tmp_path}", str(tmp_path)):
+        reader = tail.LineTailReader({"path": root})
+        assert [r[2] for p in reader.partitions({}, reader.latestOffset()) for r in reader.read(p)] == ["one", "two"]
+    with pytest.raises(FileNotFoundError):
+        tail.LineTailReader({"path": f"file://{tmp_path}/none"}).latestOffset()
+
+
+def test_of_two_files_the_later_line_wins(spark, tmp_path):
+    tail.register(spark)
+    src = tmp_path / "in"
+    src.mkdir()
+    for name, text, at in (("a.jsonl", "new", 2_000_000_000), ("b.jsonl", "old", 1_000_000_000)):
+        (src / name).write_text(f'{{"source_id":"1","text":"{text}"}}\n')
+        os.utime(src / name, (at, at))
+    lines = spark.readStream.format("line_tail").option("path", f"file://{src}").load()
+    store = flow.ingest_messages(lines, str(tmp_path / "store"), str(tmp_path / "bad"), str(tmp_path / "ck"))
+    assert [r.text for r in store.current().collect()] == ["new"]
+
+
 def test_line_tail_stream_resumes(spark, tmp_path):
     tail.register(spark)
     src, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
@@ -82,7 +105,7 @@ def test_item_store_keeps_first_and_last(spark, tmp_path):
     store = flow.ItemStore(spark, str(tmp_path / "store"), spark.createDataFrame([], flow.ARRIVALS).schema)
 
     def batch(*rows):
-        return spark.createDataFrame([("rss", k, None, None, t, None, [], None, "f", None, None, None, n, None) for n, (k, t) in enumerate(rows)], flow.ARRIVALS)
+        return spark.createDataFrame([("rss", k, None, None, t, None, [], None, "f", None, None, None, (0, "f", n), None) for n, (k, t) in enumerate(rows)], flow.ARRIVALS)
 
     store.append(batch(("1", "a"), ("2", "b"), ("1", "a2")), 0)
     store.append(batch(("1", "c"), ("3", "d")), 1)
