@@ -55,6 +55,8 @@ MUTE_PREFIX = "мьют темы: "
 GATE_REASON = "низкая близость к профилям: %.2f (ближе всего %s)"
 TITLE_FALLBACK_PREFIX = "Запись "
 UNTITLED = "(без заголовка)"
+WIKI_SAVED = "- сохранено: "
+WIKI_FROM = " · источник: "
 UNKNOWN_SOURCE = "источник"
 AGE_NOW, AGE_MINUTE, AGE_HOUR, AGE_DAY, AGE_WEEK = "только что", "м", "ч", "д", "нед"
 FOREIGN_SCRIPT_REASON = "чужое письмо"

@@ -22,8 +22,8 @@ def source_ref() -> Column:
     )
 
 
-def source_pages(items: DataFrame) -> DataFrame:
-    """(id, source_ref, title, feed, tags, url, body): one page per saved item."""
+def source_pages(items: DataFrame, *more: Column) -> DataFrame:
+    """(id, source_ref, title, feed, tags, url, body), and `more`: one page per saved item."""
     body = F.coalesce(F.nullif("summary", F.lit("")), strip_html(F.col("text")), F.lit(""))
     return items.select(
         "id",
@@ -33,6 +33,22 @@ def source_pages(items: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.slice("tags", 1, 6), lambda t: F.concat(F.lit("#"), t)), " ").alias("tags"),
         F.coalesce("url", F.lit("")).alias("url"),
         F.trim(body).alias("body"),
+        *more,
+    )
+
+
+def source_bodies(items: DataFrame, date: Column) -> DataFrame:
+    """(kind, slug, title, note, mentions, piece): the pages of the saved items themselves, one piece each. Mentions are
+    dated bullets in the text, which a source has only if its own text holds some."""
+    p = source_pages(items, date.alias("date"))
+    head = F.concat(F.lit("# "), "title", F.lit("\n\n" + K.WIKI_SAVED), "date", F.lit(K.WIKI_FROM), "feed", F.lit("\n"))
+    link = F.when(F.col("url") != "", F.concat(F.lit("- "), "url")).otherwise("")
+    tags = F.when(F.col("tags") != "", F.concat("tags", F.lit("\n"))).otherwise("")
+    text = F.regexp_replace(F.concat(head, link, F.lit("\n"), tags, F.lit("\n"), "body"), r"\s+$", "")
+    bullets = F.size(F.split(text, "\n- \\[")).cast("long") - 1
+    return p.select(
+        F.lit("sources").alias("kind"), F.substring_index("source_ref", "/", -1).alias("slug"), "title",
+        F.lit(None).cast("string").alias("note"), bullets.alias("mentions"), text.alias("piece"),
     )
 
 

@@ -770,13 +770,14 @@ def g7(spark, d):
 
 @query(
     "g8_windowed_top",
-    f"""WITH t AS (SELECT *, CASE WHEN published_at >= {AS_OF} - INTERVAL 72 HOUR THEN 0 ELSE 1 END AS tier FROM visible WHERE personal_score IS NOT NULL AND vertical IS NOT NULL),
+    f"""WITH t AS (SELECT *, CASE WHEN published_at >= {AS_OF} - INTERVAL 2 HOUR THEN 0 ELSE 1 END AS tier FROM visible WHERE personal_score IS NOT NULL AND vertical IS NOT NULL),
         r AS (SELECT *, row_number() OVER (PARTITION BY vertical, tier ORDER BY {_PERSONAL}) AS rank
               FROM (SELECT *, {_COLLAPSE.format(by='vertical, tier, ', order=_PERSONAL)} AS first FROM t) WHERE first)
         SELECT id, vertical, tier, rank FROM r WHERE rank <= 8 AND tier = (SELECT min(tier) FROM r x WHERE x.vertical = r.vertical)""",
 )
 def g8(spark, d):
-    return feeds.windowed_top(T.items(spark, d, clusters=True), T.as_of()).select("id", "vertical", "tier", "rank")
+    # two hours, so that some areas have fresh stories and others fall back to all times
+    return feeds.windowed_top(T.items(spark, d, clusters=True), T.as_of(), hours=2).select("id", "vertical", "tier", "rank")
 
 
 @query(
@@ -801,11 +802,11 @@ def g9_skipped(spark, d):
     "g10_dashboard_feed",
     f"""SELECT p.id, coalesce(f.feedback, '') AS feedback FROM (
           SELECT * FROM (SELECT *, {_COLLAPSE.format(by='', order='personal_score DESC NULLS LAST, sort_ts DESC, id DESC')} AS first FROM visible
-            WHERE len(watch_topics) > 0 AND sort_ts > {AS_OF} - INTERVAL 500 HOUR) WHERE first ORDER BY personal_score DESC NULLS LAST, sort_ts DESC, id DESC LIMIT 50) p
+            WHERE len(watch_topics) > 0 AND sort_ts > {AS_OF} - INTERVAL 721 HOUR) WHERE first ORDER BY personal_score DESC NULLS LAST, sort_ts DESC, id DESC LIMIT 50) p
         LEFT JOIN (SELECT item_id, array_to_string(list_sort(list(signal)), ',') AS feedback FROM marks GROUP BY item_id) f ON f.item_id = p.id""",
 )
 def g10(spark, d):
-    page = feeds.dashboard_feed(T.items(spark, d, clusters=True), _marks(spark, d), T.as_of(), "watch", "score", 500)
+    page = feeds.dashboard_feed(T.items(spark, d, clusters=True), _marks(spark, d), T.as_of(), "watch", "score", 721)
     return page.select("id", joined("feedback"))
 
 

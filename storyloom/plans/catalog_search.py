@@ -215,17 +215,30 @@ def h10(spark, d):
     return knowledge.source_pages(T.items(spark, d))
 
 
-@query("h11_wiki_lint", "SELECT kind, count(*) AS pages, count(*) FILTER (WHERE mentions <= 1) AS weak FROM wiki_pages GROUP BY kind")
+def _sources(spark, d):
+    saved = T.items(spark, d).filter("processed_at is not null and skip_reason is null")
+    return knowledge.source_bodies(saved, F.date_format("processed_at", "yyyy-MM-dd"))
+
+
+def _all_pages(spark, d):
+    return knowledge.pages(_mentions(spark, d)).unionByName(_sources(spark, d).drop("piece"))
+
+
+def _all_lines(spark, d):
+    return knowledge.page_lines(_mentions(spark, d)).unionByName(_sources(spark, d).select("kind", "slug", "piece"))
+
+
+@query("h11_wiki_lint", "SELECT kind, count(*) AS pages, count(*) FILTER (WHERE mentions <= 1 AND kind <> 'sources') AS weak FROM wiki_all_pages GROUP BY kind")
 def h11(spark, d):
-    return knowledge.lint(knowledge.pages(_mentions(spark, d)))
+    return knowledge.lint(_all_pages(spark, d))
 
 
 @query(
     "h12_wiki_listing",
-    "SELECT kind, slug, mentions, row_number() OVER (PARTITION BY kind ORDER BY mentions DESC, lower(title), slug) AS rank FROM wiki_pages",
+    "SELECT kind, slug, mentions, row_number() OVER (PARTITION BY kind ORDER BY mentions DESC, lower(title), slug) AS rank FROM wiki_all_pages",
 )
 def h12(spark, d):
-    return knowledge.listing(knowledge.pages(_mentions(spark, d))).select("kind", "slug", "mentions", "rank")
+    return knowledge.listing(_all_pages(spark, d)).select("kind", "slug", "mentions", "rank")
 
 
 _FIND_SQL = f"""
@@ -234,20 +247,18 @@ _FIND_SQL = f"""
       SELECT query_id, kind, slug, any_value(size) AS size, sum(hits)::BIGINT + CASE WHEN bool_or(in_slug) THEN 3 ELSE 0 END AS score FROM (
         SELECT w.query_id, b.kind, b.slug, len(b.body) + len(b.kind) + len(b.slug) + 12 AS size,
           (len(b.body) - len(replace(lower(b.body), w.word, ''))) // len(w.word) AS hits, contains(lower(b.slug), w.word) AS in_slug
-        FROM (SELECT DISTINCT query_id, unnest(list_transform(regexp_extract_all(query, '[0-9a-zA-Zа-яёА-ЯЁ]{{3,}}'), lambda x: lower(x))) AS word FROM requests) w, wiki_bodies b)
+        FROM (SELECT DISTINCT query_id, unnest(list_transform(regexp_extract_all(query, '[0-9a-zA-Zа-яёА-ЯЁ]{{3,}}'), lambda x: lower(x))) AS word FROM requests) w, wiki_all_bodies b)
       GROUP BY query_id, kind, slug) WHERE score > 0) WHERE rank <= 8"""
 
 
 @query("h13_wiki_search", f"SELECT query_id, kind, slug, score, rank FROM ({_FIND_SQL})")
 def h13(spark, d):
-    lines = knowledge.page_lines(_mentions(spark, d))
-    return knowledge.find_pages(T.queries_table(spark, d), lines).select("query_id", "kind", "slug", "score", "rank")
+    return knowledge.find_pages(T.queries_table(spark, d), _all_lines(spark, d)).select("query_id", "kind", "slug", "score", "rank")
 
 
 @query("f7_budgeted_context", f"SELECT query_id, kind, slug, in_context FROM ({_FIND_SQL})")
 def f7(spark, d):
-    lines = knowledge.page_lines(_mentions(spark, d))
-    return knowledge.find_pages(T.queries_table(spark, d), lines).select("query_id", "kind", "slug", "in_context")
+    return knowledge.find_pages(T.queries_table(spark, d), _all_lines(spark, d)).select("query_id", "kind", "slug", "in_context")
 
 
 @query("f9_retrieval_rank", "SELECT query_id, id, rank, 0 AS list_no FROM sem_hits UNION ALL SELECT query_id, id, rank, 1 FROM lex_hits")

@@ -117,7 +117,7 @@ VIEWS = {
     "profiles": """
         SELECT * FROM (VALUES
           ('business', 1, 'Markets and companies', [{'name': 't1', 'polarity': 'like'}, {'name': 't2', 'polarity': 'mute'}]),
-          ('business', 2, 'Markets  and   companies', [{'name': 't1', 'polarity': 'love'}, {'name': 't3', 'polarity': 'like'}, {'name': 't4', 'polarity': 'dislike'}]),
+          ('business', 2, 'Markets  and   companies', [{'name': 't1', 'polarity': 'love'}, {'name': 't3', 'polarity': 'like'}, {'name': 't4', 'polarity': 'dislike'}, {'name': 'solar', 'polarity': 'like'}]),
           ('it', 1, 'Engineering', [{'name': 't1', 'polarity': 'love'}, {'name': 't5', 'polarity': 'mute'}]),
           ('it', 2, 'Engineering and tools', [{'name': 't1', 'polarity': 'love'}, {'name': 't6', 'polarity': 'like'}, {'name': 't7', 'polarity': 'mute'}, {'name': 't8', 'polarity': 'meh'}]),
           ('medical', 1, 'Clinical research', [{'name': 't9', 'polarity': 'mute'}, {'name': 'en', 'polarity': 'like'}])
@@ -214,6 +214,16 @@ VIEWS = {
         SELECT p.kind, p.slug, '# ' || p.title || chr(10) || chr(10) || p.note || chr(10) || chr(10) || '## Упоминания' || chr(10) ||
           string_agg('- [' || m.date || '] ' || m.note || ' — [[' || m.source_ref || ']]', chr(10)) AS body
         FROM wiki_pages p JOIN mention_rows m ON m.kind = p.kind AND m.slug = p.slug GROUP BY p.kind, p.slug, p.title, p.note""",
+    "wiki_sources": f"""
+        SELECT 'sources' AS kind, split_part(source_ref, '/', -1) AS slug, title, rtrim(body, ' ' || chr(10)) AS body FROM (
+          SELECT m.source_ref, coalesce(nullif(v.title, ''), '{K.UNTITLED}') AS title, '# ' || coalesce(nullif(v.title, ''), '{K.UNTITLED}') || chr(10) || chr(10) || '{K.WIKI_SAVED}' || m.date || '{K.WIKI_FROM}' || v.feed_name || chr(10)
+            || CASE WHEN coalesce(v.url, '') <> '' THEN '- ' || v.url ELSE '' END || chr(10) || array_to_string(list_transform(v.tags[1:6], lambda t: '#' || t), ' ') || chr(10) || chr(10)
+            || trim(coalesce(nullif(v.summary, ''), nullif(trim(regexp_replace(v.text, '\\s+', ' ', 'g')), ''), '')) AS body
+          FROM visible v JOIN mention_sources m ON m.seq = v.id)""",
+    "wiki_all_pages": """
+        SELECT kind, slug, title, mentions FROM wiki_pages UNION ALL
+        SELECT kind, slug, title, (len(body) - len(replace(body, chr(10) || '- [', ''))) // 4 FROM wiki_sources""",
+    "wiki_all_bodies": "SELECT kind, slug, body FROM wiki_bodies UNION ALL SELECT kind, slug, body FROM wiki_sources",
 }
 
 

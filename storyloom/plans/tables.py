@@ -142,7 +142,7 @@ def declared_profiles(spark: SparkSession) -> DataFrame:
     """The interest profile a user declares: a dimension with one row per topic area and version."""
     rows = [
         ("business", 1, "Markets and companies", [("t1", "like"), ("t2", "mute")]),
-        ("business", 2, "Markets  and   companies", [("t1", "love"), ("t3", "like"), ("t4", "dislike")]),
+        ("business", 2, "Markets  and   companies", [("t1", "love"), ("t3", "like"), ("t4", "dislike"), ("solar", "like")]),
         ("it", 1, "Engineering", [("t1", "love"), ("t5", "mute")]),
         ("it", 2, "Engineering and tools", [("t1", "love"), ("t6", "like"), ("t7", "mute"), ("t8", "meh")]),
         ("medical", 1, "Clinical research", [("t9", "mute"), ("en", "like")]),

@@ -10,16 +10,20 @@ from storyloom import constants as K
 JSON_FEED_VERSION = "https://jsonfeed.org/version/1.1"
 
 
+def rss_fields() -> dict[str, Column]:
+    return {
+        "title": F.coalesce(F.nullif("title", F.lit("")), F.lit(K.UNTITLED)),
+        "link": F.nullif("url", F.lit("")),
+        "description": F.nullif("text", F.lit("")),
+        "author": F.nullif("author", F.lit("")),
+        "guid": F.coalesce(F.col("id").cast("string"), "source_id"),
+        "pubDate": F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss '+0000'"),
+    }
+
+
 def rss_rows(page: DataFrame) -> DataFrame:
     """Items in the shape of RSS elements; empty elements are left out by the writer."""
-    return page.select(
-        F.coalesce(F.nullif("title", F.lit("")), F.lit(K.UNTITLED)).alias("title"),
-        F.nullif("url", F.lit("")).alias("link"),
-        F.nullif("text", F.lit("")).alias("description"),
-        F.nullif("author", F.lit("")).alias("author"),
-        F.coalesce(F.col("id").cast("string"), "source_id").alias("guid"),
-        F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss '+0000'").alias("pubDate"),
-    )
+    return page.select(*(c.alias(name) for name, c in rss_fields().items()))
 
 
 def write_rss(page: DataFrame, path: str) -> None:
@@ -27,6 +31,24 @@ def write_rss(page: DataFrame, path: str) -> None:
     rss_rows(page).write.format("xml").option("rootTag", "channel").option("rowTag", "item").mode("overwrite").save(path)
 
 
+def rss_document(page: DataFrame, title: str, base_url: str, description: str) -> DataFrame:
+    """One RSS 2.0 document for a page of a feed, its channel head included; bounded, as a page is, by the request limit."""
+    def escaped(c: Column) -> Column:
+        for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            c = F.replace(c, F.lit(plain), F.lit(entity))
+        return c
+
+    def element(tag: str, c: Column) -> Column:
+        return F.when(c.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"<{tag}>"), escaped(c), F.lit(f"</{tag}>")))
+
+    fields = rss_fields()
+    item = F.concat(F.lit("<item>"), *(element(name, c) for name, c in fields.items()), F.lit("</item>"))
+    items = page.select("rank", item.alias("item"))
+    head = F.concat(*(element(t, F.lit(v)) for t, v in (("title", title), ("link", base_url.rstrip("/") + "/"), ("description", description))))
+    listed = items.groupBy().agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "item"))), lambda r: r["item"]), "").alias("items"))
+    return listed.select(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<rss version="2.0"><channel>'), head, "items", F.lit("</channel></rss>")).alias("document"))
+
+
 def json_items(page: DataFrame) -> DataFrame:
     """(rank, id, entry) with one JSON Feed item each; keys without a value are omitted."""
     entry = F.to_json(
