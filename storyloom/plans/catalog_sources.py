@@ -228,9 +228,13 @@ def a11(spark, d):
     return rows.select("title", "link", F.md5("description").alias("digest"), "guid", "pubDate")
 
 
+_JSON_ENTRY = """json_merge_patch('{}', json_object('id', id::VARCHAR, 'url', url, 'title', title, 'content_text', text,
+  'date_published', strftime(published_at, '%Y-%m-%dT%H:%M:%S+00:00'), 'tags', tags))::VARCHAR"""
+
+
 @query(
     "a12_json_feed_items",
-    """SELECT id, json_merge_patch('{}', json_object('id', id::VARCHAR, 'url', url, 'title', title, 'content_text', text, 'date_published', strftime(published_at, '%Y-%m-%dT%H:%M:%S+00:00'), 'tags', tags))::VARCHAR AS entry FROM visible""",
+    f"SELECT id, {_JSON_ENTRY} AS entry FROM visible",
 )
 def a12(spark, d):
     page = T.items(spark, d).filter(R.VISIBLE)
@@ -259,7 +263,18 @@ def a11_document(spark, d):
     return exports.rss_document(page, "Stories", "https://feeds.example.com", "Recent stories")
 
 
-@query("a12_json_feed_page")
+_NEXT = "replace(replace(to_base64(encode(strftime(sort_ts, '%Y-%m-%dT%H:%M:%S.%f') || '|' || id::VARCHAR)), '+', '-'), '/', '_')"
+
+
+@query(
+    "a12_json_feed_page",
+    f"""SELECT '{{"version":"https://jsonfeed.org/version/1.1","title":"Stories","home_page_url":"https://feeds.example.com/","feed_url":"https://feeds.example.com/feed.json","items":['
+          || string_agg(entry, ',' ORDER BY rank) FILTER (WHERE rank <= 20) || ']'
+          || coalesce(',"next_url":"https://feeds.example.com/feed.json?cursor=' || max(CASE WHEN rank = 20 AND more THEN {_NEXT} END) || '"', '') || '}}' AS document
+        FROM (SELECT *, {_JSON_ENTRY} AS entry, row_number() OVER w AS rank, lead(id) OVER w IS NOT NULL AS more
+          FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id IS NULL, coalesce(cluster_id, id) ORDER BY sort_ts DESC, id DESC) = 1 AS first FROM visible) WHERE first
+          WINDOW w AS (ORDER BY sort_ts DESC, id DESC))""",
+)
 def a12_page(spark, d):
     page = R.feed(T.items(spark, d, clusters=True), R.FeedRequest(limit=20))
     return exports.json_feed(page, "Stories", "https://feeds.example.com")

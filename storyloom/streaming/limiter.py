@@ -1,7 +1,8 @@
 """Rate limit: at most `cap` sends in any trailing window, in order of time, per user.
 
 The decision on a candidate depends on the last `cap` accepted ones, so a user's candidates are read in order, but never
-held: both forms keep `cap` times per user and stream over the rows.
+held by the batch form, which streams over them and keeps `cap` times per user; the streaming form holds a user's times of one
+micro-batch, whose size the source bounds.
 """
 
 from __future__ import annotations
@@ -74,10 +75,10 @@ class _Limiter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         sent = list(self.sent.get()[0]) if self.sent.exists() else []
-        for b in rows:
-            b = b.sort_values(["t", "id"])
-            keep = [accept(sent, int(at), self.cap, self.window_us) for at in b["t"]]
-            yield b.loc[keep, ["user_id", "t", "id"]]
+        # a key's rows of a micro-batch come in several chunks and in no order of time: three numbers a row are held
+        batch = pd.concat([b[["user_id", "t", "id"]] for b in rows]).sort_values(["t", "id"])
+        keep = [accept(sent, int(at), self.cap, self.window_us) for at in batch["t"]]
+        yield batch[keep]
         self.sent.update((sent,))
 
     def close(self) -> None:

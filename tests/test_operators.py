@@ -220,6 +220,23 @@ def test_running_sum_null_keys(spark):
     assert got == {0: 1, 1: 3, 2: 6, 3: 10, 4: 15, 9: 7}
 
 
+def test_hot_hours_are_cut_into_seconds(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, "hot", "hot", "b"]), T0 + timedelta(seconds=rng.randrange(7200)), n, rng.choice([-1, 1])) for n in range(400)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, n long, v long")
+    seconds = ordered.sliced(df, ["k"], "ts", None, 20)
+    sizes = {r["count"] for r in seconds.groupBy("k", "_slice").count().collect()}
+    assert max(sizes) <= 20 and seconds.count() == len(rows)
+    sums, weights, want = {}, {}, {}
+    for k, _, n, v in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        sums[k] = sums.get(k, 0) + v
+        weights[k] = weights.get(k, 0.0) * 0.9 + 0.1 * v
+        want[n] = sums[k]
+    assert {r.n: r.s for r in ordered.running_sum(df, ["k"], ["ts", "n"], F.col("v"), "s", hot_rows=20).collect()} == want
+    for r in ordered.decayed_sum(df, ["k"], ["ts", "n"], F.col("v"), 0.1, hot_rows=20).collect():
+        assert r.w == pytest.approx(weights[r.k])
+
+
 def test_apply_profile(spark):
     topics = "array<struct<name:string,polarity:string>>"
     old = spark.createDataFrame([("it", "d", [("keep", "love"), ("turn", "love"), ("gone", "like"), ("gone_learned", "like")])], f"vertical string, description string, topics {topics}")
