@@ -10,18 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.llm import decontaminate, packing, pii, simhash, toxicity
-from storyloom.llm.common import table
+from storyloom.llm.common import labelled_sample, table
 from storyloom.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity field does not reject. Every row of a rejected id goes; a null id is judged by its row's text."""
+    """Documents whose text the toxicity field does not reject; each row is judged by itself."""
     docs = docs.select(*COLUMNS)
-    scored = toxicity.toxic_scores(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    bad = scored.filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.doc_id), "left_anti")
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), "toxic", toxicity.SAMPLE)
+    return toxicity.without_toxic(docs, toxicity.fit(sample))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +34,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no copy, whole or edited, of a benchmark item. Every row of a leaking id goes."""
-    docs = docs.select(*COLUMNS)
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).select("doc_id").distinct()
-    return docs.join(leaks, docs.doc_id.eqNullSafe(leaks.doc_id), "left_anti")
+    """Documents that hold no copy, whole or edited, of a benchmark item; each row is judged by itself."""
+    return decontaminate.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARROW_ROWS, ARROW_BYTES = 4096, 32 << 20
+ARROW_ROWS, ARROW_BYTES = 1024, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
@@ -66,18 +66,24 @@ def sums_by(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return run[offsets[1:]] - run[offsets[:-1]]
 
 
+def in_share(keys: list[str], wanted: Column, total: Column) -> Column:
+    """Whether a row is among about `wanted` of `total` rows, by a hash of its keys: a sample without a sort, the same on every run."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return place < wanted / total
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, skip_fold: int = 0) -> list:
-    """At most `bound` labelled texts of each class for fitting, as (doc_id, text, y) on the driver; rows of fold `skip_fold`
-    are held out. `bound` is the documented size of the sample: the rows with the smallest hashes of the id, so the sample
+    """About `bound` labelled texts of each class, or all there are, for fitting, as (doc_id, text, y) on the driver; rows of fold
+    `skip_fold` are held out. `bound` is the documented size of the sample, chosen by a hash of the id, so that the sample
     is the same on every run and spreads over the table. Rows that repeat a text count once."""
     marked = (
         labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
         .filter((fold(F.col("doc_id")) != skip_fold) & F.col("doc_id").isNotNull())
     )
-    order = F.xxhash64("doc_id")
-    ids = marked.filter("y = 1").orderBy(order, "doc_id").limit(bound).unionByName(
-        marked.filter("y = 0").orderBy(order, "doc_id").limit(bound))
-    rows = with_text(docs).join(F.broadcast(ids), "doc_id")  # bounded: two times `bound` rows of two numbers
+    sizes = {r.y: r.n for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    total = F.when(F.col("y") == 1, sizes.get(1, 1)).otherwise(sizes.get(0, 1))
+    ids = marked.filter(in_share(["doc_id"], F.lit(bound), total))
+    rows = with_text(docs).join(F.broadcast(ids), "doc_id")  # bounded: about two times `bound` rows of two numbers
     once = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
     seen, out = set(), []
     for r in sorted(once.toLocalIterator(), key=lambda r: r.doc_id):

@@ -189,11 +189,9 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
             yield rows
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE) -> DataFrame | None:
-    """(doc_id, item_id, score, seeds, last_word) of every document that holds a copy, whole or edited, of a test item."""
-    spark = bounded_batches(docs.sparkSession)
-    docs = with_text(docs)
-    out = spark.createDataFrame([], SCHEMA)
+def rare_seeds(docs: DataFrame, items: DataFrame) -> Iterator:
+    """Each block of items with the seeds that are rare in `docs(text)`, as a broadcast."""
+    spark = docs.sparkSession
     for rows in _blocks(items):
         every = spark.sparkContext.broadcast(build(rows))
 
@@ -205,7 +203,31 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE)
             yield pa.RecordBatch.from_arrays([pa.array(every.value.seeds[some]), pa.array(total[some])], names=["seed", "n"])
 
         seen = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        rare = spark.sparkContext.broadcast(build(rows, {r.seed: r.n for r in seen.collect()}))  # at most the block's n-grams
+        yield spark.sparkContext.broadcast(build(rows, {r.seed: r.n for r in seen.collect()}))  # at most the block's n-grams
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of `docs`, all columns, that hold no copy of a test item."""
+    bounded_batches(docs.sparkSession)
+    texts = with_text(docs)
+    for rare in rare_seeds(texts, items):
+
+        def clean(batches: Iterator[pa.RecordBatch], rare=rare) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                keep[[d for d, *_ in matches(rare.value, batch.column("text"), min_score)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """(doc_id, item_id, score, seeds, last_word) of every document that holds a copy, whole or edited, of a test item."""
+    spark = bounded_batches(docs.sparkSession)
+    docs = with_text(docs)
+    out = spark.createDataFrame([], SCHEMA)
+    for rare in rare_seeds(docs, items):
 
         def find(batches: Iterator[pa.RecordBatch], rare=rare) -> Iterator[pa.RecordBatch]:
             for batch in batches:

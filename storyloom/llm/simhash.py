@@ -69,6 +69,12 @@ def shingle_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, offsets
 
 
+def hashed_slices(texts: pa.Array, size: int, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The hashes of a few texts at a time: what is held is bounded by the texts, not by the batch."""
+    for a in range(0, len(texts), rows):
+        yield shingle_hashes(texts.slice(a, rows), size)
+
+
 def fold_bits(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A fingerprint per slice: bit k is set if it is set in over half of the slice's hashes. Bits are counted eight at a time in
     the lanes of a 64-bit word, over runs of at most 255 hashes."""
@@ -97,7 +103,7 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = fold_bits(*shingle_hashes(batch.column("text"), size))
+            fp = np.concatenate([fold_bits(*part) for part in hashed_slices(batch.column("text"), size)] or [np.zeros(0, np.uint64)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
@@ -265,6 +271,17 @@ def _distinct(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate([*parts, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
+def _families(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A fingerprint per family and slice: each family mixes the hashes anew, by multiplying and shifting."""
+    out = []
+    for k in range(FAMILIES):
+        x = hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(fold_bits(x ^ (x >> np.uint64(31)), offsets))
+    return np.stack(out)
+
+
 FAMILIES, CHECKS = 6, 3  # 64-bit fingerprints of a text; those that confirm a link
 HALF, HALF_BUDGET = 32, 3
 
@@ -283,14 +300,9 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, offsets = _distinct(*shingle_hashes(batch.column("text"), size))
-            prints = []
-            for k in range(FAMILIES):
-                x = h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                prints.append(pa.array(fold_bits(x ^ (x >> np.uint64(31)), offsets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *prints], names=["doc_id", *words])
+            parts = [_families(*_distinct(*part)) for part in hashed_slices(batch.column("text"), size)]
+            prints = np.concatenate(parts, axis=1) if parts else np.zeros((FAMILIES, 0), np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p.view(np.int64)) for p in prints)], names=["doc_id", *words])
 
     schema = "doc_id long, " + ", ".join(f"{w} long" for w in words)
     prints = materialize(with_text(docs).select("doc_id", "text").mapInArrow(run, schema), "simhash")

@@ -7,7 +7,7 @@ counted once, and tokens of toxic documents that carry one are labelled toxic. T
 conditional likelihood. Scoring runs forward and backward over all tokens of a batch at once; the marginals give the
 offending offsets, and a logistic layer over the two highest marginals and the expected number of toxic tokens the document score.
 
-Fitting reads at most `SAMPLE` labelled documents of a class; all documents are scored whole, nothing but rows and their
+Fitting reads about `SAMPLE` labelled documents of a class; all documents are scored whole, nothing but rows and their
 scores leaves a task. Defined results: null and empty texts get the score of a text without tokens; repeated rows are scored
 each; a null id is kept, and is not held out; without any labelled text of both classes every score is 0.5 of the prior, 0.0.
 Other columns of the tables are not read.
@@ -173,15 +173,21 @@ def _messages(odds: np.ndarray, first: np.ndarray, t: np.ndarray, init: np.ndarr
 
 def fit(sample: list) -> Field | None:
     """Fit the field on (doc_id, text, y) rows; None if a class is missing."""
-    docs, ys = [t.lower().split() for _, t, _ in sample], [y for *_, y in sample]
+    one: dict[str, str] = {}  # equal words share one string
+    docs, ys = [[one.setdefault(w, w) for w in t.lower().split()] for _, t, _ in sample], [y for *_, y in sample]
     if len(set(ys)) < 2:
         return None
     group = _collapsed(docs)
     keep = [i for i in range(len(docs)) if group[i] == i]
     cache: dict[str, tuple] = {}
     feats = lambda w: cache[w] if w in cache else cache.setdefault(w, features(w))
-    sets = {i: {f for w in set(docs[i]) for f in feats(w) if f[0] != "s"} for i in keep}
+    held = lambda i: {f for w in set(docs[i]) for f in feats(w) if f[0] != "s"}
+    seen = Counter(f for i in keep if ys[i] for f in held(i))
+    often = {f for f, n in seen.items() if n >= MIN_GAIN}  # the others cannot be picked
+    del seen
+    sets = {i: held(i) & often for i in keep}
     lexicon = _lexicon([sets[i] for i in keep if ys[i]], [sets[i] for i in keep if not ys[i]])
+    del sets
     rng = np.random.default_rng(7)
     windows, marks = [], []
     for i in keep:
@@ -264,6 +270,22 @@ def _train(windows: list, marks: list, feats) -> tuple[dict, float, np.ndarray,
     return {f: float(w[k]) for f, k in index.items() if w[k]}, float(bias), t / t.sum(), start / start.sum()
 
 
+def without_toxic(docs: DataFrame, field: Field | None) -> DataFrame:
+    """The rows of `docs`, all columns, whose text the field does not reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if shared.value is None:
+                yield batch
+                continue
+            words = words_of(batch.column("text"), lower=True)
+            p = shared.value.marginals(shared.value.emissions(words.vocab.to_pylist())[words.codes], words.offsets)
+            yield batch.filter(pa.array(shared.value.scores(p, words.offsets) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def tag_toxic(docs: DataFrame, field: Field | None) -> DataFrame:
     """One row per document of `docs`: (doc_id, score, predicted, n_spans, spans); spans are code point offsets, end exclusive,
     of tokens that are more likely toxic than not."""
