@@ -91,11 +91,12 @@ def merge_clusters(assigned: DataFrame, neighbours: DataFrame) -> DataFrame:
 
 
 def attach_batch(
-    known: DataFrame, batch: DataFrame, neighbours: DataFrame | None = None, key: str = "url_normalized"
+    known: DataFrame, batch: DataFrame, neighbours: DataFrame | None = None, key: str = "url_normalized", among: DataFrame | None = None
 ) -> DataFrame:
     """(id, cluster_id) for a new batch against clusters known so far (`known(id, <key>, cluster_id)`): same URL first,
     then the best similar known item (`neighbours(id, neighbour_id, cos)`), else a cluster of its own with the other
-    newcomers of the same URL."""
+    newcomers of the same URL. Newcomers that are similar to each other (`among(id, neighbour_id)`) stay together like those
+    of one URL."""
     by_url = known.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("cluster_id").alias("_url_cluster"))
     fresh = batch.select("id", _story_key(F.col(key)).alias(key))
     own = fresh.groupBy(key).agg(F.min("id").alias("_own"))
@@ -109,7 +110,11 @@ def attach_batch(
     )
     picked = out.join(best, "id", "left")
     # newcomers that share a URL stay together: the group follows its first member that found a similar story
-    group = picked.groupBy(key).agg(F.min("_similar").alias("_group_similar"))
-    return picked.join(group, key).select(
-        "id", F.coalesce("_url_cluster", "_group_similar", "_own").alias("cluster_id")
-    )
+    if among is None:
+        group = picked.groupBy(key).agg(F.min("_similar").alias("_group_similar"))
+        return picked.join(group, key).select("id", F.coalesce("_url_cluster", "_group_similar", "_own").alias("cluster_id"))
+    picked = materialize(picked, "newcomers")
+    links = picked.select(F.col("id").alias("u"), F.col("_own").alias("v")).unionByName(among.select(F.col("id").alias("u"), F.col("neighbour_id").alias("v")))
+    grouped = picked.join(connected_components(links), "id", "left").withColumn("_group", F.coalesce("component", "id"))
+    target = grouped.groupBy("_group").agg(F.min("_url_cluster").alias("_by_url"), F.min("_similar").alias("_by_vector"), F.min("_own").alias("_first"))
+    return grouped.join(target, "_group").select("id", F.coalesce("_url_cluster", "_by_url", "_by_vector", "_first").alias("cluster_id"))

@@ -263,6 +263,24 @@ def a11_document(spark, d):
     return exports.rss_document(page, "Stories", "https://feeds.example.com", "Recent stories")
 
 
+_KEY_SQL = "CASE WHEN url IS NULL THEN id::VARCHAR WHEN url LIKE 'https://github%' THEN url ELSE text_digest END"
+
+
+@query(
+    "j5_vector_clusters",
+    f"""WITH RECURSIVE k AS (SELECT id, min(id) OVER (PARTITION BY {_KEY_SQL}) AS first FROM items),
+        near AS (SELECT a.id AS a, b.id AS b FROM vecs a JOIN vecs b ON a.id <> b.id WHERE list_cosine_similarity(a.vec, b.vec) >= 0.42 AND a.id IN (SELECT id FROM k) AND b.id IN (SELECT id FROM k)),
+        links AS (SELECT a, b FROM near UNION SELECT id, first FROM k WHERE id <> first UNION SELECT first, id FROM k WHERE id <> first),
+        reach(id, other) AS (SELECT a, b FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other)
+        SELECT k.id, least(k.id, coalesce(min(r.other), k.id)) AS cluster_id FROM k LEFT JOIN reach r ON r.id = k.id GROUP BY k.id""",
+)
+def j5_vectors(spark, d):
+    vectors = T.vectors(spark, d).select(c("id"), c("vec").cast("array<float>").alias("vec"))
+    items = T.item_columns(_stream(spark, d, "documents")).select("id", normalize_url(c("url")).alias("url_normalized")).join(vectors, "id", "left")
+    out = flow.assign_clusters(items, scratch_path(spark, "clusters"), flow.checkpoint_for(spark, "clusters"), min_cos=0.42)
+    return out.read().select("id", "cluster_id")
+
+
 _NEXT = "replace(replace(to_base64(encode(strftime(sort_ts, '%Y-%m-%dT%H:%M:%S.%f') || '|' || id::VARCHAR)), '+', '-'), '/', '_')"
 
 

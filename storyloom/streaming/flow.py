@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom import constants as K
-from storyloom.operators import dedup, reactions
+from storyloom.operators import dedup, neighbours, reactions
 from storyloom.operators.ordered import decayed_sum, running_sum
 from storyloom.session import scratch_path
 from storyloom.sources import messages, tables
@@ -165,15 +165,25 @@ def enrich(
 # --- clusters -----------------------------------------------------------------------------------------------------
 
 
-def assign_clusters(stream: DataFrame, out_path: str, checkpoint: str, key: str = "url_normalized") -> BatchTable:
-    """`stream(id, <key>)` → (id, key, cluster_id), each batch against the clusters known so far."""
+def assign_clusters(
+    stream: DataFrame, out_path: str, checkpoint: str, key: str = "url_normalized", min_cos: float | None = None, k: int = 10
+) -> BatchTable:
+    """`stream(id, <key>)` → (id, key, cluster_id), each batch against the clusters known so far. With `min_cos` the stream has
+    vectors (`vec`) as well: a newcomer without a known URL joins its nearest known item, and newcomers are linked to their `k`
+    nearest within the batch."""
     spark = stream.sparkSession
-    out = BatchTable(spark, out_path, _schema(spark, f"id long, {key} string, cluster_id long"))
+    kept = ["id", key] + (["vec"] if min_cos is not None else [])
+    out = BatchTable(spark, out_path, _schema(spark, f"id long, {key} string, " + ("vec array<float>, " if min_cos is not None else "") + "cluster_id long"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        known = out.read(before=batch_id)
-        got = dedup.attach_batch(known, batch, key=key)
-        out.write(batch.select("id", key).join(got, "id").select("id", key, "cluster_id"), batch_id)
+        known, near, among = out.read(before=batch_id), None, None
+        if min_cos is not None:
+            asked = batch.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+            found = lambda vectors, n, other: neighbours.search(asked, vectors.select("id", "vec").filter("vec is not null"), n, min_cos, other).select(
+                F.col("query_id").alias("id"), F.col("id").alias("neighbour_id"), "cos")
+            near, among = found(known, 1, False), found(batch, k, True)
+        got = dedup.attach_batch(known, batch, near, key, among)
+        out.write(batch.select(*kept).join(got, "id").select(*kept, "cluster_id"), batch_id)
 
     available_now(stream, each, checkpoint)
     return out

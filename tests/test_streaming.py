@@ -101,6 +101,19 @@ def test_message_categories(apply):
     assert apply(messages.category_of, ["news_ai", "news_tech", "other", None]) == ["ai", "tech", "other", None]
 
 
+def test_clusters_of_several_batches_use_vectors(spark, tmp_path):
+    src, schema = str(tmp_path / "in"), "id long, url_normalized string, vec array<float>"
+    batches = [
+        [(1, "u1", [1.0, 0.0, 0.0]), (2, "u2", [0.99, 0.05, 0.0]), (3, "u3", [0.0, 1.0, 0.0]), (4, None, None)],  # 1 and 2 are alike
+        [(5, "u3", [1.0, 0.0, 0.1]), (6, "u6", [0.0, 0.0, 1.0]), (7, "u7", [0.0, 0.99, 0.0]), (8, "u6", None), (9, "u9", [0.0, 0.1, 1.0])],
+    ]
+    for part in batches:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        out = flow.assign_clusters(spark.readStream.schema(schema).parquet(src), str(tmp_path / "out"), str(tmp_path / "ck"), min_cos=0.9)
+    got = {r.id: r.cluster_id for r in out.read().collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3, 6: 6, 7: 3, 8: 6, 9: 6}
+
+
 def test_item_store_keeps_first_and_last(spark, tmp_path):
     store = flow.ItemStore(spark, str(tmp_path / "store"), spark.createDataFrame([], flow.ARRIVALS).schema)
 
