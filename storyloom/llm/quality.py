@@ -6,7 +6,7 @@ of the index vectors of the units around its occurrences, so units used alike ar
 vectors, with the share of distinct words and the length beside it. A network with one hidden layer, trained in numpy, gives a
 logit, and a temperature fitted on labelled documents kept out of training turns it into a calibrated probability.
 
-Fitting, of vectors and network, reads at most `SAMPLE` labelled documents of a class; every document is scored whole. Defined
+Fitting, of vectors and network, reads about `SAMPLE` labelled documents of a class; every document is scored whole. Defined
 results: null and empty texts get the score of a text without tokens; repeated rows are scored each; a null id is kept, and is not
 held out; without labelled texts of both classes every score is 0.5; an empty table gives an empty result; other columns are not read.
 """
@@ -29,6 +29,7 @@ from storyloom.llm.registry import query
 SAMPLE, LEAST = 1500, 5  # labelled documents of a class used for fitting; occurrences of a word that gets a vector
 DIM, ONES, REACH = 64, 4, 2  # length of a vector, entries of an index vector that are not zero, words looked at on either side
 HIDDEN, EPOCHS, RATE, DECAY = 24, 300, 0.02, 1e-3
+STRETCH = 200_000  # tokens whose vectors are held at once while fitting
 EDGE = re.compile(r"^\W+|\W+$")
 MARKS = re.compile(r"\W+$")
 SCHEMA = "doc_id long, score double, predicted int"
@@ -78,14 +79,17 @@ class Vectors:
         index = np.stack([index_vector(u) for u in names])
         units, repeats = self.units(words)
         context = np.zeros_like(index)
-        own = index[units[0]] + index[units[1]] + repeats[:, None] * index[1]
         owner = np.repeat(np.arange(len(texts)), np.diff(words.offsets))
-        for away in range(1, REACH + 1):
-            same = np.flatnonzero(owner[away:] == owner[:-away])
-            for here, there in ((same, same + away), (same + away, same)):
-                for side in units:
-                    for d in range(DIM):
-                        context[:, d] += np.bincount(side[here], own[there, d], len(names))
+        for a in range(0, len(owner), STRETCH):  # memory for a stretch of tokens, however long the sample
+            z = slice(a, min(a + STRETCH + REACH, len(owner)))
+            own = index[units[0][z]] + index[units[1][z]] + repeats[z, None] * index[1]
+            for away in range(1, REACH + 1):
+                same = np.flatnonzero(owner[z][away:] == owner[z][:-away])
+                same = same[same < STRETCH]  # a pair belongs to the stretch of its first token
+                for here, there in ((same, same + away), (same + away, same)):
+                    for side in units:
+                        for d in range(DIM):
+                            context[:, d] += np.bincount(side[z][here], own[there, d], len(names))
         length = np.linalg.norm(context, axis=1, keepdims=True)
         self.rows = (index / np.sqrt(ONES) + context / np.maximum(length, 1e-9)).astype(np.float32)
 
@@ -109,9 +113,9 @@ class Vectors:
         docs, size = len(n), len(self.rows)
         owner = np.repeat(np.arange(docs), n)
         mean = np.zeros((docs, DIM))
-        for k in range(0, docs, 256):  # counts of units by document, then one product with the vectors
-            a, z = words.offsets[k], words.offsets[min(k + 256, docs)]
-            rows = min(256, docs - k)
+        for k in range(0, docs, 128):  # counts of units by document, then one product with the vectors
+            a, z = words.offsets[k], words.offsets[min(k + 128, docs)]
+            rows = min(128, docs - k)
             at = (owner[a:z] - k) * size
             counts = np.bincount(at + word[a:z], minlength=rows * size) + np.bincount(at + form[a:z], minlength=rows * size)
             mean[k : k + rows] = counts.reshape(rows, size).astype(np.float32) @ self.rows
@@ -158,7 +162,8 @@ def fit(sample: list) -> tuple[Vectors, Network] | None:
     if len(set(y.tolist())) < 2:
         return None
     vectors = Vectors([t for _, t, _ in sample])
-    return vectors, Network(vectors.pooled(pa.array([t for _, t, _ in sample], pa.string())), y)
+    parts = [vectors.pooled(pa.array([t for _, t, _ in sample[k : k + 256]], pa.string())) for k in range(0, len(sample), 256)]
+    return vectors, Network(np.concatenate(parts), y)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
