@@ -8,8 +8,8 @@ sample of documents gives the starting point, then every training document is re
 there, and the tasks' parameters are averaged by their tokens. Scoring multiplies the distinct contexts of a batch with all symbols
 at once and normalises exactly, so the model is a distribution over words, unseen ones sharing one half count per class.
 
-Corpus counts cover all training documents: words are counted in each batch, then summed in Spark. The `HEAD` most frequent
-counts are sent to the tasks; occurrences of rarer words are rows joined to their counts by word. Defined results: null and empty texts
+Corpus counts cover all training documents: words are counted in each batch, then summed in Spark. At most `HEAD` of the most
+frequent counts are sent to the tasks; occurrences of rarer words are rows joined to their counts by word. Defined results: null and empty texts
 are the end token alone; repeated rows are scored each; a null id counts as a training row; with no training rows counts are zero and
 every token has the uniform base; an empty table gives an empty result; other columns are not read.
 """
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import bounded_batches, fold, sums_by, table, with_text, words_of
+from storyloom.llm.common import bounded_batches, fold, in_share, sums_by, table, with_text, words_of
 from storyloom.llm.registry import query
 from storyloom.session import materialize
 
@@ -45,7 +45,7 @@ class Lexicon(NamedTuple):
     letters: list[str]
     counts: np.ndarray  # of each symbol in the training tokens
     kinds: np.ndarray  # distinct words of each symbol
-    head: pa.Array  # the most frequent words, sorted by nothing in particular
+    head: pa.Array  # the most frequent words, the most frequent first
     head_counts: np.ndarray
 
     def symbols(self, vocab: list[str]) -> np.ndarray:
@@ -168,7 +168,14 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def lexicon_of(counts: DataFrame) -> Lexicon:
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
+    # counts fall into steps of an eighth of a power of two; whole steps are taken from the top while they fit
+    step = F.floor(F.log2(F.col("c").cast("double")) * 8).cast("int")
+    sizes, taken, lowest = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), 0, 1 << 30
+    for r in sorted(sizes, key=lambda r: -r.step):
+        if taken + r.n > HEAD:
+            break
+        taken, lowest = taken + r.n, r.step
+    top = counts.filter(step >= lowest).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     head, head_counts = top.column("word").combine_chunks(), np.asarray(top.column("c").combine_chunks(), dtype=np.int64)
     listed = [w for w in head.slice(0, WORDS).to_pylist() if w != END]
     words = [END, *listed[: WORDS - 1]]
@@ -188,7 +195,7 @@ def train(docs: DataFrame, lexicon: Lexicon) -> LogBilinear:
     """Fit on all of `docs(doc_id, text)`."""
     spark = docs.sparkSession
     model, rng = LogBilinear(lexicon.counts), np.random.default_rng(5)
-    start = [r.text for r in docs.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE).select("text").collect()]
+    start = sorted(r.text for r in docs.filter(in_share(["text"], F.lit(SAMPLE), F.lit(max(1, docs.count())))).select("text").distinct().collect())
     if start:
         symbols, offsets, *_ = stream(lexicon, pa.array(start))
         ctx = contexts(symbols, offsets)
