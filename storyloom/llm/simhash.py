@@ -210,7 +210,25 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(x, root(x)) for x in parent if root(x) != x]
 
 
-def _join_blocks(orders: list, budget: int, bits: int, checks: list[str], allowed: int):
+def nearest_forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the given pairs, a spanning forest of them, the nearest first: every link is a pair that was met."""
+    parent: dict[int, int] = {}
+    keep = []
+    order = np.argsort(apart, kind="stable")
+    for k, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist()):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        while (up := parent.setdefault(y, y)) != y:
+            parent[y] = parent[up]
+            y = up
+        if x != y:
+            parent[x] = y
+            keep.append(k)
+    return a[keep], b[keep]
+
+
+def _join_blocks(orders: list, budget: int, bits: int, checks: list[str], allowed: int, apart: bool):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         order, x, y = orders[key[1]], key[3], key[4]
         equal = sum(w for _, w in _lead(order, budget))
@@ -220,21 +238,31 @@ def _join_blocks(orders: list, budget: int, bits: int, checks: list[str], allowe
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
         i, j = trie_links(moved[left], None if x == y else moved[right], budget, equal, bits)
         i, j = left[i], right[j]
-        if checks:
-            wide = [rows[c].to_numpy().view(np.uint64)[sort] for c in checks]
-            near = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in wide) <= allowed
-            i, j = i[near], j[near]
-        return pd.DataFrame(forest(ids[i], ids[j]), columns=["u", "v"], dtype="int64")
+        if not checks:
+            return pd.DataFrame(forest(ids[i], ids[j]), columns=["u", "v"], dtype="int64")
+        if apart:
+            group = rows["component"].to_numpy()[sort]
+            other = group[i] != group[j]
+            i, j = i[other], j[other]
+        wide = [rows[c].to_numpy().view(np.uint64)[sort] for c in checks]
+        differ = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in wide)
+        near = differ <= allowed
+        u, v = ids[i[near]], ids[j[near]]
+        if not apart:
+            u, v = nearest_forest(u, v, differ[near])
+        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}, dtype="int64")
 
     return run
 
 
 def hamming_links(prints: DataFrame, columns: list[str], budget: int, count: int, bits: int = BITS, checks: tuple = (), allowed: int = 0,
-                  block: int = BLOCK) -> DataFrame:
+                  block: int = BLOCK, apart: bool = False) -> DataFrame:
     """(u, v): links between ids that connect all rows of `prints(id, ...)`, `count` of them, that differ in at most `budget` of the
-    `bits` low bits of one of `columns`, and over all `checks` together in at most `allowed` bits."""
+    `bits` low bits of one of `columns`, and over all `checks` together in at most `allowed` bits. With `checks` a link is a pair that
+    differs so; with `apart` all such pairs are returned whose rows have different values of `component`."""
     orders = choices(budget, count, block, bits)
     wanted = max(0, (2 * count // block).bit_length())
+    extra = [*checks, *(["component"] if apart else [])]
     keys = []
     for c in columns:
         for k, order in enumerate(orders):
@@ -244,13 +272,13 @@ def hamming_links(prints: DataFrame, columns: list[str], budget: int, count: int
                 width += w
             keys.append(F.struct(F.lit(c).alias("print"), F.lit(k).alias("choice"), F.shiftright(value, max(0, width - wanted)).alias("top"), F.col(c).alias("fp")))
     group = ["print", "choice", "top"]
-    keyed = prints.select("id", *checks, F.explode(F.array(*keys)).alias("k")).select("id", *checks, "k.*")
+    keyed = prints.select("id", *extra, F.explode(F.array(*keys)).alias("k")).select("id", *extra, "k.*")
     sizes = keyed.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("n"))
     mine = keyed.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")))
     # a row of block b goes to every pair of blocks that b is in; a single block needs itself only
     pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select(
-        *group, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "fp", "block", *checks)
-    run = _join_blocks(orders, budget, bits, list(checks), allowed)
+        *group, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "fp", "block", *extra)
+    run = _join_blocks(orders, budget, bits, list(checks), allowed, apart)
     return pairs.groupBy(*group, "x", "y").applyInPandas(run, "u long, v long").distinct()
 
 
@@ -282,38 +310,107 @@ def _families(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack(out)
 
 
-FAMILIES, CHECKS = 6, 3  # 64-bit fingerprints of a text; those that confirm a link
-HALF, HALF_BUDGET = 32, 3
+FAMILIES, CHECKS = 8, 3  # 64-bit fingerprints of a text; those that a candidate link is judged by
+HALF, HALF_BUDGET = 32, 4
+SHORT = 64  # distinct shingles up to which texts meet by shingles; their bits say too little
 
 
 def allowed_bits(similarity: float, bits: int) -> int:
-    """How many of `bits` bits two sets of equal size with this Jaccard similarity may differ in, two deviations above the mean."""
+    """How many of `bits` bits two sets of equal size with this Jaccard similarity may differ in, four deviations above the mean."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + 2 * np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + 4 * np.sqrt(bits * p * (1 - p)))
 
 
-def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) by similarity: about 15 % of the bits of two texts with a Jaccard similarity of 0.8 differ, too many
-    for one trie with a small budget. So a text gets six fingerprints of 64 bits, and texts meet where any of the twelve halves differs in
-    at most three bits (97 % of the pairs at 0.8, more above); a link is confirmed by all bits of three fingerprints together."""
-    words = [f"w{k}" for k in range(FAMILIES)]
+def _set_prints(size: int):
+    """A row per text: its keys, its distinct shingles (all of a short text, none of a longer one), their number, their digest and fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, counts, digests, short = [], [], [], []
+            for part in hashed_slices(batch.column("text"), size):
+                hashes, offsets = _distinct(*part)
+                prints.append(_families(hashes, offsets))
+                n = np.diff(offsets)
+                counts.append(n)
+                digests += [xxhash.xxh64_intdigest(hashes[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])]
+                short += [hashes[a:b].view(np.int64) if b - a <= SHORT else [] for a, b in zip(offsets, offsets[1:])]
+            wide = np.concatenate(prints, axis=1) if prints else np.zeros((FAMILIES, 0), np.uint64)
+            n = np.concatenate([*counts, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), pa.array(n),
+                 pa.array(short, pa.list_(pa.int64())), *(pa.array(p.view(np.int64)) for p in wide)],
+                names=["doc_id", "text_key", "id", "n", "hashes", *(f"w{k}" for k in range(FAMILIES))])
+
+    return run
 
+
+def _shingle_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [_families(*_distinct(*part)) for part in hashed_slices(batch.column("text"), size)]
-            prints = np.concatenate(parts, axis=1) if parts else np.zeros((FAMILIES, 0), np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p.view(np.int64)) for p in prints)], names=["doc_id", *words])
+            at = 0
+            for part in hashed_slices(batch.column("text"), size):
+                hashes, offsets = _distinct(*part)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(lists)), lists], names=["id", "hashes"])
+                at += len(lists)
 
-    schema = "doc_id long, " + ", ".join(f"{w} long" for w in words)
-    prints = materialize(with_text(docs).select("doc_id", "text").mapInArrow(run, schema), "simhash")
-    classes = materialize(prints.groupBy(*words).agg(F.min("doc_id").alias("id")).filter("id is not null"), "prints")
+    return run
+
+
+def short_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of all `sets(id, n, hashes)` that may be as similar: such sets share one of the rarest shingles of either, as many of
+    them as may be missing in the other and one more."""
+    each = materialize(sets.filter("n > 0").select("id", "n", F.explode("hashes").alias("h")), "short-shingles")
+    ranked = each.join(each.groupBy("h").agg(F.count("*").alias("c")), "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("by"))
+    lead = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
+    rare = materialize(ranked.select("id", "n", F.explode(F.slice("by", F.lit(1), lead)).alias("k")).filter("k.c > 1").select("id", "n", F.col("k.h").alias("h")), "short-leads")
+    other = rare.select(F.col("id").alias("v"), F.col("n").alias("m"), "h")
+    alike = F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9
+    return rare.join(other, "h").filter((F.col("id") < F.col("v")) & alike).select(F.col("id").alias("u"), "v").distinct()
+
+
+def similar_pairs(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The `pairs(u, v)` whose sets of shingles have this Jaccard similarity; only texts that occur in a pair are cut again."""
+    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    wanted = classes.join(ids, "id").select("id", "text_key")
+    once = texts.join(wanted, "text_key").groupBy("id").agg(F.min("text").alias("text"))
+    sets = materialize(once.mapInArrow(_shingle_sets(size), "id long, hashes array<long>"), "shingle-sets")
+    met = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v")
+    both = F.size(F.array_intersect("a", "b"))
+    return met.filter(both >= (F.size("a") + F.size("b") - both) * similarity - 1e-9).select("u", "v")
+
+
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): texts are linked if the Jaccard similarity of their sets of shingles is at least `similarity`.
+
+    About 15 % of the bits of two texts at 0.8 differ, too many for one trie with a small budget. So a text gets eight fingerprints of
+    64 bits, and texts are candidates where any of the sixteen halves differs in at most four bits and three fingerprints together in no
+    more than four deviations above the mean: all pairs but one in ten thousand at 0.8, fewer above. Short texts are candidates by
+    their rarest shingles, without a loss. Candidates are compared by their shingles: first a forest of the nearest, then every
+    candidate pair that confirmed links do not join yet, so a group of copies is never compared pair by pair."""
+    words = [f"w{k}" for k in range(FAMILIES)]
+    keyed = with_text(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    schema = "doc_id long, text_key long, id long, n long, hashes array<long>, " + ", ".join(f"{w} long" for w in words)
+    prints = materialize(keyed.mapInArrow(_set_prints(size), schema), "simhash")
+    classes = materialize(prints.groupBy("id").agg(
+        F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.min("hashes").alias("hashes"), *(F.min(w).alias(w) for w in words)), "prints")
     halves = [F.shiftrightunsigned(w, low).bitwiseAND(F.lit((1 << HALF) - 1)).alias(f"{w}_{low}") for w in words for low in (0, HALF)]
-    columns = [f"{w}_{low}" for w in words for low in (0, HALF)]
-    links = hamming_links(classes.select("id", *halves, *words[:CHECKS]), columns, HALF_BUDGET, classes.count(), HALF,
-                          tuple(words[:CHECKS]), allowed_bits(similarity, BITS * CHECKS))
+    columns, checks = [f"{w}_{low}" for w in words for low in (0, HALF)], tuple(words[:CHECKS])
+    allowed = allowed_bits(similarity, BITS * CHECKS)
+    # a set longer than the short ones is similar only to sets that are nearly as long
+    long = classes.filter(F.col("n") >= (SHORT + 1) * similarity - 1e-9).select("id", *halves, *checks)
+    first = materialize(hamming_links(long, columns, HALF_BUDGET, long.count(), HALF, checks, allowed).unionByName(
+        short_pairs(classes.filter(F.col("n") <= SHORT).select("id", "n", "hashes"), similarity)).distinct(), "candidates")
+    sure = materialize(similar_pairs(first, classes, keyed, size, similarity), "copies")
+    # a text without a candidate is in no pair of the second round either
+    met = first.select(F.col("u").alias("id")).unionByName(first.select(F.col("v").alias("id"))).distinct()
+    apart = materialize(long.join(met, "id").join(connected_components(sure), "id", "left").withColumn("component", F.coalesce("component", "id")), "apart")
+    rest = materialize(hamming_links(apart, columns, HALF_BUDGET, apart.count(), HALF, checks, allowed, apart=True).join(first, ["u", "v"], "left_anti"), "candidates")
+    links = sure.unionByName(similar_pairs(rest, classes, keyed, size, similarity))
     comp = connected_components(links)
-    roots = classes.join(comp, "id", "left").select(*words, F.coalesce("component", "id").alias("component_id"))
-    return prints.join(roots, words).select("doc_id", "component_id")
+    whole = prints.select("doc_id", "id").join(comp, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
+    named = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return whole.join(named, "component").select("doc_id", "component_id")
 
 
 @query("op6_simhash")

@@ -86,6 +86,26 @@ def test_near_copies_by_similarity(spark, no_docs):
     assert simhash.near_copies(no_docs).count() == 0
 
 
+def test_near_copies_are_those_of_the_similarity(spark):
+    """Texts of any length, below, at and above 0.8, one contained in another, and chains: components of brute force."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for n in (5, 6, 8, 10, 14, 30, 60, 70, 90, 200, 400):
+        for part in (0.5, 0.6, 0.67, 0.7, 0.75, 0.79, 0.8, 0.82, 0.9):
+            for _ in range(3):
+                words = [word() for _ in range(n + 4)]
+                texts.append(words)
+                texts.append(words[: round(n * part) + 4])  # contained: the similarity is the part
+                same = round(2 * n * part / (1 + part))
+                texts.append(words[: same + 4] + [word() for _ in range(n - same)])
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    alike = [(a, b) for a in range(len(texts)) for b in range(max(0, a - 2), a) if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == components(len(texts), alike)
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((30, 64))
