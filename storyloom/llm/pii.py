@@ -3,11 +3,11 @@
 Seed entities come from four patterns with their checks. Their mentions induce lexical patterns: the word before and the
 word after. A graph links each pattern to the distinct values it surrounds, seeds and candidates alike; candidates
 are strings shaped like an identifier that no seed covers: an address without a dotted host, a telephone number without its
-plus, a colon-separated network address. Spark scores the graph round by round: a pattern by the part of all
+plus, a colon-separated network address, a run of digits as long as a card's that fails its check or is parted otherwise. Spark scores the graph round by round: a pattern by the part of all
 occurrences of its word in the corpus that stand beside confident values, a value by the patterns it occurs in. After the last round candidates above the
 threshold join the seeds as spans.
 
-Only documents that hold a digit or an at sign are split at all, and the graph is grouped by (pattern, value) before any join, so
+Only documents that hold a digit, an at sign or a colon are split at all, and the graph is grouped by (pattern, value) before any join, so
 a value or a context that fills a third of the table is one edge. Offsets are code points, end exclusive. Defined results: null
 and empty texts have no spans; repeated rows are found each on their own; a null id is kept; an empty table gives an empty
 result; other columns are not read.
@@ -36,11 +36,15 @@ SEEDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]{2}", "phone": "[0-9]"}  # what a text must hold to be searched for a kind
+GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}+"  # of a colon address, on one side of its gap
 CANDIDATES = {
     "email": r"(?<![^\s])[^\s@]++@[^\s@]++",
-    "phone": r"(?<![^\s])\(?[0-9][0-9().-]*+(?:\x20[0-9(][0-9().-]*+)++",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){3,7}+[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "phone": r"(?<![^\s])\(?[0-9][0-9().-]*+(?:\x20[0-9(][0-9().-]*+)*+",
+    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){3,7}+[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
+          rf"|(?<![0-9A-Za-z:])(?:{GROUPS})?::(?:{GROUPS})?(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9])(?<![0-9][\x20./_-])[0-9](?:[\x20./_-]?[0-9]){12,18}+(?![\x20./_-]?[0-9])",
 }
+MAY_NEED = NEEDS | {"ip": ":[0-9A-Fa-f:]"}  # the same for candidates
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
@@ -85,10 +89,10 @@ def located(text: Column, pattern: str) -> Column:
     return F.aggregate(steps, begin, step, lambda a: F.filter(a["out"], lambda m: m["value"].isNotNull()))
 
 
-def _found(text: Column, kind: str, pattern: str) -> Column:
+def _found(text: Column, kind: str, pattern: str, need: str) -> Column:
     """Matches as (kind, start, end, value); a text without what the kind needs is not searched."""
     spans = F.transform(located(text, pattern), lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
-    return F.when(text.rlike(NEEDS[kind]), spans).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(need), spans).otherwise(F.array().cast(SPANS))
 
 
 def _passing(spans: str, kind: str, test) -> Column:
@@ -105,8 +109,8 @@ SPANS = "array<struct<kind:string,start:long,end:long,value:string>>"
 def mentions(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, base, near): the seeds of each document, and every mention of a seed or candidate with its context."""
     text = F.col("text")
-    seeds = docs.select("doc_id", "text", *(_found(text, k, SEEDS[k]).alias(f"s_{k}") for k in KINDS),
-                        *(_found(text, k, CANDIDATES[k]).alias(f"c_{k}") for k in CANDIDATES))
+    seeds = docs.select("doc_id", "text", *(_found(text, k, SEEDS[k], NEEDS[k]).alias(f"s_{k}") for k in KINDS),
+                        *(_found(text, k, CANDIDATES[k], MAY_NEED[k]).alias(f"c_{k}") for k in CANDIDATES))
     checked = seeds.select(
         "doc_id", "text",
         F.concat(*(_passing(f"s_{k}", k, _valid) for k in KINDS)).alias("base"),
@@ -127,7 +131,11 @@ def mentions(docs: DataFrame) -> DataFrame:
 
 def _plausible(kind: str, s: Column) -> Column:
     n = F.length(_digits(s))
-    return (n >= 7) & (n <= 15) if kind == "phone" else F.lit(True)
+    if kind == "phone":
+        return (n >= 7) & (n <= 15)
+    if kind == "card":
+        return (n >= 13) & (n <= 19)
+    return s.rlike("[0-9A-Fa-f]") if kind == "ip" else F.lit(True)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

@@ -139,6 +139,29 @@ def test_bootstrapping_finds_identifiers_in_trusted_contexts(spark, odd_docs, no
     assert pii.personal_data(no_docs).count() == 0
 
 
+def test_candidates_of_every_shape_are_masked_in_trusted_contexts(spark):
+    rows = [(k, f"dial: +1 (212) 555-0{k:03d} now") for k in range(40)]
+    rows += [(100 + k, f"host: 10.0.{k}.7 up") for k in range(40)]
+    rows += [(200 + k, f"charged: {n} paid") for k, n in enumerate(luhn_numbers(40))]
+    cases = {300: ("phone", "dial:", "212-555-0199", "now"), 301: ("phone", "dial:", "(212)555-0199", "now"), 302: ("phone", "dial:", "212.555.0199", "now"),
+             303: ("phone", "dial:", "2125550199", "now"), 304: ("card", "charged:", "4111.1111.1111.1112", "paid"), 305: ("card", "charged:", "4111111111111112", "paid"),
+             306: ("ip", "host:", "fe80::1", "up"), 307: ("ip", "host:", "fe80::ab", "up"), 308: ("ip", "host:", "::1", "up"), 309: ("ip", "host:", "2001:db8::", "up")}
+    rows += [(i, f"{before} {v} {after}") for i, (_, before, v, after) in cases.items()]
+    rows += [(400, "std::map and :: and a 3125550177 of 4222222222222223"), (401, "host: std::map up")]
+    got = {r.doc_id: {(m.kind, m.value) for m in r.added} for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: (kind, value) in got[i] for i, (kind, _, value, _) in cases.items()} == dict.fromkeys(cases, True)
+    assert not got[400] and not got[401] and all(len(got[i]) == 1 for i in cases)
+
+
+def luhn_numbers(n: int) -> list[str]:
+    out = []
+    for k in range(n):
+        head = f"400000000000{k:03d}"
+        total = sum(d if i % 2 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, head)))
+        out.append(f"{head}{-total % 10}")
+    return out
+
+
 def test_masking(spark):
     spans = [("email", 3, 8, "x"), ("card", 10, 14, "y"), ("phone", 9, 12, "z")]
     df = spark.createDataFrame([("ab a@b.cd 1234 é", spans), ("none", [])], f"text string, spans {pii.SPANS}")
