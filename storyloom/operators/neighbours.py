@@ -206,35 +206,31 @@ def neighbours(vectors: DataFrame, min_cos: float, k: int = 5, block_rows: int =
 def search(queries: DataFrame, vectors: DataFrame, k: int, min_cos: float, exclude_self: bool = False) -> DataFrame:
     """(query_id, id, cos, rank): top k of `vectors(id, vec)` for each of `queries(query_id, query_vec)`, rank from 0.
 
-    Queries travel to the tasks in blocks of about QUERY_BLOCK, each as one matrix of bounded size; for each block the
-    vectors are read once without a shuffle, and each batch keeps its best k per query."""
+    Queries and vectors are dealt into blocks by a hash of their ids; every block of queries meets every block of vectors in a task
+    of its own, as one matrix product that keeps the best k per query. No row passes through the driver."""
     q = queries.filter(F.col("query_vec").isNotNull()).select(
-        F.col("query_id").cast("long").alias("query_id"), F.col("query_vec").cast("array<float>").alias("query_vec")
+        F.col("query_id").cast("long").alias("id"), F.col("query_vec").cast("array<float>").alias("vec")
     )
     v = _nonzero(vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")))
-    schema = "query_id long, id long, cos double"
+    q_blocks, v_blocks = max(1, math.ceil(q.count() / QUERY_BLOCK)), max(1, math.ceil(v.count() / BLOCK_ROWS))
 
-    def top(q_ids, q_unit, ids, m) -> pa.Table:
-        cos = q_unit @ _unit(m).T
+    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int, side: int) -> DataFrame:
+        return df.select("id", "vec", F.lit(side).alias("side"), F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int").alias(own),
+                         F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
+
+    def meet(t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        asked, met = t.filter(pa.array(side == 0)), t.filter(pa.array(side == 1))
+        q_ids, ids = asked.column("id").to_numpy(), met.column("id").to_numpy()
+        if not len(q_ids) or not len(ids):
+            return pa.table({"query_id": q_ids[:0], "id": ids[:0], "cos": np.zeros(0)})
+        cos = _unit(_matrix(asked.column("vec"))) @ _unit(_matrix(met.column("vec"))).T
         if exclude_self:
             cos[q_ids[:, None] == ids[None, :]] = -2.0
         r, c = _best(cos, ids, k, min_cos)
         return pa.table({"query_id": q_ids[r], "id": ids[c], "cos": cos[r, c]})
 
-    blocks = math.ceil(q.count() / QUERY_BLOCK)
-    found = queries.sparkSession.createDataFrame([], schema)
-    for block in range(blocks):
-        rows = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
-        if not rows:
-            continue
-        q_ids = np.array([r.query_id for r in rows], dtype=np.int64)
-        q_unit = _unit(np.array([r.query_vec for r in rows], dtype=np.float64))
-
-        def scan(batches: Iterator[pa.RecordBatch], q_ids=q_ids, q_unit=q_unit) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    yield from top(q_ids, q_unit, b.column("id").to_numpy(), _matrix(b.column("vec"))).to_batches()
-
-        found = found.unionByName(v.mapInArrow(scan, schema))
+    both = dealt(q, "qb", q_blocks, "vb", v_blocks, 0).unionByName(dealt(v, "vb", v_blocks, "qb", q_blocks, 1))
+    found = both.groupBy("qb", "vb").applyInArrow(meet, "query_id long, id long, cos double")
     best = Window.partitionBy("query_id").orderBy(F.desc("cos"), "id")
     return found.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < k)

@@ -90,6 +90,15 @@ def test_one_story_goes_out_once(spark):
     assert sorted(r.id for r in scoring.push_candidates(df).collect()) == [2, 3, 4, 6] == sorted(r.id for r in scoring.channel_candidates(df).collect())
 
 
+def test_search_brings_no_rows_to_the_driver(spark, monkeypatch):
+    v = spark.createDataFrame(list(vector_fixture().items()), "id long, vec array<float>")
+    q = v.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    with monkeypatch.context() as m:
+        m.setattr(type(v), "collect", lambda self: pytest.fail("rows collected"))
+        found = neighbours.search(q, v, 3, 0.1)
+    assert found.count() > 0
+
+
 def test_search_paths_agree(spark, monkeypatch):
     vecs = vector_fixture()
     v = spark.createDataFrame(list(vecs.items()), "id long, vec array<float>")
