@@ -30,8 +30,7 @@ from pyspark.sql import functions as F
 
 from storyloom.llm.common import bounded_batches, table
 from storyloom.llm.registry import query
-from storyloom.llm.simhash import forest
-from storyloom.operators.dedup import connected_components
+from storyloom.operators.dedup import connected_components, forest
 from storyloom.session import materialize
 
 PROJECTIONS, FIRST = 32, 8  # directions; those counted for every pair of a block pair

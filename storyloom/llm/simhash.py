@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from storyloom.llm.common import table, with_text, words_of
 from storyloom.llm.registry import query
-from storyloom.operators.dedup import connected_components
+from storyloom.operators.dedup import connected_components, forest
 from storyloom.session import materialize
 
 BITS, SEED = 64, 42
@@ -192,24 +192,6 @@ def _compare(left: np.ndarray, right: np.ndarray, pairs: np.ndarray, budget: int
         found_j.append(j[near])
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what the given links connect, as few as possible, each to the smallest value of its group."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist()):
-        p, q = root(x), root(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-    return [(x, root(x)) for x in parent if root(x) != x]
-
-
 def nearest_forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Some of the given pairs, a spanning forest of them, the nearest first: every link is a pair that was met."""
     parent: dict[int, int] = {}

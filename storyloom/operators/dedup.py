@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,24 @@ def _mark(edges: DataFrame) -> tuple:
     return r.n, r.h
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what the given links connect, as few as possible, each to the smallest value of its group."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = root(x), root(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+    return [(x, root(x)) for x in parent if root(x) != x]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every vertex of `edges(u, v)`; the component is its smallest vertex.
 

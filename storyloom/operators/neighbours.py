@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyloom.operators.dedup import forest
 from storyloom.session import materialize
 
 BLOCK_ROWS = 4096
@@ -93,9 +94,10 @@ def _block_pairs(rings: list, pivots: np.ndarray, max_angle: float) -> list[tupl
     return out
 
 
-def similar_representatives(reps: DataFrame, min_cos: float, k: int | None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_representatives(reps: DataFrame, min_cos: float, k: int | None, block_rows: int = BLOCK_ROWS, spanning: bool = False) -> DataFrame:
     """(id, other, cos) in both directions for all pairs of `reps(id, vec)` with cos >= min_cos; with `k` at least the
-    best k of each id (ties to smaller ids), possibly a few more."""
+    best k of each id (ties to smaller ids), possibly a few more; `spanning`: links (id, other, null) that connect what all
+    those pairs connect, a forest for each meeting of blocks."""
     spark = reps.sparkSession
     total = reps.count()
     n_pivots = max(1, min(MAX_PIVOTS, total // block_rows))
@@ -159,6 +161,10 @@ def similar_representatives(reps: DataFrame, min_cos: float, k: int | None, bloc
         cos = m[li] @ m[ri].T
         if alone:
             np.fill_diagonal(cos, -2.0)
+        if spanning:
+            r, c = np.nonzero(cos >= min_cos)
+            tree = np.array(forest(ids[li][r], ids[ri][c]), dtype=np.int64).reshape(-1, 2)
+            return pa.table({"id": tree[:, 0], "other": tree[:, 1], "cos": pa.nulls(len(tree), pa.float64())})
         limit = k if k is not None else cos.size + 1
         r, c = _best(cos, ids[ri], limit, min_cos)
         found = [(ids[li][r], ids[ri][c], cos[r, c])]
@@ -203,6 +209,16 @@ def neighbours(vectors: DataFrame, min_cos: float, k: int = 5, block_rows: int =
     )
 
 
+def linked(vectors: DataFrame, min_cos: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, neighbour_id): links that connect all of `vectors(id, vec)` with cos >= min_cos, directly or by others. Equal vectors
+    hang on the smallest id of theirs, so copies take no place from other neighbours."""
+    v = _nonzero(vectors.select("id", F.col("vec").cast("array<float>").alias("vec")))
+    reps = materialize(v.groupBy("vec").agg(F.min("id").alias("rep")), "reps")
+    copies = v.join(reps, "vec").filter("id <> rep").select("id", F.col("rep").alias("neighbour_id"))
+    pairs = similar_representatives(reps.select(F.col("rep").alias("id"), "vec"), min_cos, None, block_rows, spanning=True)
+    return pairs.select("id", F.col("other").alias("neighbour_id")).unionByName(copies if min_cos <= 1.0 else copies.limit(0))
+
+
 def search(queries: DataFrame, vectors: DataFrame, k: int, min_cos: float, exclude_self: bool = False) -> DataFrame:
     """(query_id, id, cos, rank): top k of `vectors(id, vec)` for each of `queries(query_id, query_vec)`, rank from 0.
 

@@ -166,11 +166,11 @@ def enrich(
 
 
 def assign_clusters(
-    stream: DataFrame, out_path: str, checkpoint: str, key: str = "url_normalized", min_cos: float | None = None, k: int = 10
+    stream: DataFrame, out_path: str, checkpoint: str, key: str = "url_normalized", min_cos: float | None = None
 ) -> BatchTable:
     """`stream(id, <key>)` → (id, key, cluster_id), each batch against the clusters known so far. With `min_cos` the stream has
-    vectors (`vec`) as well: a newcomer without a known URL joins its nearest known item, and newcomers are linked to their `k`
-    nearest within the batch."""
+    vectors (`vec`) as well: a newcomer without a known URL joins its nearest known item, and all newcomers of a batch that are as
+    similar are linked."""
     spark = stream.sparkSession
     kept = ["id", key] + (["vec"] if min_cos is not None else [])
     out = BatchTable(spark, out_path, _schema(spark, f"id long, {key} string, " + ("vec array<float>, " if min_cos is not None else "") + "cluster_id long"))
@@ -179,9 +179,9 @@ def assign_clusters(
         known, near, among = out.read(before=batch_id), None, None
         if min_cos is not None:
             asked = batch.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
-            found = lambda vectors, n, other: neighbours.search(asked, vectors.select("id", "vec").filter("vec is not null"), n, min_cos, other).select(
+            near = neighbours.search(asked, known.select("id", "vec").filter("vec is not null"), 1, min_cos).select(
                 F.col("query_id").alias("id"), F.col("id").alias("neighbour_id"), "cos")
-            near, among = found(known, 1, False), found(batch, k, True)
+            among = neighbours.linked(batch.select("id", "vec"), min_cos)
         got = dedup.attach_batch(known, batch, near, key, among)
         out.write(batch.select(*kept).join(got, "id").select(*kept, "cluster_id"), batch_id)
 

@@ -114,6 +114,15 @@ def test_clusters_of_several_batches_use_vectors(spark, tmp_path):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3, 6: 6, 7: 3, 8: 6, 9: 6}
 
 
+def test_groups_of_copies_do_not_hide_a_link(spark, tmp_path):
+    """Two groups of 15 alike vectors, equal and nearly so, whose nearest are their own: one story all the same."""
+    src, schema = str(tmp_path / "in"), "id long, url_normalized string, vec array<float>"
+    rows = [(k, f"u{k}", [1.0, 0.001 * (k % 5), 0.0] if k < 15 else [0.9, 0.43, 0.001 * (k % 5)]) for k in range(30)] + [(30, "u30", [0.0, 0.0, 1.0])]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
+    out = flow.assign_clusters(spark.readStream.schema(schema).parquet(src), str(tmp_path / "out"), str(tmp_path / "ck"), min_cos=0.85)
+    assert {r.id: r.cluster_id for r in out.read().collect()} == dict.fromkeys(range(30), 0) | {30: 30}
+
+
 def test_item_store_keeps_first_and_last(spark, tmp_path):
     store = flow.ItemStore(spark, str(tmp_path / "store"), spark.createDataFrame([], flow.ARRIVALS).schema)
 
