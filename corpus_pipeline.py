@@ -24,13 +24,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id; of repeated rows of that id, the first by content.
-    Rows without an id cannot stand for a group or be named by one; they stay."""
+    """One row of each group of near copies: one with the smallest id, the first by content. Rows that share an id but hold different
+    texts are judged by their texts. Rows without an id cannot stand for a group; they stay."""
     docs = docs.select(*COLUMNS)
     named = docs.filter("doc_id is not null")
-    first = simhash.near_copies(named).filter("doc_id = component_id").select("doc_id").distinct()
-    once = named.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")).select("doc_id", "row.*")
-    return once.join(first, "doc_id").unionByName(docs.filter("doc_id is null"))
+    first = simhash.near_copies(named).filter("doc_id = component_id").select("doc_id", "text_key", "component").distinct()
+    keyed = named.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    once = keyed.join(first, ["doc_id", "text_key"]).groupBy("doc_id", "component").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
+    return once.select("doc_id", "row.*").unionByName(docs.filter("doc_id is null"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

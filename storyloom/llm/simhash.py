@@ -363,7 +363,9 @@ def similar_pairs(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size:
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): texts are linked if the Jaccard similarity of their sets of shingles is at least `similarity`.
+    """(doc_id, text_key, component, component_id): texts are linked if the Jaccard similarity of their sets of shingles is at least
+    `similarity`. Components are of texts (text_key is their XXH64), so different texts of one id stay apart; component_id is the
+    smallest doc_id of a component.
 
     About 15 % of the bits of two texts at 0.8 differ, too many for one trie with a small budget. So a text gets eight fingerprints of
     64 bits, and texts are candidates where any of the sixteen halves differs in at most four bits and three fingerprints together in no
@@ -390,9 +392,9 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     rest = materialize(hamming_links(apart, columns, HALF_BUDGET, apart.count(), HALF, checks, allowed, apart=True).join(first, ["u", "v"], "left_anti"), "candidates")
     links = sure.unionByName(similar_pairs(rest, classes, keyed, size, similarity))
     comp = connected_components(links)
-    whole = prints.select("doc_id", "id").join(comp, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
+    whole = prints.select("doc_id", "text_key", "id").join(comp, "id", "left").select("doc_id", "text_key", F.coalesce("component", "id").alias("component"))
     named = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return whole.join(named, "component").select("doc_id", "component_id")
+    return whole.join(named, "component").select("doc_id", "text_key", "component", "component_id")
 
 
 @query("op6_simhash")

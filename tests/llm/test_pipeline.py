@@ -62,3 +62,12 @@ def test_stages_take_empty_and_repeated_rows(spark, planted):
     for name, stage in P.STAGES:
         assert stage(spark, docs.limit(0), planted).count() == 0
         assert stage(spark, twice, planted).count() > 0, name
+
+
+def test_texts_of_one_id_are_judged_each(spark, planted):
+    rng = random.Random(3)
+    one, two, three = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80)) for _ in range(3))
+    rows = [(7, one), (7, two), (7, two), (5, one), (9, two), (9, three), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.doc_id, r.text or "") for r in P.one_of_each_group(spark, docs, planted).collect())
+    assert kept == sorted([(5, one), (7, two), (9, three), (7, "")])
