@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from storyloom.llm import chat, decontaminate, embeddings, neural_lm, packing, pii, quality, sequence_files, simhash, toxicity, urls  # noqa: F401
+from storyloom.llm import (  # noqa: F401
+    alignment, chat, decontaminate, embeddings, neural_lm, packing, pii, quality, sequence_files, simhash, toxicity, urls, vector_codes,
+)
 from storyloom.llm import registry
 
 
