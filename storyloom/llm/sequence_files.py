@@ -1,9 +1,9 @@
 """Token ids in Arrow files of equal-length sequences.
 
 A file is Arrow's stream of record batches between two magic numbers, with a footer that names the place of every batch. Its batches
-hold the same number of rows, and a row is two fixed-size lists, `ids` (unsigned 32-bit) and `mask` (one byte, 1 for an id and 0 for
-padding), so sequence i of a file is found by one division and read as a view of the mapped file: no copy, no decoding. A file beside it
-lists the documents in order with the place of their first id in the file.
+hold the same number of rows, and a row is two fixed-size lists, `ids` (the narrowest unsigned integers that hold the vocabulary) and
+`mask` (Arrow's packed booleans, true for an id and false for padding), so sequence i of a file is found by one division and read as a
+view of the mapped file: no copy, no decoding. A file beside it lists the documents in order with the place of their first id in the file.
 
 Documents are written in ascending order of their ids. Spark sorts them by range; each range is one file, encoded and written as its
 rows stream by, with at most one batch and one text in memory. Only the last sequence of a file is padded. A task writes under a name
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import bounded_batches, table, with_text
-from storyloom.llm.encoding import TextIds, slices
+from storyloom.llm.encoding import slices, text_ids
 from storyloom.llm.registry import query
 from storyloom.session import materialize, scratch_path
 
@@ -38,8 +38,9 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 INDEX_ROWS = 4096
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([pa.field("ids", pa.list_(pa.uint32(), length), nullable=False), pa.field("mask", pa.list_(pa.uint8(), length), nullable=False)])
+def _schema(length: int, largest: int) -> pa.Schema:
+    kind = next(t for t, top in ((pa.uint8(), 1 << 8), (pa.uint16(), 1 << 16), (pa.uint32(), 1 << 32)) if largest < top)
+    return pa.schema([pa.field("ids", pa.list_(kind, length), nullable=False), pa.field("mask", pa.list_(pa.bool_(), length), nullable=False)])
 
 
 def _index_path(path: str) -> str:
@@ -47,12 +48,13 @@ def _index_path(path: str) -> str:
 
 
 class Writer:
-    """One file of sequences and the file of its documents; ids are buffered up to a batch."""
+    """One file of sequences and the file of its documents; ids, none above `largest`, are buffered up to a batch."""
 
-    def __init__(self, path: str, length: int, rows: int):
+    def __init__(self, path: str, length: int, rows: int, largest: int):
         where, name = fs.FileSystem.from_uri(path)
         where.create_dir(name.rpartition("/")[0], recursive=True)
-        self.length, self.room, self.schema = length, length * rows, _schema(length)
+        self.length, self.room, self.schema = length, length * rows, _schema(length, largest)
+        self.kind = self.schema.field("ids").type.value_type.to_pandas_dtype()
         self.sinks = [where.open_output_stream(name), where.open_output_stream(_index_path(name))]
         self.out, self.index = pa.ipc.new_file(self.sinks[0], self.schema), pa.ipc.new_file(self.sinks[1], INDEX)
         self.held, self.n_held, self.rows, self.n_docs, self.n_ids = [], 0, [], 0, 0
@@ -61,7 +63,7 @@ class Writer:
         """Documents with their ids, the end id included."""
         self.rows += zip(doc_ids, (self.n_ids + bounds[:-1]).tolist(), np.diff(bounds).tolist())
         self.n_docs, self.n_ids = self.n_docs + len(doc_ids), self.n_ids + len(ids)
-        self.held.append(ids.astype("<u4"))
+        self.held.append(ids.astype(self.kind))
         self.n_held += len(ids)
         if self.n_held >= self.room:
             flat = np.concatenate(self.held)
@@ -74,8 +76,7 @@ class Writer:
 
     def _batch(self, flat: np.ndarray, n: int) -> None:
         """The first `n` of these ids are real."""
-        mask = np.zeros(len(flat), dtype=np.uint8)
-        mask[:n] = 1
+        mask = np.arange(len(flat)) < n
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)]
         self.out.write_batch(pa.record_batch(lists, schema=self.schema))
 
@@ -85,9 +86,9 @@ class Writer:
         self.rows = []
 
     def close(self) -> None:
-        flat = np.concatenate([*self.held, np.zeros(0, "<u4")])
+        flat = np.concatenate([*self.held, np.zeros(0, self.kind)])
         if len(flat):
-            self._batch(np.append(flat, np.zeros(-len(flat) % self.length, "<u4")), len(flat))
+            self._batch(np.append(flat, np.zeros(-len(flat) % self.length, self.kind)), len(flat))
         self._index()
         for x in (self.out, self.index, *self.sinks):
             x.close()
@@ -111,19 +112,21 @@ class Sequences:
     def __len__(self) -> int:
         return self.count
 
-    def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and the mask of batch k, a row per sequence."""
+    def batch(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """The ids of batch k, a row per sequence, and its masks one after the other."""
         if k != self.at:
             b = self.reader.get_batch(k)
-            self.flat = tuple(b.column(c).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length) for c in (0, 1))
+            self.flat = b.column(0).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length), b.column(1).flatten()
             self.at = k
         return self.flat
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """The ids and the mask of sequence i."""
         if not 0 <= i < self.count:
             raise IndexError(i)
         ids, mask = self.batch(i // self.rows)
-        return ids[i % self.rows], mask[i % self.rows]
+        at = i % self.rows
+        return ids[at], mask.slice(at * self.length, self.length)
 
     def span(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from `start` on, `n` of them, as views of one batch after the other."""
@@ -153,11 +156,11 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str, length: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, out, part = TextIds(tokenizer), None, TaskContext.get().partitionId()
+        encode, out, part = text_ids(tokenizer), None, TaskContext.get().partitionId()
         path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrow"
         for batch in batches:
             for at, texts in slices(batch.column("text")):
-                out = out or Writer(path, length, rows)
+                out = out or Writer(path, length, rows, max(end_id, len(encode.tokenizer.bytes) - 1))
                 ids, bounds = encode(texts)
                 ids = np.insert(ids, bounds[1:], end_id)
                 out.add(batch.column("doc_id").slice(at, len(texts)).to_pylist(), ids, bounds + np.arange(len(bounds)))
@@ -186,7 +189,7 @@ def read_documents(files: DataFrame) -> DataFrame:
                     for a, k in zip(start.to_pylist(), n.to_pylist()):
                         crc = 0
                         for piece in source.span(a, k):
-                            crc = zlib.crc32(piece, crc)
+                            crc = zlib.crc32(piece.astype("<u4"), crc)
                         sums.append(crc)
                     yield pa.RecordBatch.from_arrays(
                         [docs.column("doc_id"), pa.array(np.asarray(start) + base), n, pa.array(sums, pa.int64())],

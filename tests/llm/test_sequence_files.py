@@ -59,10 +59,12 @@ def test_a_tokenizer_that_may_cross_blanks_gets_whole_texts():
 
 def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(encoding, "KEPT", 2)
-    memory = encoding.Memory(lambda new: [w.upper() for w in new])
-    for words in (["a", "b", "c"], ["d", "a"], ["x" * 100], ["a", "e"]):
-        assert memory(words) == [w.upper() for w in words]
-    assert "x" * 100 not in memory.known
+    monkeypatch.setattr(encoding, "CHUNK", 8)
+    encode = encoding.TextIds(files.byte_vocabulary())
+    for texts in ([" a b c d"], ["e  f", "a"], [" b", " b c "], ["x" * 50, ""]):
+        ids, bounds = encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [plain_ids(t) for t in texts]
+        assert len(encode.memory.number) <= 5
 
 
 @pytest.mark.parametrize("length,rows", [(16, 4), (1024, 64), (1, 1)])
@@ -78,25 +80,30 @@ def test_files_read_back_what_was_written(spark, odd_docs, length, rows):
     assert sorted(got, key=lambda r: r[1]) == want
 
 
-def test_sequences_are_views_of_the_mapped_file(tmp_path):
+@pytest.mark.parametrize("largest,kind", [(255, np.uint8), (50256, np.uint16), (2**32 - 1, np.uint32)])
+def test_sequences_are_views_of_the_mapped_file(tmp_path, largest, kind):
     path = str(tmp_path / "x" / "part.arrow")
-    out, rng = files.Writer(path, 8, 4), np.random.default_rng(1)
+    out, rng = files.Writer(path, 8, 4, largest), np.random.default_rng(1)
     all_ids, doc = [], 0
     for n in (0, 3, 100, 1, 31):
-        ids = rng.integers(0, 2**32, n).astype(np.uint32)
+        ids = rng.integers(0, largest + 1, n)
         out.add([doc], ids, np.array([0, n]))
         all_ids, doc = [*all_ids, *ids.tolist()], doc + 1
     out.close()
     seq = files.Sequences(path)
     assert len(seq) == -(-len(all_ids) // 8) and seq.local
-    at = seq.source.read_buffer(seq.source.size())  # the map itself
     for i in [len(seq) - 1, 0, *range(len(seq))]:
         ids, mask = seq[i]
-        assert ids.tolist()[: int(mask.sum())] == all_ids[8 * i : 8 * i + 8] and len(ids) == len(mask) == 8
-        assert not ids.flags.owndata and not mask.flags.owndata
-    pa_before = pa.total_allocated_bytes()
+        real = sum(mask.to_pylist())
+        assert ids.dtype == kind and ids.tolist()[:real] == all_ids[8 * i : 8 * i + 8] and len(ids) == len(mask) == 8
+        assert mask.to_pylist() == [True] * real + [False] * (8 - real)
+    before = pa.total_allocated_bytes()
     views = [seq[i] for i in range(len(seq))]
-    assert pa.total_allocated_bytes() - pa_before < 4096 and len(views) == len(seq) and at.size > 0  # nothing was copied
+    assert pa.total_allocated_bytes() == before and len(views) == len(seq)  # nothing was copied
+    seq.source.seek(0)
+    whole = range(low := seq.source.read_buffer(seq.source.size()).address, low + seq.source.size())
+    for ids, mask in views:
+        assert ids.ctypes.data in whole and mask.buffers()[1].address in whole and not ids.flags.owndata
     assert np.concatenate(list(seq.span(2, 130))).tolist() == all_ids[2:132]
     with pytest.raises(IndexError):
         seq[len(seq)]
