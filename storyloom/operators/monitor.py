@@ -74,6 +74,21 @@ def silent_sources(items: DataFrame, prefixes, as_of: Column, hours: int = K.SIL
     return items.agg(*aggs).select(F.inline(pairs)).withColumn("silent", F.col("recent") == 0)
 
 
+def silence_episodes(rows: DataFrame, until: Column, hours: int = K.SILENCE_HOURS) -> DataFrame:
+    """(key, kind, since, at): what is to be reported of `rows(key, ts)` by the time `until`: `silent` when a source has sent nothing for
+    `hours` since `since`, `recovered` when it sends again. Only the first and last arrival of an hour
+    leave a map task, so a source with a third of the log is a few rows."""
+    per_hour = rows.filter("key is not null").groupBy("key", F.date_trunc("HOUR", F.col("ts").cast("timestamp")).alias("h")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    order = Window.partitionBy("key").orderBy("h")
+    span = F.expr(f"INTERVAL {int(hours)} HOURS")
+    gaps = per_hour.select("key", F.col("last").alias("since"), F.lead("first").over(order).alias("again"))
+    quiet = gaps.filter((F.coalesce("again", until) >= F.col("since") + span) & ((F.col("since") + span) <= until))
+    both = F.array(
+        F.struct(F.lit("silent").alias("kind"), "since", (F.col("since") + span).alias("at")),
+        F.struct(F.lit("recovered").alias("kind"), "since", F.col("again").alias("at")))
+    return quiet.select("key", F.inline(both)).filter("at is not null")
+
+
 def pushed_since(items: DataFrame, as_of: Column, minutes: int = 60) -> DataFrame:
     return items.agg(F.count_if(F.col("pushed_at") >= _ago(as_of, minutes, "MINUTES")).alias("n"))
 
@@ -144,24 +159,30 @@ def hourly_activity(items: DataFrame, as_of: Column, start: str) -> DataFrame:
     return hours.join(counts, "hour", "left").na.fill(0, ["fetched", "processed"])
 
 
-def stall_alerts(
+def stall_episodes(
     items: DataFrame, as_of: Column, start: str, hours: int = K.STALL_HOURS, min_pending: int = K.STALL_MIN_PENDING
 ) -> DataFrame:
-    """One alert per stall: the hours at which the last `hours` processed nothing while `min_pending` items waited, and
-    the hour before was not stalled already. The hourly table has one row per hour of history, not per item."""
+    """(kind, hour, done, pending): one `stalled` per stall, at the first hour at which the last `hours` processed nothing while
+    `min_pending` items waited, and `recovered` at the hour that processed something again. The hourly table has one row per hour of
+    history, not per item."""
     timeline = Window.orderBy("hour")
     h = hourly_activity(items, as_of, start)
     h = h.withColumn("done", F.sum("processed").over(timeline.rowsBetween(-(hours - 1), 0))).withColumn(
         "pending", F.sum(F.col("fetched") - F.col("processed")).over(timeline.rowsBetween(Window.unboundedPreceding, 0))
     )
-    h = h.withColumn("stalled", (F.col("done") == 0) & (F.col("pending") >= min_pending))
-    # an alert stays raised until something is processed again
+    # a stall stays raised until something is processed again
     episode = F.sum((F.col("done") > 0).cast("int")).over(timeline.rowsBetween(Window.unboundedPreceding, 0))
-    first = Window.partitionBy("episode").orderBy("hour")
-    return (
-        h.withColumn("episode", episode)
-        .filter("stalled")
-        .withColumn("_rn", F.row_number().over(first))
-        .filter("_rn = 1")
-        .select("hour", "done", "pending")
-    )
+    h = h.withColumn("episode", episode).withColumn("stalled", (F.col("done") == 0) & (F.col("pending") >= min_pending))
+    first = Window.partitionBy("episode", "stalled").orderBy("hour")
+    own = h.withColumn("_rn", F.row_number().over(first))
+    raised = own.filter("stalled and _rn = 1")
+    ended = h.join(raised.select((F.col("episode") + 1).alias("episode")), "episode").filter("done > 0")
+    return raised.select(F.lit("stalled").alias("kind"), "hour", "done", "pending").unionByName(
+        ended.select(F.lit("recovered").alias("kind"), "hour", "done", "pending"))
+
+
+def stall_alerts(
+    items: DataFrame, as_of: Column, start: str, hours: int = K.STALL_HOURS, min_pending: int = K.STALL_MIN_PENDING
+) -> DataFrame:
+    """(hour, done, pending) of the alerts."""
+    return stall_episodes(items, as_of, start, hours, min_pending).filter("kind = 'stalled'").drop("kind")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storyloom import constants as K
 from storyloom.operators.ordered import decayed_sum, running_sum
+from storyloom.operators.vector_sums import vector_sums
 
 MARK_KEY = ["item_id", "signal", "topic"]
 LEARNABLE = ("up", "down", "save")
@@ -98,16 +99,8 @@ def taste(marks: DataFrame, items: DataFrame, vectors: DataFrame) -> DataFrame:
     likes = marks.filter(F.col("signal").isin(*LIKES)).groupBy("item_id").agg(F.count("*").alias("times"))
     areas = items.filter(F.col("vertical").isNotNull()).select(F.col("id").alias("item_id"), "vertical")
     liked = likes.join(areas, "item_id").join(vectors.select(F.col("id").alias("item_id"), "vec"), "item_id")
-    sums = (
-        liked.select("vertical", "times", F.posexplode("vec").alias("pos", "v"))
-        .groupBy("vertical", "pos")
-        .agg(F.sum(F.col("v").cast("double") * F.col("times")).alias("s"), F.sum("times").alias("n"))
-    )
-    return (
-        sums.groupBy("vertical")
-        .agg(F.max("n").alias("n_liked"), F.sort_array(F.collect_list(F.struct("pos", (F.col("s") / F.col("n")).alias("m")))).alias("pm"))
-        .select("vertical", "n_liked", F.transform("pm", lambda p: p["m"]).alias("vec"))
-    )
+    sums = vector_sums(liked, ["vertical"], "vec", "times")
+    return sums.select("vertical", F.col("n").alias("n_liked"), F.transform("total", lambda x: x / F.col("n")).alias("vec"))
 
 
 def learned_mutes(events: DataFrame, items: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from storyloom.plans.registry import AS_OF, query
 from storyloom.session import scratch_path
 from storyloom.sources import exports, feeds, messages, tail
 from storyloom.sources import tables as S
-from storyloom.streaming import flow, limiter
+from storyloom.streaming import alerts, flow, limiter
 
 c = F.col
 
@@ -377,11 +377,57 @@ def j3(spark, d):
     return _finished(spark, bad, "quarantine").groupBy("value").agg(F.count("*").alias("n"))
 
 
+def _arrivals(spark, rows, ts, edges, label):
+    """A folder that grows by one stretch of the log at a time, in order of time: what a stream sees poll by poll."""
+    folder = scratch_path(spark, label)
+    edges = [F.lit(e).cast("timestamp_ntz") for e in edges]
+    for a, b in zip([None, *edges], [*edges, None]):
+        part = rows if a is None else rows.filter(c(ts) >= a)
+        (part if b is None else part.filter(c(ts) < b)).write.mode("append").parquet(folder)
+        yield folder
+
+
+_THIRDS = ("2024-01-10 00:00:00", "2024-01-20 00:00:00")
+
+
+def _learned(spark, d, *parts):
+    """The reaction log in three stretches, each learned by a run that resumes where the last one stopped."""
+    events = T.table(spark, d, "events")
+    path, checkpoint = scratch_path(spark, "learner"), flow.checkpoint_for(spark, "learner")
+    for folder in _arrivals(spark, events, "ts", _THIRDS, "clicks"):
+        clicks = T.click_columns(flow.file_stream(spark, folder, events.schema))
+        learner = flow.learn(clicks, T.items(spark, d), path, checkpoint, T.vectors(spark, d), parts)
+    return learner
+
+
 @query("j4_streaming_learner", "SELECT vertical, tag, round(weight, 6) AS weight, n_pos, n_neg FROM tag_aff")
 def j4(spark, d):
-    clicks = T.click_columns(_stream(spark, d, "events"))
-    learner = flow.learn(clicks, T.items(spark, d), scratch_path(spark, "learner"), flow.checkpoint_for(spark, "learner"))
-    return learner.affinity().withColumn("weight", F.round("weight", 6))
+    return _learned(spark, d, "tags").affinity().withColumn("weight", F.round("weight", 6))
+
+
+@query("j4_source_weights", "SELECT vertical, source_type, source_key, round(weight, 6) AS weight, n_pos, n_neg FROM source_aff")
+def j4_sources(spark, d):
+    return _learned(spark, d, "sources").source_affinity().withColumn("weight", F.round("weight", 6))
+
+
+@query("j4_taste", "SELECT vertical, n_liked, pos - 1 AS pos, round(vec[pos], 6) AS v FROM (SELECT vertical, n_liked, vec, unnest(range(1, len(vec) + 1)) AS pos FROM taste)")
+def j4_taste(spark, d):
+    t = _learned(spark, d, "taste").taste()
+    return t.select("vertical", "n_liked", F.posexplode("vec").alias("pos", "v")).withColumn("v", F.round("v", 6))
+
+
+@query("j4_mutes", "SELECT vertical, tag FROM mutes_learned")
+def j4_mutes(spark, d):
+    return _learned(spark, d, "mutes").mutes()
+
+
+@query(
+    "j4_refine_triggers",
+    """SELECT event_id, vertical, item_id, standing FROM (SELECT *, sum(CASE WHEN action = 'added' THEN 1 ELSE -1 END)
+         OVER (PARTITION BY vertical ORDER BY ts, event_id)::BIGINT AS standing FROM steps) WHERE action = 'added' AND standing > 0 AND standing % 10 = 0""",
+)
+def j4_triggers(spark, d):
+    return _learned(spark, d, "triggers").triggers()
 
 
 @query(
@@ -428,6 +474,105 @@ def j8(spark, d):
     return monitor.stall_alerts(items, T.as_of(), "2024-01-01 00:00:00", min_pending=2)
 
 
+_STALL_SQL = f"""WITH hours AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', {AS_OF}, INTERVAL 1 HOUR)) AS hour),
+        f AS (SELECT date_trunc('hour', fetched_at) AS hour, count(*) AS n FROM items GROUP BY 1),
+        p AS (SELECT date_trunc('hour', processed_at) AS hour, count(*) AS n FROM items WHERE NOT processed_at BETWEEN {_OUTAGE[0]} AND {_OUTAGE[1]} GROUP BY 1),
+        t AS (SELECT hours.hour, coalesce(f.n, 0) AS fetched, coalesce(p.n, 0) AS processed FROM hours LEFT JOIN f USING (hour) LEFT JOIN p USING (hour)),
+        s AS (SELECT *, sum(processed) OVER (ORDER BY hour ROWS 1 PRECEDING) AS done, sum(fetched - processed) OVER (ORDER BY hour) AS pending FROM t),
+        e AS (SELECT *, sum((done > 0)::INTEGER) OVER (ORDER BY hour) AS episode FROM s),
+        r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY hour) AS r FROM e WHERE done = 0 AND pending >= 2) WHERE r = 1)
+        SELECT 'stalled' AS kind, hour, done::BIGINT AS done, pending::BIGINT AS pending FROM r
+        UNION ALL SELECT 'recovered', e.hour, e.done::BIGINT, e.pending::BIGINT FROM e JOIN r ON e.episode = r.episode + 1 WHERE e.done > 0"""
+
+
+@query("j8_stall_stream", _STALL_SQL)
+def j8_stall(spark, d):
+    """The log with an outage as it comes in, in three stretches: hours are summed by one stream and watched by another."""
+    lost = c("processed_at").between(*(F.expr(x.replace("TIMESTAMP", "TIMESTAMP_NTZ")) for x in _OUTAGE))
+    items = T.items(spark, d)
+    log = items.select(c("fetched_at").alias("ts"), F.lit("fetched").alias("kind")).unionByName(
+        items.filter("processed_at is not null").filter(~lost).select(c("processed_at").alias("ts"), F.lit("processed").alias("kind")))
+    ticks = [(T.AS_OF_TEXT, "tick"), ("2024-01-31 02:00:00", "tick")]
+    log = log.unionByName(spark.createDataFrame(ticks, "ts string, kind string").select(c("ts").cast("timestamp_ntz").alias("ts"), "kind"))
+    hours, out = scratch_path(spark, "hours"), scratch_path(spark, "stalls")
+    marks = [flow.checkpoint_for(spark, x) for x in ("hours", "stalls")]
+    for folder in _arrivals(spark, log, "ts", _THIRDS, "log"):
+        counts = alerts.hourly_counts(flow.file_stream(spark, folder, log.schema))
+        flow.run_to_table(counts, hours, marks[0])
+        stalls = alerts.stall_stream(flow.file_stream(spark, hours, counts.schema), min_pending=2)
+        flow.run_to_table(stalls, out, marks[1])
+    return spark.read.schema(stalls.schema).parquet(out)
+
+
+@query(
+    "j8_silence_stream",
+    f"""WITH a AS (SELECT feed_name AS key, fetched_at AS since, lead(fetched_at) OVER (PARTITION BY feed_name ORDER BY fetched_at) AS again FROM items),
+        q AS (SELECT *, since + INTERVAL {K.SILENCE_HOURS} HOUR AS due FROM a WHERE since + INTERVAL {K.SILENCE_HOURS} HOUR <= least(coalesce(again, {AS_OF}), {AS_OF}))
+        SELECT key, 'silent' AS kind, since, due AS at FROM q UNION ALL SELECT key, 'recovered', since, again FROM q WHERE again IS NOT NULL""",
+)
+def j8_silence(spark, d):
+    """Arrivals of every feed in three stretches; a tick an hour after the end lets event time reach it."""
+    tick = spark.createDataFrame([("2024-01-31 01:00:00",)], "ts string").select(F.lit(None).cast("string").alias("key"), c("ts").cast("timestamp_ntz").alias("ts"))
+    log = T.items(spark, d).select(c("feed_name").alias("key"), c("fetched_at").alias("ts")).unionByName(tick)
+    out, mark = scratch_path(spark, "silences"), flow.checkpoint_for(spark, "silences")
+    for folder in _arrivals(spark, log, "ts", _THIRDS, "arrivals"):
+        stream = alerts.silence_stream(flow.file_stream(spark, folder, log.schema))
+        flow.run_to_table(stream, out, mark)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query(
+    "e12_silence_episodes",
+    f"""WITH a AS (SELECT feed_name AS key, fetched_at AS since, lead(fetched_at) OVER (PARTITION BY feed_name ORDER BY fetched_at) AS again FROM items),
+        q AS (SELECT *, since + INTERVAL {K.SILENCE_HOURS} HOUR AS due FROM a WHERE since + INTERVAL {K.SILENCE_HOURS} HOUR <= least(coalesce(again, {AS_OF}), {AS_OF}))
+        SELECT key, 'silent' AS kind, since, due AS at FROM q UNION ALL SELECT key, 'recovered', since, again FROM q WHERE again IS NOT NULL""",
+)
+def e12_episodes(spark, d):
+    rows = T.items(spark, d).select(c("feed_name").alias("key"), c("fetched_at").alias("ts"))
+    return monitor.silence_episodes(rows, T.as_of()).select("key", "kind", _ntz("since"), _ntz("at"))
+
+
+_POLLS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00", "2024-01-31 00:00:00")
+
+
+def _poll_sql() -> str:
+    """Each poll's cutoffs follow from the cursors that the poll before it left."""
+    out = """f AS (SELECT DISTINCT feed_name, CASE WHEN starts_with(feed_name, 'gh_') THEN TIMESTAMP '2024-01-05 00:00:00' END AS cursor, (len(feed_name) % 3) * 259200 AS interval_s FROM items),
+        r0 AS (SELECT feed_name, cursor FROM f)"""
+    for k, now in enumerate(_POLLS, 1):
+        since = f"TIMESTAMP '{_POLLS[k - 2]}' - INTERVAL 2 DAY" if k > 1 else "TIMESTAMP '2000-01-01'"
+        out += f""",
+        c{k} AS (SELECT f.feed_name, greatest(p.cursor, TIMESTAMP '{now}' - to_seconds(greatest(f.interval_s * {K.INGEST_AGE_FACTOR}, {K.INGEST_MIN_WINDOW_HOURS} * 3600)::BIGINT)) AS cutoff FROM f JOIN r{k - 1} p USING (feed_name)),
+        s{k} AS (SELECT {k} AS poll, feed_name, cutoff, count(*) FILTER (WHERE published_at IS NULL OR published_at > cutoff) AS taken, count(*) FILTER (WHERE published_at <= cutoff) AS late,
+          greatest(cutoff, max(published_at)) AS new_cursor FROM items JOIN c{k} USING (feed_name) WHERE fetched_at < TIMESTAMP '{now}' AND fetched_at >= {since} GROUP BY feed_name, cutoff),
+        r{k} AS (SELECT r{k - 1}.feed_name, coalesce(s{k}.new_cursor, r{k - 1}.cursor) AS cursor FROM r{k - 1} LEFT JOIN s{k} USING (feed_name))"""
+    return f"WITH {out} " + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(1, len(_POLLS) + 1))
+
+
+@query("j7_late_window", _poll_sql())
+def j7(spark, d):
+    """Three polls ten days apart, each delivering the last two days of the poll before it again, and every entry twice."""
+    items = T.items(spark, d).select("feed_name", "source_type", "source_id", c("published_at").cast("timestamp").alias("published_at"), "fetched_at")
+    known = items.select("feed_name").distinct().select(
+        "feed_name", F.when(c("feed_name").startswith("gh_"), "2024-01-05T00:00:00").when(c("feed_name").startswith("tw_"), "broken").alias("cursor"),
+        (F.length("feed_name") % 3 * 259200).cast("int").alias("interval_s"))
+    path, mark, folder = scratch_path(spark, "polls"), flow.checkpoint_for(spark, "polls"), scratch_path(spark, "entries")
+    before = None
+    for now in _POLLS:
+        seen = items.filter(c("fetched_at") < F.lit(now).cast("timestamp_ntz"))
+        if before:
+            seen = seen.filter(c("fetched_at") >= F.lit(before).cast("timestamp_ntz") - F.expr("INTERVAL 2 DAYS"))
+        entries = seen.drop("fetched_at").withColumn("polled_at", F.lit(now).cast("timestamp"))
+        entries.unionByName(entries).write.mode("append").parquet(folder)
+        stream = flow.file_stream(spark, folder, entries.schema)
+        if before is None:
+            flow.PolledFeeds(spark, path, entries.schema).declare(known)
+        polled = flow.poll_feeds(stream, path, mark)
+        before = now
+    number = F.array_position(F.array(*[F.lit(x).cast("timestamp") for x in _POLLS]), c("polled_at")).cast("int")
+    return polled.polls.read().select(number.alias("poll"), "feed_name", _ntz("cutoff"), "taken", "late", _ntz("new_cursor"))
+
+
 @query(
     "j11_daily_tag_windows",
     """SELECT date_trunc('day', sort_ts)::TIMESTAMP AS day, tag, count(*) AS n, round(avg(personal_score), 6) AS avg_score

@@ -27,7 +27,12 @@ def build_session(app: str = "storyloom", master: str | None = None, **conf) ->
 
 # The 4.1 union keeps its children's partitioning and fails to plan when a child is a join of two shuffles of different
 # sizes; results do not depend on it.
-RUNTIME_SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.unionOutputPartitioning": "false"}
+# Keyed state with timers and maps needs the RocksDB store.
+RUNTIME_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.unionOutputPartitioning": "false",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
 
 
 def tune(spark: SparkSession) -> SparkSession:

@@ -7,15 +7,20 @@ has one folder per batch id, overwritten when a batch is repeated, so every step
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from storyloom import constants as K
 from storyloom.operators import dedup, neighbours, reactions
 from storyloom.operators.ordered import decayed_sum, running_sum
+from storyloom.operators.vector_sums import vector_sums
 from storyloom.session import scratch_path
-from storyloom.sources import messages, tables
+from storyloom.sources import feeds, messages, tables
+from storyloom.streaming.state import KeyedTable
 
 
 def available_now(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -50,23 +55,21 @@ class BatchTable:
     def write(self, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
+    def only(self, batch_id: int) -> DataFrame:
+        """The rows of one batch; no other folder is looked at."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch_id}")
+
     def read(self, before: int | None = None) -> DataFrame:
         """All rows with their `batch`, or only those of earlier batches."""
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(p):
+        where, root = fs.FileSystem.from_uri(self.path)
+        if where.get_file_info(root).type == fs.FileType.NotFound:
             return self.spark.createDataFrame([], self.schema).withColumn("batch", F.lit(0))
-        df = self.spark.read.schema(self.schema).parquet(self.path)
         # the partition column is found by listing folders
         df = self.spark.read.option("basePath", self.path).schema(self._with_batch()).parquet(self.path)
         return df if before is None else df.filter(F.col("batch") < before)
 
     def _with_batch(self):
-        from pyspark.sql.types import IntegerType, StructType
-
-        fields = list(self.schema.fields)
-        return StructType(fields).add("batch", IntegerType())
+        return StructType([*self.schema.fields, StructField("batch", IntegerType())])
 
 
 # --- ingest -----------------------------------------------------------------------------------------------------
@@ -103,7 +106,7 @@ ARRIVALS = (
 
 
 def _schema(spark: SparkSession, ddl: str):
-    return spark.createDataFrame([], ddl).schema
+    return StructType.fromDDL(ddl)
 
 
 def ingest_messages(lines: DataFrame, store_path: str, bad_path: str, checkpoint: str) -> ItemStore:
@@ -127,6 +130,46 @@ def deduplicated(stream: DataFrame, ts: str, horizon: str = "1 day") -> DataFram
     return stream.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(tables.KEY)
 
 
+class PolledFeeds:
+    """Entries of feeds, poll by poll, against a table of cursors that the polls themselves move. An entry is taken if it is newer than
+    its feed's cutoff (the cursor, but no older than the larger of interval x factor and the floor) or has no date; the others are too
+    late, and are counted per feed and poll. A poll reads the cursors of its own feeds only."""
+
+    POLLS = "feed_name string, polled_at timestamp, cutoff timestamp, taken long, late long, new_cursor timestamp"
+
+    def __init__(self, spark: SparkSession, path: str, entry_schema) -> None:
+        self.cursors = KeyedTable(spark, f"{path}/cursors", "feed_name string, cursor string, interval_s int", ["feed_name"])
+        self.taken = BatchTable(spark, f"{path}/taken", entry_schema)
+        self.polls = BatchTable(spark, f"{path}/polls", StructType.fromDDL(self.POLLS))
+
+    def declare(self, feeds_: DataFrame) -> None:
+        """Feeds with their intervals and any cursors they start from, before the first poll."""
+        self.cursors.merge(feeds_.select("feed_name", "cursor", "interval_s"), -1, {"cursor": F.col("new.cursor"), "interval_s": F.col("new.interval_s")})
+
+    def each(self, batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():  # a batch that only advances the watermark
+            return
+        known = self.cursors.near(batch.select("feed_name").distinct(), batch_id)
+        rows = feeds.with_cutoff(batch, known, F.col("polled_at"))
+        late = F.coalesce(F.col("published_at") <= F.col("cutoff"), F.lit(False))
+        self.taken.write(rows.filter(~late).select(*[f.name for f in self.taken.schema.fields]), batch_id)
+        summed = rows.groupBy("feed_name").agg(
+            F.max("polled_at").alias("polled_at"), F.max("cutoff").alias("cutoff"), F.count_if(~late).alias("taken"), F.count_if(late).alias("late"),
+            F.greatest(F.max("cutoff"), F.max("published_at")).alias("new_cursor"))
+        self.polls.write(summed, batch_id)
+        moved = self.polls.only(batch_id).filter("feed_name is not null").select("feed_name", F.col("new_cursor").cast("string").alias("cursor"))
+        self.cursors.merge(moved, batch_id, {"cursor": F.coalesce("new.cursor", "old.cursor"), "interval_s": F.col("old.interval_s")})
+
+
+def poll_feeds(stream: DataFrame, path: str, checkpoint: str, horizon: str = "1 hour") -> PolledFeeds:
+    """`stream(feed_name, source_type, source_id, published_at, polled_at, ...)` through the window; entries that a poll delivers twice
+    count once, and entries that a later poll delivers again meet the cursor."""
+    polled = PolledFeeds(stream.sparkSession, path, stream.schema)
+    once = stream.withWatermark("polled_at", horizon).dropDuplicatesWithinWatermark([*tables.KEY, "polled_at"])
+    available_now(once, polled.each, checkpoint)
+    return polled
+
+
 def processed_feed(stream: DataFrame, category: str | None = None) -> DataFrame:
     """Live feed of processed items of a category; items without one always pass."""
     df = stream.filter("processed_at is not null and skip_reason is null")
@@ -193,48 +236,128 @@ def assign_clusters(
 
 
 class Learner:
-    """Incremental learning from the reaction log. State tables hold increments per batch: click counts per mark key and
-    folded steps per (vertical, tag). Folding n steps is w -> w * (1 - rate)^n + folded, so batches compose exactly and
-    no key is ever processed row by row; the running weight is the ordered combination of its few batch rows."""
-
-    def __init__(self, spark: SparkSession, path: str, items: DataFrame, rate: float = K.LEARNING_RATE) -> None:
-        self.items, self.rate = items, rate
-        self.clicks = BatchTable(spark, f"{path}/clicks", _schema(spark, "item_id long, signal string, topic string, n long"))
-        self.steps = BatchTable(
-            spark, f"{path}/steps", _schema(spark, "vertical string, tag string, n long, n_pos long, n_neg long, w double")
-        )
+    """Learning from the reaction log as it grows. Per micro-batch the clicks are numbered on the counts so far, reduced to one row
+    per key by operators that spread hot keys, and merged into state tables of which only the touched buckets are read: clicks per mark
+    key, weights per (vertical, tag) and per (vertical, source), the sum of liked vectors per vertical, the last mute click per
+    (vertical, topic), and the standing marks per vertical. Folding n steps is w -> w * (1 - rate)^n + folded, a like that is taken
+    away is subtracted, the later mute wins: so batches compose exactly. `seeds(vertical, tag, weight)` are starting weights."""
+
+    PARTS = ("tags", "sources", "taste", "mutes", "triggers")
+
+    def __init__(
+        self, spark: SparkSession, path: str, items: DataFrame, vectors: DataFrame | None = None, rate: float = K.LEARNING_RATE,
+        every: int = K.REFINE_EVERY, parts: tuple = PARTS, seeds: DataFrame | None = None,
+    ) -> None:
+        self.items, self.vectors, self.rate, self.every, self.seeds = items, vectors, rate, every, seeds
+        self.parts = [p for p in parts if p != "taste" or vectors is not None]
+        weights = "n_pos long, n_neg long, weight double"
+        table = lambda name, columns, keys: KeyedTable(spark, f"{path}/{name}", columns, keys)
+        self.clicks = table("clicks", "item_id long, signal string, topic string, n long", reactions.MARK_KEY)
+        self.tags = table("tags", f"vertical string, tag string, {weights}", ["vertical", "tag"])
+        self.sources = table("sources", f"vertical string, source_type string, source_key string, {weights}", ["vertical", "source_type", "source_key"])
+        self.liked = table("taste", "vertical string, n long, total array<double>", ["vertical"])
+        self.muted = table("mutes", "vertical string, tag string, at struct<ts:timestamp_ntz,event_id:long>, action string", ["vertical", "tag"])
+        self.standing = table("standing", "vertical string, standing long", ["vertical"])
+        self.moves = BatchTable(spark, f"{path}/moves", _schema(
+            spark, "event_id long, ts timestamp_ntz, item_id long, signal string, topic string, action string, direction int, vertical string, "
+            "tags array<string>, source_type string, source_key string"))
+        self.refines = BatchTable(spark, f"{path}/triggers", _schema(spark, "event_id long, vertical string, item_id long, standing long"))
 
     def each(self, batch: DataFrame, batch_id: int) -> None:
         key = reactions.MARK_KEY
-        learnable = batch.filter(F.col("signal").isin(*reactions.LEARNABLE))
-        before = self.clicks.read(before=batch_id).groupBy(*key).agg(F.sum("n").alias("_before"))
-        self.clicks.write(learnable.groupBy(*key).agg(F.count("*").alias("n")), batch_id)
-        ranked = running_sum(learnable, key, ["ts", "event_id"], F.lit(1), "nth").alias("r")
-        b = before.alias("b")
-        same = (
-            (F.col("r.item_id") == F.col("b.item_id")) & (F.col("r.signal") == F.col("b.signal"))
-            & F.col("r.topic").eqNullSafe(F.col("b.topic"))
-        )
-        nth = F.col("r.nth") + F.coalesce(F.col("b._before"), F.lit(0))
-        sign = F.when(F.col("r.signal").isin(*reactions.LIKES), 1).otherwise(-1)
-        moves = ranked.join(b, same, "left").select(
-            "r.event_id", "r.ts", "r.item_id", F.when(nth % 2 == 1, sign).otherwise(-sign).alias("direction")
-        )
-        facts = self.items.filter("vertical is not null").select(F.col("id").alias("item_id"), "vertical", F.explode("tags").alias("tag"))
-        folded = decayed_sum(moves.join(facts, "item_id"), ["vertical", "tag"], ["ts", "event_id"], F.col("direction"), self.rate)
-        self.steps.write(folded.select("vertical", "tag", "n", "n_pos", "n_neg", "w"), batch_id)
+        wanted = F.col("signal").isin(*reactions.LEARNABLE)
+        if "mutes" in self.parts:
+            wanted = wanted | ((F.col("signal") == "mute_topic") & F.col("topic").isNotNull())
+        clicks = batch.filter(wanted)
+        counts = clicks.groupBy(*key).agg(F.count("*").alias("n"))
+        before = self.clicks.found(counts.select(*key), batch_id).select(*[F.col(k).alias(f"_b_{k}") for k in key], F.coalesce("old.n", F.lit(0)).alias("_before"))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in key])
+        nth = running_sum(clicks, key, ["ts", "event_id"], F.lit(1), "nth").join(before, same, "left").withColumn("nth", F.col("nth") + F.col("_before"))
+        sign = F.when(F.col("signal").isin(*reactions.LIKES), 1).otherwise(-1)
+        facts = self.items.filter("vertical is not null").select(
+            F.col("id").alias("item_id"), "vertical", "tags", "source_type", F.coalesce(F.nullif("feed_name", F.lit("")), "author", F.lit("")).alias("source_key"))
+        moves = nth.join(facts, "item_id").withColumn("action", F.when(F.col("nth") % 2 == 1, "added").otherwise("removed")).withColumn(
+            "direction", F.when(F.col("action") == "added", sign).otherwise(-sign))
+        self.moves.write(moves.select(*[f.name for f in self.moves.schema.fields]), batch_id)  # numbered once, read by each part
+        moves = self.moves.only(batch_id)
+        for part in self.parts:
+            getattr(self, f"_{part}")(moves, batch_id)
+        self.clicks.merge(counts, batch_id, {"n": F.coalesce("old.n", F.lit(0)) + F.coalesce("new.n", F.lit(0))})
+
+    def _fold(self, table: KeyedTable, steps: DataFrame, batch_id: int, seeds: DataFrame | None) -> None:
+        folded = decayed_sum(steps, table.keys, ["ts", "event_id"], F.col("direction"), self.rate)
+        if seeds is None:
+            folded = folded.withColumn("seed", F.lit(0.0))
+        else:
+            folded = folded.join(seeds.select(*table.keys, F.col("weight").alias("seed")), table.keys, "left")
+        first = F.coalesce("old.weight", "new.seed", F.lit(0.0))
+        table.merge(folded, batch_id, {
+            "n_pos": F.coalesce("old.n_pos", F.lit(0)) + F.coalesce("new.n_pos", F.lit(0)),
+            "n_neg": F.coalesce("old.n_neg", F.lit(0)) + F.coalesce("new.n_neg", F.lit(0)),
+            "weight": first * F.pow(F.lit(1.0 - self.rate), F.coalesce("new.n", F.lit(0))) + F.coalesce("new.w", F.lit(0.0)),
+        })
+
+    def _tags(self, moves: DataFrame, batch_id: int) -> None:
+        steps = moves.filter(F.col("signal").isin(*reactions.LEARNABLE)).withColumn("tag", F.explode("tags"))
+        self._fold(self.tags, steps, batch_id, self.seeds)
+
+    def _sources(self, moves: DataFrame, batch_id: int) -> None:
+        self._fold(self.sources, moves.filter(F.col("signal").isin(*reactions.LEARNABLE)), batch_id, None)
+
+    def _taste(self, moves: DataFrame, batch_id: int) -> None:
+        net = moves.filter(F.col("signal").isin(*reactions.LIKES)).groupBy("item_id", "vertical").agg(F.sum("direction").alias("times")).filter("times <> 0")
+        liked = net.join(self.vectors.select(F.col("id").alias("item_id"), "vec"), "item_id")
+        both = F.when(F.col("old").isNull(), F.col("new.total")).when(F.col("new").isNull(), F.col("old.total")).otherwise(
+            F.zip_with("old.total", "new.total", lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))))
+        self.liked.merge(vector_sums(liked, ["vertical"], "vec", "times"), batch_id, {
+            "n": F.coalesce("old.n", F.lit(0)) + F.coalesce("new.n", F.lit(0)), "total": both})
+
+    def _mutes(self, moves: DataFrame, batch_id: int) -> None:
+        at = F.struct("ts", "event_id")
+        last = moves.filter("signal = 'mute_topic'").groupBy("vertical", F.col("topic").alias("tag")).agg(F.max(at).alias("at"), F.max_by("action", at).alias("action"))
+        later = F.col("old").isNull() | (F.col("new.at") > F.col("old.at"))
+        self.muted.merge(last, batch_id, {c: F.when(later, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")) for c in ("at", "action")})
+
+    def _triggers(self, moves: DataFrame, batch_id: int) -> None:
+        steps = moves.filter(F.col("signal").isin(*reactions.LEARNABLE)).withColumn("delta", F.when(F.col("action") == "added", 1).otherwise(-1))
+        ranked = running_sum(steps.select("event_id", "ts", "item_id", "vertical", "action", "delta"), ["vertical"], ["ts", "event_id"], F.col("delta"), "_own")
+        sums = steps.groupBy("vertical").agg(F.sum("delta").alias("standing"))
+        before = self.standing.found(sums.select("vertical"), batch_id).select("vertical", F.coalesce("old.standing", F.lit(0)).alias("_before"))
+        counted = ranked.join(F.broadcast(before), "vertical").withColumn("standing", F.col("_own") + F.col("_before"))  # a row per topic area
+        hit = (F.col("action") == "added") & (F.col("standing") > 0) & (F.col("standing") % self.every == 0)
+        self.refines.write(counted.filter(hit).select("event_id", "vertical", "item_id", "standing"), batch_id)
+        self.standing.merge(sums, batch_id, {"standing": F.coalesce("old.standing", F.lit(0)) + F.coalesce("new.standing", F.lit(0))})
+
+    # what has been learned so far
 
     def affinity(self) -> DataFrame:
-        later = Window.partitionBy("vertical", "tag").orderBy("batch").rowsBetween(1, Window.unboundedFollowing)
-        rows = self.steps.read().withColumn("_later", F.coalesce(F.sum("n").over(later), F.lit(0)))
-        return rows.groupBy("vertical", "tag").agg(
-            F.sum(F.col("w") * F.pow(F.lit(1.0 - self.rate), F.col("_later"))).alias("weight"),
-            F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"),
-        )
+        """(vertical, tag, weight, n_pos, n_neg); tags that no click has moved keep their seed."""
+        own = self.tags.read().select("vertical", "tag", "weight", "n_pos", "n_neg")
+        if self.seeds is None:
+            return own
+        rest = self.seeds.select("vertical", "tag", "weight").join(own, ["vertical", "tag"], "left_anti")
+        return own.unionByName(rest.withColumn("n_pos", F.lit(0)).withColumn("n_neg", F.lit(0)))
 
+    def source_affinity(self) -> DataFrame:
+        return self.sources.read().select("vertical", "source_type", "source_key", "weight", "n_pos", "n_neg")
 
-def learn(stream: DataFrame, items: DataFrame, path: str, checkpoint: str) -> Learner:
-    learner = Learner(stream.sparkSession, path, items)
+    def taste(self) -> DataFrame:
+        """(vertical, n_liked, vec): the mean vector of the standing likes."""
+        rows = self.liked.read().filter("n > 0")
+        return rows.select("vertical", F.col("n").alias("n_liked"), F.transform("total", lambda x: x / F.col("n")).alias("vec"))
+
+    def mutes(self) -> DataFrame:
+        return self.muted.read().filter("action = 'added'").select("vertical", "tag")
+
+    def triggers(self) -> DataFrame:
+        return self.refines.read().drop("batch")
+
+
+def learn(
+    stream: DataFrame, items: DataFrame, path: str, checkpoint: str, vectors: DataFrame | None = None, parts: tuple = Learner.PARTS,
+    seeds: DataFrame | None = None,
+) -> Learner:
+    learner = Learner(stream.sparkSession, path, items, vectors, parts=parts, seeds=seeds)
     available_now(stream, learner.each, checkpoint)
     return learner
 
@@ -263,15 +386,5 @@ def latest_windows(counts: DataFrame, path: str, checkpoint: str, key: list[str]
     return store.read().withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn", "batch")
 
 
-def hourly_counts(stream: DataFrame, ts: str, key: Column, late: str = "1 hour") -> DataFrame:
-    """Tumbling hourly counts per key: what the silence and stall detectors look at."""
-    return (
-        stream.withWatermark(ts, late)
-        .groupBy(F.window(ts, "1 hour"), key.alias("key"))
-        .agg(F.count("*").alias("n"))
-        .select(F.col("window.start").alias("hour"), "key", "n")
-    )
-
-
 def checkpoint_for(spark: SparkSession, label: str) -> str:
     return scratch_path(spark, f"checkpoint-{label}")

@@ -14,7 +14,7 @@ QUICK = [
     "a2_incremental_cutoff", "a7_upsert", "b4_detect_lang", "b19_url_shapes", "c6_push_candidates", "c11_retry_backlog", "d1_url_clusters",
     "d10_tag_current_vs_base", "d12_cluster_sent", "e1_trends_month", "e4_group_counts", "e7_taste_centroid", "f6_refine_triggers",
     "g1_recent_feed", "g2_keyset_page", "g8_windowed_top", "g15_apply_profile", "h3_lexical", "h6_hybrid_search", "h13_wiki_search",
-    "j4_streaming_learner", "j8_stall_alerts",
+    "j4_streaming_learner", "j4_taste", "j4_refine_triggers", "j7_late_window", "j8_silence_stream", "j8_stall_alerts", "j8_stall_stream",
 ]
 NAMES = sorted(oracle_sql()) if os.environ.get("ORACLE_ALL") else QUICK
 

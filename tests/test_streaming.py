@@ -10,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyloom.operators import reactions
+from storyloom.operators.vector_sums import vector_sums
 from storyloom.sources import feeds, messages, tail
 from storyloom.streaming import flow, limiter
+from storyloom.streaming.state import KeyedTable
 
 from test_operators import CLICKS, ITEM_ROWS, ITEMS, T0, clicks_fixture
 
@@ -26,19 +28,60 @@ def write_slices(spark, rows, schema, folder, n):
 
 def test_learner_equals_batch_over_many_batches(spark, tmp_path):
     rows = clicks_fixture(300, seed=5)
-    items = spark.createDataFrame(ITEM_ROWS, ITEMS)
-    learner = flow.Learner(spark, str(tmp_path / "state"), items)
+    items, events = spark.createDataFrame(ITEM_ROWS, ITEMS), spark.createDataFrame(rows, CLICKS)
+    vectors = spark.createDataFrame([(i, [float(i), 1.0, -i / 3]) for i in range(5)], "id long, vec array<float>")
+    seeds = spark.createDataFrame([("it", "a", 0.8), ("it", "unmoved", -0.5)], "vertical string, tag string, weight double")
+    learner = flow.Learner(spark, str(tmp_path / "state"), items, vectors, every=3, seeds=seeds)
     for b in range(4):
         batch = spark.createDataFrame(rows[b * 75 : (b + 1) * 75], CLICKS)
         learner.each(batch, b)
         if b == 2:
             learner.each(batch, b)  # a repeated batch changes nothing
-    want = {(r.vertical, r.tag): r for r in reactions.tag_affinity(reactions.learning_steps(spark.createDataFrame(rows, CLICKS), items)).collect()}
-    got = {(r.vertical, r.tag): r for r in learner.affinity().collect()}
-    assert got.keys() == want.keys()
-    for k in want:
-        assert got[k].weight == pytest.approx(want[k].weight, abs=1e-9)
-        assert (got[k].n_pos, got[k].n_neg) == (want[k].n_pos, want[k].n_neg)
+    learner.each(events.limit(0), 4)  # nor does an empty one
+    steps, marks = reactions.learning_steps(events, items), reactions.current_marks(events)
+
+    def same(got, want, keys, values):
+        got, want = ({tuple(r[k] for k in keys): [r[v] for v in values] for r in df.collect()} for df in (got, want))
+        assert got.keys() == want.keys() and len(got) > 0
+        for k in want:
+            for x, y in zip(got[k], want[k]):
+                assert x == pytest.approx(y, abs=1e-6)
+
+    same(learner.affinity(), reactions.tag_affinity(steps, seeds), ["vertical", "tag"], ["weight", "n_pos", "n_neg"])
+    same(learner.source_affinity(), reactions.source_affinity(steps), ["vertical", "source_type", "source_key"], ["weight", "n_pos", "n_neg"])
+    same(learner.taste(), reactions.taste(marks, items, vectors), ["vertical"], ["n_liked", "vec"])
+    same(learner.mutes(), reactions.learned_mutes(events, items), ["vertical", "tag"], [])
+    same(learner.triggers(), reactions.refine_triggers(events, items, 3), ["event_id"], ["vertical", "item_id", "standing"])
+
+
+def test_keyed_table_rewrites_touched_buckets_only(spark, tmp_path):
+    t = KeyedTable(spark, f"file://{tmp_path}/t", "k string, n long", ["k"], buckets=8)
+    add = {"n": F.coalesce("old.n", F.lit(0)) + F.coalesce("new.n", F.lit(0))}
+    df = lambda *rows: spark.createDataFrame(list(rows), "k string, n long")
+    rows = lambda before=None: {r.k: r.n for r in t.read(before).collect()}
+    assert rows() == {}
+    t.merge(df(*[(str(i), i) for i in range(40)], (None, 7)), 0, add)
+    t.merge(df(("3", 100), (None, 1), ("new", 5)), 1, add)
+    t.merge(df(("3", 100), (None, 1), ("new", 5)), 1, add)  # repeated
+    want = {str(i): i for i in range(40)} | {None: 7}
+    assert rows(1) == want and rows() == want | {"3": 103, None: 8, "new": 5}
+    versions = t._current(None)
+    assert 1 <= list(versions.values()).count(1) <= 3 and set(versions.values()) == {0, 1}
+    assert {r.k: r.old and r.old.n for r in t.found(df(("3", 0), ("zz", 0))).collect()} == {"3": 103, "zz": None}
+    t.merge(df(("3", 1)), 2, add)
+    t.merge(df(("3", 1)), 3, lambda old, new: old.join(new.select("k"), "k", "left_anti"))  # rows may go
+    assert "3" not in rows() and rows()["5"] == 5 and t._versions() == [2, 3]
+    on_disk = {(p.parent.name, p.name) for p in (tmp_path / "t" / "data").glob("v=*/bucket=*")}
+    named = {(f"v={v}", f"bucket={b}") for k in (2, 3) for b, v in t._listed(k)["versions"].items()}
+    assert on_disk == named  # files that no list names are gone
+    assert KeyedTable(spark, str(tmp_path / "t"), "k string, n long", ["k"], buckets=3).buckets == 8
+
+
+def test_vector_sums_take_nulls_sizes_and_weights(spark):
+    rows = [("a", [1.0, 2.0], 1), ("a", [3.0, None], -2), (None, [1.0], 1), (None, [5.0], 2), ("b", None, 1), ("b", [], 1), ("c", [1.0], 1), ("c", [1.0, 4.0], 1)]
+    df = spark.createDataFrame([r * 1 for r in rows for _ in range(3)], "k string, vec array<float>, times int").repartition(4)
+    got = {r.k: (r.n, r.total) for r in vector_sums(df, ["k"], "vec", "times").collect()}
+    assert got == {"a": (-3, [-15.0, 6.0]), None: (9, [33.0]), "c": (6, [6.0, 12.0])}
 
 
 def test_line_tail_offsets(tmp_path):
