@@ -36,6 +36,35 @@ def assign_by(items: DataFrame, key: Column) -> DataFrame:
     return keyed.join(clusters_by(items, key), "story_key").drop("story_key")
 
 
+def grid_forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) links of a spanning forest of the true places of a matrix: rows and columns are the two sides of a graph. Each
+    row and each column is looked at once, as an array, so a dense matrix costs no more than its size."""
+    rows, cols = np.ones(near.shape[0], dtype=bool), np.ones(near.shape[1], dtype=bool)
+    out_r, out_c = [], []
+    for start in np.flatnonzero(near.any(axis=1)).tolist():
+        if not rows[start]:
+            continue
+        rows[start] = False
+        front = np.array([start])
+        while len(front):
+            open_cols = np.flatnonzero(cols)
+            hit = near[np.ix_(front, open_cols)]
+            new = hit.any(axis=0)
+            found = open_cols[new]
+            out_r.append(front[hit[:, new].argmax(axis=0)])
+            out_c.append(found)
+            cols[found] = False
+            open_rows = np.flatnonzero(rows)
+            back = near[np.ix_(open_rows, found)]
+            again = back.any(axis=1)
+            front = open_rows[again]
+            out_r.append(front)
+            out_c.append(found[back[again].argmax(axis=1)] if len(front) else front)
+            rows[front] = False
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([*out_r, none]), np.concatenate([*out_c, none])
+
+
 def _mark(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return r.n, r.h
@@ -59,23 +88,35 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(x, root(x)) for x in parent if root(x) != x]
 
 
+HUBS = 1000  # a vertex with more than this part of all edges is a hub; there are at most twice as many of them
+
+
+def _with_minimum(pairs: DataFrame, low: DataFrame, edges: int) -> DataFrame:
+    """`pairs(u, v)` with the `m` of u in `low(u, m, n)`, n being u's pairs. The minima of hubs, whose number is bounded, are
+    sent to the pairs, so a hub's pairs stay where they are; all others meet on u."""
+    hot = low.filter(F.col("n") > max(256, edges // HUBS))
+    marked = pairs.join(F.broadcast(hot.select("u", F.col("m").alias("_hub"))), "u", "left")
+    rest = marked.filter("_hub is null").select("u", "v").join(low.select("u", "m"), "u")
+    return marked.filter("_hub is not null").select("u", "v", F.col("_hub").alias("m")).unionByName(rest)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every vertex of `edges(u, v)`; the component is its smallest vertex.
 
     Alternates two steps until nothing changes: connect the larger neighbours of each vertex to its smallest neighbour,
     then the smaller ones. Each step is a grouped minimum (combined on the map side) joined back to the edges; no
-    neighbour list is ever collected, so a vertex with a third of all edges is only a skewed join side. Every round is
+    neighbour list is ever collected, and the edges of a vertex that owns many of them are not moved to one task. Every round is
     written to the shared folder: lineage stays short and a lost executor costs one round at most."""
     edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialize(edges, "edges")
     mark = _mark(edges)
     for _ in range(MAX_ROUNDS):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_minimum(both.filter("v > u"), low, mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low2 = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low2, "u")
+        low2 = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_minimum(down, low2, mark[0])
         nxt = (
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v")))
@@ -107,33 +148,3 @@ def merge_clusters(assigned: DataFrame, neighbours: DataFrame) -> DataFrame:
     merged = side.join(comp, "cluster_id", "left").select("id", F.coalesce("component", "cluster_id").alias("cluster_id"))
     sizes = merged.groupBy("cluster_id").agg(F.count("*").alias("size"))
     return merged.join(sizes, "cluster_id").select("id", "cluster_id", "size")
-
-
-def attach_batch(
-    known: DataFrame, batch: DataFrame, neighbours: DataFrame | None = None, key: str = "url_normalized", among: DataFrame | None = None
-) -> DataFrame:
-    """(id, cluster_id) for a new batch against clusters known so far (`known(id, <key>, cluster_id)`): same URL first,
-    then the best similar known item (`neighbours(id, neighbour_id, cos)`), else a cluster of its own with the other
-    newcomers of the same URL. Newcomers that are similar to each other (`among(id, neighbour_id)`) stay together like those
-    of one URL."""
-    by_url = known.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("cluster_id").alias("_url_cluster"))
-    fresh = batch.select("id", _story_key(F.col(key)).alias(key))
-    own = fresh.groupBy(key).agg(F.min("id").alias("_own"))
-    out = fresh.join(by_url, key, "left").join(own, key)
-    if neighbours is None:
-        return out.select("id", F.coalesce("_url_cluster", "_own").alias("cluster_id"))
-    best = (
-        neighbours.join(known.select(F.col("id").alias("neighbour_id"), "cluster_id"), "neighbour_id")
-        .groupBy("id")
-        .agg(F.min_by("cluster_id", F.struct(-F.col("cos"), "neighbour_id")).alias("_similar"))
-    )
-    picked = out.join(best, "id", "left")
-    # newcomers that share a URL stay together: the group follows its first member that found a similar story
-    if among is None:
-        group = picked.groupBy(key).agg(F.min("_similar").alias("_group_similar"))
-        return picked.join(group, key).select("id", F.coalesce("_url_cluster", "_group_similar", "_own").alias("cluster_id"))
-    picked = materialize(picked, "newcomers")
-    links = picked.select(F.col("id").alias("u"), F.col("_own").alias("v")).unionByName(among.select(F.col("id").alias("u"), F.col("neighbour_id").alias("v")))
-    grouped = picked.join(connected_components(links), "id", "left").withColumn("_group", F.coalesce("component", "id"))
-    target = grouped.groupBy("_group").agg(F.min("_url_cluster").alias("_by_url"), F.min("_similar").alias("_by_vector"), F.min("_own").alias("_first"))
-    return grouped.join(target, "_group").select("id", F.coalesce("_url_cluster", "_by_url", "_by_vector", "_first").alias("cluster_id"))

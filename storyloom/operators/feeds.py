@@ -243,11 +243,14 @@ def tag_windows(items: DataFrame, as_of: Column, period: str = "day", vertical:
 
 
 def trends(items: DataFrame, as_of: Column, period: str = "day", vertical: str | None = None, limit: int = 8) -> DataFrame:
+    return trends_of(tag_windows(items, as_of, period, vertical), period, limit)
+
+
+def trends_of(windows: DataFrame, period: str = "day", limit: int = 8) -> DataFrame:
+    """The strongest of `windows(tag, count, prev, avg_score)`."""
     min_count = K.TREND_PERIODS.get(period, K.TREND_PERIODS["day"])[3]
     c, p, s = F.col("count"), F.col("prev"), F.col("avg_score")
-    rows = tag_windows(items, as_of, period, vertical).filter(
-        (c >= min_count) & (F.col("tag") != "") & ~F.lower("tag").isin(*K.BROAD_TAGS)
-    )
+    rows = windows.filter((c >= min_count) & (F.col("tag") != "") & ~F.lower("tag").isin(*K.BROAD_TAGS))
     return (
         rows.select(
             "tag", "count", "prev",
@@ -261,6 +264,32 @@ def trends(items: DataFrame, as_of: Column, period: str = "day", vertical: str |
     )
 
 
+def tag_tiles(items: DataFrame, ts: str = "sort_ts") -> DataFrame:
+    """(tile, vertical, tag, n, scored, score_sum) of visible items: one row per day, area and tag. A tile is named by the midnight that
+    ends it, which belongs to it, so that windows of whole days before a midnight are sums of tiles."""
+    instant = F.expr("INTERVAL 1 MICROSECOND")
+    tile = (F.date_trunc("DAY", F.col(ts) - instant) + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz")
+    rows = items.filter(VISIBLE).filter(F.col(ts).isNotNull()).select(tile.alias("tile"), "vertical", F.explode("tags").alias("tag"), "personal_score")
+    return rows.groupBy("tile", "vertical", "tag").agg(
+        F.count("*").alias("n"), F.count("personal_score").alias("scored"), F.coalesce(F.sum("personal_score"), F.lit(0.0)).alias("score_sum"))
+
+
+def tile_windows(tiles: DataFrame, as_of: Column, period: str = "day", vertical: str | None = None) -> DataFrame:
+    """`tag_windows` from daily tiles, for an `as_of` at midnight."""
+    hours, base_hours, divisor, _ = K.TREND_PERIODS.get(period, K.TREND_PERIODS["day"])
+    back = lambda h: as_of - F.expr(f"INTERVAL {int(h)} HOURS")
+    df = tiles.filter(F.col("tile") > back(hours + base_hours))
+    if vertical in K.VERTICALS:
+        df = df.filter(F.col("vertical") == vertical)
+    now = F.col("tile") > back(hours)
+    scored = F.coalesce(F.sum(F.when(now, F.col("scored"))), F.lit(0))
+    return df.groupBy("tag").agg(
+        scored.alias("count"),
+        (F.coalesce(F.sum(F.when(~now, F.col("n"))), F.lit(0)) / float(divisor)).alias("prev"),
+        F.when(scored > 0, F.sum(F.when(now, F.col("score_sum"))) / scored).alias("avg_score"),
+    )
+
+
 def trend_items(
     items: DataFrame, as_of: Column, tag: str, period: str = "day", vertical: str | None = None, limit: int = 10
 ) -> DataFrame:

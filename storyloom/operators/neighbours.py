@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.operators.dedup import forest
+from storyloom.operators.dedup import grid_forest
 from storyloom.session import materialize
 
 BLOCK_ROWS = 4096
@@ -48,17 +48,13 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 def _best(cos: np.ndarray, ids: np.ndarray, k: int, floor: float):
     """Positions (row, column) of the top k per row with cos >= floor; ties go to the smaller id."""
-    rows_out, cols_out = [], []
-    for i in range(cos.shape[0]):
-        cand = np.flatnonzero(cos[i] >= floor)
-        if cand.size > k:
-            order = np.lexsort((ids[cand], -cos[i][cand]))
-            cand = cand[order[:k]]
-        rows_out.append(np.full(cand.size, i))
-        cols_out.append(cand)
-    if not rows_out:
-        return np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate(rows_out), np.concatenate(cols_out)
+    if k < cos.shape[1] and cos.size:  # the k-th best value of a row; what ties with it stays until ids decide
+        floor = np.maximum(np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k], floor)[:, None]
+    r, c = np.nonzero(cos >= floor)
+    order = np.lexsort((ids[c], -cos[r, c], r))
+    r, c = r[order], c[order]
+    nth = np.arange(len(r)) - np.searchsorted(r, r)
+    return r[nth < k], c[nth < k]
 
 
 def _nonzero(vectors: DataFrame) -> DataFrame:
@@ -162,9 +158,12 @@ def similar_representatives(reps: DataFrame, min_cos: float, k: int | None, bloc
         if alone:
             np.fill_diagonal(cos, -2.0)
         if spanning:
-            r, c = np.nonzero(cos >= min_cos)
-            tree = np.array(forest(ids[li][r], ids[ri][c]), dtype=np.int64).reshape(-1, 2)
-            return pa.table({"id": tree[:, 0], "other": tree[:, 1], "cos": pa.nulls(len(tree), pa.float64())})
+            near = cos >= min_cos
+            if alone:
+                np.fill_diagonal(near, True)  # a row and the column of the same vector are one
+            r, c = grid_forest(near)
+            real = ids[li][r] != ids[ri][c]
+            return pa.table({"id": ids[li][r][real], "other": ids[ri][c][real], "cos": pa.nulls(int(real.sum()), pa.float64())})
         limit = k if k is not None else cos.size + 1
         r, c = _best(cos, ids[ri], limit, min_cos)
         found = [(ids[li][r], ids[ri][c], cos[r, c])]
@@ -219,34 +218,58 @@ def linked(vectors: DataFrame, min_cos: float, block_rows: int = BLOCK_ROWS) ->
     return pairs.select("id", F.col("other").alias("neighbour_id")).unionByName(copies if min_cos <= 1.0 else copies.limit(0))
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int, min_cos: float, exclude_self: bool = False) -> DataFrame:
-    """(query_id, id, cos, rank): top k of `vectors(id, vec)` for each of `queries(query_id, query_vec)`, rank from 0.
-
-    Queries and vectors are dealt into blocks by a hash of their ids; every block of queries meets every block of vectors in a task
-    of its own, as one matrix product that keeps the best k per query. No row passes through the driver."""
-    q = queries.filter(F.col("query_vec").isNotNull()).select(
-        F.col("query_id").cast("long").alias("id"), F.col("query_vec").cast("array<float>").alias("vec")
-    )
-    v = _nonzero(vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")))
-    q_blocks, v_blocks = max(1, math.ceil(q.count() / QUERY_BLOCK)), max(1, math.ceil(v.count() / BLOCK_ROWS))
+def _met(queries: DataFrame, vectors: DataFrame, meet, schema: str) -> DataFrame:
+    """`meet(query ids, vector ids, cosines)` for every block of `queries(id, vec)` with every block of `vectors(id, vec)`, dealt by a hash
+    of their ids; a meeting is one task's matrix product. No row passes through the driver."""
+    q_blocks, v_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK)), max(1, math.ceil(vectors.count() / BLOCK_ROWS))
+    empty = pa.schema([(f.split()[0], pa.float64() if f.split()[1] == "double" else pa.int64()) for f in schema.split(", ")]).empty_table()
 
     def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int, side: int) -> DataFrame:
         return df.select("id", "vec", F.lit(side).alias("side"), F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int").alias(own),
                          F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
 
-    def meet(t: pa.Table) -> pa.Table:
+    def run(t: pa.Table) -> pa.Table:
         side = t.column("side").to_numpy()
         asked, met = t.filter(pa.array(side == 0)), t.filter(pa.array(side == 1))
         q_ids, ids = asked.column("id").to_numpy(), met.column("id").to_numpy()
         if not len(q_ids) or not len(ids):
-            return pa.table({"query_id": q_ids[:0], "id": ids[:0], "cos": np.zeros(0)})
-        cos = _unit(_matrix(asked.column("vec"))) @ _unit(_matrix(met.column("vec"))).T
+            return empty
+        return meet(q_ids, ids, _unit(_matrix(asked.column("vec"))) @ _unit(_matrix(met.column("vec"))).T)
+
+    both = dealt(queries, "qb", q_blocks, "vb", v_blocks, 0).unionByName(dealt(vectors, "vb", v_blocks, "qb", q_blocks, 1))
+    return both.groupBy("qb", "vb").applyInArrow(run, schema)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.filter(F.col("query_vec").isNotNull()).select(
+        F.col("query_id").cast("long").alias("id"), F.col("query_vec").cast("array<float>").alias("vec"))
+
+
+def _known(vectors: DataFrame) -> DataFrame:
+    return _nonzero(vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")))
+
+
+def linked_between(queries: DataFrame, vectors: DataFrame, min_cos: float) -> DataFrame:
+    """(query_id, id): links that connect what all pairs of `queries(query_id, query_vec)` and `vectors(id, vec)` with cos >= min_cos
+    connect; a forest for each meeting of blocks, never the pairs."""
+
+    def meet(q_ids: np.ndarray, ids: np.ndarray, cos: np.ndarray) -> pa.Table:
+        r, c = grid_forest(cos >= min_cos)
+        return pa.table({"query_id": q_ids[r], "id": ids[c]})
+
+    return _met(_asked(queries), _known(vectors), meet, "query_id long, id long")
+
+
+def search(queries: DataFrame, vectors: DataFrame, k: int, min_cos: float, exclude_self: bool = False) -> DataFrame:
+    """(query_id, id, cos, rank): top k of `vectors(id, vec)` for each of `queries(query_id, query_vec)`, rank from 0. Every meeting of
+    blocks keeps the best k per query."""
+
+    def meet(q_ids: np.ndarray, ids: np.ndarray, cos: np.ndarray) -> pa.Table:
         if exclude_self:
             cos[q_ids[:, None] == ids[None, :]] = -2.0
         r, c = _best(cos, ids, k, min_cos)
         return pa.table({"query_id": q_ids[r], "id": ids[c], "cos": cos[r, c]})
 
-    both = dealt(q, "qb", q_blocks, "vb", v_blocks, 0).unionByName(dealt(v, "vb", v_blocks, "qb", q_blocks, 1))
-    found = both.groupBy("qb", "vb").applyInArrow(meet, "query_id long, id long, cos double")
+    found = _met(_asked(queries), _known(vectors), meet, "query_id long, id long, cos double")
     best = Window.partitionBy("query_id").orderBy(F.desc("cos"), "id")
     return found.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < k)

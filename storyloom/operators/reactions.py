@@ -145,3 +145,20 @@ def recent_reactions(marks: DataFrame, items: DataFrame, vertical: str, limit: i
     )
     newest = rows.orderBy(F.desc("marked_at"), F.desc("item_id"), "signal").limit(limit)
     return newest.withColumn("liked", F.col("signal").isin(*LIKES))
+
+
+SKETCH_BITS = 12  # registers of a sketch as a power of two: a standard error of 1.04 / sqrt(4096)
+SKETCH_ERROR = 0.01625
+
+
+def daily_sketches(events: DataFrame, key: str, ts: str = "ts") -> DataFrame:
+    """(day, sketch): a sketch of the distinct values of `key` per day, a few kilobytes however many there are. Sketches of days merge
+    into those of any window without the events."""
+    return events.groupBy(F.to_date(ts).alias("day")).agg(F.hll_sketch_agg(key, F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def distinct_in(sketches: DataFrame, last: Column, days: int) -> DataFrame:
+    """(days, estimate) for the `days` days that end with `last`."""
+    window = sketches.filter((F.col("day") <= last) & (F.col("day") > F.date_sub(last, days)))
+    merged = window.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+    return merged.select(F.lit(days).alias("days"), F.coalesce("estimate", F.lit(0)).alias("estimate"))

@@ -9,18 +9,19 @@ from storyloom import constants as K
 from storyloom.functions import text as X
 from storyloom.functions.urls import normalize_url
 from storyloom.operators import feeds as R
-from storyloom.operators import monitor, reactions
+from storyloom.operators import monitor, profiles, reactions
 from storyloom.plans import stages
 from storyloom.plans import tables as T
-from storyloom.plans.catalog_items import WATCH, _marks
+from storyloom.plans.catalog_items import _GATE_MIN, NO_BOOST, WATCH, _marks, _muted, _trends_sql
 from storyloom.plans.catalog_text import _derived
 from storyloom.plans.registry import AS_OF, query
-from storyloom.session import scratch_path
+from storyloom.session import materialize, scratch_path
 from storyloom.sources import exports, feeds, messages, tail
 from storyloom.sources import tables as S
-from storyloom.streaming import alerts, flow, limiter
+from storyloom.streaming import alerts, flow, limiter, push
 
 c = F.col
+_THIRDS = ("2024-01-10 00:00:00", "2024-01-20 00:00:00")  # where the log is cut into three stretches
 
 
 def _ntz(col: str):
@@ -276,9 +277,16 @@ _KEY_SQL = "CASE WHEN url IS NULL THEN id::VARCHAR WHEN url LIKE 'https://github
 )
 def j5_vectors(spark, d):
     vectors = T.vectors(spark, d).select(c("id"), c("vec").cast("array<float>").alias("vec"))
-    items = T.item_columns(_stream(spark, d, "documents")).select("id", normalize_url(c("url")).alias("url_normalized")).join(vectors, "id", "left")
-    out = flow.assign_clusters(items, scratch_path(spark, "clusters"), flow.checkpoint_for(spark, "clusters"), min_cos=0.42)
-    return out.read().select("id", "cluster_id")
+    return _stories(spark, d, T.items(spark, d).join(vectors, "id", "left"), "vec", min_cos=0.42).select("id", "cluster_id")
+
+
+def _stories(spark, d, items, *more, min_cos=None):
+    """Items in three stretches by arrival, each joined to the stories known by then."""
+    rows = items.select("id", normalize_url(c("url")).alias("url_normalized"), "fetched_at", *more)
+    path, mark = scratch_path(spark, "clusters"), flow.checkpoint_for(spark, "clusters")
+    for folder in _arrivals(spark, rows, "fetched_at", _THIRDS, "items"):
+        stories = flow.assign_clusters(flow.file_stream(spark, folder, rows.schema), path, mark, min_cos=min_cos)
+    return stories.read()
 
 
 _NEXT = "replace(replace(to_base64(encode(strftime(sort_ts, '%Y-%m-%dT%H:%M:%S.%f') || '|' || id::VARCHAR)), '+', '-'), '/', '_')"
@@ -356,6 +364,49 @@ def j1(spark, d):
     return _enriched(spark, d).select("id", "title", "url_normalized", F.array_join("watch_topics", ",").alias("watch_topics"), F.md5("summary").alias("summary_digest"), "answer")
 
 
+_STRETCH = f"(fetched_at >= TIMESTAMP '{_THIRDS[0]}')::INTEGER + (fetched_at >= TIMESTAMP '{_THIRDS[1]}')::INTEGER"
+
+
+@query(
+    "j1_scored_stream",
+    f"""WITH g AS (SELECT i.id, CASE WHEN coalesce(len(watch_topics) = 0 AND source_type <> 'manual' AND b.sim < {_GATE_MIN}, false)
+            THEN 'низкая близость к профилям: ' || printf('%.2f', sim) || ' (ближе всего ' || b.vertical || ')' END AS reason
+          FROM items i LEFT JOIN (SELECT v.id, max(list_cosine_similarity(v.vec, p.vec)) AS sim, max_by(p.vertical, list_cosine_similarity(v.vec, p.vec)) AS vertical
+            FROM vecs v, profile_vecs p GROUP BY v.id) b ON b.id = i.id),
+        k AS (SELECT id, min(id) OVER (PARTITION BY story ORDER BY stretch) AS cluster_id, count(*) OVER (PARTITION BY story ORDER BY stretch) AS size
+          FROM (SELECT id, {_KEY_SQL} AS story, {_STRETCH} AS stretch FROM items))
+        SELECT i.id, k.cluster_id, k.size, coalesce(g.reason, '{K.MUTE_PREFIX}' || h.muted_tag) AS skip_reason,
+          CASE WHEN g.reason IS NULL THEN round(exp(-greatest(coalesce(date_diff('second', published_at, {AS_OF}) / 3600::DOUBLE, 24), 0) / 48) * (1 + coalesce(raw_score, 0)) * (1 + ln(size)), 6) END AS base_score,
+          CASE WHEN g.reason IS NULL AND i.vertical IS NOT NULL THEN s.llm_relevance END AS llm_relevance, CASE WHEN g.reason IS NULL THEN round(ps, 6) END AS personal_score
+        FROM items i JOIN g ON g.id = i.id JOIN k ON k.id = i.id JOIN scored s ON s.id = i.id LEFT JOIN muted_hits h ON h.id = i.id""",
+)
+def j1_scored(spark, d):
+    """Items in three stretches through gate, stories, tagger, base score, judge, mutes and personal score. Stand-in models answer from
+    columns of the items; what a reader has taught is learned from the reaction log."""
+    labels = T.table(spark, d, "labels").select(c("doc_id").alias("id"), c("quality").alias("verdict"))
+    vectors = T.vectors(spark, d)
+    rows = T.items(spark, d).join(vectors, "id", "left").join(labels, "id", "left").select(
+        "id", "source_type", "feed_name", "author", normalize_url(c("url")).alias("url_normalized"), "title", "text", "tags", "vertical", "raw_score", "published_at", "fetched_at",
+        "watch_topics", "vec", "verdict", F.lit(None).cast("string").alias("skip_reason"), F.lit(None).cast("double").alias("llm_relevance"), F.lit(None).cast("long").alias("scored_profile_version"))
+    bare = T.items(spark, d)
+    steps = reactions.learning_steps(T.feedback_events(spark, d), bare)
+    muted = _muted(spark, d)
+    learned = [materialize(x, "learned") for x in (
+        reactions.tag_affinity(steps), reactions.source_affinity(steps), reactions.taste(_marks(spark, d), bare, vectors), muted)]
+    active = profiles.active_profiles(T.declared_profiles(spark))
+    clusters = flow.StoryClusters(spark, scratch_path(spark, "stories"))
+    chain = [
+        stages.personal_stage(*learned, T.as_of(), NO_BOOST), stages.base_score_stage(T.as_of()), stages.story_stage(clusters),
+        stages.gate_stage(materialize(T.profile_vectors(spark, d), "profiles"), _GATE_MIN), stages.tagger_stage(lambda b: [None] * len(b)),
+        stages.judge_stage(active, ["verdict"], lambda b: [None if v != v else f'{{"score": {v}}}' for v in b["verdict"]]),
+    ]
+    path, mark = scratch_path(spark, "processed"), flow.checkpoint_for(spark, "processed")
+    for folder in _arrivals(spark, rows, "fetched_at", _THIRDS, "incoming"):
+        done = flow.enrich(flow.file_stream(spark, folder, rows.schema), chain, path, mark)
+    return done.read().select(
+        "id", "cluster_id", c("cluster_size").alias("size"), "skip_reason", F.round("base_score", 6).alias("base_score"), "llm_relevance", F.round("personal_score", 6).alias("personal_score"))
+
+
 @query("j2_dedup_ingest", "SELECT DISTINCT source_type, source_id FROM items")
 def j2(spark, d):
     """Every item arrives twice; the time of an undated one is that of its arrival."""
@@ -387,9 +438,6 @@ def _arrivals(spark, rows, ts, edges, label):
         yield folder
 
 
-_THIRDS = ("2024-01-10 00:00:00", "2024-01-20 00:00:00")
-
-
 def _learned(spark, d, *parts):
     """The reaction log in three stretches, each learned by a run that resumes where the last one stopped."""
     events = T.table(spark, d, "events")
@@ -435,9 +483,16 @@ def j4_triggers(spark, d):
     """SELECT id, min(id) OVER (PARTITION BY CASE WHEN url IS NULL THEN id::VARCHAR WHEN url LIKE 'https://github%' THEN url ELSE text_digest END) AS cluster_id FROM items""",
 )
 def j5(spark, d):
-    items = T.item_columns(_stream(spark, d, "documents")).select("id", normalize_url(c("url")).alias("url_normalized"))
-    out = flow.assign_clusters(items, scratch_path(spark, "clusters"), flow.checkpoint_for(spark, "clusters"))
-    return out.read().select("id", "cluster_id")
+    return _stories(spark, d, T.items(spark, d)).select("id", "cluster_id")
+
+
+@query(
+    "j5_story_sizes",
+    """SELECT cluster_id, count(*) AS size FROM (SELECT min(id) OVER (PARTITION BY CASE WHEN url IS NULL THEN id::VARCHAR WHEN url LIKE 'https://github%' THEN url ELSE text_digest END) AS cluster_id
+       FROM items) GROUP BY cluster_id""",
+)
+def j5_sizes(spark, d):
+    return _stories(spark, d, T.items(spark, d)).select("cluster_id", "size").distinct()
 
 
 @query(
@@ -454,6 +509,46 @@ def j6(spark, d):
     return limiter.limited(T.feedback_events(spark, d).select("user_id", "ts", c("event_id").alias("id")))
 
 
+_CAP, _CAP_MINUTES = 3, 24 * 60
+_PUSH_SQL = f"""WITH RECURSIVE subs AS (SELECT DISTINCT user_id % 20 AS reader, vertical FROM clicks JOIN items ON items.id = clicks.item_id WHERE signal IN ('up', 'save') AND vertical IS NOT NULL),
+        o AS (SELECT reader, processed_at AS t, id, cluster_id, row_number() OVER (PARTITION BY reader ORDER BY processed_at, id) AS n FROM items JOIN subs USING (vertical)
+          WHERE processed_at IS NOT NULL AND pushed_at IS NULL AND personal_score >= CASE WHEN starts_with(feed_name, 'tw_') THEN 0.50 ELSE 0.55 END
+            AND NOT (hour(processed_at) >= 22 OR hour(processed_at) < 7)),
+        w AS (SELECT reader, t, id, n, true AS sent, [t] AS past, CASE WHEN cluster_id IS NULL THEN [] ELSE [cluster_id] END AS stories FROM o WHERE n = 1
+          UNION ALL SELECT reader, t, id, n, ok, CASE WHEN ok THEN list_append(past, t) ELSE past END, CASE WHEN ok AND cluster_id IS NOT NULL THEN list_append(stories, cluster_id) ELSE stories END FROM (
+            SELECT o.*, w.past, w.stories, (len(w.past) < {_CAP} OR w.past[-{_CAP}] < o.t - INTERVAL {_CAP_MINUTES} MINUTE) AND (o.cluster_id IS NULL OR NOT list_contains(w.stories, o.cluster_id)) AS ok
+            FROM w JOIN o ON o.reader = w.reader AND o.n = w.n + 1))
+        SELECT reader, id, t AS sent_at FROM w WHERE sent"""
+
+
+def _offers(spark, d):
+    """A reader follows the areas in which they ever liked something."""
+    items = T.items(spark, d, clusters=True)
+    liked = T.feedback_events(spark, d).filter(c("signal").isin(*reactions.LIKES)).select(c("item_id").alias("id"), (c("user_id") % 20).alias("reader"))
+    subs = liked.join(items.filter("vertical is not null").select("id", "vertical"), "id").select("reader", "vertical").distinct()
+    return push.offers(items, subs, quiet="22-7")
+
+
+def _sent(df):
+    return df.select("reader", "id", F.timestamp_micros("t").cast("timestamp_ntz").alias("sent_at"))
+
+
+@query("c6_push_sequence", _PUSH_SQL)
+def c6_sequence(spark, d):
+    return _sent(push.pushes(_offers(spark, d), _CAP, _CAP_MINUTES))
+
+
+@query("c6_push_stream", _PUSH_SQL)
+def c6_stream(spark, d):
+    """The same offers in three stretches of time, the readers' state carried by the checkpoint."""
+    rows = _offers(spark, d).withColumn("ts", F.timestamp_micros("t").cast("timestamp_ntz"))
+    out, mark = scratch_path(spark, "pushes"), flow.checkpoint_for(spark, "pushes")
+    for folder in _arrivals(spark, rows, "ts", _THIRDS, "offers"):
+        stream = push.push_stream(flow.file_stream(spark, folder, rows.schema), _CAP, _CAP_MINUTES)
+        flow.run_to_table(stream, out, mark)
+    return _sent(spark.read.schema(stream.schema).parquet(out))
+
+
 _OUTAGE = ("TIMESTAMP '2024-01-05 06:00:00'", "TIMESTAMP '2024-01-05 13:00:00'")
 
 
@@ -585,6 +680,43 @@ def j11(spark, d):
     return done.select(_ntz("day"), "tag", "n", F.round("avg_score", 6).alias("avg_score"))
 
 
+def _rolling(spark, d, period, vertical):
+    """Items in three stretches by arrival, each added to the tiles; the windows end at the report's midnight."""
+    rows = T.items(spark, d).select("vertical", "tags", "personal_score", "sort_ts", "fetched_at", "processed_at", "skip_reason")
+    path, mark = scratch_path(spark, "tiles"), flow.checkpoint_for(spark, "tiles")
+    for folder in _arrivals(spark, rows, "fetched_at", _THIRDS, "tagged"):
+        tiles = flow.tile_tags(flow.file_stream(spark, folder, rows.schema), path, mark)
+    t = tiles.trends(T.as_of(), period, vertical)
+    return t.withColumn("strength", F.round("strength", 6)).withColumn("prev", F.round("prev", 6))
+
+
+for _period, _vertical in (("day", None), ("week", "it"), ("month", None)):
+    query(f"j11_rolling_{_period}", _trends_sql(_period, _vertical))(lambda spark, d, p=_period, v=_vertical: _rolling(spark, d, p, v))
+
+
+_WINDOWS = (1, 7, 30)
+
+
+@query(
+    "e11_distinct_sketch",
+    " UNION ALL ".join(
+        f"SELECT {n} AS days, count(DISTINCT item_id) AS n, true AS close FROM clicks WHERE signal IN ('up', 'save') AND ts::DATE <= DATE '2024-01-30' AND ts::DATE > DATE '2024-01-30' - INTERVAL {n} DAY"
+        for n in _WINDOWS),
+)
+def e11_sketch(spark, d):
+    """Distinct items liked in the last days: exact, and whether the merged sketches are within three standard errors of it."""
+    liked = T.feedback_events(spark, d).filter(c("signal").isin(*reactions.LIKES))
+    sketches = materialize(reactions.daily_sketches(liked, "item_id"), "sketches")
+    last, out = F.lit("2024-01-30").cast("date"), None
+    for n in _WINDOWS:
+        day = F.to_date("ts")
+        exact = liked.filter((day <= last) & (day > F.date_sub(last, n))).agg(F.countDistinct("item_id").alias("n"))
+        near = F.abs(c("estimate") - c("n")) <= F.greatest(F.lit(1.0), 3 * reactions.SKETCH_ERROR * c("n"))
+        row = reactions.distinct_in(sketches, last, n).withColumn("n", exact.scalar()).select("days", "n", near.alias("close"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(
     "d9_wiki_replay",
     "SELECT i.id FROM items i WHERE i.id IN (SELECT item_id FROM marks WHERE signal IN ('up', 'save')) AND (coalesce(title, '') <> '' OR coalesce(text, '') <> '')",

@@ -37,11 +37,11 @@ def latest_per_key(batch: DataFrame, arrival: str = "arrival") -> DataFrame:
 
 def upsert(target: DataFrame, batch: DataFrame, as_of: Column, arrival: str = "arrival") -> DataFrame:
     """`target` after merging `batch` by (source_type, source_id): the ten source columns are overwritten, everything
-    else is preserved. Adds `was_new`, and `touched` for keys in the batch. New rows get `fetched_at = as_of` and a
-    repeatable id from their key."""
+    else is preserved. Adds `was_new`, and `touched` for keys in the batch. New rows get `fetched_at = as_of`, which may be an expression
+    of the batch's columns, and a repeatable id from their key."""
     new = latest_per_key(prepared(batch), arrival)
     t = target.withColumn("_old", F.lit(True))
-    n = new.select(*[F.col(k) for k in KEY], F.lit(True).alias("_new"), *[F.col(c).alias(f"n_{c}") for c in OVERWRITTEN])
+    n = new.select(*[F.col(k) for k in KEY], F.lit(True).alias("_new"), as_of.alias("_as_of"), *[F.col(c).alias(f"n_{c}") for c in OVERWRITTEN])
     j = t.join(n, KEY, "full_outer")
     fresh, hit = F.col("_old").isNull(), F.col("_new").isNotNull()
     out = []
@@ -53,7 +53,7 @@ def upsert(target: DataFrame, batch: DataFrame, as_of: Column, arrival: str = "a
         elif c == "id":
             out.append(F.when(fresh, F.xxhash64(*KEY)).otherwise(F.col("id")).alias("id"))
         elif c == "fetched_at":
-            out.append(F.when(fresh, as_of).otherwise(F.col(c)).alias(c))
+            out.append(F.when(fresh, F.col("_as_of")).otherwise(F.col(c)).alias(c))
         elif c == "attempts":
             out.append(F.when(fresh, F.lit(0)).otherwise(F.col(c)).alias(c))
         else:

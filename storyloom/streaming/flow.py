@@ -12,15 +12,16 @@ from functools import reduce
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from storyloom import constants as K
 from storyloom.operators import dedup, neighbours, reactions
+from storyloom.operators import feeds as stories
 from storyloom.operators.ordered import decayed_sum, running_sum
 from storyloom.operators.vector_sums import vector_sums
-from storyloom.session import scratch_path
+from storyloom.session import materialize, scratch_path
 from storyloom.sources import feeds, messages, tables
-from storyloom.streaming.state import KeyedTable
+from storyloom.streaming.state import KeyedTable, matched
 
 
 def available_now(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -76,33 +77,32 @@ class BatchTable:
 
 
 class ItemStore:
-    """Items as a log of arrivals, merged on read: a batch appends its own rows only, whatever the table's size."""
-
-    def __init__(self, spark: SparkSession, path: str, schema) -> None:
-        self.log = BatchTable(spark, path, schema)
-
-    def append(self, batch: DataFrame, batch_id: int) -> None:
-        """Add a batch of prepared arrivals, last one per key, with `was_new` for keys never seen before."""
-        fresh = tables.latest_per_key(batch)
-        seen = self.log.read(before=batch_id).select(*tables.KEY).withColumn("_seen", F.lit(True)).distinct()
-        out = fresh.join(seen, tables.KEY, "left").withColumn("was_new", F.col("_seen").isNull()).drop("_seen")
-        self.log.write(out.select(*[f.name for f in self.log.schema.fields]), batch_id)
+    """Items by (source_type, source_id), merged by the same upsert as in batch: a micro-batch reads and rewrites the buckets of its own
+    keys, whatever the table's size. What a second arrival does not overwrite (id, time of the first arrival, `extra` columns) stays."""
+
+    def __init__(self, spark: SparkSession, path: str, extra: str = "") -> None:
+        schema = f"id long, {tables.ITEM_SCHEMA}, url_normalized string, fetched_at timestamp, attempts int" + (f", {extra}" if extra else "")
+        self.items = KeyedTable(spark, f"{path}/items", schema, tables.KEY)
+        self.fresh = BatchTable(spark, f"{path}/fresh", self.items.schema)
+
+    def append(self, batch: DataFrame, batch_id: int, fetched_at: Column | None = None) -> None:
+        """Merge the arrivals of a batch, the last one per key by `arrival`; keys never seen before are handed to the next stage."""
+        fetched_at = F.lit(None).cast("timestamp") if fetched_at is None else fetched_at
+        keys = batch.select(*tables.KEY).distinct()
+        new = self.items.found(keys, batch_id).filter("old is null").select(*tables.KEY)
+        self.items.merge(batch, batch_id, lambda old, rows: tables.upsert(old, rows, fetched_at))
+        # read from the merged table, so that a repeated batch hands over the same rows
+        self.fresh.write(self.items.near(new).join(new, tables.KEY, "left_semi"), batch_id)
 
     def current(self) -> DataFrame:
-        """One row per key: the source columns of its last arrival."""
-        newest = Window.partitionBy(*tables.KEY).orderBy(F.desc("batch"), F.desc("arrival"))
-        return self.log.read().withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn")
+        return self.items.read()
 
     def new_items(self) -> DataFrame:
-        """The hand-off to the next stage: first arrivals only."""
-        return self.log.read().filter("was_new")
+        """The hand-off to the next stage: every key once, as it first came."""
+        return self.fresh.read()
 
 
-ARRIVALS = (
-    "source_type string, source_id string, url string, url_normalized string, title string, text string, "
-    "media array<string>, author string, feed_name string, raw_score double, category string, published_at timestamp, "
-    "arrival struct<modified:long,path:string,offset:long>, was_new boolean"
-)
+ARRIVALS = f"{tables.ITEM_SCHEMA}, arrival struct<modified:long,path:string,offset:long>"
 
 
 def _schema(spark: SparkSession, ddl: str):
@@ -112,14 +112,14 @@ def _schema(spark: SparkSession, ddl: str):
 def ingest_messages(lines: DataFrame, store_path: str, bad_path: str, checkpoint: str) -> ItemStore:
     """Raw message lines → item store; malformed lines go to a quarantine table and are not retried."""
     spark = lines.sparkSession
-    store = ItemStore(spark, store_path, _schema(spark, ARRIVALS))
+    store = ItemStore(spark, store_path)
     bad = BatchTable(spark, bad_path, _schema(spark, "value string"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
         m = messages.parsed(batch)
         bad.write(messages.malformed(m), batch_id)
-        rows = tables.prepared(messages.items(m, ("modified", "path", "offset"))).withColumn("arrival", F.struct("modified", "path", "offset"))
-        store.append(rows.withColumn("was_new", F.lit(None).cast("boolean")), batch_id)
+        rows = messages.items(m, ("modified", "path", "offset")).withColumn("arrival", F.struct("modified", "path", "offset"))
+        store.append(rows, batch_id, F.timestamp_micros((F.col("modified") / 1000).cast("long")))
 
     available_now(lines, each, checkpoint)
     return store
@@ -187,49 +187,123 @@ def flow_events(ingested: DataFrame, processed: DataFrame) -> DataFrame:
 
 def enrich(
     stream: DataFrame, stages: list, out_path: str, checkpoint: str, key: str = "id"
-) -> BatchTable:
-    """Items through ordered stages, set at a time. Items already in the output are left alone, so redelivery is
-    harmless."""
+) -> KeyedTable:
+    """Items through ordered stages, set at a time, into a table by their key. Items that are in it are left alone, so redelivery is
+    harmless; only the buckets of a batch's keys are read to know."""
     from storyloom.plans.stages import run_stages
 
-    spark = stream.sparkSession
-    probe = run_stages(spark.createDataFrame([], stream.schema), stages)
-    out = BatchTable(spark, out_path, probe.schema)
+    out: list[KeyedTable] = []
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        done = out.read(before=batch_id).select(key).distinct()
-        todo = batch.dropDuplicates([key]).join(done, key, "left_anti")
-        out.write(run_stages(todo, stages), batch_id)
+        if not out:  # the columns of the result are known once the stages have met a batch
+            plain = [x for x in stages if not x.per_batch]
+            added = [StructField("cluster_id", LongType()), StructField("cluster_size", LongType())] if len(plain) < len(stages) else []
+            probe = stream.sparkSession.createDataFrame([], StructType([*batch.schema.fields, *added]))
+            out.append(KeyedTable(stream.sparkSession, out_path, run_stages(probe, plain).schema, [key]))
+        todo = materialize(out[0].found(batch.dropDuplicates([key]), batch_id).filter("old is null").drop("old"), "todo")
+        out[0].merge(run_stages(todo, stages, batch_id), batch_id, lambda old, rows: old.unionByName(rows), keys_of=todo)
 
     available_now(stream, each, checkpoint)
-    return out
+    return out[0]
 
 
 # --- clusters -----------------------------------------------------------------------------------------------------
 
 
-def assign_clusters(
-    stream: DataFrame, out_path: str, checkpoint: str, key: str = "url_normalized", min_cos: float | None = None
-) -> BatchTable:
-    """`stream(id, <key>)` → (id, key, cluster_id), each batch against the clusters known so far. With `min_cos` the stream has
-    vectors (`vec`) as well: a newcomer without a known URL joins its nearest known item, and all newcomers of a batch that are as
-    similar are linked."""
-    spark = stream.sparkSession
-    kept = ["id", key] + (["vec"] if min_cos is not None else [])
-    out = BatchTable(spark, out_path, _schema(spark, f"id long, {key} string, " + ("vec array<float>, " if min_cos is not None else "") + "cluster_id long"))
+class StoryClusters:
+    """Stories that grow and merge as items come in: after any number of batches they are the components of one batch of everything.
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        known, near, among = out.read(before=batch_id), None, None
-        if min_cos is not None:
-            asked = batch.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
-            near = neighbours.search(asked, known.select("id", "vec").filter("vec is not null"), 1, min_cos).select(
-                F.col("query_id").alias("id"), F.col("id").alias("neighbour_id"), "cos")
-            among = neighbours.linked(batch.select("id", "vec"), min_cos)
-        got = dedup.attach_batch(known, batch, near, key, among)
-        out.write(batch.select(*kept).join(got, "id").select(*kept, "cluster_id"), batch_id)
+    An item keeps the label it got at first, the smallest id of its story then; `labels` says which story a label belongs to now, and
+    `under` lists the labels of a story, so when a newcomer links two stories only the labels of those absorbed are rewritten, never
+    items. URLs and ids are looked up in the buckets that a batch touches. Copies of a vector are kept once."""
 
-    available_now(stream, each, checkpoint)
-    return out
+    def __init__(self, spark: SparkSession, path: str, key: str = "url_normalized", min_cos: float | None = None) -> None:
+        self.spark, self.key, self.min_cos = spark, key, min_cos
+        self.urls = KeyedTable(spark, f"{path}/urls", "story_key string, label long", ["story_key"])
+        self.ids = KeyedTable(spark, f"{path}/ids", "id long, label long", ["id"])
+        self.labels = KeyedTable(spark, f"{path}/labels", "label long, cluster_id long", ["label"])
+        self.under = KeyedTable(spark, f"{path}/under", "cluster_id long, label long", ["cluster_id", "label"], bucket_by=["cluster_id"])
+        self.sizes = KeyedTable(spark, f"{path}/sizes", "cluster_id long, size long", ["cluster_id"])
+        self.vectors = BatchTable(spark, f"{path}/vectors", StructType.fromDDL("id long, vec array<float>"))
+        self.links = BatchTable(spark, f"{path}/links", StructType.fromDDL("u long, v long"))
+        self.assigned = BatchTable(spark, f"{path}/assigned", StructType.fromDDL("id long, story_key string, cluster_id long"))
+
+    def each(self, batch: DataFrame, batch_id: int) -> None:
+        once = batch.dropDuplicates(["id"])
+        fresh = self.ids.found(once, batch_id).filter("old is null").drop("old")
+        fresh = materialize(fresh.withColumn("story_key", dedup._story_key(F.col(self.key))), "newcomers")
+        first = fresh.groupBy("story_key").agg(F.min("id").alias("first"))
+        known = self.urls.found(first, batch_id).select("story_key", "first", F.col("old.label").alias("label"))
+        links = fresh.join(known, "story_key").select(F.col("id").alias("u"), F.col("first").alias("v"))
+        to_label = known.filter("label is not null").select(F.col("first").alias("u"), "label")
+        if self.min_cos is not None:
+            vec = fresh.filter("vec is not null").groupBy(F.col("vec").cast("array<float>").alias("vec")).agg(F.min("id").alias("id"))
+            self.vectors.write(vec.select("id", "vec"), batch_id)
+            own = self.vectors.only(batch_id)
+            links = links.unionByName(neighbours.linked(fresh.select("id", "vec"), self.min_cos).select(F.col("id").alias("u"), F.col("neighbour_id").alias("v")))
+            asked = own.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+            met = materialize(neighbours.linked_between(asked, self.vectors.read(batch_id).select("id", "vec"), self.min_cos), "met")
+            to_label = to_label.unionByName(self.ids.found(met, batch_id).select(F.col("query_id").alias("u"), F.col("old.label").alias("label")))
+        to_label = materialize(to_label.distinct(), "known-labels")
+        told = self.labels.found(to_label, batch_id).select("u", F.col("old.cluster_id").alias("v"))
+        # an item stands for itself until it is linked; a known story is the vertex of its smallest id
+        self.links.write(links.unionByName(told).distinct(), batch_id)
+        links = self.links.only(batch_id)
+        comp = materialize(dedup.connected_components(links), "components")
+        placed = fresh.select("id", "story_key").join(comp, "id", "left").select("id", "story_key", F.coalesce("component", "id").alias("cluster_id"))
+        self.assigned.write(placed, batch_id)
+        placed = self.assigned.only(batch_id)
+        moved = links.join(self.sizes.near(links.select(F.col("v").alias("cluster_id")), batch_id).select(F.col("cluster_id").alias("v"), "size"), "v").select(F.col("v").alias("id"), "size").distinct()
+        moved = moved.join(comp, "id").select(F.col("id").alias("cluster_id"), "size", F.col("component").alias("into"))
+        self._absorb(moved, placed, batch_id)
+
+    def _absorb(self, moved: DataFrame, placed: DataFrame, batch_id: int) -> None:
+        """`moved(cluster_id, size, into)` are the known stories that the batch touched, `placed` its items."""
+        gone = materialize(moved.filter("cluster_id <> into"), "absorbed")
+        old = self.under.near(gone, batch_id).join(gone.select("cluster_id", "into"), "cluster_id")
+        new = placed.select("cluster_id").distinct()
+        relabelled = materialize(
+            old.select("label", F.col("into").alias("cluster_id")).unionByName(new.select(F.col("cluster_id").alias("label"), "cluster_id")).groupBy("label").agg(F.min("cluster_id").alias("cluster_id")), "relabelled")
+        grown = placed.groupBy("cluster_id").agg(F.count("*").alias("n")).unionByName(gone.groupBy(F.col("into").alias("cluster_id")).agg(F.sum("size").alias("n")))
+        sizes = grown.groupBy("cluster_id").agg(F.sum("n").alias("n"), F.lit(False).alias("gone")).unionByName(gone.select("cluster_id", F.lit(0).cast("long").alias("n"), F.lit(True).alias("gone")))
+
+        def resized(old: DataFrame, rows: DataFrame) -> DataFrame:
+            both = matched(old, rows, ["cluster_id"]).filter(~F.coalesce("new.gone", F.lit(False)))
+            return both.select("cluster_id", (F.coalesce("old.size", F.lit(0)) + F.coalesce("new.n", F.lit(0))).alias("size"))
+
+        def regrouped(old: DataFrame, rows: DataFrame) -> DataFrame:
+            left = old.join(rows.filter("label is null").select("cluster_id"), "cluster_id", "left_anti")
+            return left.unionByName(rows.filter("label is not null")).distinct()
+
+        self.labels.merge(relabelled, batch_id, {"cluster_id": F.coalesce("new.cluster_id", "old.cluster_id")})
+        emptied = gone.select("cluster_id", F.lit(None).cast("long").alias("label"))
+        self.under.merge(relabelled.select("cluster_id", "label").unionByName(emptied), batch_id, regrouped)
+        self.sizes.merge(sizes, batch_id, resized)
+        keep = {"label": F.coalesce("old.label", "new.label")}
+        self.urls.merge(placed.filter(~F.col("story_key").startswith("item:")).groupBy("story_key").agg(F.min("cluster_id").alias("label")), batch_id, keep)
+        self.ids.merge(placed.select("id", F.col("cluster_id").alias("label")), batch_id, keep)
+
+    def of(self, items: DataFrame) -> DataFrame:
+        """`items` with the story they are in now and its size; only the buckets of these items and stories are read."""
+        told = self.ids.found(items.select("id")).select("id", F.col("old.label").alias("label"))
+        told = self.labels.found(told).select("id", F.col("old.cluster_id").alias("cluster_id"))
+        told = self.sizes.found(told).select("id", "cluster_id", F.col("old.size").alias("cluster_size"))
+        return items.join(told, "id", "left")
+
+    def read(self) -> DataFrame:
+        """(id, cluster_id, size) of every item as things stand."""
+        now = self.ids.read().join(self.labels.read(), "label").select("id", "cluster_id")
+        return now.join(self.sizes.read(), "cluster_id").select("id", "cluster_id", "size")
+
+
+def assign_clusters(
+    stream: DataFrame, path: str, checkpoint: str, key: str = "url_normalized", min_cos: float | None = None
+) -> StoryClusters:
+    """`stream(id, <key>)` into stories, each batch against those known so far. With `min_cos` the stream has vectors (`vec`) as well:
+    all items that are as similar are linked, newcomers with each other and with known ones."""
+    clusters = StoryClusters(stream.sparkSession, path, key, min_cos)
+    available_now(stream, clusters.each, checkpoint)
+    return clusters
 
 
 # --- learning -----------------------------------------------------------------------------------------------------
@@ -376,6 +450,27 @@ def daily_tag_counts(stream: DataFrame, ts: str = "sort_ts", late: str = "2 days
     )
 
 
+class TagTiles:
+    """Daily tiles of tags that items add to as they come, in any order; rolling windows of days, weeks and months are sums of tiles, so
+    neither the items nor their history are read again."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.tiles = KeyedTable(spark, path, "tile timestamp_ntz, vertical string, tag string, n long, scored long, score_sum double", ["tile", "vertical", "tag"], bucket_by=["tile"])
+
+    def each(self, batch: DataFrame, batch_id: int) -> None:
+        add = lambda c: F.coalesce(f"old.{c}", F.lit(0)) + F.coalesce(f"new.{c}", F.lit(0))
+        self.tiles.merge(materialize(stories.tag_tiles(batch), "tiles"), batch_id, {c: add(c) for c in ("n", "scored", "score_sum")})
+
+    def trends(self, as_of: Column, period: str = "day", vertical: str | None = None) -> DataFrame:
+        return stories.trends_of(stories.tile_windows(self.tiles.read(), as_of, period, vertical), period)
+
+
+def tile_tags(stream: DataFrame, path: str, checkpoint: str) -> TagTiles:
+    tiles = TagTiles(stream.sparkSession, path)
+    available_now(stream, tiles.each, checkpoint)
+    return tiles
+
+
 def latest_windows(counts: DataFrame, path: str, checkpoint: str, key: list[str]) -> DataFrame:
     """The current state of every window, those still open included: a batch appends the windows it changed, and the
     last version of each is read."""

@@ -19,12 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BUCKETS = 32
-
-
-def same_key(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    """Equal keys, NULLs included."""
-    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+BUCKETS = 8  # for tables that stay small; give more where a bucket would be rewritten slowly
 
 
 def matched(old: DataFrame, new: DataFrame, keys: list[str], how: str = "full_outer") -> DataFrame:
@@ -37,10 +32,13 @@ def matched(old: DataFrame, new: DataFrame, keys: list[str], how: str = "full_ou
 
 
 class KeyedTable:
-    """One row per key of `keys`. `schema` is a DDL string or a StructType that holds the keys; every column of it is kept."""
+    """One row per key of `keys`. `schema` is a DDL string or a StructType that holds the keys; every column of it is kept. Buckets are
+    by all keys, or by those of `bucket_by`, so that rows which share them are found together."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str | StructType, keys: list[str], buckets: int = BUCKETS) -> None:
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
+    def __init__(
+        self, spark: SparkSession, path: str, schema: str | StructType, keys: list[str], buckets: int = BUCKETS, bucket_by: list[str] | None = None
+    ) -> None:
+        self.spark, self.path, self.keys, self.bucket_by = spark, path.rstrip("/"), keys, bucket_by or keys
         self.schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
         self.columns = [f.name for f in self.schema.fields]
         self.fs, self.root = fs.FileSystem.from_uri(self.path)
@@ -89,7 +87,7 @@ class KeyedTable:
     # rows
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int")
 
     def _rows(self, versions: dict[str, int]) -> DataFrame:
         if not versions:
@@ -115,11 +113,14 @@ class KeyedTable:
         same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in self.keys])
         return rows.join(o, same, "left").drop(*[f"_o_{k}" for k in self.keys])
 
-    def merge(self, rows: DataFrame, batch_id: int, changed: dict[str, Column] | Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    def merge(
+        self, rows: DataFrame, batch_id: int, changed: dict[str, Column] | Callable[[DataFrame, DataFrame], DataFrame], keys_of: DataFrame | None = None
+    ) -> None:
         """Bring `rows`, one per key, into the table. `changed` gives the new value of each column beside the keys from the structs
-        `old` and `new`, either of which may be NULL; or it makes all rows of the touched buckets from the old ones and `rows`."""
+        `old` and `new`, either of which may be NULL; or it makes all rows of the touched buckets from the old ones and `rows`. Where
+        `rows` are dear to compute, `keys_of` names a table with the same keys."""
         known = self._current(batch_id)
-        touched = self._touched(rows)
+        touched = self._touched(rows if keys_of is None else keys_of)
         old = self._rows({b: known[b] for b in touched if b in known})
         if callable(changed):
             out = changed(old, rows)

@@ -332,11 +332,36 @@ def test_fusion_prefers_agreement_then_first_seen(spark):
     assert order[:3] == [7, 4, 1]
 
 
-def test_attach_batch(spark):
-    known = spark.createDataFrame([(1, "u1", 1), (2, "u2", 2)], "id long, url_normalized string, cluster_id long")
-    batch = spark.createDataFrame([(10, "u1"), (11, "u3"), (12, "u3"), (13, None), (14, None)], "id long, url_normalized string")
-    got = {r.id: r.cluster_id for r in dedup.attach_batch(known, batch).collect()}
-    assert got == {10: 1, 11: 11, 12: 11, 13: 13, 14: 14}
-    near = spark.createDataFrame([(12, 2, 0.9), (13, 1, 0.89), (13, 2, 0.95)], "id long, neighbour_id long, cos double")
-    got = {r.id: r.cluster_id for r in dedup.attach_batch(known, batch, near).collect()}
-    assert got == {10: 1, 11: 2, 12: 2, 13: 2, 14: 14}
+
+def test_components_around_a_hub(spark):
+    """One vertex owns most edges, and not as the smallest one; chains and a second star hang on it."""
+    edges = [(500, k) for k in range(1000, 1900)] + [(k, k + 3000) for k in range(1000, 1300)] + [(4000, 4100), (4100, 7), (9001, 9002)]
+    edges += [(9500, k) for k in range(9501, 9900)]
+    got = {r.id: r.component for r in dedup.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: 7 if k < 9001 and k != 0 else 9001 if k < 9003 else 9500 for k in {x for e in edges for x in e}}
+
+
+def test_grid_forest_connects_what_all_pairs_connect():
+    rng = np.random.default_rng(7)
+    for shape, share in (((40, 60), 0.02), ((60, 40), 0.3), ((1, 5), 0.5), ((0, 4), 0.5), ((30, 30), 0.0)):
+        near = rng.random(shape) < share
+        r, c = dedup.grid_forest(near)
+        assert near[r, c].all() and len(r) < sum(shape) + 1
+
+        def groups(pairs):
+            parent = list(range(sum(shape)))
+            for _ in parent:
+                for x, y in pairs:
+                    parent[x] = parent[shape[0] + y] = min(parent[x], parent[shape[0] + y])
+            return parent
+
+        assert groups(list(zip(r.tolist(), c.tolist()))) == groups(list(zip(*(x.tolist() for x in np.nonzero(near)))))
+
+
+def test_best_keeps_ties_by_id():
+    cos = np.array([[0.5, 0.9, 0.9, 0.1], [0.2, 0.2, 0.2, 0.2], [-1.0, 0.3, 0.0, 0.4]])
+    ids = np.array([7, 9, 3, 1])
+    for k in (1, 2, 3, 9):
+        r, c = neighbours._best(cos, ids, k, 0.15)
+        want = [(i, j) for i in range(3) for j in sorted(np.flatnonzero(cos[i] >= 0.15), key=lambda j: (-cos[i, j], ids[j]))[:k]]
+        assert list(zip(r.tolist(), c.tolist())) == want

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import os
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from storyloom.operators import reactions
 from storyloom.operators.vector_sums import vector_sums
-from storyloom.sources import feeds, messages, tail
+from storyloom.plans import stages
+from storyloom.sources import feeds, messages, tables, tail
 from storyloom.streaming import flow, limiter
 from storyloom.streaming.state import KeyedTable
 
@@ -154,7 +157,34 @@ def test_clusters_of_several_batches_use_vectors(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
         out = flow.assign_clusters(spark.readStream.schema(schema).parquet(src), str(tmp_path / "out"), str(tmp_path / "ck"), min_cos=0.9)
     got = {r.id: r.cluster_id for r in out.read().collect()}
-    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3, 6: 6, 7: 3, 8: 6, 9: 6}
+    # 5 has the URL of 3 and the vector of 1: it joins two stories
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1, 6: 6, 7: 1, 8: 6, 9: 6}
+
+
+def test_batches_of_items_merge_stories_like_one_batch(spark, tmp_path):
+    """Chains of URLs and vectors whose middle arrives last, items sent again, a batch repeated, and smaller ids that come later."""
+    rng = random.Random(4)
+    schema = "id long, url_normalized string, vec array<float>"
+    angle = lambda a: [math.cos(a), math.sin(a), 0.1 * (a > 3)]
+    rows = [(i, rng.choice([f"u{rng.randrange(25)}", f"w{i}", None]), angle(rng.randrange(60) / 10) if rng.random() < 0.7 else None) for i in range(70)]
+    rng.shuffle(rows)
+    vecs = {i: v for i, _, v in rows}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in vecs.items() if v}
+    links = [(a, b) for a, u, _ in rows for b, w, _ in rows if a < b and ((u and u == w) or (a in unit and b in unit and unit[a] @ unit[b] >= 0.9995))]
+    parent = {i: i for i in vecs}
+    for _ in range(70):
+        for a, b in links:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    clusters = flow.StoryClusters(spark, str(tmp_path / "state"), min_cos=0.9995)
+    for n, cut in enumerate((0, 20, 45, 70)):
+        part = rows[max(0, cut - 30) : cut]  # some rows come again
+        clusters.each(spark.createDataFrame(part, schema), n)
+        if n == 2:
+            clusters.each(spark.createDataFrame(part, schema), n)
+    got = clusters.read().collect()
+    assert {r.id: r.cluster_id for r in got} == parent
+    assert all(r.size == list(parent.values()).count(r.cluster_id) for r in got)
+    assert {r.cluster_id: r.size for r in clusters.sizes.read().collect()} == {c: list(parent.values()).count(c) for c in set(parent.values())}
 
 
 def test_groups_of_copies_do_not_hide_a_link(spark, tmp_path):
@@ -167,16 +197,37 @@ def test_groups_of_copies_do_not_hide_a_link(spark, tmp_path):
 
 
 def test_item_store_keeps_first_and_last(spark, tmp_path):
-    store = flow.ItemStore(spark, str(tmp_path / "store"), spark.createDataFrame([], flow.ARRIVALS).schema)
+    store = flow.ItemStore(spark, str(tmp_path / "store"), extra="score double")
 
     def batch(*rows):
-        return spark.createDataFrame([("rss", k, None, None, t, None, [], None, "f", None, None, None, (0, "f", n), None) for n, (k, t) in enumerate(rows)], flow.ARRIVALS)
-
-    store.append(batch(("1", "a"), ("2", "b"), ("1", "a2")), 0)
-    store.append(batch(("1", "c"), ("3", "d")), 1)
-    store.append(batch(("1", "c"), ("3", "d")), 1)  # repeated
-    assert {r.source_id: r.title for r in store.current().collect()} == {"1": "c", "2": "b", "3": "d"}
-    assert sorted(r.source_id for r in store.new_items().collect()) == ["1", "2", "3"]
+        return spark.createDataFrame([("rss", k, None, t, None, [], None, "f", None, None, None, (n, "f", n)) for n, (k, t) in enumerate(rows)], flow.ARRIVALS)
+
+    at = F.timestamp_seconds(F.col("arrival.modified") + 100)
+    store.append(batch(("1", "a"), ("2", "b"), ("1", "a2")), 0, at)
+    first = {r.source_id: r for r in store.current().collect()}
+    store.items.merge(store.current().select(*tables.KEY), 1, lambda old, rows: old.withColumn("score", F.lit(0.5)))  # a later stage writes
+    store.append(batch(("1", "c"), ("3", "d")), 2, at)
+    store.append(batch(("1", "c"), ("3", "d")), 2, at)  # repeated
+    now = {r.source_id: r for r in store.current().collect()}
+    assert {k: r.title for k, r in now.items()} == {"1": "c", "2": "b", "3": "d"}
+    assert now["1"].id == first["1"].id and now["1"].fetched_at == first["1"].fetched_at == datetime(1970, 1, 1, 0, 1, 42) and now["1"].score == 0.5 and now["3"].score is None
+    assert sorted((r.source_id, r.title) for r in store.new_items().collect()) == [("1", "a2"), ("2", "b"), ("3", "d")]
+
+
+def test_tagger_and_judge_answers_are_read(spark):
+    schema = "id long, title string, text string, feed_name string, tags array<string>, vertical string, skip_reason string, llm_relevance double, scored_profile_version long"
+    answers = {"1": 'sure: {"tags": [" AI ", "", "Go"], "vertical": "IT", "insight": 1.7}', "2": "broken", "3": '{"vertical": "other", "insight": -1}', "4": '{"tags": ["x"]}'}
+    rows = [(i, str(i), "", "f", ["old"], "it", "muted" if i == 4 else None, None, None) for i in range(1, 6)] + [(6, None, "", "f", ["old"], "it", None, 0.3, 2)]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.id: r for r in stages.run_stages(df, [stages.tagger_stage(lambda b: [answers.get(t) for t in b["title"]])]).collect()}
+    assert (got[1].tags, got[1].vertical, got[1].insight_score) == (["ai", "go"], "it", 1.0)
+    assert (got[2].tags, got[2].vertical, got[2].insight_score) == (["old"], "it", None)
+    assert (got[3].tags, got[3].vertical, got[3].insight_score) == (["old"], None, 0.0)
+    assert got[4].tags == got[5].tags == got[6].tags == ["old"]
+    active = spark.createDataFrame([("it", 2)], "vertical string, version long")
+    said = {"1": '{"score": 3}', "2": '{"score": "0.25"}', "3": "no"}
+    judged = {r.id: r for r in stages.judge_stage(active, ["title"], lambda b: [said.get(t, '{"score": 0.9}') for t in b["title"]]).apply(df).collect()}
+    assert [(judged[i].llm_relevance, judged[i].scored_profile_version) for i in range(1, 7)] == [(1.0, 2), (0.25, 2), (None, None), (None, None), (0.9, 2), (0.3, 2)]
 
 
 def brute_limit(rows, cap, minutes):
