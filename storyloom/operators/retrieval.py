@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,24 +40,37 @@ def wants_projects(query: Column) -> Column:
     return F.arrays_overlap(_query_words(query), lit_strings(K.PROJECT_WORDS))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, length, term, tf) of the rows (id, words), whose last word is the empty one: distinct words of each row with their numbers."""
+    for b in batches:
+        lists = b.column("words")
+        bounds = np.asarray(lists.offsets, dtype=np.int64)
+        coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        n = np.diff(bounds)
+        width = max(1, len(coded.dictionary))
+        keys, tf = np.unique(np.repeat(np.arange(len(n)), n) * width + np.asarray(coded.indices, dtype=np.int64), return_counts=True)
+        row = keys // width
+        yield pa.RecordBatch.from_arrays(
+            [b.column("id").take(pa.array(row)), pa.array(n[row] - 1), coded.dictionary.take(pa.array(keys % width)), pa.array(tf)],
+            names=["id", "length", "term", "tf"])
+
+
+def word_counts(items: DataFrame) -> DataFrame:
+    """(id, length, term, tf) of the visible items' titles and texts. Words are counted inside each row, without a shuffle; every item
+    also has one row with an empty term, which carries its length."""
+    words = tokens(F.concat_ws(" ", "title", "text"))
+    docs = spread(items.filter(VISIBLE).select("id", "title", "text")).select("id", F.array_append(words, F.lit("")).alias("words"))
+    return docs.mapInArrow(_counted, "id long, length long, term string, tf long")
+
+
 def lexical(queries: DataFrame, items: DataFrame, k: int = K.POOL) -> DataFrame:
     """(query_id, id, bm25, rank): visible items that hold any query term in title or text, best k per query.
 
-    Rows are text tokens restricted to terms that some query asks for, counted per item and term on the map side and
-    kept as a table in the shared folder, from which document frequencies, corpus size and scores are read. The best k
-    per query are cut on the map side. BM25 stands in for cover-density ranking."""
+    Postings are the counts of terms that some query asks for, kept as a table in the shared folder, from which document frequencies,
+    corpus size and scores are read. The best k per query are cut on the map side. BM25 stands in for cover-density ranking."""
     terms = queries.select("query_id", F.explode(search_terms(F.col("query"))).alias("term"))
-    # texts are tokenized once; every item also leaves one row with an empty term, which carries its length
     wanted = terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    words = tokens(F.concat_ws(" ", "title", "text"))
-    docs = spread(items.filter(VISIBLE).select("id", "title", "text")).select("id", words.alias("words"))
-    postings = materialize(
-        docs.select("id", F.size("words").alias("length"), F.explode(F.array_append("words", F.lit(""))).alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("id", "term")
-        .agg(F.count("*").alias("tf"), F.max("length").alias("length")),
-        "postings",
-    )
+    postings = materialize(word_counts(items).join(wanted, "term", "left_semi"), "postings")
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     corpus = postings.filter("term = ''").agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("avg_length"))).scalar()
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -8,6 +8,7 @@ from storyloom import constants as K
 from storyloom.functions import scores as S
 from storyloom.functions import urls as U
 from storyloom.operators import dedup, knowledge, neighbours, reactions, retrieval
+from storyloom.operators.lexical_index import LexicalIndex
 from storyloom.plans import tables as T
 from storyloom.plans.registry import AS_OF, query
 
@@ -94,6 +95,15 @@ def h3(spark, d):
     return retrieval.lexical(T.queries_table(spark, d), T.items(spark, d)).withColumn("bm25", F.round("bm25", 6))
 
 
+def _indexed(spark, d):
+    return LexicalIndex.build(T.items(spark, d), block_items=64).search(T.queries_table(spark, d))
+
+
+@query("h3_stored_index", "SELECT query_id, id, round(bm25, 6) AS bm25, rank FROM lex_hits")
+def h3_index(spark, d):
+    return _indexed(spark, d)[0].withColumn("bm25", F.round("bm25", 6))
+
+
 @query("h4_semantic", "SELECT query_id, id, round(cos, 6) AS cos, rank FROM sem_hits")
 def h4(spark, d):
     return retrieval.semantic(T.queries_table(spark, d), T.vectors(spark, d), min_cos=SEARCH_MIN).withColumn("cos", F.round("cos", 6))

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyloom.operators import dedup, feeds, neighbours, ordered, profiles, reactions, retrieval, scoring
+from storyloom.operators.lexical_index import LexicalIndex
 from storyloom.plans import tables as T
 from storyloom.sources import feeds as ingest
 from storyloom.sources import tables as S
@@ -365,3 +366,19 @@ def test_best_keeps_ties_by_id():
         r, c = neighbours._best(cos, ids, k, 0.15)
         want = [(i, j) for i in range(3) for j in sorted(np.flatnonzero(cos[i] >= 0.15), key=lambda j: (-cos[i, j], ids[j]))[:k]]
         assert list(zip(r.tolist(), c.tolist())) == want
+
+
+def test_stored_index_equals_scoring_everything(spark):
+    """Items of very different lengths; a few queries, one without words; fewer postings read than held."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(rng.choices(vocab, weights=[1 / (i + 1) for i in range(60)], k=n))
+    rows = [(i, None if i % 9 == 0 else text(2), text(rng.choice([0, 1, 3, 8, 40, 200])), T0, None) for i in range(900)] + [(900, None, None, T0, None), (901, "w1", "w1", None, None)]
+    items = spark.createDataFrame(rows, "id long, title string, text string, processed_at timestamp_ntz, skip_reason string")
+    queries = spark.createDataFrame([(1, "w0 w50"), (2, "w3"), (3, "w59 nothing"), (4, "the"), (5, None), (6, "w7 w8 w9 w1")], "query_id long, query string")
+    want = {(r.query_id, r.rank): (r.id, round(r.bm25, 9)) for r in retrieval.lexical(queries, items, 10).collect()}
+    for size in (5000, 30):
+        hits, work = LexicalIndex.build(items, block_items=size).search(queries, 10)
+        assert {(r.query_id, r.rank): (r.id, round(r.bm25, 9)) for r in hits.collect()} == want
+    assert sum(r.read for r in work.collect()) < sum(r["all"] for r in work.collect())
+    assert LexicalIndex.build(items.limit(0)).search(queries, 10)[0].count() == 0
