@@ -14,6 +14,9 @@ from storyloom.operators import reactions
 VISIBLE = "processed_at is not null and skip_reason is null"
 
 
+MAX_PAGE = 200  # rows of a page of the API
+
+
 @dataclass(frozen=True)
 class FeedRequest:
     """Filters, order and page of a feed read. `min_score` tests the raw source score, `since` the publish time."""
@@ -33,6 +36,11 @@ class FeedRequest:
     cursor: str | None = None
     collapse: bool = True
 
+    @property
+    def page_size(self) -> int:
+        """A page has 1 to 200 rows, whatever is asked."""
+        return max(1, min(self.limit, MAX_PAGE))
+
 
 def feed_filter(items: DataFrame, q: FeedRequest) -> DataFrame:
     df = items.filter(VISIBLE)
@@ -112,14 +120,14 @@ def feed(items: DataFrame, q: FeedRequest) -> DataFrame:
         df = df.filter((F.col("sort_ts") < ts) | ((F.col("sort_ts") == ts) & (F.col("id") < id_)))
     if q.collapse:
         df = collapse(df, order)
-    page = df.orderBy(*order).limit(q.limit + 1)
+    page = df.orderBy(*order).limit(q.page_size + 1)
     # at most limit + 1 rows are left, so one task may number them
     rn = Window.orderBy(*order)
     page = page.withColumn("rank", F.row_number().over(rn)).withColumn("_more", F.lead("id").over(rn).isNotNull())
-    ends = (F.col("rank") == q.limit) & F.col("_more") & F.lit(keyset)
+    ends = (F.col("rank") == q.page_size) & F.col("_more") & F.lit(keyset)
     return (
         page.withColumn("next_cursor", F.when(ends, encode_cursor(F.col("sort_ts"), F.col("id"))))
-        .filter(F.col("rank") <= q.limit)
+        .filter(F.col("rank") <= q.page_size)
         .drop("_more")
     )
 
@@ -209,7 +217,7 @@ def dashboard_feed(
     order = [F.col("sort_ts").desc(), F.col("id").desc()]
     if sort == "score":
         order = [F.col("personal_score").desc_nulls_last(), *order]
-    page = collapse(df, order).orderBy(*order).limit(max(1, min(limit, 200)))
+    page = collapse(df, order).orderBy(*order).limit(max(1, min(limit, MAX_PAGE)))
     return attach_signals(page, marks)
 
 

@@ -17,14 +17,19 @@ def cluster_sizes(items: DataFrame) -> DataFrame:
 
 def cluster_key() -> Column:
     """Join key of the item's cluster. Items outside clusters get keys of their own that match nothing, so that NULL
-    keys do not meet in one task."""
-    return F.coalesce("cluster_id", -F.col("id") - 1)
+    keys do not meet in one task; whatever the ids, no such key is that of a cluster."""
+    return F.struct(F.col("cluster_id").isNull().alias("alone"), F.coalesce("cluster_id", "id").alias("key"))
+
+
+def _keyed(clusters: DataFrame) -> DataFrame:
+    """A table with a row per `cluster_id`, under the key that its items have."""
+    key = F.struct(F.lit(False).alias("alone"), F.col("cluster_id").alias("key"))
+    return clusters.select(key.alias("_key"), *[c for c in clusters.columns if c != "cluster_id"])
 
 
 def with_cluster_size(items: DataFrame) -> DataFrame:
     """Size of the item's cluster, 1 outside clusters."""
-    sizes = cluster_sizes(items).withColumnRenamed("cluster_id", "_key")
-    joined = items.withColumn("_key", cluster_key()).join(sizes, "_key", "left").drop("_key")
+    joined = items.withColumn("_key", cluster_key()).join(_keyed(cluster_sizes(items)), "_key", "left").drop("_key")
     return joined.withColumn("cluster_size", F.coalesce("cluster_size", F.lit(1).cast("long")))
 
 
@@ -190,7 +195,7 @@ def sent_clusters(items: DataFrame, field: str) -> DataFrame:
 
 def with_cluster_sent(items: DataFrame, field: str) -> DataFrame:
     s = sent_clusters(items, field)
-    joined = items.withColumn("_key", cluster_key()).join(s.withColumnRenamed("cluster_id", "_key"), "_key", "left")
+    joined = items.withColumn("_key", cluster_key()).join(_keyed(s), "_key", "left")
     other = (F.coalesce("n_sent", F.lit(0)) > 1) | ((F.col("n_sent") == 1) & (F.col("sent_id") != F.col("id")))
     return joined.withColumn("cluster_sent", F.coalesce(other, F.lit(False))).drop("_key", "n_sent", "sent_id")
 

@@ -14,6 +14,7 @@ from storyloom.operators.feeds import FeedRequest
 from storyloom.plans import tables as T
 from storyloom.plans.catalog_text import BUCKET_SQL
 from storyloom.plans.registry import AS_OF, query
+from storyloom.session import materialize
 
 c = F.col
 NO_BOOST = ("Природные явления",)
@@ -394,7 +395,7 @@ def d16(spark, d):
 
 def _scored(spark, d):
     items = T.items(spark, d, labels=True, vectors=True)
-    steps, bare = _steps(spark, d), T.items(spark, d)
+    steps, bare = materialize(_steps(spark, d), "steps"), T.items(spark, d)  # numbered once, read by both weights
     return scoring.scored(
         items, reactions.tag_affinity(steps), reactions.source_affinity(steps),
         reactions.taste(_marks(spark, d), bare, T.vectors(spark, d)), _muted(spark, d), T.as_of(), NO_BOOST,

@@ -9,7 +9,7 @@ from storyloom import constants as K
 from storyloom.functions import text as X
 from storyloom.functions.urls import normalize_url
 from storyloom.operators import feeds as R
-from storyloom.operators import monitor, profiles, reactions
+from storyloom.operators import maintenance, monitor, profiles, reactions, scoring
 from storyloom.plans import stages
 from storyloom.plans import tables as T
 from storyloom.plans.catalog_items import _GATE_MIN, NO_BOOST, WATCH, _marks, _muted, _trends_sql
@@ -19,6 +19,7 @@ from storyloom.session import materialize, scratch_path
 from storyloom.sources import exports, feeds, messages, tail
 from storyloom.sources import tables as S
 from storyloom.streaming import alerts, flow, limiter, push
+from storyloom.streaming.state import KeyedTable
 
 c = F.col
 _THIRDS = ("2024-01-10 00:00:00", "2024-01-20 00:00:00")  # where the log is cut into three stretches
@@ -680,6 +681,35 @@ def j11(spark, d):
     return done.select(_ntz("day"), "tag", "n", F.round("avg_score", 6).alias("avg_score"))
 
 
+_LIFTED_SQL = f"""WITH declared AS (SELECT vertical, tag FROM topics WHERE polarity = 'mute'),
+        hits AS (SELECT DISTINCT id FROM (SELECT id, vertical, unnest(tags) AS tag FROM items WHERE vertical IS NOT NULL) JOIN declared USING (vertical, tag)),
+        v AS (SELECT *, 0.5 * coalesce(llm_relevance, 0) + 0.2 * least(1.0, n_liked / 20::DOUBLE) * taste_cos + 0.15 * tag_aff + 0.1 * source_aff + 0.05 * fresh AS plain FROM scored_parts),
+        j AS (SELECT v.id, CASE WHEN len(list_filter(v.watch_topics, lambda x: x <> 'Природные явления')) > 0 THEN least(1.0::DOUBLE, plain + 0.15) ELSE plain END AS ps FROM v
+          JOIN judged i ON i.id = v.id WHERE i.processed_at IS NOT NULL AND i.personal_score IS NULL AND i.vertical IS NOT NULL AND i.llm_relevance IS NOT NULL
+            AND (i.skip_reason IS NULL OR starts_with(i.skip_reason, '{K.MUTE_PREFIX}')) AND v.id NOT IN (SELECT id FROM hits))
+        SELECT i.id, CASE WHEN processed_at IS NOT NULL AND (title IS NULL OR trim(title) = '') THEN 'Title of ' || feed_name ELSE title END AS title,
+          round(coalesce(j.ps, i.personal_score), 6) AS personal_score, CASE WHEN j.id IS NULL THEN skip_reason END AS skip_reason, j.id IS NOT NULL AS revived FROM items i LEFT JOIN j ON j.id = i.id"""
+
+
+@query("k5_jobs_write_back", _LIFTED_SQL)
+def k5_jobs(spark, d):
+    """The reader took back every mute made by button: items that only those muted come back, and titles that were missing are filled in,
+    each job writing its columns into the table of items."""
+    table = KeyedTable(spark, scratch_path(spark, "stored-items"), "id long, title string, personal_score double, skip_reason string", ["id"])
+    items = T.items(spark, d, labels=True, vectors=True)
+    table.merge(items.select(*table.columns), 0, lambda old, rows: rows)
+    named = stages.infer(maintenance.missing_titles(items).select("id", "feed_name"), ["feed_name"], lambda b: ["Title of " + f for f in b["feed_name"]], "title")
+    flow.write_back(table, named.select("id", "title"), 1)
+    steps = materialize(reactions.learning_steps(T.feedback_events(spark, d), T.items(spark, d)), "steps")
+    declared = profiles.muted_tags(profiles.active_profiles(T.declared_profiles(spark)), T.declared_profiles(spark).limit(0).select("vertical", F.lit("").alias("tag")))
+    scores = scoring.scored(
+        maintenance.mute_victims(items), reactions.tag_affinity(steps), reactions.source_affinity(steps), reactions.taste(_marks(spark, d), items, T.vectors(spark, d)), declared, T.as_of(), NO_BOOST)
+    back = materialize(scores.filter("personal_score is not null").select("id", "personal_score", F.lit(None).cast("string").alias("skip_reason")), "revived")
+    flow.write_back(table, back, 2)
+    return table.read().join(back.select("id", F.lit(True).alias("_back")), "id", "left").select(
+        "id", "title", F.round("personal_score", 6).alias("personal_score"), "skip_reason", c("_back").isNotNull().alias("revived"))
+
+
 def _rolling(spark, d, period, vertical):
     """Items in three stretches by arrival, each added to the tiles; the windows end at the report's midnight."""
     rows = T.items(spark, d).select("vertical", "tags", "personal_score", "sort_ts", "fetched_at", "processed_at", "skip_reason")

@@ -105,6 +105,19 @@ class ItemStore:
 ARRIVALS = f"{tables.ITEM_SCHEMA}, arrival struct<modified:long,path:string,offset:long>"
 
 
+def write_back(table: KeyedTable, changed: DataFrame, job: int) -> None:
+    """Put the columns of `changed`, one row per key, into a table of items; the other columns, and items that are not in the table, stay
+    as they are. `job` numbers the runs that change the table, so a run may be repeated."""
+    columns = [c for c in changed.columns if c not in table.keys]
+
+    def merged(old: DataFrame, rows: DataFrame) -> DataFrame:
+        both = matched(old, rows, table.keys).filter("old is not null")
+        value = lambda c: F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")) if c in columns else F.col(f"old.{c}")
+        return both.select(*table.keys, *[value(c).alias(c) for c in table.columns if c not in table.keys])
+
+    table.merge(materialize(changed, "changed"), job, merged)
+
+
 def _schema(spark: SparkSession, ddl: str):
     return StructType.fromDDL(ddl)
 

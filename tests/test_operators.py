@@ -382,3 +382,14 @@ def test_stored_index_equals_scoring_everything(spark):
         assert {(r.query_id, r.rank): (r.id, round(r.bm25, 9)) for r in hits.collect()} == want
     assert sum(r.read for r in work.collect()) < sum(r["all"] for r in work.collect())
     assert LexicalIndex.build(items.limit(0)).search(queries, 10)[0].count() == 0
+
+
+def test_cluster_keys_of_any_ids_do_not_meet(spark):
+    rows = [(-5, 4, None), (4, 4, T0), (-9, None, T0), (8, None, None), (3, -4, None)]
+    items = spark.createDataFrame(rows, "id long, cluster_id long, pushed_at timestamp_ntz")
+    assert {r.id: r.cluster_size for r in scoring.with_cluster_size(items).collect()} == {-5: 2, 4: 2, -9: 1, 8: 1, 3: 1}
+    assert {r.id: r.cluster_sent for r in scoring.with_cluster_sent(items, "pushed_at").collect()} == {-5: True, 4: False, -9: False, 8: False, 3: False}
+
+
+def test_a_page_is_bounded():
+    assert [feeds.FeedRequest(limit=n).page_size for n in (-3, 0, 1, 50, 200, 10**6)] == [1, 1, 1, 50, 200, 200]
