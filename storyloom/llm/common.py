@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+import pickle
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -72,10 +74,10 @@ def in_share(keys: list[str], wanted: Column, total: Column) -> Column:
     return place < wanted / total
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, skip_fold: int = 0) -> list:
-    """About `bound` labelled texts of each class, or all there are, for fitting, as (doc_id, text, y) on the driver; rows of fold
-    `skip_fold` are held out. `bound` is the documented size of the sample, chosen by a hash of the id, so that the sample
-    is the same on every run and spreads over the table. Rows that repeat a text count once."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int, skip_fold: int = 0) -> DataFrame:
+    """About `bound` labelled texts of each class, or all there are, for fitting, as (doc_id, text, y); rows of fold `skip_fold` are held
+    out. `bound` is the documented size of the sample, chosen by a hash of the id, so that the sample is the same on every
+    run and spreads over the table. Rows that repeat an id count once."""
     marked = (
         labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
         .filter((fold(F.col("doc_id")) != skip_fold) & F.col("doc_id").isNotNull())
@@ -84,10 +86,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     total = F.when(F.col("y") == 1, sizes.get(1, 1)).otherwise(sizes.get(0, 1))
     ids = marked.filter(in_share(["doc_id"], F.lit(bound), total))
     rows = with_text(docs).join(F.broadcast(ids), "doc_id")  # bounded: about two times `bound` rows of two numbers
-    once = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
+    return rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
+
+
+def distinct_sample(rows: Iterable) -> list:
+    """The rows (doc_id, text, y) in order of their ids; those that repeat a text count once."""
     seen, out = set(), []
-    for r in sorted(once.toLocalIterator(), key=lambda r: r.doc_id):
-        if (r.text, r.y) not in seen:
-            seen.add((r.text, r.y))
-            out.append((r.doc_id, r.text, r.y))
+    for doc_id, text, y in sorted(rows, key=lambda r: r[0]):
+        if (text, y) not in seen:
+            seen.add((text, y))
+            out.append((doc_id, text, y))
     return out
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, skip_fold: int = 0) -> list:
+    """`labelled_rows` on the driver, those that repeat a text once."""
+    return distinct_sample((r.doc_id, r.text, r.y) for r in labelled_rows(docs, labels, label, bound, skip_fold).toLocalIterator())
+
+
+def fitted(rows: DataFrame, fit: Callable[[list], Any]) -> Any:
+    """The model that `fit` makes of a bounded sample (doc_id, text, y), fitted in one task: texts and working memory stay off the
+    driver, and a lost executor costs one more try."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = distinct_sample(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y"))))
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(sample))], pa.binary())})
+
+    return pickle.loads(rows.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "model binary").first().model)

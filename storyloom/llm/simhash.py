@@ -210,7 +210,7 @@ def nearest_forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.
     return a[keep], b[keep]
 
 
-def _join_blocks(orders: list, budget: int, bits: int, checks: list[str], allowed: int, apart: bool):
+def _join_blocks(orders: list, budget: int, bits: int, checks: list[str], allowed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         order, x, y = orders[key[1]], key[3], key[4]
         equal = sum(w for _, w in _lead(order, budget))
@@ -222,45 +222,55 @@ def _join_blocks(orders: list, budget: int, bits: int, checks: list[str], allowe
         i, j = left[i], right[j]
         if not checks:
             return pd.DataFrame(forest(ids[i], ids[j]), columns=["u", "v"], dtype="int64")
-        if apart:
-            group = rows["component"].to_numpy()[sort]
-            other = group[i] != group[j]
-            i, j = i[other], j[other]
         wide = [rows[c].to_numpy().view(np.uint64)[sort] for c in checks]
         differ = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in wide)
         near = differ <= allowed
-        u, v = ids[i[near]], ids[j[near]]
-        if not apart:
-            u, v = nearest_forest(u, v, differ[near])
+        u, v = nearest_forest(ids[i[near]], ids[j[near]], differ[near])
         return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}, dtype="int64")
 
     return run
 
 
-def hamming_links(prints: DataFrame, columns: list[str], budget: int, count: int, bits: int = BITS, checks: tuple = (), allowed: int = 0,
-                  block: int = BLOCK, apart: bool = False) -> DataFrame:
-    """(u, v): links between ids that connect all rows of `prints(id, ...)`, `count` of them, that differ in at most `budget` of the
-    `bits` low bits of one of `columns`, and over all `checks` together in at most `allowed` bits. With `checks` a link is a pair that
-    differs so; with `apart` all such pairs are returned whose rows have different values of `component`."""
+def _dealt(orders: list, columns: list[tuple[str, int]], budget: int, bits: int, wanted: int, extra: list[str]):
+    """A row per fingerprint and choice of agreeing bands: (id, extra..., print, choice, top, fp), `top` being the highest `wanted` bits
+    of its trie among those that must agree. `columns` names 64-bit columns and the lowest bit of the fingerprint in each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, (column, low) in enumerate(columns):
+                fp = np.asarray(b.column(column)).view(np.uint64) >> np.uint64(low)
+                if bits < BITS:
+                    fp = fp & np.uint64((1 << bits) - 1)
+                for k, order in enumerate(orders):
+                    width = min(wanted, sum(w for _, w in _lead(order, budget)))
+                    top = reordered(fp, order, bits) >> np.uint64(bits - width) if width else np.zeros(len(fp), np.uint64)
+                    same = [pa.array(np.full(len(fp), x, dtype=np.int32)) for x in (n, k)]
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("id"), *(b.column(c) for c in extra), *same, pa.array(top.view(np.int64)), pa.array(fp.view(np.int64))],
+                        names=["id", *extra, "print", "choice", "top", "fp"])
+
+    return run
+
+
+def hamming_links(prints: DataFrame, columns: list[tuple[str, int]], budget: int, count: int, bits: int = BITS, checks: tuple = (), allowed: int = 0,
+                  block: int = BLOCK) -> DataFrame:
+    """(u, v): links between ids that connect all rows of `prints(id, ...)`, `count` of them, that differ in at most `budget` of `bits`
+    bits in one of `columns` (a 64-bit column and the lowest bit of a fingerprint in it), and over all `checks` together in at most
+    `allowed` bits. With `checks` a link is a pair that differs so."""
     orders = choices(budget, count, block, bits)
     wanted = max(0, (2 * count // block).bit_length())
-    extra = [*checks, *(["component"] if apart else [])]
-    keys = []
-    for c in columns:
-        for k, order in enumerate(orders):
-            value, width = F.lit(0).cast("long"), 0
-            for low, w in _lead(order, budget):
-                value = F.shiftleft(value, w).bitwiseOR(F.shiftrightunsigned(c, low).bitwiseAND(F.lit((1 << w) - 1)))
-                width += w
-            keys.append(F.struct(F.lit(c).alias("print"), F.lit(k).alias("choice"), F.shiftright(value, max(0, width - wanted)).alias("top"), F.col(c).alias("fp")))
+    extra = list(checks)
+    needed = [x for x in dict.fromkeys(c for c, _ in columns) if x not in extra]
+    fields = "".join(f"{c} long, " for c in extra)
+    keyed = prints.select("id", *extra, *needed).mapInArrow(
+        _dealt(orders, columns, budget, bits, wanted, extra), f"id long, {fields}print int, choice int, top long, fp long")
     group = ["print", "choice", "top"]
-    keyed = prints.select("id", *extra, F.explode(F.array(*keys)).alias("k")).select("id", *extra, "k.*")
     sizes = keyed.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("n"))
     mine = keyed.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")))
     # a row of block b goes to every pair of blocks that b is in; a single block needs itself only
     pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select(
         *group, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "fp", "block", *extra)
-    run = _join_blocks(orders, budget, bits, list(checks), allowed, apart)
+    run = _join_blocks(orders, budget, bits, list(checks), allowed)
     return pairs.groupBy(*group, "x", "y").applyInPandas(run, "u long, v long").distinct()
 
 
@@ -268,7 +278,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, budget: int = 4) -> DataFram
     """(doc_id, fp, component_id): documents whose 64-bit fingerprints link; the smallest doc_id reachable, itself included."""
     prints = materialize(fingerprints(with_text(docs), size), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    links = hamming_links(distinct.select(F.col("fp").alias("id"), "fp"), ["fp"], budget, distinct.count())
+    links = hamming_links(distinct.select(F.col("fp").alias("id"), "fp"), [("fp", 0)], budget, distinct.count())
     whole = distinct.join(connected_components(links).withColumnRenamed("id", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     smallest = whole.groupBy("component").agg(F.min("first").alias("component_id"))
     roots = whole.join(smallest, "component").select("fp", "component_id")
@@ -339,27 +349,88 @@ def _shingle_sets(size: int):
     return run
 
 
-def short_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v) of all `sets(id, n, hashes)` that may be as similar: such sets share one of the rarest shingles of either, as many of
-    them as may be missing in the other and one more."""
+def short_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links that connect all of `sets(id, n, hashes)` that may be as similar: two such sets share one of the rarest shingles of
+    either, as many of them as may be missing in the other and one more. All sets with a shingle hang on the smallest id among them, so a
+    frequent shingle costs a row per set."""
     each = materialize(sets.filter("n > 0").select("id", "n", F.explode("hashes").alias("h")), "short-shingles")
     ranked = each.join(each.groupBy("h").agg(F.count("*").alias("c")), "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("by"))
     lead = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
-    rare = materialize(ranked.select("id", "n", F.explode(F.slice("by", F.lit(1), lead)).alias("k")).filter("k.c > 1").select("id", "n", F.col("k.h").alias("h")), "short-leads")
-    other = rare.select(F.col("id").alias("v"), F.col("n").alias("m"), "h")
-    alike = F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9
-    return rare.join(other, "h").filter((F.col("id") < F.col("v")) & alike).select(F.col("id").alias("u"), "v").distinct()
+    rare = materialize(ranked.select("id", F.explode(F.slice("by", F.lit(1), lead)).alias("k")).filter("k.c > 1").select("id", F.col("k.h").alias("h")), "short-leads")
+    first = rare.groupBy("h").agg(F.min("id").alias("v"))
+    return rare.join(first, "h").filter("id <> v").select(F.col("id").alias("u"), "v").distinct()
+
+
+VERIFIED = 1 << 20  # shingles of the texts of one block of a group; a task compares two blocks at most
+
+
+def alike(bounds: np.ndarray, codes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (text, text) of a spanning forest of all pairs of texts with this Jaccard similarity, text i having the distinct
+    codes[bounds[i]:bounds[i + 1]]. A text is compared with all that no link has reached yet; what it reaches is compared in turn."""
+    sizes = np.diff(bounds)
+    mark = np.zeros(int(codes.max()) + 1 if len(codes) else 1, dtype=bool)
+    left = np.arange(len(sizes))  # not reached yet
+    out, todo = [], []
+    while todo or len(left):
+        if todo:
+            at = todo.pop()
+        else:
+            at, left = int(left[0]), left[1:]
+        own = codes[bounds[at] : bounds[at + 1]]
+        fit = left[(sizes[left] >= len(own) * similarity - 1e-9) & (sizes[left] * similarity - 1e-9 <= len(own))]
+        if not len(fit):
+            continue
+        mark[own] = True
+        n = sizes[fit]
+        ends = np.cumsum(n)
+        hits = np.append(0, np.cumsum(mark[codes[np.repeat(bounds[fit] - (ends - n), n) + np.arange(ends[-1])]]))
+        mark[own] = False
+        both = hits[ends] - hits[ends - n]
+        near = fit[both >= (len(own) + n - both) * similarity - 1e-9]
+        if len(near):
+            out += [(at, k) for k in near.tolist()]
+            todo += near.tolist()
+            left = np.setdiff1d(left, near, assume_unique=True)
+    return out
+
+
+def _verified(similarity: float):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("component").combine_chunks()
+        ids, group = rows.column("id").to_numpy(), rows.column("component").to_numpy()
+        lists = rows.column("hashes").chunk(0) if rows.num_rows else pa.array([], pa.list_(pa.int64()))
+        bounds = np.asarray(lists.offsets, dtype=np.int64)
+        codes = np.unique(np.asarray(lists.values)[bounds[0] : bounds[-1]], return_inverse=True)[1]
+        bounds = bounds - bounds[0]
+        u, v = [], []
+        cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist() + [len(group)]
+        for a, b in zip(cuts, cuts[1:]):
+            part = codes[bounds[a] : bounds[b]]
+            part = np.unique(part, return_inverse=True)[1]
+            for x, y in alike(bounds[a : b + 1] - bounds[a], part, similarity):
+                u.append(ids[a + x])
+                v.append(ids[a + y])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
 
 
-def similar_pairs(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The `pairs(u, v)` whose sets of shingles have this Jaccard similarity; only texts that occur in a pair are cut again."""
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    wanted = classes.join(ids, "id").select("id", "text_key")
-    once = texts.join(wanted, "text_key").groupBy("id").agg(F.min("text").alias("text"))
-    sets = materialize(once.mapInArrow(_shingle_sets(size), "id long, hashes array<long>"), "shingle-sets")
-    met = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v")
-    both = F.size(F.array_intersect("a", "b"))
-    return met.filter(both >= (F.size("a") + F.size("b") - both) * similarity - 1e-9).select("u", "v")
+def similar_links(groups: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(u, v): links that connect all texts of a group whose sets of shingles have this Jaccard similarity. `groups(id, component,
+    text_key, n)` has a row per text, n shingles each. A group of more than VERIFIED shingles is dealt into blocks, and each pair of its
+    blocks is a task; smaller groups share tasks. A task returns a forest, never pairs, so what comes out grows with the texts."""
+    sizes = groups.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("texts")).filter("texts > 1").select(
+        "component", "total", F.ceil(F.col("total") / VERIFIED).cast("int").alias("blocks"))
+    placed = materialize(groups.join(sizes, "component").select("id", "component", "text_key", "total", "blocks", "n"), "groups")
+    shared = placed.filter("blocks = 1").agg(F.sum("n").alias("n")).first().n or 0
+    once = texts.join(placed.select("id", "text_key"), "text_key").groupBy("id").agg(F.min("text").alias("text"))
+    sets = once.mapInArrow(_shingle_sets(size), "id long, hashes array<long>").join(placed.drop("text_key", "n"), "id")
+    few = sets.filter("blocks = 1").select(
+        F.lit(0).alias("kind"), F.pmod(F.xxhash64("component"), F.lit(1 + shared // VERIFIED)).alias("key"), F.lit(0).alias("x"), F.lit(0).alias("y"), "component", "id", "hashes")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    many = sets.filter("blocks > 1").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.lit(1).alias("kind"), F.col("component").alias("key"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "component", "id", "hashes")
+    return few.unionByName(many).groupBy("kind", "key", "x", "y").applyInArrow(_verified(similarity), "u long, v long").distinct()
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -368,29 +439,23 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     smallest doc_id of a component.
 
     About 15 % of the bits of two texts at 0.8 differ, too many for one trie with a small budget. So a text gets eight fingerprints of
-    64 bits, and texts are candidates where any of the sixteen halves differs in at most four bits and three fingerprints together in no
+    64 bits, and texts are candidates where any of the sixteen halves differs in at most four bits and all fingerprints together in no
     more than four deviations above the mean: all pairs but one in ten thousand at 0.8, fewer above. Short texts are candidates by
-    their rarest shingles, without a loss. Candidates are compared by their shingles: first a forest of the nearest, then every
-    candidate pair that confirmed links do not join yet, so a group of copies is never compared pair by pair."""
+    their rarest shingles, without a loss. Candidate links are kept as forests; the groups that they make are then compared by the
+    shingles themselves, every text with those of its group that no confirmed link has reached."""
     words = [f"w{k}" for k in range(FAMILIES)]
     keyed = with_text(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     schema = "doc_id long, text_key long, id long, n long, hashes array<long>, " + ", ".join(f"{w} long" for w in words)
     prints = materialize(keyed.mapInArrow(_set_prints(size), schema), "simhash")
     classes = materialize(prints.groupBy("id").agg(
         F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.min("hashes").alias("hashes"), *(F.min(w).alias(w) for w in words)), "prints")
-    halves = [F.shiftrightunsigned(w, low).bitwiseAND(F.lit((1 << HALF) - 1)).alias(f"{w}_{low}") for w in words for low in (0, HALF)]
-    columns, checks = [f"{w}_{low}" for w in words for low in (0, HALF)], tuple(words[:CHECKS])
-    allowed = allowed_bits(similarity, BITS * CHECKS)
+    checks = tuple(words[:CHECKS])
     # a set longer than the short ones is similar only to sets that are nearly as long
-    long = classes.filter(F.col("n") >= (SHORT + 1) * similarity - 1e-9).select("id", *halves, *checks)
-    first = materialize(hamming_links(long, columns, HALF_BUDGET, long.count(), HALF, checks, allowed).unionByName(
-        short_pairs(classes.filter(F.col("n") <= SHORT).select("id", "n", "hashes"), similarity)).distinct(), "candidates")
-    sure = materialize(similar_pairs(first, classes, keyed, size, similarity), "copies")
-    # a text without a candidate is in no pair of the second round either
-    met = first.select(F.col("u").alias("id")).unionByName(first.select(F.col("v").alias("id"))).distinct()
-    apart = materialize(long.join(met, "id").join(connected_components(sure), "id", "left").withColumn("component", F.coalesce("component", "id")), "apart")
-    rest = materialize(hamming_links(apart, columns, HALF_BUDGET, apart.count(), HALF, checks, allowed, apart=True).join(first, ["u", "v"], "left_anti"), "candidates")
-    links = sure.unionByName(similar_pairs(rest, classes, keyed, size, similarity))
+    long = classes.filter(F.col("n") >= (SHORT + 1) * similarity - 1e-9)
+    near = hamming_links(long, [(w, low) for w in words for low in (0, HALF)], HALF_BUDGET, long.count(), HALF, checks, allowed_bits(similarity, BITS * CHECKS))
+    loose = near.unionByName(short_links(classes.filter(F.col("n") <= SHORT).select("id", "n", "hashes"), similarity))
+    groups = classes.select("id", "text_key", "n").join(connected_components(loose), "id")
+    links = similar_links(groups, keyed, size, similarity)
     comp = connected_components(links)
     whole = prints.select("doc_id", "text_key", "id").join(comp, "id", "left").select("doc_id", "text_key", F.coalesce("component", "id").alias("component"))
     named = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import bounded_batches, fold, labelled_sample, sums_by, table, with_text, words_of
+from storyloom.llm.common import bounded_batches, fitted, fold, labelled_rows, sums_by, table, with_text, words_of
 from storyloom.llm.registry import query
 
 SAMPLE = 1500  # labelled documents of each class used for fitting
@@ -318,7 +318,7 @@ def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on the labelled documents of the folds 1 to 4, then tag every document."""
     bounded_batches(docs.sparkSession)
     docs = with_text(docs)
-    field = fit(labelled_sample(docs, labels, "toxic", SAMPLE))
+    field = fitted(labelled_rows(docs, labels, "toxic", SAMPLE), fit)
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
     return tag_toxic(docs, field).select("doc_id", held, "score", "predicted", "n_spans", "spans")
 

@@ -58,7 +58,7 @@ def test_links_across_blocks_are_complete(spark):
     rng = np.random.default_rng(3)
     values = sorted({int(v) for b in rng.integers(0, 1 << 62, 6) for v in [b ^ sum(1 << int(k) for k in rng.choice(62, int(rng.integers(0, 4)), replace=False)) for _ in range(60)]})
     prints = spark.createDataFrame([(v, v) for v in values], "id long, fp long")
-    links = [(values.index(r.u), values.index(r.v)) for r in simhash.hamming_links(prints, ["fp"], 4, len(values), block=16).collect()]
+    links = [(values.index(r.u), values.index(r.v)) for r in simhash.hamming_links(prints, [("fp", 0)], 4, len(values), block=16).collect()]
     want = [(a, b) for a in range(len(values)) for b in range(a + 1, len(values)) if (values[a] ^ values[b]).bit_count() <= 4]
     assert components(len(values), links) == components(len(values), want)
 
@@ -106,6 +106,59 @@ def test_near_copies_are_those_of_the_similarity(spark):
     assert [found[i] for i in range(len(texts))] == components(len(texts), alike)
 
 
+def texts_of_a_group(seed: int, n: int, share: float) -> list[str]:
+    """Texts that have about a share of their shingles in common, all pairs alike."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base = [word() for _ in range(100)]
+    return [" ".join(base[: round(100 * share)] + [word() for _ in range(100 - round(100 * share))]) for _ in range(n)]
+
+
+def jaccard_links(texts: list[str]) -> list[tuple[int, int]]:
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    return [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])]
+
+
+def test_alike_is_brute_force():
+    rng = np.random.default_rng(1)
+    for spread in (30, 60, 400):
+        rows = [np.unique(rng.integers(0, spread, rng.integers(1, 40))) for _ in range(120)] + [np.arange(20), np.arange(21), np.zeros(0, np.int64)]
+        bounds = np.append(0, np.cumsum([len(r) for r in rows]))
+        links = simhash.alike(bounds, np.concatenate(rows).astype(np.int64), 0.5)
+        want = [(a, b) for a in range(len(rows)) for b in range(a) if len(rows[a]) + len(rows[b]) and 2 * len(set(rows[a]) & set(rows[b])) >= len(set(rows[a]) | set(rows[b]))]
+        assert components(len(rows), links) == components(len(rows), want) and len(links) < len(rows)
+
+
+def test_what_verification_returns_grows_with_the_texts(spark, monkeypatch):
+    """A large group of texts below the similarity, one above it, and blocks so small that both are cut."""
+    texts = texts_of_a_group(1, 150, 0.85) + texts_of_a_group(2, 150, 0.93) + texts_of_a_group(3, 40, 0.5)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = components(len(texts), jaccard_links(texts))
+    for verified in (1 << 20, 3000):
+        monkeypatch.setattr(simhash, "VERIFIED", verified)
+        found = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+        assert [found[i] for i in range(len(texts))] == want
+    ids = docs.selectExpr("doc_id as id", "0L as component", "xxhash64(text) as text_key", "96L as n")
+    links = simhash.similar_links(ids, docs.selectExpr("xxhash64(text) as text_key", "text"), 5, 0.8)
+    assert links.count() <= 150 * 12  # a forest for each pair of blocks
+
+
+def test_planted_pairs_at_the_similarity_are_found(spark):
+    """600 pairs of Jaccard similarity 0.80 to 0.81, long and short: the share that is found."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for k in range(600):
+        n = rng.choice([9, 20, 45, 63, 64, 65, 90, 200, 400])
+        same = -(-8 * n // 9)
+        words = [word() for _ in range(n + 4)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: same + 4] + [word() for _ in range(n - same)]))]
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = sum(found[2 * k + 1] == 2 * k for k in range(600)) / 600
+    print(f"recall at 0.8: {recall:.3f}")
+    assert recall >= 0.99
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((30, 64))
@@ -154,3 +207,8 @@ def test_leaks_whole_edited_and_none(spark, odd_docs, no_docs):
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()} == want
     assert decontaminate.find_leaks(odd_docs, items).count() == 0 == decontaminate.find_leaks(no_docs, items).count()
     assert decontaminate.find_leaks(docs, items.limit(0)).count() == 0
+    unnamed = items.selectExpr("cast(null as long) as item_id", "text")
+    found = decontaminate.find_leaks(docs, unnamed.unionByName(items.select("item_id", "text")))
+    assert {r.doc_id for r in found.filter("item_id is null").collect()} == {d for d, _ in want}
+    assert {(r.doc_id, r.item_id) for r in found.filter("item_id is not null").collect()} == want
+    assert decontaminate.without_leaks(docs, unnamed).count() == docs.count() - len({d for d, _ in want})
