@@ -62,7 +62,8 @@ def format_chats(messages: DataFrame, loss_role: str = "assistant") -> DataFrame
     head = F.concat(F.lit('<turn role="'), escaped(F.coalesce("role", F.lit(""))), F.lit('">'))
     turns = messages.select("conv_id", "turn", "role", head.alias("head"), body.alias("body"), attachments.alias("attachments"))
     written = turns.withColumn("piece", F.concat("head", "body", F.lit(CLOSE))).withColumn("size", F.length("piece").cast("long"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "piece")
+    # rows of one turn and role stand in the order of their texts, not of what escaping makes of them
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), unescaped(F.col("body")), "piece")
     placed = written.select("conv_id", "head", "body", "piece", "size", "role", "attachments", (F.row_number().over(order) - 1).cast("long").alias("n"),
                             F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"))
     mask = F.when(F.col("role") == loss_role, F.struct(

@@ -71,7 +71,7 @@ def _grams(codes: np.ndarray, offsets: np.ndarray, base: int) -> tuple[np.ndarra
 
 def build(rows: list[tuple[int, str]], counts: dict[int, int] | None = None) -> Items:
     """Index a block of (item_id, text); with `counts` of the n-grams over the corpus, items keep their rarer n-grams."""
-    ids = np.array([i for i, _ in rows], dtype=np.int64)
+    ids = np.array([i for i, _ in rows], dtype=object)  # a null id stays null
     words = words_of(pa.array([t for _, t in rows], pa.string()))
     numbers: dict[str, int] = {}
     by_vocab = np.array([numbers.setdefault(w, len(numbers)) if w else -1 for w in plain(words.vocab.to_pylist())], dtype=np.int64)
@@ -180,12 +180,12 @@ def matches(items: Items, texts: pa.Array, min_score: float) -> list[tuple[int,
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The test items in blocks of about `BLOCK_WORDS` words, one block on the driver at a time."""
-    items = items.filter("text is not null and item_id is not null").select("item_id", "text")
+    items = items.filter("text is not null").select("item_id", "text")
     words = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first().n or 0
     n = -(-words // BLOCK_WORDS)
     for k in range(n):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        if rows := sorted((r.item_id, r.text) for r in part.collect()):
+        if rows := sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])):
             yield rows
 
 

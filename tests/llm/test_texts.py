@@ -37,6 +37,13 @@ def test_parts_become_ordered_placeholders(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_turn_stand_in_the_order_of_their_texts(spark):
+    texts = ["'a", "<b", "&", "amp", '"', "&lt;", "<", None, "<b", "x" * 100_000]
+    df = spark.createDataFrame([(1, 1, "user", t) for t in texts], "conv_id long, turn int, role string, text string").withColumn("parts", chat.text_parts(F.col("text")))
+    one = chat.format_chats(df).withColumn("read", chat.turns_read(F.col("formatted"))).first()
+    assert [t.text for t in one.read] == sorted((t or "" for t in texts), key=str.encode)
+
+
 # packing
 
 
