@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.llm import decontaminate, packing, pii, simhash, toxicity
-from storyloom.llm.common import labelled_sample, table
+from storyloom.llm.common import fitted, labelled_rows, table
 from storyloom.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,8 +19,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text the toxicity field does not reject; each row is judged by itself."""
     docs = docs.select(*COLUMNS)
-    sample = labelled_sample(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), "toxic", toxicity.SAMPLE)
-    return toxicity.without_toxic(docs, toxicity.fit(sample))
+    sample = labelled_rows(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), "toxic", toxicity.SAMPLE)
+    return toxicity.without_toxic(docs, fitted(sample, toxicity.fit))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
