@@ -66,8 +66,10 @@ def grid_forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return r.n, r.h
+    """((number, checksum), most): what tells one round's edges from another's, and the most edges that end in one vertex."""
+    per = edges.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    r = per.agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.max("n").alias("most")).first()
+    return (r.n or 0, r.h), r.most or 0
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -88,35 +90,38 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(x, root(x)) for x in parent if root(x) != x]
 
 
-HUBS = 1000  # a vertex with more than this part of all edges is a hub; there are at most twice as many of them
+HUB_EDGES = 4096  # a vertex with more pairs than this, and more than a thousandth of all, is a hub; at most two thousand are
 
 
-def _with_minimum(pairs: DataFrame, low: DataFrame, edges: int) -> DataFrame:
-    """`pairs(u, v)` with the `m` of u in `low(u, m, n)`, n being u's pairs. The minima of hubs, whose number is bounded, are
-    sent to the pairs, so a hub's pairs stay where they are; all others meet on u."""
-    hot = low.filter(F.col("n") > max(256, edges // HUBS))
+def _with_minimum(pairs: DataFrame, low: DataFrame, hub: int | None) -> DataFrame:
+    """`pairs(u, v)` with the `m` of u in `low(u, m, n)`, n being u's pairs. The minima of vertices with more than `hub` pairs, whose number
+    is bounded, are sent to the pairs, so that a hub's pairs stay where they are; all others meet on u."""
+    if hub is None:
+        return pairs.join(low.select("u", "m"), "u")
+    hot = low.filter(F.col("n") > hub)
     marked = pairs.join(F.broadcast(hot.select("u", F.col("m").alias("_hub"))), "u", "left")
     rest = marked.filter("_hub is null").select("u", "v").join(low.select("u", "m"), "u")
     return marked.filter("_hub is not null").select("u", "v", F.col("_hub").alias("m")).unionByName(rest)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, hub_edges: int = HUB_EDGES) -> DataFrame:
     """(id, component) of every vertex of `edges(u, v)`; the component is its smallest vertex.
 
     Alternates two steps until nothing changes: connect the larger neighbours of each vertex to its smallest neighbour,
     then the smaller ones. Each step is a grouped minimum (combined on the map side) joined back to the edges; no
-    neighbour list is ever collected, and the edges of a vertex that owns many of them are not moved to one task. Every round is
-    written to the shared folder: lineage stays short and a lost executor costs one round at most."""
+    neighbour list is ever collected, and while a vertex has more than `hub_edges` of them, the edges of such a vertex are not moved to one
+    task. Every round is written to the shared folder: lineage stays short and a lost executor costs one round at most."""
     edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialize(edges, "edges")
-    mark = _mark(edges)
+    mark, most = _mark(edges)
     for _ in range(MAX_ROUNDS):
+        hub = max(hub_edges, mark[0] // 1000) if most > hub_edges else None
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = _with_minimum(both.filter("v > u"), low, mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = _with_minimum(both.filter("v > u"), low, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low2 = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_minimum(down, low2, mark[0])
+        small = _with_minimum(down, low2, hub)
         nxt = (
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v")))
@@ -124,7 +129,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         edges = materialize(nxt, "edges")
-        new_mark = _mark(edges)
+        new_mark, most = _mark(edges)
         if new_mark == mark:
             roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

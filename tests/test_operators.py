@@ -338,8 +338,9 @@ def test_components_around_a_hub(spark):
     """One vertex owns most edges, and not as the smallest one; chains and a second star hang on it."""
     edges = [(500, k) for k in range(1000, 1900)] + [(k, k + 3000) for k in range(1000, 1300)] + [(4000, 4100), (4100, 7), (9001, 9002)]
     edges += [(9500, k) for k in range(9501, 9900)]
-    got = {r.id: r.component for r in dedup.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {k: 7 if k < 9001 and k != 0 else 9001 if k < 9003 else 9500 for k in {x for e in edges for x in e}}
+    for hub_edges in (10**6, 100):  # without and with hubs
+        got = {r.id: r.component for r in dedup.connected_components(spark.createDataFrame(edges, "u long, v long"), hub_edges).collect()}
+        assert got == {k: 7 if k < 9001 else 9001 if k < 9003 else 9500 for k in {x for e in edges for x in e}}
 
 
 def test_grid_forest_connects_what_all_pairs_connect():
