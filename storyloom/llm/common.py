@@ -112,4 +112,5 @@ def fitted(rows: DataFrame, fit: Callable[[list], Any]) -> Any:
         sample = distinct_sample(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y"))))
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(sample))], pa.binary())})
 
-    return pickle.loads(rows.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "model binary").first().model)
+    made = rows.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made.model) if made else fit([])  # without a row there is no task
