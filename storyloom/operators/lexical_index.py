@@ -11,6 +11,9 @@ Words of an item are counted in its own row, without a shuffle; only (term, bloc
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,14 @@ STEPS = 1000  # quantiles of the lengths that bound the blocks
 MARGIN = 1e-7  # scores are compared after rounding; a block this close to the floor is still looked at
 
 
+def _levelled(rows: DataFrame, edges: list[int]) -> DataFrame:
+    """`rows` with their `level`: the number of `edges` below their length, found by bisection, however many edges there are."""
+    if not edges:
+        return rows.withColumn("level", F.lit(0))
+    bounds = [-math.inf, *(e + 0.5 for e in edges), math.inf]
+    return Bucketizer(splits=bounds, inputCol="length", outputCol="level").transform(rows).withColumn("level", F.col("level").cast("int"))
+
+
 class LexicalIndex:
     """Postings in `path`, with the size of the corpus and its mean length."""
 
@@ -48,9 +59,8 @@ class LexicalIndex:
         blocks = max(1, min(STEPS, sizes.n // block_items))
         edges = sorted({sizes.steps[i * STEPS // blocks - 1] for i in range(1, blocks)}) if sizes.steps else []
         # lengths beyond a bound begin a new block; equal lengths, however many items have them, are dealt by id
-        level = sum((F.when(F.col("length") > e, 1).otherwise(0) for e in edges), F.lit(0))
         own = F.pmod(F.xxhash64("id"), F.lit(max(1, sizes.n // block_items // (len(edges) + 1)))).cast("int")
-        rows = counted.filter("term <> ''").withColumn("block", F.struct(level.alias("level"), own.alias("part")))
+        rows = _levelled(counted.filter("term <> ''"), edges).withColumn("block", F.struct("level", own.alias("part")))
         posting = F.struct("id", "tf", "length")
         grouped = rows.groupBy("term", "block").agg(F.collect_list(posting).alias("postings"), F.max(index._impact()).alias("top"), F.count("*").alias("n"))
         bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")

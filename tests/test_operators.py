@@ -385,6 +385,17 @@ def test_stored_index_equals_scoring_everything(spark):
     assert LexicalIndex.build(items.limit(0)).search(queries, 10)[0].count() == 0
 
 
+def test_index_of_very_many_lengths(spark):
+    """As many bounds of blocks as there may be."""
+    visible = ", ".join(f"{n} {t}" for n, t in (("id", "long"), ("title", "string"), ("text", "string"), ("processed_at", "timestamp_ntz"), ("skip_reason", "string")))
+    rows = [(i, None, " ".join(["common"] + [f"w{i % 7}"] * i), T0, None) for i in range(1100)]
+    items = spark.createDataFrame(rows, visible)
+    queries = spark.createDataFrame([(1, "w3 common"), (2, "w6")], "query_id long, query string")
+    hits = LexicalIndex.build(items, block_items=1).search(queries, 10)[0]
+    want = {(r.query_id, r.rank): (r.id, round(r.bm25, 9)) for r in retrieval.lexical(queries, items, 10).collect()}
+    assert len(want) == 20 and {(r.query_id, r.rank): (r.id, round(r.bm25, 9)) for r in hits.collect()} == want
+
+
 def test_cluster_keys_of_any_ids_do_not_meet(spark):
     rows = [(-5, 4, None), (4, 4, T0), (-9, None, T0), (8, None, None), (3, -4, None)]
     items = spark.createDataFrame(rows, "id long, cluster_id long, pushed_at timestamp_ntz")
