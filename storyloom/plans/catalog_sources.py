@@ -311,8 +311,9 @@ def a12_page(spark, d):
 
 
 def _stream(spark, d, name):
+    """A table as a stream, be it one file or a folder of files: a pattern that only its name fits leads to both."""
     schema = T.table(spark, d, name).schema
-    return flow.file_stream(spark, d, schema, glob=f"{name}.parquet")
+    return flow.file_stream(spark, f"{d}/{name}.parque[t]", schema)
 
 
 def _finished(spark, stream, label, mode="append"):

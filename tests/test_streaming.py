@@ -311,3 +311,18 @@ def test_empty_listing_fails(spark):
     assert [r.slug for r in feeds.checked_not_empty(ok, feeds.listing_links(ok)).collect()] == ["o/r"]
     with pytest.raises(Exception, match="no repository links"):
         feeds.checked_not_empty(pages, feeds.listing_links(pages)).collect()
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_tables_in_folders_are_streamed(spark, tmp_path, files):
+    from storyloom.plans import catalog
+
+    docs = spark.createDataFrame([(i, f"Title {i}\nof the text", "en", "feed", 20) for i in range(1, 13)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(files).write.parquet(str(tmp_path / "made"))
+    if files == 1:
+        (part,) = (tmp_path / "made").glob("*.parquet")
+        os.rename(part, tmp_path / "documents.parquet")
+    else:
+        os.rename(tmp_path / "made", tmp_path / "documents.parquet")
+    got = catalog.queries()["j1_enrichment"](spark, str(tmp_path)).collect()
+    assert sorted(r.id for r in got) == list(range(1, 13)) and {r.watch_topics for r in got} == {"Of the"}
