@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from storyloom.operators.feeds import VISIBLE, collapse, kind_filter, since_hour
 from storyloom.session import materialize, spread
 
 BM25_K1, BM25_B = 1.2, 0.75
+# items and queries of the blocks that are scored together, and items of a block whose terms are a matrix at a time
+SCORED_BLOCK, SCORED_QUERIES, SCORED_ITEMS = 8192, 512, 256
 
 
 def _query_words(query: Column) -> Column:
@@ -40,19 +44,30 @@ def wants_projects(query: Column) -> Column:
     return F.arrays_overlap(_query_words(query), lit_strings(K.PROJECT_WORDS))
 
 
+COUNTED_WORDS = 1 << 18  # words that are counted at a time, about
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, length, term, tf) of the rows (id, words), whose last word is the empty one: distinct words of each row with their numbers."""
+    """(id, length, term, tf) of the rows (id, words), whose last word is the empty one: distinct words of each row with their numbers.
+    A batch is cut into runs of rows of a bounded number of words."""
     for b in batches:
-        lists = b.column("words")
-        bounds = np.asarray(lists.offsets, dtype=np.int64)
-        coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        n = np.diff(bounds)
-        width = max(1, len(coded.dictionary))
-        keys, tf = np.unique(np.repeat(np.arange(len(n)), n) * width + np.asarray(coded.indices, dtype=np.int64), return_counts=True)
-        row = keys // width
-        yield pa.RecordBatch.from_arrays(
-            [b.column("id").take(pa.array(row)), pa.array(n[row] - 1), coded.dictionary.take(pa.array(keys % width)), pa.array(tf)],
-            names=["id", "length", "term", "tf"])
+        bounds = np.asarray(b.column("words").offsets, dtype=np.int64)
+        cuts = np.flatnonzero(np.diff((bounds[:-1] - bounds[0]) // COUNTED_WORDS)) + 1
+        for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+            yield _counted_run(b.slice(start, stop - start))
+
+
+def _counted_run(b: pa.RecordBatch) -> pa.RecordBatch:
+    lists = b.column("words")
+    bounds = np.asarray(lists.offsets, dtype=np.int64)
+    coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+    n = np.diff(bounds)
+    width = max(1, len(coded.dictionary))
+    keys, tf = np.unique(np.repeat(np.arange(len(n)), n) * width + np.asarray(coded.indices, dtype=np.int64), return_counts=True)
+    row = keys // width
+    return pa.RecordBatch.from_arrays(
+        [b.column("id").take(pa.array(row)), pa.array(n[row] - 1), coded.dictionary.take(pa.array(keys % width)), pa.array(tf)],
+        names=["id", "length", "term", "tf"])
 
 
 def word_counts(items: DataFrame) -> DataFrame:
@@ -63,13 +78,58 @@ def word_counts(items: DataFrame) -> DataFrame:
     return docs.mapInArrow(_counted, "id long, length long, term string, tf long")
 
 
+def _coded(col) -> tuple[np.ndarray, pa.Array]:
+    """A number for each value of a column, in order of the values (NULL first), and the values by number."""
+    coded = (col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col).dictionary_encode(null_encoding="encode")
+    order = pc.sort_indices(coded.dictionary, null_placement="at_start")
+    place = np.empty(len(order), dtype=np.int64)
+    place[np.asarray(order)] = np.arange(len(order))
+    return place[np.asarray(coded.indices, dtype=np.int64)], coded.dictionary.take(order)
+
+
+def _scores(postings: pa.Table, weights: pa.Table, k: int) -> pa.Table:
+    """(query_id, id, bm25, place) of the best k items per query of one block of items and one of queries. A few items at a time are a
+    matrix of what their terms add, times the matrix of the queries' weights. `place` is the score as it is compared."""
+    query, query_ids = _coded(weights.column("query_id"))
+    item, ids = _coded(postings.column("id"))
+    term, terms = _coded(weights.column("term"))
+    wanted = np.zeros((len(terms), len(query_ids)))
+    np.add.at(wanted, (term, query), weights.column("idf").to_numpy())
+    avg_length = weights.column("avg_length").to_numpy()[0] if len(weights) else 1.0
+    tf, length = postings.column("tf").to_numpy().astype(np.float64), postings.column("length").to_numpy()
+    value = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / avg_length))
+    at = np.asarray(pc.fill_null(pc.index_in(postings.column("term").combine_chunks(), terms), -1), dtype=np.int64)
+    order = np.argsort(item, kind="stable")
+    order = order[at[order] >= 0]
+    item, at, value = item[order], at[order], value[order]
+    # the best so far per query: one row each of (item, score, place), unfilled places below all scores
+    found = [[np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float64, np.float64)]]
+    for start in range(0, len(ids), SCORED_ITEMS):
+        run = slice(*np.searchsorted(item, [start, start + SCORED_ITEMS]))
+        adds = np.zeros((min(SCORED_ITEMS, len(ids) - start), len(terms)))
+        np.add.at(adds, (item[run] - start, at[run]), value[run])
+        score = (adds @ wanted).T
+        place = np.floor(score * 1e9 + 0.5)
+        r, c = np.nonzero(score > 0)
+        found.append([r, c + start, score[r, c], place[r, c]])
+        r, c, score, place = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((c, -place, r))
+        r, c, score, place = r[order], c[order], score[order], place[order]
+        kept = np.arange(len(r)) - np.searchsorted(r, r) < k
+        found = [[r[kept], c[kept], score[kept], place[kept]]]
+    r, c, score, place = found[0]
+    return pa.table({"query_id": query_ids.take(pa.array(r)), "id": ids.take(pa.array(c)), "bm25": score, "place": place})
+
+
 def lexical(queries: DataFrame, items: DataFrame, k: int = K.POOL) -> DataFrame:
     """(query_id, id, bm25, rank): visible items that hold any query term in title or text, best k per query.
 
     Postings are the counts of terms that some query asks for, kept as a table in the shared folder, from which document frequencies,
-    corpus size and scores are read. The best k per query are cut on the map side. BM25 stands in for cover-density ranking."""
-    terms = queries.select("query_id", F.explode(search_terms(F.col("query"))).alias("term"))
-    wanted = terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    corpus size and scores are read. They are dealt into blocks by a hash of the item; each block meets each block of queries and keeps the
+    best k per query, so what is shuffled are postings, never pairs of item and query. BM25 stands in for cover-density ranking."""
+    spark = queries.sparkSession
+    terms = materialize(queries.select("query_id", F.explode(search_terms(F.col("query"))).alias("term")), "terms")
+    wanted = materialize(terms.select("term").union(spark.createDataFrame([("",)], "term string")).distinct(), "wanted-terms")
     postings = materialize(word_counts(items).join(wanted, "term", "left_semi"), "postings")
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     corpus = postings.filter("term = ''").agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("avg_length"))).scalar()
@@ -81,14 +141,18 @@ def lexical(queries: DataFrame, items: DataFrame, k: int = K.POOL) -> DataFrame:
         .select("query_id", "term", "df", "corpus.n", "corpus.avg_length")
         .select("query_id", "term", weight.alias("idf"), "avg_length")
     )
-    saturation = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("avg_length"))
-    scored = (
-        postings.join(weighted, "term")
-        .groupBy("id", "query_id")
-        .agg(F.sum(F.col("idf") * F.col("tf") * (BM25_K1 + 1) / saturation).alias("bm25"))
-    )
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < k)
+    held = postings.filter("term <> ''")
+    q_blocks = max(1, math.ceil(terms.select("query_id").distinct().count() / SCORED_QUERIES))
+    i_blocks = max(1, math.ceil(postings.filter("term = ''").count() / SCORED_BLOCK))
+    dealt = lambda df, key, own, n, other, n_other: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(
+        other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+    items_side = dealt(held, "id", "ib", i_blocks, "qb", q_blocks).groupBy("ib", "qb")
+    queries_side = dealt(weighted, "query_id", "qb", q_blocks, "ib", i_blocks).groupBy("ib", "qb")
+    kind = lambda df, name: df.schema[name].dataType.simpleString()
+    scored = items_side.cogroup(queries_side).applyInArrow(
+        lambda p, w: _scores(p, w, k), f"query_id {kind(queries, 'query_id')}, id {kind(held, 'id')}, bm25 double, place double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("place"), "id")
+    return scored.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < k).select("id", "query_id", "bm25", "rank")
 
 
 def semantic(queries: DataFrame, vectors: DataFrame, k: int = K.POOL, min_cos: float = K.SEARCH_MIN_SIMILARITY) -> DataFrame:

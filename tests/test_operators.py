@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -396,6 +398,38 @@ def test_index_of_very_many_lengths(spark):
     assert len(want) == 20 and {(r.query_id, r.rank): (r.id, round(r.bm25, 9)) for r in hits.collect()} == want
 
 
+def test_lexical_blocks_equal_brute_force(spark, monkeypatch):
+    """Items and queries in many blocks; repeated and missing ids, equal texts, repeated queries."""
+    monkeypatch.setattr(retrieval, "SCORED_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "SCORED_QUERIES", 2)
+    rows = [(i if i % 17 else None, None, " ".join(f"w{(i * j) % 6}" for j in range(2 + i % 4)), T0, None) for i in [*range(60), 5, 6, 6]]
+    items = spark.createDataFrame(rows, "id long, title string, text string, processed_at timestamp_ntz, skip_reason string")
+    asked = [(1, "w1 w2"), (2, "w3"), (3, "w4 w5 w0"), (4, "nothing"), (1, "w2")]
+    df = {w: sum(w in r[2].split() for r in rows) for w in (f"w{i}" for i in range(6))}
+    mean = sum(len(r[2].split()) for r in rows) / len(rows)
+    want = {}
+    for q, words in asked:
+        for i, _, text, _, _ in rows:
+            for w in set(words.split()) & set(text.split()):
+                tf, length = text.split().count(w), len(text.split())
+                idf = math.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5))
+                want[q, i] = want.get((q, i), 0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))
+    best = {q: sorted(((-round(v, 9), i is not None, i or 0) for (p, i), v in want.items() if p == q))[:9] for q in (1, 2, 3)}
+    got = retrieval.lexical(spark.createDataFrame(asked, "query_id long, query string"), items, 9).collect()
+    assert {(r.query_id, r["rank"]): (r.id, round(r.bm25, 6)) for r in got} == {(q, n): (i if real else None, round(-v, 6)) for q, b in best.items() for n, (v, real, i) in enumerate(b)}
+
+
+def test_words_are_counted_in_bounded_runs():
+    words = pa.array([["a", "b", "a", ""], [""], ["c"] * 10 + [""], ["b", ""]] * 5)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), words], names=["id", "words"]).slice(1)
+    whole = list(retrieval._counted(iter([batch])))
+    runs = [retrieval._counted_run(batch.slice(a, 3)) for a in range(0, 19, 3)]
+    rows = lambda batches: sorted(tuple(r.values()) for b in batches for r in b.to_pylist())
+    assert rows(whole) == rows(runs) and (1, 0, "", 1) in rows(whole) and (2, 10, "c", 10) in rows(whole)
+    long = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array([["x"] * (retrieval.COUNTED_WORDS // 2) + [""]] * 8)], names=["id", "words"])
+    assert len(list(retrieval._counted(iter([long])))) >= 4
+
+
 def test_cluster_keys_of_any_ids_do_not_meet(spark):
     rows = [(-5, 4, None), (4, 4, T0), (-9, None, T0), (8, None, None), (3, -4, None)]
     items = spark.createDataFrame(rows, "id long, cluster_id long, pushed_at timestamp_ntz")
