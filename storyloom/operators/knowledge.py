@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from storyloom import constants as K
 from storyloom.functions import blank_to_null
 from storyloom.functions.text import slugify, strip_html, tokens
+from storyloom.session import materialize
 
 PAGE_HEAD = "## Упоминания"
 
@@ -125,43 +126,39 @@ def find_pages(queries: DataFrame, lines: DataFrame, max_pages: int = K.WIKI_MAX
 
     The score is the number of occurrences of the query's words in the page, plus 3 if its slug holds one. Words count
     inside longer words too, so they are matched to the vocabulary through shared trigrams (an equi-join) and then
-    checked; page texts are reduced to word counts first. Context takes pages in order until the budget is exceeded."""
-    q = queries.select("query_id", F.explode(question_words(F.col("query"))).alias("word"))
-    counted = (
-        lines.select("kind", "slug", F.explode(tokens(F.col("piece"))).alias("token"))
-        .filter(F.length("token") >= 3)
-        .groupBy("kind", "slug", "token")
-        .agg(F.count("*").alias("n"))
-    )
+    checked; the texts are written once and reduced to the words that match. Context takes pages in order until the budget is exceeded."""
+    q = materialize(queries.select("query_id", F.explode(question_words(F.col("query"))).alias("word")), "question-words")
+    lines = materialize(lines.select("kind", "slug", "piece", F.length("piece").alias("chars")), "page-lines")
+    held = lines.select("kind", "slug", F.explode(tokens(F.col("piece"))).alias("token")).filter(F.length("token") >= 3)
     # slugs are part of the vocabulary, each counted as one token that holds the word or not
     slugs = lines.select("kind", "slug").distinct()
     vocabulary = (
-        counted.select("token")
+        held.select("token")
         .unionByName(slugs.select(F.lower("slug").alias("token")))
         .filter(F.length("token") >= 3)
         .distinct()
     )
     grams = vocabulary.select("token", F.explode(F.array_distinct(_trigrams(F.col("token")))).alias("gram"))
-    matched = (
+    matched = materialize(
         q.select("word").distinct().withColumn("gram", F.substring("word", 1, 3))
         .join(grams, "gram")
         .filter(F.contains("token", F.col("word")))
         .select(
             "word", "token",
             ((F.length("token") - F.length(F.replace("token", F.col("word"), F.lit("")))) / F.length("word")).cast("long").alias("occurrences"),
-        )
-    )
-    in_text = (
-        counted.join(matched, "token")
-        .groupBy("kind", "slug", "word")
-        .agg(F.sum(F.col("n") * F.col("occurrences")).alias("score"), F.lit(False).alias("in_slug"))
+        ),
+        "matched-words",
     )
+    # only words that a question holds are moved: a row per page and word, combined on the map side
+    in_text = held.join(matched, "token").groupBy("kind", "slug", "word").agg(F.sum("occurrences").alias("score"), F.lit(False).alias("in_slug"))
     in_slug = (
         slugs.withColumn("token", F.lower("slug")).join(matched, "token")
         .select("kind", "slug", "word", F.lit(0).cast("long").alias("score"), F.lit(True).alias("in_slug"))
     )
+    # a page's words lie together, so its scores are summed where they are, and only the best pages of a question leave a task
     scored = (
         in_text.unionByName(in_slug)
+        .repartition("kind", "slug")
         .join(q, "word")
         .groupBy("query_id", "kind", "slug")
         .agg((F.sum("score") + F.when(F.max("in_slug"), 3).otherwise(0)).alias("score"))
@@ -170,7 +167,7 @@ def find_pages(queries: DataFrame, lines: DataFrame, max_pages: int = K.WIKI_MAX
     top = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= max_pages)
     # pieces are joined by line breaks; the frame around a page is "\n\n=== kind/slug ===\n"
     sizes = lines.groupBy("kind", "slug").agg(
-        (F.sum(F.length("piece")) + F.count("*") - 1).alias("body_chars")
+        (F.sum("chars") + F.count("*") - 1).alias("body_chars")
     )
     frame = F.length("kind") + F.length("slug") + F.lit(len("\n\n=== / ===\n"))
     so_far = best.rowsBetween(Window.unboundedPreceding, 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from storyloom.operators import dedup, feeds, neighbours, ordered, profiles, reactions, retrieval, scoring
+from storyloom.operators import dedup, feeds, knowledge, neighbours, ordered, profiles, reactions, retrieval, scoring
 from storyloom.operators.lexical_index import LexicalIndex
 from storyloom.plans import tables as T
 from storyloom.sources import feeds as ingest
@@ -419,6 +420,16 @@ def test_lexical_blocks_equal_brute_force(spark, monkeypatch):
     assert {(r.query_id, r["rank"]): (r.id, round(r.bm25, 6)) for r in got} == {(q, n): (i if real else None, round(-v, 6)) for q, b in best.items() for n, (v, real, i) in enumerate(b)}
 
 
+def test_page_search_moves_no_pair_of_question_and_page(spark):
+    pages = [("concepts", "solar", "# Solar\n\nsolars and wind"), ("concepts", "solar", "- a solar line"), ("sources", "7-wind", "wind, windy winds"), ("sources", "8-x", None), ("entities", "none", "nothing")]
+    asked = [(1, "solar wind"), (2, "wind"), (3, "absent"), (4, None), (2, "wind")]
+    found = knowledge.find_pages(spark.createDataFrame(asked, "query_id long, query string"), spark.createDataFrame(pages, "kind string, slug string, piece string"))
+    got = {(r.query_id, r["rank"]): (r.kind, r.slug, r.score) for r in found.collect()}
+    assert got == {(1, 1): ("concepts", "solar", 7), (1, 2): ("sources", "7-wind", 6), (2, 1): ("sources", "7-wind", 9), (2, 2): ("concepts", "solar", 2)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(kind#" in plan and not re.search(r"hashpartitioning\(query_id#\d+L?, kind#", plan)
+
+
 def test_words_are_counted_in_bounded_runs():
     words = pa.array([["a", "b", "a", ""], [""], ["c"] * 10 + [""], ["b", ""]] * 5)
     batch = pa.RecordBatch.from_arrays([pa.array(range(20)), words], names=["id", "words"]).slice(1)
