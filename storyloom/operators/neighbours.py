@@ -5,9 +5,11 @@ thousand rows costs one matrix product. Spark decides which blocks meet.
 
 Pairs. Vectors are put into cells (nearest of a few pivot vectors) and rings (angle to the pivot), and large rings are
 cut by hash, so that a block holds about `block_rows` rows however dense the data is. By the triangle inequality for
-angles two rings can only hold a similar pair if their distance allows it; only those blocks meet, and each meeting is
-one bounded task-group. Identical vectors are collapsed first, so a group of copies counts once. Nothing is capped: the
-result equals brute force.
+angles two rings can only hold a similar pair if their distance allows it; only those blocks meet. What is moved is a row
+for each meeting it goes to, so blocks meet by groups: up to a million vectors there are about `GROUPS` groups, whatever the
+number of rows; beyond that a group holds `GROUP_ROWS`, which bounds a task's memory. Inside a meeting one pair of blocks is multiplied at
+a time. Identical vectors are collapsed first, so a group of copies counts once. Nothing is capped: the result equals brute
+force.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from storyloom.operators.dedup import grid_forest
 from storyloom.session import materialize
 
 BLOCK_ROWS = 4096
+GROUPS, GROUP_ROWS = 16, 65_536
 MAX_PIVOTS = 128
 RING_RADIANS = math.radians(6)
 QUERY_BLOCK = 4096
@@ -77,31 +80,51 @@ def _with_cells(reps: DataFrame, pivots: np.ndarray) -> DataFrame:
     return reps.mapInArrow(place, "id long, vec array<float>, cell int, angle double")
 
 
-def _block_pairs(rings: list, pivots: np.ndarray, max_angle: float) -> list[tuple]:
-    """Ring pairs (a <= b by number) that may hold vectors within `max_angle` of each other."""
-    between = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
-    cell = np.array([r["cell"] for r in rings])
-    lo, hi = np.array([r["lo"] for r in rings]), np.array([r["hi"] for r in rings])
-    out = []
-    for a in range(len(rings)):
-        gap = between[cell[a], cell[a:]]
-        low = np.maximum.reduce([gap - hi[a] - hi[a:], lo[a] - gap - hi[a:], lo[a:] - gap - hi[a]])
-        out.extend((a, a + int(off)) for off in np.flatnonzero(low <= max_angle + 1e-9))
-    return out
+class _Rings:
+    """Places of the rings, by number, and whether two of them may hold vectors within `max_angle` of each other."""
 
+    def __init__(self, rings: list, pivots: np.ndarray, max_angle: float):
+        self.between = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
+        self.cell = np.array([r["cell"] for r in rings])
+        self.lo, self.hi = np.array([r["lo"] for r in rings]), np.array([r["hi"] for r in rings])
+        self.max_angle = max_angle
 
-def similar_representatives(reps: DataFrame, min_cos: float, k: int | None, block_rows: int = BLOCK_ROWS, spanning: bool = False) -> DataFrame:
-    """(id, other, cos) in both directions for all pairs of `reps(id, vec)` with cos >= min_cos; with `k` at least the
-    best k of each id (ties to smaller ids), possibly a few more; `spanning`: links (id, other, null) that connect what all
-    those pairs connect, a forest for each meeting of blocks."""
+    def may_meet(self, a: int, others: np.ndarray) -> np.ndarray:
+        gap, lo, hi = self.between[self.cell[a], self.cell[others]], self.lo[others], self.hi[others]
+        low = np.maximum.reduce([gap - self.hi[a] - hi, self.lo[a] - gap - hi, lo - gap - self.hi[a]])
+        return low <= self.max_angle + 1e-9
+
+
+def _grouped(sizes: list[int], rows: int) -> tuple[list[int], list[int]]:
+    """(group of each ring, parts of each group): neighbouring rings share a group of up to about `rows` rows, and a ring that is larger
+    has one of its own, which is cut into parts."""
+    group, parts, held = [], [], 0
+    for n in sizes:
+        if not parts or parts[-1] > 1 or held + n > rows:
+            parts.append(max(1, math.ceil(n / rows)))
+            held = 0
+        held += n
+        group.append(len(parts) - 1)
+    return group, parts
+
+
+def _blocks(rings: np.ndarray, rows: np.ndarray, block_rows: int) -> list[tuple[int, np.ndarray]]:
+    """(ring, rows) of the blocks of one side of a meeting: rows of one ring, at most `block_rows` of them."""
+    order = rows[np.argsort(rings[rows], kind="stable")]
+    numbers, first = np.unique(rings[order], return_index=True)
+    return [(int(no), own[i : i + block_rows]) for no, own in zip(numbers, np.split(order, first[1:])) for i in range(0, len(own), block_rows)]
+
+
+def _meetings(reps: DataFrame, min_cos: float, block_rows: int) -> tuple[DataFrame, _Rings] | None:
+    """(rows, rings) of the meetings (a, p, b, q) of groups a <= b and their parts p and q; a row of `reps(id, vec)` comes once for each
+    meeting that it goes to. None without a row."""
     spark = reps.sparkSession
     total = reps.count()
     n_pivots = max(1, min(MAX_PIVOTS, total // block_rows))
     # a bounded, repeatable choice of pivots
     chosen = reps.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()
-    schema = "id long, other long, cos double"
     if not chosen:
-        return spark.createDataFrame([], schema)
+        return None
     pivots = _unit(np.array([r.vec for r in chosen], dtype=np.float64))
     placed = materialize(_with_cells(reps, pivots), "cells")
     in_cell = Window.partitionBy("cell")
@@ -116,64 +139,89 @@ def similar_representatives(reps: DataFrame, min_cos: float, k: int | None, bloc
         .orderBy("cell", "ring_kept")
         .collect()
     )
-    parts = [max(1, math.ceil(r["n"] / block_rows)) for r in rings]
-    pairs = _block_pairs(rings, pivots, math.acos(max(-1.0, min(1.0, min_cos))))
+    places = _Rings(rings, pivots, math.acos(max(-1.0, min(1.0, min_cos))))
+    group, parts = _grouped([r["n"] for r in rings], max(block_rows, min(GROUP_ROWS, math.ceil(total / GROUPS))))
+    # which groups a ring meets, itself on the left (a) or on the right (b): at most rings x groups rows, bounded by pivots x rings
+    of = np.array(group)
+    meets = [(no, g) for no in range(len(rings)) for g in np.unique(of[places.may_meet(no, np.arange(len(rings)))]).tolist()]
+    left_df = spark.createDataFrame([(no, g, parts[g]) for no, g in meets if group[no] <= g], "ring_no int, b int, n_other int")
+    right_df = spark.createDataFrame([(no, g, parts[g]) for no, g in meets if g <= group[no]], "ring_no int, a int, n_other int")
     ring_df = spark.createDataFrame(
-        [(r["cell"], r["ring_kept"], no, parts[no]) for no, r in enumerate(rings)], "cell int, ring int, block int, parts int"
+        [(r["cell"], r["ring_kept"], no, group[no], parts[group[no]]) for no, r in enumerate(rings)], "cell int, ring int, no int, grp int, parts int"
     )
-    pair_df = spark.createDataFrame([(a, b, parts[a], parts[b]) for a, b in pairs], "a int, b int, pa int, pb int")
-    whole = ring_df.filter("ring = -1").select("cell", F.col("block").alias("whole_block"), F.col("parts").alias("whole_parts"))
+    whole = ring_df.filter("ring = -1").select("cell", *[F.col(x).alias(f"whole_{x}") for x in ("no", "grp", "parts")])
     by_ring = ring_df.filter("ring >= 0")
     located = (
         placed.withColumn("ring", F.floor(F.col("angle") / RING_RADIANS).cast("int"))
         .join(F.broadcast(by_ring), ["cell", "ring"], "left")  # a row per ring: bounded by pivots x rings
         .join(F.broadcast(whole), "cell", "left")
-        .withColumn("block", F.coalesce("block", "whole_block"))
-        .withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", "whole_parts")).cast("int"))
-        .select("id", "vec", "block", "part")
+        .select("id", "vec", *[F.coalesce(x, f"whole_{x}").alias(x) for x in ("no", "grp", "parts")])
+        .select("id", "vec", F.col("no").alias("ring_no"), "grp", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
     )
     seq = F.explode(F.sequence(F.lit(0), F.col("n_other") - 1))
     left = (
-        located.join(pair_df.select(F.col("a").alias("block"), "b", F.col("pb").alias("n_other")), "block")
-        .select("id", "vec", F.col("block").alias("a"), F.col("part").alias("p"), "b", seq.alias("q"), F.lit(0).alias("side"))
+        located.join(left_df, "ring_no")
+        .select("id", "vec", "ring_no", F.col("grp").alias("a"), F.col("part").alias("p"), "b", seq.alias("q"), F.lit(0).alias("side"))
         .filter("a < b or p <= q")
     )
     right = (
-        located.join(pair_df.select(F.col("b").alias("block"), "a", F.col("pa").alias("n_other")), "block")
-        .select("id", "vec", "a", seq.alias("p"), F.col("block").alias("b"), F.col("part").alias("q"), F.lit(1).alias("side"))
+        located.join(right_df, "ring_no")
+        .select("id", "vec", "ring_no", "a", seq.alias("p"), F.col("grp").alias("b"), F.col("part").alias("q"), F.lit(1).alias("side"))
         .filter("a < b or p < q")
     )
+    return left.unionByName(right), places
+
+
+def similar_representatives(reps: DataFrame, min_cos: float, k: int | None, block_rows: int = BLOCK_ROWS, spanning: bool = False) -> DataFrame:
+    """(id, other, cos) in both directions for all pairs of `reps(id, vec)` with cos >= min_cos; with `k` at least the
+    best k of each id (ties to smaller ids), possibly a few more; `spanning`: links (id, other, null) that connect what all
+    those pairs connect, a forest for each meeting of blocks."""
+    schema = "id long, other long, cos double"
+    meetings = _meetings(reps, min_cos, block_rows)
+    if meetings is None:
+        return reps.sparkSession.createDataFrame([], schema)
+    rows, places = meetings
 
     def meet(t: pa.Table) -> pa.Table:
         side = t.column("side").to_numpy()
         ids = t.column("id").to_numpy()
+        ring_no = t.column("ring_no").to_numpy()
         m = _unit(_matrix(t.column("vec")))
-        li, ri = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        alone = ri.size == 0 and bool((t.column("a").to_numpy() == t.column("b").to_numpy()).all()) and bool(
-            (t.column("p").to_numpy() == t.column("q").to_numpy()).all()
-        )
-        if alone:
-            ri = li
-        cos = m[li] @ m[ri].T
-        if alone:
-            np.fill_diagonal(cos, -2.0)
+        alone = bool((t.column("a").to_numpy() == t.column("b").to_numpy()).all() and (t.column("p").to_numpy() == t.column("q").to_numpy()).all())
+        lefts = _blocks(ring_no, np.flatnonzero(side == 0), block_rows)
+        rights = lefts if alone else _blocks(ring_no, np.flatnonzero(side == 1), block_rows)
+        met = np.array([no for no, _ in rights], dtype=np.int64)
+        limit = k if k is not None else len(ids) + 1
+        found = [(ids[:0], ids[:0], np.zeros(0))]
+        for i, (no, li) in enumerate(lefts):
+            for j in np.flatnonzero(places.may_meet(no, met)).tolist():
+                if alone and j < i:
+                    continue
+                ri, same = rights[j][1], alone and i == j
+                cos = m[li] @ m[ri].T
+                if spanning:
+                    near = cos >= min_cos
+                    if same:
+                        np.fill_diagonal(near, True)  # a row and the column of the same vector are one
+                    r, c = grid_forest(near)
+                    real = ids[li][r] != ids[ri][c]
+                    found.append((ids[li][r][real], ids[ri][c][real], np.zeros(int(real.sum()))))
+                    continue
+                if same:
+                    np.fill_diagonal(cos, -2.0)
+                r, c = _best(cos, ids[ri], limit, min_cos)
+                found.append((ids[li][r], ids[ri][c], cos[r, c]))
+                if not same:
+                    r, c = _best(cos.T, ids[li], limit, min_cos)
+                    found.append((ids[ri][r], ids[li][c], cos.T[r, c]))
+        one, other, cos = (np.concatenate(x) for x in zip(*found))
         if spanning:
-            near = cos >= min_cos
-            if alone:
-                np.fill_diagonal(near, True)  # a row and the column of the same vector are one
-            r, c = grid_forest(near)
-            real = ids[li][r] != ids[ri][c]
-            return pa.table({"id": ids[li][r][real], "other": ids[ri][c][real], "cos": pa.nulls(int(real.sum()), pa.float64())})
-        limit = k if k is not None else cos.size + 1
-        r, c = _best(cos, ids[ri], limit, min_cos)
-        found = [(ids[li][r], ids[ri][c], cos[r, c])]
-        if not alone:
-            r, c = _best(cos.T, ids[li], limit, min_cos)
-            found.append((ids[ri][r], ids[li][c], cos.T[r, c]))
-        cols = [np.concatenate(x) for x in zip(*found)]
-        return pa.table({"id": cols[0], "other": cols[1], "cos": cols[2]})
-
-    return left.unionByName(right).groupBy("a", "p", "b", "q").applyInArrow(meet, schema)
+            return pa.table({"id": one, "other": other, "cos": pa.nulls(len(one), pa.float64())})
+        order = np.lexsort((other, -cos, one))  # the best of all blocks of the meeting
+        order = order[np.arange(len(order)) - np.searchsorted(one[order], one[order]) < limit]
+        return pa.table({"id": one[order], "other": other[order], "cos": cos[order]})
+
+    return rows.groupBy("a", "p", "b", "q").applyInArrow(meet, schema)
 
 
 def neighbours(vectors: DataFrame, min_cos: float, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -59,6 +59,19 @@ def test_neighbours_match_brute_force(spark, block_rows, floor):
             assert [j for j, _ in got[i]] == [j for j, _ in want[i]]
 
 
+def test_rows_moved_for_neighbours_do_not_grow_with_the_number_of_blocks(spark):
+    """Every pair of blocks of these may hold a similar pair; a row goes to as many meetings as there are groups, not blocks."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(1024, 8)))]
+    df = spark.createDataFrame(rows, "id long, vec array<float>").cache()
+    for block_rows in (4, 16):  # 256 and 64 blocks
+        moved, _ = neighbours._meetings(df, 0.0, block_rows)
+        assert 1024 <= moved.count() <= 1024 * 2 * neighbours.GROUPS
+    want = brute(dict(rows), 0.9, 3)
+    got = neighbours.neighbours(df, 0.9, 3, 4).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour_id"))).alias("f")).collect()
+    assert {r.id: [x.neighbour_id for x in r.f] for r in got} == {i: [j for j, _ in v] for i, v in want.items() if v}
+
+
 def test_pages_lose_nothing_within_a_second(spark):
     rows = [(k, f"2024-01-01 00:00:00.{k:06d}", f"2024-01-01 00:00:00.{k:06d}") for k in range(1, 7)]
     df = spark.createDataFrame(rows, "id long, sort_ts string, processed_at string").select(
