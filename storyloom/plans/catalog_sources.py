@@ -391,7 +391,7 @@ def j1_scored(spark, d):
         "id", "source_type", "feed_name", "author", normalize_url(c("url")).alias("url_normalized"), "title", "text", "tags", "vertical", "raw_score", "published_at", "fetched_at",
         "watch_topics", "vec", "verdict", F.lit(None).cast("string").alias("skip_reason"), F.lit(None).cast("double").alias("llm_relevance"), F.lit(None).cast("long").alias("scored_profile_version"))
     bare = T.items(spark, d)
-    steps = reactions.learning_steps(T.feedback_events(spark, d), bare)
+    steps = materialize(reactions.learning_steps(T.feedback_events(spark, d), bare), "steps")
     muted = _muted(spark, d)
     learned = [materialize(x, "learned") for x in (
         reactions.tag_affinity(steps), reactions.source_affinity(steps), reactions.taste(_marks(spark, d), bare, vectors), muted)]

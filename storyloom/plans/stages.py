@@ -6,7 +6,7 @@ model steps fall back to what the rules alone can say.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -19,6 +19,7 @@ from storyloom.functions import scores as S
 from storyloom.functions import text as X
 from storyloom.functions.urls import normalize_url
 from storyloom.operators import scoring
+from storyloom.session import materialize
 
 
 @dataclass(frozen=True)
@@ -52,23 +53,30 @@ def _unskipped(df: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFra
 
 def infer(
     rows: DataFrame, inputs: list[str], call: Callable[[pd.DataFrame], list], name: str, out_type: str = "string",
-    required: bool = False,
+    required: bool = False, todo: Column | None = None,
 ) -> DataFrame:
-    """`rows` plus the answers of a model, one call per Arrow batch. A failing batch gives NULL answers, unless the
-    answer is `required`."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), f"{name} {out_type}"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    """`rows` plus the answers of a model, one call per Arrow batch with the rows that fit `todo`; the others get NULL. Only `inputs`
+    travel to the model. A failing batch gives NULL answers, unless the answer is `required`."""
+
+    def run(wanted: pd.Series, *columns: pd.Series) -> pd.Series:
+        mine = wanted.to_numpy(dtype=bool)
+        asked = pd.DataFrame(dict(zip(inputs, columns)))[mine].reset_index(drop=True)
+        answers = []
+        if len(asked):
             try:
-                answers = list(call(b[inputs]))
+                answers = list(call(asked))
             except Exception:
                 if required:
                     raise
-                answers = [None] * len(b)
-            yield b.assign(**{name: answers})
+                answers = [None] * len(asked)
+        if len(answers) != len(asked):
+            raise ValueError(f"{len(answers)} answers for {len(asked)} rows")
+        given = iter(answers)
+        return pd.Series([next(given) if m else None for m in mine])
 
-    return rows.mapInPandas(run, schema)
+    wanted = F.lit(True) if todo is None else F.coalesce(todo, F.lit(False))
+    answer = F.pandas_udf(run, out_type).asNondeterministic()  # a model is asked once, wherever its answer is used
+    return rows.withColumn(name, answer(wanted, *inputs))
 
 
 def url_stage() -> Stage:
@@ -129,7 +137,7 @@ def tagger_stage(call) -> Stage:
 def base_score_stage(as_of: Column) -> Stage:
     def apply(df: DataFrame) -> DataFrame:
         score = S.base_score(F.col("published_at"), F.col("raw_score"), F.col("cluster_size"), as_of)
-        return _unskipped(df, lambda x: x.withColumn("base_score", score))
+        return df.withColumn("base_score", F.when(F.col("skip_reason").isNull(), score))
 
     return Stage("base score", 6, apply)
 
@@ -160,7 +168,8 @@ def personal_stage(tags: DataFrame, sources: DataFrame, taste: DataFrame, muted:
         def step(x: DataFrame) -> DataFrame:
             return scoring.scored(x, tags, sources, taste, muted, as_of, no_boost).select(*x.columns, "personal_score")
 
-        return _unskipped(df, step)
+        # the score reads its items several times; what the stages before it did is done once
+        return _unskipped(materialize(df, "unscored"), step)
 
     return Stage("personal score", 8, apply)
 
@@ -173,13 +182,12 @@ def title_stage() -> Stage:
 
 
 def model_stage(name: str, number: int, inputs: list[str], call, column: str, todo: Column | None = None) -> Stage:
-    """A model step for rows that were not skipped (and fit `todo`); the others pass around the model."""
+    """A model step for rows that were not skipped (and fit `todo`); the others get no answer. Rows are passed on in one piece, so that
+    stages before a model are not computed once per side of a union."""
 
     def apply(df: DataFrame) -> DataFrame:
         wanted = F.col("skip_reason").isNull() if todo is None else F.col("skip_reason").isNull() & todo
-        wanted = F.coalesce(wanted, F.lit(False))
-        asked = infer(df.filter(wanted), inputs, call, column)
-        return asked.unionByName(df.filter(~wanted).withColumn(column, F.lit(None).cast("string")))
+        return infer(df, inputs, call, column, todo=wanted)
 
     return Stage(name, number, apply)
 

@@ -202,7 +202,7 @@ def enrich(
     stream: DataFrame, stages: list, out_path: str, checkpoint: str, key: str = "id"
 ) -> KeyedTable:
     """Items through ordered stages, set at a time, into a table by their key. Items that are in it are left alone, so redelivery is
-    harmless; only the buckets of a batch's keys are read to know."""
+    harmless; only the keys in the buckets of a batch's keys are read to know, and the batch's items are appended."""
     from storyloom.plans.stages import run_stages
 
     out: list[KeyedTable] = []
@@ -213,8 +213,8 @@ def enrich(
             added = [StructField("cluster_id", LongType()), StructField("cluster_size", LongType())] if len(plain) < len(stages) else []
             probe = stream.sparkSession.createDataFrame([], StructType([*batch.schema.fields, *added]))
             out.append(KeyedTable(stream.sparkSession, out_path, run_stages(probe, plain).schema, [key]))
-        todo = materialize(out[0].found(batch.dropDuplicates([key]), batch_id).filter("old is null").drop("old"), "todo")
-        out[0].merge(run_stages(todo, stages, batch_id), batch_id, lambda old, rows: old.unionByName(rows), keys_of=todo)
+        todo = materialize(out[0].unknown(batch.dropDuplicates([key]), batch_id), "todo")
+        out[0].append(run_stages(todo, stages, batch_id), batch_id, keys_of=todo)
 
     available_now(stream, each, checkpoint)
     return out[0]

@@ -326,3 +326,42 @@ def test_tables_in_folders_are_streamed(spark, tmp_path, files):
         os.rename(tmp_path / "made", tmp_path / "documents.parquet")
     got = catalog.queries()["j1_enrichment"](spark, str(tmp_path)).collect()
     assert sorted(r.id for r in got) == list(range(1, 13)) and {r.watch_topics for r in got} == {"Of the"}
+
+
+def test_appended_rows_leave_the_others_unread(spark, tmp_path):
+    """Buckets of several versions are read as one, are found and repeated like others, and become one version when there are many."""
+    t = KeyedTable(spark, f"file://{tmp_path}/t", "k long, n long", ["k"], buckets=2)
+    df = lambda *ks: spark.createDataFrame([(k, k and 10 * k) for k in ks], "k long, n long")
+    rows = lambda before=None: sorted((r.k or 0, r.n or 0) for r in t.read(before).collect())
+    first = df(None, *range(1, 20))
+    t.append(first, 0, keys_of=first)
+    for _ in range(2):  # a repeated batch counts once
+        new = t.unknown(df(None, 3, 20, 21, 22, 23, 24, 25), 1)
+        t.append(new, 1, keys_of=new)
+    assert rows() == [(0, 0), *((k, 10 * k) for k in range(1, 26))] and rows(1) == rows()[:20]
+    assert t._current(None) == {"0": [0, 1], "1": [0, 1]} and t.unknown(df(None, 7, 25)).count() == 0
+    for b in range(2, 20):
+        new = df(*range(10 * b + 10, 10 * b + 20))
+        t.append(new, b, keys_of=new)
+    assert len(rows()) == 206 and all(len(v if isinstance(v, list) else [v]) <= 16 for v in t._current(None).values())
+    on_disk = {(p.parent.name, p.name) for p in (tmp_path / "t" / "data").glob("v=*/bucket=*")}
+    parts = lambda v: v if isinstance(v, list) else [v]
+    assert on_disk == {(f"v={v}", f"bucket={b}") for k in (18, 19) for b, vs in t._listed(k)["versions"].items() for v in parts(vs)}
+    t.merge(df(3).select("k", F.lit(1).cast("long").alias("n")), 20, {"n": F.coalesce("new.n", "old.n")})
+    assert len(rows()) == 206 and (3, 1) in rows()
+
+
+def test_enrichment_appends_and_reads_its_items_once_per_model(spark, tmp_path):
+    """No stage before a model is planned once per side of a union, and an item that comes again changes nothing."""
+    schema = "id long, title string, text string, feed_name string, tags array<string>, vertical string, skip_reason string"
+    df = spark.createDataFrame([(i, f"t{i}", None if i % 3 else "x", "f", ["a"], "it", "muted" if i % 4 == 0 else None) for i in range(12)], schema)
+    chain = [stages.tagger_stage(lambda b: ['{"tags": ["new"]}'] * len(b)), *[stages.model_stage(f"m{k}", 5 + k, ["text"], lambda b: list(b["text"]), f"m{k}") for k in range(4)]]
+    plan = stages.run_stages(df, chain)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    src, args = str(tmp_path / "in"), (str(tmp_path / "out"), str(tmp_path / "ck"))
+    for part in ("id < 8", "id > 4"):
+        df.filter(part).coalesce(1).write.mode("append").parquet(src)
+        out = flow.enrich(spark.readStream.schema(schema).parquet(src), chain, *args)
+    got = {r.id: (r.tags, r.m3) for r in out.read().collect()}
+    assert got == {i: (["a"], None) if i % 4 == 0 else (["new"], None if i % 3 else "x") for i in range(12)}
+    assert {v for vs in out._current(None).values() for v in (vs if isinstance(vs, list) else [vs])} == {0, 1} and out.read().count() == 12
