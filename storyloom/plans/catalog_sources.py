@@ -282,8 +282,8 @@ def j5_vectors(spark, d):
 
 
 def _stories(spark, d, items, *more, min_cos=None):
-    """Items in three stretches by arrival, each joined to the stories known by then."""
-    rows = items.select("id", normalize_url(c("url")).alias("url_normalized"), "fetched_at", *more)
+    """Items in three stretches by arrival, each joined to the stories known by then. The texts that URLs are made of are read once."""
+    rows = materialize(items.select("id", normalize_url(c("url")).alias("url_normalized"), "fetched_at", *more), "arrived")
     path, mark = scratch_path(spark, "clusters"), flow.checkpoint_for(spark, "clusters")
     for folder in _arrivals(spark, rows, "fetched_at", _THIRDS, "items"):
         stories = flow.assign_clusters(flow.file_stream(spark, folder, rows.schema), path, mark, min_cos=min_cos)

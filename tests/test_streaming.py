@@ -365,3 +365,16 @@ def test_enrichment_appends_and_reads_its_items_once_per_model(spark, tmp_path):
     got = {r.id: (r.tags, r.m3) for r in out.read().collect()}
     assert got == {i: (["a"], None) if i % 4 == 0 else (["new"], None if i % 3 else "x") for i in range(12)}
     assert {v for vs in out._current(None).values() for v in (vs if isinstance(vs, list) else [vs])} == {0, 1} and out.read().count() == 12
+
+
+def test_texts_are_read_once_for_all_stretches_of_stories(spark, tmp_path, monkeypatch):
+    from storyloom.plans import catalog, catalog_sources
+
+    docs = spark.createDataFrame([(i, f"text {i % 7}", "en", "feed", 6) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    cut, read = catalog_sources._arrivals, []
+    monkeypatch.setattr(catalog_sources, "_arrivals", lambda spark, rows, *more: read.extend(rows.inputFiles()) or cut(spark, rows, *more))
+    got = {r.id: r.cluster_id for r in catalog.queries()["j5_streaming_clusters"](spark, str(tmp_path)).collect()}
+    alone = lambda i: i % 37 == 0 or i % 10 in (6, 9)
+    assert got == {i: i if alone(i) else min(k for k in range(40) if k % 7 == i % 7 and not alone(k)) for i in range(40)}
+    assert read and not any("documents.parquet" in f for f in read)
