@@ -47,38 +47,70 @@ def wants_projects(query: Column) -> Column:
 COUNTED_WORDS = 1 << 18  # words that are counted at a time, about
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, length, term, tf) of the rows (id, words), whose last word is the empty one: distinct words of each row with their numbers.
-    A batch is cut into runs of rows of a bounded number of words."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with a list column `words`, cut into runs of rows of a bounded number of words."""
     for b in batches:
         bounds = np.asarray(b.column("words").offsets, dtype=np.int64)
         cuts = np.flatnonzero(np.diff((bounds[:-1] - bounds[0]) // COUNTED_WORDS)) + 1
         for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
-            yield _counted_run(b.slice(start, stop - start))
+            yield b.slice(start, stop - start)
 
 
-def _counted_run(b: pa.RecordBatch) -> pa.RecordBatch:
-    lists = b.column("words")
+def _distinct(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """The number of words of each list; and for each distinct word of a list, in order of the lists: the list, the word, how often it is there."""
     bounds = np.asarray(lists.offsets, dtype=np.int64)
-    coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+    words = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
     n = np.diff(bounds)
-    width = max(1, len(coded.dictionary))
-    keys, tf = np.unique(np.repeat(np.arange(len(n)), n) * width + np.asarray(coded.indices, dtype=np.int64), return_counts=True)
-    row = keys // width
-    return pa.RecordBatch.from_arrays(
-        [b.column("id").take(pa.array(row)), pa.array(n[row] - 1), coded.dictionary.take(pa.array(keys % width)), pa.array(tf)],
-        names=["id", "length", "term", "tf"])
+    width = max(1, len(words.dictionary))
+    keys, tf = np.unique(np.repeat(np.arange(len(n)), n) * width + np.asarray(words.indices, dtype=np.int64), return_counts=True)
+    return n, keys // width, words.dictionary.take(pa.array(keys % width)), tf
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, length, term, tf) of the rows (id, words), whose last word is the empty one: distinct words of each row with their numbers."""
+    for b in _runs(batches):
+        n, row, term, tf = _distinct(b.column("words"))
+        yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), pa.array(n[row] - 1), term, pa.array(tf)], names=["id", "length", "term", "tf"])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, length, terms, tf) of the rows (id, words): one row each, its distinct words in one text with blanks between, and their numbers."""
+    for b in _runs(batches):
+        n, row, term, tf = _distinct(b.column("words"))
+        bounds = pa.array(np.searchsorted(row, np.arange(len(n) + 1)), type=pa.int32())
+        terms = pc.binary_join(pa.ListArray.from_arrays(bounds, term), " ")
+        yield pa.RecordBatch.from_arrays(
+            [b.column("id"), pa.array(n), terms, pa.ListArray.from_arrays(bounds, pa.array(tf, type=pa.int32()))], names=["id", "length", "terms", "tf"])
+
+
+def _title_and_text() -> Column:
+    return tokens(F.concat_ws(" ", "title", "text"))
+
+
+def _visible(items: DataFrame) -> DataFrame:
+    return spread(items.filter(VISIBLE).select("id", "title", "text"))
 
 
 def word_counts(items: DataFrame) -> DataFrame:
     """(id, length, term, tf) of the visible items' titles and texts. Words are counted inside each row, without a shuffle; every item
     also has one row with an empty term, which carries its length."""
-    words = tokens(F.concat_ws(" ", "title", "text"))
-    docs = spread(items.filter(VISIBLE).select("id", "title", "text")).select("id", F.array_append(words, F.lit("")).alias("words"))
+    docs = _visible(items).select("id", F.array_append(_title_and_text(), F.lit("")).alias("words"))
     return docs.mapInArrow(_counted, "id long, length long, term string, tf long")
 
 
-def _coded(col) -> tuple[np.ndarray, pa.Array]:
+def word_lists(items: DataFrame) -> DataFrame:
+    """(id, length, terms, tf), a row per visible item: what `word_counts` has in a row per word. `terms` are the
+    distinct words with blanks between, which no word holds."""
+    return _visible(items).select("id", _title_and_text().alias("words")).mapInArrow(_listed, "id long, length long, terms string, tf array<int>")
+
+
+def impact(tf: np.ndarray, length: np.ndarray, avg_length: float) -> np.ndarray:
+    """What a term that is there `tf` times adds to an item's score, before its inverse document frequency."""
+    tf = tf.astype(np.float64)
+    return tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / avg_length))
+
+
+def coded(col) -> tuple[np.ndarray, pa.Array]:
     """A number for each value of a column, in order of the values (NULL first), and the values by number."""
     coded = (col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col).dictionary_encode(null_encoding="encode")
     order = pc.sort_indices(coded.dictionary, null_placement="at_start")
@@ -90,14 +122,13 @@ def _coded(col) -> tuple[np.ndarray, pa.Array]:
 def _scores(postings: pa.Table, weights: pa.Table, k: int) -> pa.Table:
     """(query_id, id, bm25, place) of the best k items per query of one block of items and one of queries. A few items at a time are a
     matrix of what their terms add, times the matrix of the queries' weights. `place` is the score as it is compared."""
-    query, query_ids = _coded(weights.column("query_id"))
-    item, ids = _coded(postings.column("id"))
-    term, terms = _coded(weights.column("term"))
+    query, query_ids = coded(weights.column("query_id"))
+    item, ids = coded(postings.column("id"))
+    term, terms = coded(weights.column("term"))
     wanted = np.zeros((len(terms), len(query_ids)))
     np.add.at(wanted, (term, query), weights.column("idf").to_numpy())
     avg_length = weights.column("avg_length").to_numpy()[0] if len(weights) else 1.0
-    tf, length = postings.column("tf").to_numpy().astype(np.float64), postings.column("length").to_numpy()
-    value = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / avg_length))
+    value = impact(postings.column("tf").to_numpy(), postings.column("length").to_numpy(), avg_length)
     at = np.asarray(pc.fill_null(pc.index_in(postings.column("term").combine_chunks(), terms), -1), dtype=np.int64)
     order = np.argsort(item, kind="stable")
     order = order[at[order] >= 0]

@@ -12,7 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from storyloom.operators import dedup, feeds, knowledge, neighbours, ordered, profiles, reactions, retrieval, scoring
+from storyloom import session
+from storyloom.operators import dedup, feeds, knowledge, lexical_index, neighbours, ordered, profiles, reactions, retrieval, scoring
 from storyloom.operators.lexical_index import LexicalIndex
 from storyloom.plans import tables as T
 from storyloom.sources import feeds as ingest
@@ -412,6 +413,37 @@ def test_index_of_very_many_lengths(spark):
     assert len(want) == 20 and {(r.query_id, r.rank): (r.id, round(r.bm25, 9)) for r in hits.collect()} == want
 
 
+def test_stored_index_writes_no_row_per_posting(spark, tmp_path, monkeypatch):
+    """What is kept on the way are rows per item, per term and segment, and per segment and query."""
+    rng = random.Random(5)
+    rows = [(i, None, " ".join(rng.choices([f"w{j}" for j in range(300)], k=150)), T0, None) for i in range(200)]
+    items = spark.createDataFrame(rows, "id long, title string, text string, processed_at timestamp_ntz, skip_reason string")
+    queries = spark.createDataFrame([(q, f"w{q} w{q + 9} w{q + 20}") for q in range(30)], "query_id long, query string")
+    monkeypatch.setattr(session, "shared_dir", lambda s: str(tmp_path))
+    LexicalIndex.build(items, block_items=4).search(queries, 10)[0].count()
+    postings = sum(len(set(r[2].split())) for r in rows)
+    held = {p.name: spark.read.parquet(str(p)).count() for p in tmp_path.iterdir()}
+    assert len(held) > 4 and max(held.values()) < postings / 4, held
+
+
+def test_stored_index_in_segments(spark, monkeypatch):
+    """Many segments and blocks of queries; repeated and missing ids, also of texts of other lengths; repeated and missing query ids."""
+    monkeypatch.setattr(lexical_index, "SEGMENT_POSTINGS", 100)
+    monkeypatch.setattr(lexical_index, "SCORED_QUERIES", 2)
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(12)}" for _ in range(n))
+    rows = [(i if i % 40 else None, text(2), text(rng.choice([0, 1, 5, 30, 90])), T0, None) for i in [*range(300), *range(0, 60, 3), 7, 7]]
+    items = spark.createDataFrame(rows + rows[:20], "id long, title string, text string, processed_at timestamp_ntz, skip_reason string")
+    queries = spark.createDataFrame([(1, "w1 w2"), (2, "w3"), (2, "w3 w4"), (3, "w11 w0 w5 w6"), (4, "nothing"), (9, "w8"), (5, "w7 w7")], "query_id long, query string")
+    want = {(r.query_id, r.rank): (r.id, round(r.bm25, 9)) for r in retrieval.lexical(queries, items, 10).collect()}
+    for size in (1, 6, 500):
+        index = LexicalIndex.build(items, block_items=size)
+        hits, work = index.search(queries.union(spark.createDataFrame([(None, "w1 w2")], queries.schema)), 10)
+        assert index.segments > 10
+        assert {(r.query_id, r.rank): (r.id, round(r.bm25, 9)) for r in hits.collect()} == want
+        assert {r.query_id for r in work.collect()} == {1, 2, 3, 5, 9} and all(0 < r.read <= r["all"] for r in work.collect())
+
+
 def test_lexical_blocks_equal_brute_force(spark, monkeypatch):
     """Items and queries in many blocks; repeated and missing ids, equal texts, repeated queries."""
     monkeypatch.setattr(retrieval, "SCORED_BLOCK", 7)
