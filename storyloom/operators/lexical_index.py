@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 
 from storyloom import constants as K
 from storyloom.operators.retrieval import SCORED_QUERIES, coded, impact, search_terms, word_lists
-from storyloom.session import materialize, scratch_path
+from storyloom.session import discard, materialize, scratch_path
 
 BLOCK_ITEMS = 2048  # items of a block, about
 BUCKETS = 16
 SEGMENT_POSTINGS, SEGMENT_ITEMS = 1 << 20, 1 << 14  # what a segment holds, about
+COMPRESSION = "zstd"  # of the word lists and the stored postings
 MARGIN = 1e-7  # scores are compared after rounding; a block this close to the floor is still looked at
 
 
@@ -162,7 +163,9 @@ class LexicalIndex:
     def build(cls, items: DataFrame, path: str | None = None, block_items: int = BLOCK_ITEMS) -> LexicalIndex:
         """Index the visible items by the words of title and text."""
         spark = items.sparkSession
-        counted = materialize(word_lists(items), "word-lists")
+        lists = word_lists(items)
+        lists.write.option("compression", COMPRESSION).parquet(kept := scratch_path(spark, "word-lists"))
+        counted = spark.read.schema(lists.schema).parquet(kept)
         # texts without a word count for the corpus as well
         sizes = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.sum(F.size("tf")).alias("postings")).first()
         segments = max(1, math.ceil((sizes.postings or 0) / SEGMENT_POSTINGS), math.ceil(sizes.n / SEGMENT_ITEMS))
@@ -171,7 +174,9 @@ class LexicalIndex:
         dealt = counted.filter("length > 0").withColumn("segment", F.pmod(F.xxhash64("id"), F.lit(segments)).cast("int"))
         rows = dealt.repartition(segments, "segment").groupBy("segment").applyInArrow(lambda t: _posting_rows(t, block_items, avg_length), cls.ROWS)
         bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-        rows.withColumn("bucket", bucket).sortWithinPartitions("bucket", "term", "segment").write.partitionBy("bucket").mode("overwrite").parquet(index.path)
+        sorted_rows = rows.withColumn("bucket", bucket).sortWithinPartitions("bucket", "term", "segment")
+        sorted_rows.write.option("compression", COMPRESSION).partitionBy("bucket").mode("overwrite").parquet(index.path)
+        discard(spark, kept)
         return index
 
     def rows(self, terms: DataFrame) -> DataFrame:

@@ -69,6 +69,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table of the shared folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` over as many partitions as the setting `storyloom.spread.partitions` says, for steps with much work per row over
     tables in one small file, which Spark reads as one split. Unset, as for tables that have splits enough, `df` is left as
