@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom import constants as K
-from storyloom.operators.retrieval import SCORED_QUERIES, coded, impact, search_terms, word_lists
+from storyloom.operators.retrieval import SCORED_QUERIES, _coded, impact, search_terms, word_lists
 from storyloom.session import discard, materialize, scratch_path
 
 BLOCK_ITEMS = 2048  # items of a block, about
@@ -55,7 +55,7 @@ def _new(*columns: np.ndarray) -> np.ndarray:
 
 def _posting_rows(items: pa.Table, block_items: int, avg_length: float) -> pa.Table:
     """The posting rows of the items (segment, id, length, terms, tf) of one segment."""
-    item, _ = coded(items.column("id"))
+    item, _ = _coded(items.column("id"))
     length = items.column("length").to_numpy()
     # rows that share an id are one item: they stay together, where the longest of them belongs
     longest = np.zeros(len(item), dtype=np.int64)
@@ -101,10 +101,10 @@ def _wave(found: pa.Table, asked: pa.Table, k: int, avg_length: float, first: bo
         for name, parts in out.items():
             parts.append(pa.array(np.full(size, query)) if name == "query" else pa.array(columns[name]) if name in columns else pa.nulls(size))
 
-    query, query_ids = coded(asked.column("query_id"))
+    query, query_ids = _coded(asked.column("query_id"))
     empty = pc.equal(found.column("term"), "")
     own, found = found.filter(empty), found.filter(pc.invert(empty))
-    item, ids = coded(own.column("ids").combine_chunks().flatten())
+    item, ids = _coded(own.column("ids").combine_chunks().flatten())
     _, lengths = _flat(own.column("lengths"))
     _, doc = _flat(found.column("docs"))
     _, tf = _flat(found.column("tf"))

@@ -68,9 +68,12 @@ def _distinct(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array, np
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, length, term, tf) of the rows (id, words), whose last word is the empty one: distinct words of each row with their numbers."""
-    for b in _runs(batches):
-        n, row, term, tf = _distinct(b.column("words"))
-        yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), pa.array(n[row] - 1), term, pa.array(tf)], names=["id", "length", "term", "tf"])
+    yield from map(_counted_run, _runs(batches))
+
+
+def _counted_run(b: pa.RecordBatch) -> pa.RecordBatch:
+    n, row, term, tf = _distinct(b.column("words"))
+    return pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), pa.array(n[row] - 1), term, pa.array(tf)], names=["id", "length", "term", "tf"])
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +113,7 @@ def impact(tf: np.ndarray, length: np.ndarray, avg_length: float) -> np.ndarray:
     return tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / avg_length))
 
 
-def coded(col) -> tuple[np.ndarray, pa.Array]:
+def _coded(col) -> tuple[np.ndarray, pa.Array]:
     """A number for each value of a column, in order of the values (NULL first), and the values by number."""
     coded = (col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col).dictionary_encode(null_encoding="encode")
     order = pc.sort_indices(coded.dictionary, null_placement="at_start")
@@ -122,9 +125,9 @@ def coded(col) -> tuple[np.ndarray, pa.Array]:
 def _scores(postings: pa.Table, weights: pa.Table, k: int) -> pa.Table:
     """(query_id, id, bm25, place) of the best k items per query of one block of items and one of queries. A few items at a time are a
     matrix of what their terms add, times the matrix of the queries' weights. `place` is the score as it is compared."""
-    query, query_ids = coded(weights.column("query_id"))
-    item, ids = coded(postings.column("id"))
-    term, terms = coded(weights.column("term"))
+    query, query_ids = _coded(weights.column("query_id"))
+    item, ids = _coded(postings.column("id"))
+    term, terms = _coded(weights.column("term"))
     wanted = np.zeros((len(terms), len(query_ids)))
     np.add.at(wanted, (term, query), weights.column("idf").to_numpy())
     avg_length = weights.column("avg_length").to_numpy()[0] if len(weights) else 1.0
